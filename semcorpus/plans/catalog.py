@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from semcorpus.plans import search_plans  # noqa: F401
+from semcorpus.plans import ingest_plans, search_plans  # noqa: F401
 from semcorpus.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
