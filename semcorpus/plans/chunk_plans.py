@@ -35,9 +35,37 @@ def chunk_fixed(spark, sf):
     )
 
 
-@query("chunk_sentences")
+# The packing as a recursion over the sentences of every text at once: one state row per text and step.
+_REPEAT = """len(list_filter(range(1, len(f.held) + 1),
+    lambda r: list_sum(list_transform(f.held[-r:], lambda x: length(x))) <= 200))"""
+PACKED = f"""{DOCS}, split AS (SELECT doc_id, string_split(replace(replace(replace(text_content, '! ', '!' || chr(1)),
+        '? ', '?' || chr(1)), '. ', '.' || chr(1)), chr(1)) AS sents FROM docs WHERE length(text_content) > 2000),
+    fold AS (SELECT doc_id, 0::BIGINT AS step, []::VARCHAR[] AS held, 0::BIGINT AS held_len, 0::BIGINT AS start,
+        0::BIGINT AS number, NULL::VARCHAR AS body, 0::BIGINT AS begins, 0::BIGINT AS no, false AS wide FROM split
+    UNION ALL SELECT g.doc_id, g.step + 1,
+        CASE WHEN fits THEN list_append(held, x) WHEN len(held) > 0 THEN list_append(held[len(held) - rep + 1:], x)
+            ELSE [] END,
+        CASE WHEN fits THEN held_len + length(x) WHEN len(held) > 0 THEN rep_len + length(x) ELSE 0 END,
+        CASE WHEN fits THEN start WHEN len(held) > 0 THEN start + length(array_to_string(held, ' ')) - rep_len
+            ELSE start + length(x) END,
+        CASE WHEN fits OR (len(held) = 0 AND length(x) > 2000) THEN number ELSE number + 1 END,
+        CASE WHEN fits THEN NULL WHEN len(held) > 0 THEN array_to_string(held, ' ') ELSE x END,
+        start, number, NOT fits AND len(held) = 0 AND length(x) > 2000
+    FROM (SELECT h.*, coalesce(list_sum(list_transform(h.held[len(h.held) - h.rep + 1:], lambda y: length(y))), 0)::BIGINT
+        AS rep_len FROM (SELECT f.*, s.sents[f.step + 1] AS x, f.held_len + length(s.sents[f.step + 1]) <= 1000 AS fits,
+        {_REPEAT} AS rep FROM fold f JOIN split s ON s.doc_id = f.doc_id WHERE f.step < len(s.sents)) h) g),
+    bodies AS (SELECT doc_id, body, begins, no, wide FROM fold WHERE body IS NOT NULL UNION ALL
+        SELECT f.doc_id, array_to_string(f.held, ' '), f.start, f.number, false FROM fold f
+        JOIN split s ON s.doc_id = f.doc_id WHERE f.step = len(s.sents) AND len(f.held) > 0),
+    windows AS (SELECT *, unnest(range(CAST(ceil(length(body) / 800.0) AS BIGINT))) AS j FROM bodies WHERE wide)"""
+
+
+@query("chunk_sentences", f"""WITH RECURSIVE {PACKED} SELECT doc_id || ':' || no AS doc_id, no AS chunk_index, begins AS chunk_start,
+    begins + length(body) AS chunk_end, body AS text_content FROM bodies WHERE NOT wide UNION ALL
+    SELECT doc_id || '_sent' || no || ':' || j, j, j * 800, least(j * 800 + 1200, length(body)),
+    substr(body, CAST(j * 800 + 1 AS BIGINT), 1200) FROM windows""")
 def chunk_sentences(spark, sf):
-    """An ordered fold per text; checked against a plain loop in the tests."""
+    """An ordered fold per text."""
     return k.chunk_sentences(i.documents(spark, sf)).select(
         "doc_id", "chunk_index", "chunk_start", "chunk_end", "text_content"
     )

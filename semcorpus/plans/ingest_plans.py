@@ -13,6 +13,7 @@ from semcorpus.plans.inputs import ANNOTATIONS, CORPUS, DOCS, NOW, OBJECTS, SEEN
 from semcorpus.plans.registry import query
 from semcorpus.sources import objects as o, tables
 from semcorpus.sources.schemas import DOCUMENT
+from semcorpus.streaming.incremental import ingest_stream
 
 _META = """'{"size":' || size || ',"last_modified":"' || strftime(updated, '%Y-%m-%dT%H:%M:%S.000Z')
     || '","generation":null}'"""
@@ -372,6 +373,40 @@ def copied_table(spark, sf):
     )
 
 
+# Each text becomes a line of a file, so a file holds its texts and one line end per text.
+_FILE_CHARS = "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY source"
+
+
+def _write_files(spark, sf) -> str:
+    """The documents as text files of up to 50 texts, one folder per source."""
+    path = i.work_dir(spark) + "/files"
+    i.table(spark, sf, "documents").select("source", "text").write.option("maxRecordsPerFile", 50).partitionBy(
+        "source"
+    ).text(path)
+    return path
+
+
+def _chars_by_source(docs):
+    source = F.regexp_extract("uri", "source=([^/]+)", 1)
+    return docs.groupBy(source.alias("source")).agg(F.sum(F.length("text_content")).alias("chars"))
+
+
+@query("file_documents", _FILE_CHARS)
+def file_documents(spark, sf):
+    """Files listed, classified by extension and read into documents."""
+    return _chars_by_source(g.build_documents(spark, _write_files(spark, sf), ["text", "markdown"], now=NOW))
+
+
+@query("file_stream", _FILE_CHARS)
+def file_stream(spark, sf):
+    """The same files as a stream, run twice: the second run finds no new file."""
+    path = _write_files(spark, sf)
+    root = i.work_dir(spark)
+    for _ in range(2):
+        ingest_stream(spark, path, f"{root}/documents", f"{root}/checkpoint").awaitTermination()
+    return _chars_by_source(tables.read_table(spark, f"{root}/documents", DOCUMENT))
+
+
 @query("loaded_json", "SELECT CAST(event_id AS VARCHAR) AS doc_id, event_type AS source FROM events")
 def loaded_json(spark, sf):
     """Events written as JSON lines, read back under the document schema: other fields are ignored."""

@@ -198,23 +198,17 @@ TEXTS = f"""{FULL}, texts AS (SELECT segment_id, 'Video segment from ' || printf
     || CASE WHEN shot_index % 3 = 0 THEN ' On-screen text: sign ' || shot_index ELSE '' END AS text FROM segments)"""
 
 
-@query("segment_texts", f"""WITH {FULL} SELECT segment_id, CASE WHEN shot_index % 2 = 0 THEN ' Transcript: take ' || shot_index
-    ELSE '' END || CASE WHEN shot_index % 3 = 0 THEN ' On-screen text: sign ' || shot_index ELSE '' END AS text,
-    'Video segment from ' AS lead FROM segments""")
+@query("segment_texts", f"WITH {TEXTS} SELECT segment_id, text FROM texts")
 def segment_texts(spark, sf):
-    """Without the printed bounds, whose last digit may differ between engines."""
-    text = m.segment_text()
-    return _described(spark, sf).select(
-        "segment_id", F.regexp_replace(text, r"^Video segment from [\d.]+s to [\d.]+s", "").alias("text"),
-        F.substring(text, 1, 19).alias("lead"),
-    )
+    return _described(spark, sf).select("segment_id", m.segment_text().alias("text"))
 
 
-@query("segment_embeddings")
+@query("segment_embeddings", f"""WITH {TEXTS}, {i.hashed('texts', 'segment_id', 'text', 'sv')} SELECT w.k AS segment_id,
+    CAST(b AS INT) AS bucket, round(w / norm, 6) AS weight FROM sv_w w JOIN sv_n n ON n.k = w.k WHERE w <> 0""")
 def segment_embeddings(spark, sf):
-    """Vectors of texts that hold printed bounds; checked against the text embedding in the tests."""
     made = m.segment_embeddings(_described(spark, sf), i.DIM)
-    return made.select("segment_id", F.size("visual_embedding").alias("n"))
+    flat = made.select("segment_id", F.posexplode("visual_embedding").alias("bucket", "weight"))
+    return flat.where(F.col("weight") != 0).withColumn("weight", F.round("weight", 6))
 
 
 # --- on-screen text, labels and documents ------------------------------------------------------------

@@ -70,6 +70,7 @@ def stream_objects(
     """The same rows as a stream that sees each file once."""
     reader = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
     )
