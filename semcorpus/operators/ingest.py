@@ -170,9 +170,8 @@ def ingest_image_annotated(objects, descriptions, known=None, now=None) -> DataF
     return _documents(fresh, "image", "image", F.coalesce(rich, plain), now)
 
 
-def _py_type(v: Column) -> Column:
-    """The JSON value's type under its Python name."""
-    kind = F.schema_of_variant(v)
+def _py_type(kind: Column) -> Column:
+    """A JSON type under its Python name."""
     return (
         F.when(kind.startswith("OBJECT"), "dict").when(kind.startswith("ARRAY"), "list")
         .when(kind == "STRING", "str").when(kind == "BIGINT", "int")
@@ -182,42 +181,53 @@ def _py_type(v: Column) -> Column:
 
 def summarize_json(df: DataFrame, text: str = "text_content", indexed: Column | None = None) -> DataFrame:
     """Add summary: root type, up to 20 keys, up to 10 scalar samples, first item type, 2000-char preview."""
-    raw = F.col(text)
-    whole = F.try_parse_json(raw)
-    members = F.from_json(raw, "map<string,variant>")
-    keys = F.json_object_keys(raw)
-
-    def sample(k: Column) -> Column:
-        v = F.element_at(members, k)
-        shown = F.when(_py_type(v) == "bool", F.initcap(v.cast("string"))).otherwise(v.cast("string"))
-        return F.when(
-            _py_type(v).isin("str", "int", "float", "bool"), F.concat(F.lit("  "), k, F.lit(": "), head(shown, 100))
-        )
+    # Each parse is a column of its own: inside a lambda it would run once per key.
+    first = F.slice(F.map_entries("__members"), 1, 10)
+    parsed = (
+        df.withColumn("__whole", F.try_parse_json(text))
+        .withColumn("__members", F.from_json(text, "map<string,variant>"))
+        .withColumns({
+            "__body": F.to_json("__whole"),
+            "__items": F.json_array_length(text),
+            "__first": F.transform(first, lambda e: F.struct(
+                e["key"].alias("key"), _py_type(F.schema_of_variant(e["value"])).alias("kind"),
+                e["value"].cast("string").alias("shown"),
+            )),
+        })
+    )
+    scalars = F.filter("__first", lambda e: e["kind"].isin("str", "int", "float", "bool"))
+
+    def sample(e: Column) -> Column:
+        shown = F.when(e["kind"] == "bool", F.initcap(e["shown"])).otherwise(e["shown"])
+        return F.concat(F.lit("  "), e["key"], F.lit(": "), head(shown, 100))
 
-    samples = F.array_compact(F.transform(F.slice(keys, 1, 10), sample))
+    samples = F.concat_ws("\n", F.lit("\n\nSample content:"), F.transform(scalars, sample))
+    keys = F.map_keys("__members")
     as_object = F.concat(
         F.lit("Root type: Object with "), F.size(keys).cast("string"), F.lit(" keys\nKeys: "),
-        F.array_join(F.slice(keys, 1, 20), ", "), F.lit("\n\nSample content:"),
-        F.when(F.size(samples) > 0, F.concat(F.lit("\n"), F.array_join(samples, "\n"))).otherwise(""),
+        F.array_join(F.slice(keys, 1, 20), ", "), samples,
     )
-    length = F.json_array_length(raw)
     as_array = F.concat(
-        F.lit("Root type: Array with "), length.cast("string"), F.lit(" items"),
+        F.lit("Root type: Array with "), F.col("__items").cast("string"), F.lit(" items"),
         F.when(
-            length > 0,
-            F.concat(F.lit("\nFirst item type: "), _py_type(F.try_variant_get(whole, "$[0]", "variant"))),
+            F.col("__items") > 0,
+            F.concat(
+                F.lit("\nFirst item type: "),
+                _py_type(F.schema_of_variant(F.try_variant_get("__whole", "$[0]", "variant"))),
+            ),
         ).otherwise(""),
     )
-    body = F.to_json(whole)
     parts = [
         F.concat(F.lit("JSON File: "), file_name("uri")),
         F.concat(F.lit("Location: "), F.col("uri")),
         F.lit("Type: JSON Document\n"),
-        F.when(keys.isNotNull(), as_object).when(length.isNotNull(), as_array),
-        F.concat(F.lit("\nData preview:\n"), preview(body, 2000, "\n... [truncated]")),
+        F.when(F.col("__members").isNotNull(), as_object).when(F.col("__items").isNotNull(), as_array),
+        F.concat(F.lit("\nData preview:\n"), preview("__body", 2000, "\n... [truncated]")),
         *([] if indexed is None else [F.concat(F.lit("\nIndexed: "), indexed)]),
     ]
-    return df.withColumn("summary", F.when(body.isNotNull(), F.concat_ws("\n", *parts)))
+    return parsed.withColumn("summary", F.when(F.col("__body").isNotNull(), F.concat_ws("\n", *parts))).drop(
+        "__whole", "__members", "__body", "__items", "__first"
+    )
 
 
 _NEWLINE, _COMMA = "\u0001", "\u0002"

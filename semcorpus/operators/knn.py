@@ -23,12 +23,17 @@ PAIR = "query_id string, doc_id string, distance double"
 def knn(
     corpus: DataFrame, query: Sequence[float], k: int, id_col: str = "doc_id", vec: str = "embedding"
 ) -> DataFrame:
-    """The k rows nearest to one vector: a scan and a take-ordered, no shuffle of the corpus."""
+    """The k rows nearest to one vector: a scan and a take-ordered, no shuffle of the corpus.
+
+    Rows without a distance sort last and are dropped after the limit. Dropping them before it would push
+    the condition below the projection and compute every distance twice.
+    """
     return (
-        corpus.withColumn("distance", distance_to(vec, query))
-        .where(F.col("distance").isNotNull())
-        .orderBy("distance", id_col)
+        corpus.where(has_vector(vec, len(query)))
+        .withColumn("distance", distance_to(vec, query))
+        .orderBy(F.col("distance").asc_nulls_last(), id_col)
         .limit(k)
+        .where(F.col("distance").isNotNull())
     )
 
 
@@ -81,33 +86,33 @@ def _scan_top(
         )
 
 
-def _blocks(rows: Column, per_block: int) -> Column:
-    return F.greatest(F.ceil(rows / per_block), F.lit(1)).cast("int")
+def _blocks(rows: int, per_block: int) -> int:
+    return max(-(-rows // per_block), 1)
 
 
 def block_join(
-    left: DataFrame, right: DataFrame, kernel: Callable, schema: str, per_block: int
+    left: DataFrame, right: DataFrame, counts: dict[int, tuple[int, int]], kernel: Callable, schema: str,
+    per_block: int,
 ) -> DataFrame:
     """Run kernel on every (left block, right block) of each cell.
 
-    Both inputs are (cell, id, vec). A cell with many rows is cut into blocks by a hash of the id, and its
-    blocks meet pairwise in tasks of their own, so no task holds more than two blocks however full a cell
-    is. Block counts per cell are aggregated first and joined on; they are one row per cell.
+    Both inputs are (cell, id, vec); counts holds the left and right rows of each cell. A cell with many
+    rows is cut into blocks by a hash of the id, and its blocks meet pairwise in tasks of their own, so no
+    task holds more than two blocks however full a cell is.
     """
-    # Fresh column ids, as both sides may come from one table.
-    right = right.select(*[F.col(c).alias(c) for c in ("cell", "id", "vec")])
-    counts = left.groupBy("cell").agg(F.count(F.lit(1)).alias("n_left")).join(
-        right.groupBy("cell").agg(F.count(F.lit(1)).alias("n_right")), "cell"
-    )
-    sizes = counts.select(
-        "cell", _blocks(F.col("n_left"), per_block).alias("lb"), _blocks(F.col("n_right"), per_block).alias("rb")
-    )
+    spark = left.sparkSession
+    cuts = [(c, _blocks(a, per_block), _blocks(b, per_block)) for c, (a, b) in sorted(counts.items())]
 
     def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        if len(cuts) == 1:
+            sized = df.withColumns({"lb": F.lit(cuts[0][1]), "rb": F.lit(cuts[0][2])})
+        else:
+            # One row per cell, and the cells are bounded with the centroids.
+            sized = df.join(F.broadcast(spark.createDataFrame(cuts, "cell int, lb int, rb int")), "cell")
         return (
-            df.join(sizes, "cell")
-            .withColumn(own + "_no", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+            sized.withColumn(own + "_no", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
             .withColumn(other + "_no", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            # Fresh column ids, as both sides may come from one table.
             .select(*[F.col(c).alias(c) for c in ("cell", "lb_no", "rb_no", "id", "vec")])
         )
 
@@ -185,9 +190,10 @@ def knn_join(
         return _pair_table(["query_id", "doc_id", "distance"], a, b, c)
 
     one_cell = F.lit(0).alias("cell")
+    docs = _valid(corpus, id_col, vec, dim)
     pairs = block_join(
-        wanted.select(one_cell, "id", "vec"), _valid(corpus, id_col, vec, dim).select(one_cell, "id", "vec"),
-        meet, PAIR, settings.block_rows,
+        wanted.select(one_cell, "id", "vec"), docs.select(one_cell, "id", "vec"),
+        {0: (wanted.count(), docs.count())}, meet, PAIR, settings.block_rows,
     )
     return top_per_query(pairs, k)
 
@@ -335,14 +341,22 @@ def _pair_join(
     """Pairs with id below doc2 and distance below max_distance; with keep, the best keep per row and block."""
     rows = _valid(vectors, id_col, vec, dim)
     if centroids is None:
-        probes = rows.select(F.lit(0).alias("cell"), "id", "vec")
-        members = probes
+        probes = members = rows.select(F.lit(0).alias("cell"), "id", "vec")
+        n = rows.count()
+        counts = {0: (n, n)}
     else:
         if 8 * len(centroids) * max(dim, len(centroids)) > settings.broadcast_bytes:
             raise ValueError("the centroids would not fit settings.broadcast_bytes; use fewer lists")
         placed = _reach(rows, centroids, max_distance)
         probes = placed.select(F.explode("cells").alias("cell"), "id", "vec")
         members = placed.select(F.col("home").alias("cell"), "id", "vec")
+        # At most one row per centroid.
+        per_cell = placed.select("home", F.explode("cells").alias("cell")).groupBy("cell").agg(
+            F.count(F.lit(1)).alias("n_left"), F.count_if(F.col("home") == F.col("cell")).alias("n_right")
+        )
+        counts = {r["cell"]: (r["n_left"], r["n_right"]) for r in per_cell.collect() if r["n_right"]}
+        if not counts:
+            return vectors.sparkSession.createDataFrame([], "doc1 string, doc2 string, distance double")
     names = ["doc1", "doc2", "distance"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -364,7 +378,9 @@ def _pair_join(
             c += row[near].tolist()
         return _pair_table(names, a, b, c)
 
-    return block_join(probes, members, meet, "doc1 string, doc2 string, distance double", settings.block_rows)
+    return block_join(
+        probes, members, counts, meet, "doc1 string, doc2 string, distance double", settings.block_rows
+    )
 
 
 def near_pairs(

@@ -13,10 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semcorpus.functions.text import file_name, head, preview
-from semcorpus.functions.vectors import distance_to, hash_embed
+from semcorpus.functions.vectors import hash_embed
 from semcorpus.operators.chunk import chunk_words
+from semcorpus.operators.knn import knn
 from semcorpus.operators.search import query_vector
 from semcorpus.settings import DEFAULTS, Settings
 
@@ -39,6 +41,31 @@ CATEGORIES = [
 # --- speakers ----------------------------------------------------------------------------------------
 
 
+def _runs(words: DataFrame, stretch: float, key: str) -> DataFrame:
+    """Words with __part, the stretch they start in, and run_no, the run of one speaker they belong to."""
+    placed = words.withColumn("__part", F.floor(F.col("start_time") / stretch).cast("long"))
+    inside = Window.partitionBy(key, "__part").orderBy("start_time", "seq")
+    along = Window.partitionBy(key).orderBy("__part")
+    at = F.struct("start_time", "seq")
+    prev = F.lag("speaker_id").over(inside)
+    local = placed.withColumn(
+        "__turn", (prev.isNotNull() & (prev != F.col("speaker_id"))).cast("long")
+    ).withColumn("__run", F.sum("__turn").over(inside))
+    # One row per stretch; it is already spread by the window's keys.
+    stretches = local.groupBy(key, "__part").agg(
+        F.min_by("speaker_id", at).alias("__first"), F.max_by("speaker_id", at).alias("__last"),
+        F.sum("__turn").alias("__turns"),
+    )
+    opens = F.coalesce((F.lag("__last").over(along) != F.col("__first")).cast("long"), F.lit(0))
+    bases = stretches.withColumn("__opens", opens).select(
+        key, "__part",
+        (F.sum(F.col("__opens") + F.col("__turns")).over(along) - F.col("__turns")).alias("__base"),
+    )
+    return local.join(bases, [key, "__part"]).withColumn("run_no", F.col("__base") + F.col("__run")).drop(
+        "__turn", "__run", "__base"
+    )
+
+
 def speaker_runs(words: DataFrame, stretch: float = 600.0, key: str = "media_id") -> DataFrame:
     """Number the runs of one speaker within each recording: adds run_no, counted from 0.
 
@@ -46,46 +73,36 @@ def speaker_runs(words: DataFrame, stretch: float = 600.0, key: str = "media_id"
     Runs are counted inside stretches of a recording; a stretch starts a new run only if its first speaker
     differs from the last one before it, and run counts of earlier stretches are added on.
     """
-    part = F.floor(F.col("start_time") / stretch).cast("long")
-    placed = words.withColumn("__part", part)
-    inside = Window.partitionBy(key, "__part").orderBy("start_time", "seq")
-    at = F.struct("start_time", "seq")
-    edges = placed.groupBy(key, "__part").agg(
-        F.min_by("speaker_id", at).alias("__first"), F.max_by("speaker_id", at).alias("__last")
-    )
-    along = Window.partitionBy(key).orderBy("__part")
-    local = placed.withColumn("__prev", F.lag("speaker_id").over(inside)).withColumn(
-        "__turn", (F.col("__prev").isNotNull() & (F.col("__prev") != F.col("speaker_id"))).cast("long")
-    )
-    turns = local.groupBy(key, "__part").agg(F.sum("__turn").alias("__turns"))
-    opens = F.lag("__last").over(along)
-    stitched = (
-        edges.join(turns, [key, "__part"])
-        .withColumn("__opens", F.coalesce((opens != F.col("__first")).cast("long"), F.lit(0)))
-        .withColumn("__base", F.sum(F.col("__opens") + F.col("__turns")).over(along) - F.col("__turns"))
-        .select(key, "__part", "__base")
-    )
-    counted = local.withColumn("__run", F.sum("__turn").over(inside))
-    return counted.join(stitched, [key, "__part"]).withColumn(
-        "run_no", F.col("__base") + F.col("__run")
-    ).drop("__part", "__prev", "__turn", "__run", "__base")
+    return _runs(words, stretch, key).drop("__part")
 
 
 def speaker_segments(
     words: DataFrame, confidence: str | None = None, stretch: float = 600.0, key: str = "media_id"
 ) -> DataFrame:
-    """Consecutive words of one speaker as one segment. confidence names the column whose first value is kept."""
+    """Consecutive words of one speaker as one segment. confidence names the column whose first value is kept.
+
+    Words are joined per run and stretch, where they already lie together; only the pieces are shuffled.
+    """
     at = F.struct("start_time", "seq")
     value = F.lit(CONFIDENCE) if confidence is None else F.min_by(confidence, at)
     spoken = F.array_sort(F.collect_list(F.struct("start_time", "seq", "word")))
-    return speaker_runs(words, stretch, key).groupBy(key, F.col("run_no").alias("segment_index")).agg(
+    pieces = _runs(words, stretch, key).groupBy(key, "__part", "run_no").agg(
         F.min_by("speaker_id", at).alias("speaker_id"),
-        F.min_by("start_time", at).alias("start_time"),
+        F.min("start_time").alias("start_time"),
         F.max_by("end_time", at).alias("end_time"),
         F.array_join(F.transform(spoken, lambda w: w["word"]), " ").alias("text"),
         value.alias("confidence"),
         F.count(F.lit(1)).alias("word_count"),
     )
+    texts = F.array_sort(F.collect_list(F.struct("__part", "text")))
+    return pieces.groupBy(key, F.col("run_no").alias("segment_index")).agg(
+        F.min_by("speaker_id", "__part").alias("speaker_id"),
+        F.min("start_time").alias("start_time"),
+        F.max_by("end_time", "__part").alias("end_time"),
+        F.array_join(F.transform(texts, lambda p: p["text"]), " ").alias("text"),
+        F.min_by("confidence", "__part").alias("confidence"),
+        F.sum("word_count").alias("word_count"),
+    )
 
 
 def speech_result_table(results: DataFrame) -> DataFrame:
@@ -185,87 +202,82 @@ def _next_kept(starts: np.ndarray, interval: float) -> np.ndarray:
     return np.searchsorted(starts, starts + interval, side="left")
 
 
-def sample_shots(shots: DataFrame, interval: float, key: str = "video_id", stretch: int = 1000) -> DataFrame:
-    """Keep a shot when it starts at least interval after the last kept one.
+def sample_shots(
+    shots: DataFrame, interval: float, key: str = "video_id", stretch: int = 1000, number: str | None = None
+) -> DataFrame:
+    """Keep a shot when it starts at least interval after the last kept one; number names a running count.
 
     Each video is cut into stretches of time. Where the sampling enters a stretch depends on what came
     before, but it can only be at one of the shots in the stretch's first interval or the next one after.
-    A first pass maps each such entry to where it leaves the stretch, a second follows one entry per
-    stretch through a video, a third marks the kept shots of each stretch. Ties keep the lowest shot_index.
+    A first pass maps each such entry to where the sampling leaves the stretch and how many shots it keeps,
+    a second follows one entry per stretch through a video, a third marks the kept shots of each stretch.
+    Among equal starts the lowest shot_index is kept.
     """
     if interval <= 0:
         return shots
     span = interval * stretch
-    first = Window.partitionBy(key, "start_time").orderBy("shot_index")
-    placed = (
-        shots.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n")
-        .withColumn("__part", F.floor(F.col("start_time") / span).cast("long"))
-    )
+    counted = number or "__number"
+    placed = shots.withColumn("__part", F.floor(F.col("start_time") / span).cast("long"))
+
+    def one(table: pa.Table, column: str):
+        return table.column(column)[0].as_py()
 
     def exits(table: pa.Table) -> pa.Table:
-        starts = np.sort(table.column("start_time").to_numpy())
+        starts = np.unique(table.column("start_time").to_numpy())
         after = _next_kept(starts, interval)
-        leave = starts + interval
+        leave, kept = starts + interval, np.ones(len(starts), dtype=np.int64)
         for i in range(len(starts) - 1, -1, -1):
             if after[i] < len(starts):
                 leave[i] = leave[after[i]]
-        begin = table.column("__part")[0].as_py() * span
-        entry = int(np.searchsorted(starts, begin + interval, side="left")) + 1
-        entries, leave = starts[:entry], leave[:entry]
-        # Runs of entries that leave at the same point need only their last one.
-        last = np.append(leave[1:] != leave[:-1], True)
-        return pa.table(
-            {
-                key: pa.array([table.column(key)[0].as_py()], pa.string()),
-                "__part": pa.array([table.column("__part")[0].as_py()], pa.int64()),
-                "entries": pa.array([entries[last].tolist()], pa.list_(pa.float64())),
-                "leave": pa.array([leave[last].tolist()], pa.list_(pa.float64())),
-            }
-        )
+                kept[i] = kept[after[i]] + 1
+        entry = int(np.searchsorted(starts, one(table, "__part") * span + interval, side="left")) + 1
+        starts, leave, kept = starts[:entry], leave[:entry], kept[:entry]
+        # Of entries that leave alike only the last is needed.
+        last = np.append((leave[1:] != leave[:-1]) | (kept[1:] != kept[:-1]), True)
+        return pa.table({
+            key: pa.array([one(table, key)], pa.string()),
+            "__part": pa.array([one(table, "__part")], pa.int64()),
+            "entries": pa.array([starts[last].tolist()], pa.list_(pa.float64())),
+            "leave": pa.array([leave[last].tolist()], pa.list_(pa.float64())),
+            "kept": pa.array([kept[last].tolist()], pa.list_(pa.int64())),
+        })
 
     def follow(table: pa.Table) -> pa.Table:
         table = table.sort_by("__part")
-        due, parts, dues = -np.inf, [], []
-        for part, entries, leave in zip(
-            table.column("__part").to_pylist(), table.column("entries").to_pylist(), table.column("leave").to_pylist()
-        ):
-            parts.append(part)
+        due, before, dues, befores = -np.inf, 0, [], []
+        for entries, leave, kept in zip(*(table.column(c).to_pylist() for c in ("entries", "leave", "kept"))):
             dues.append(due)
+            befores.append(before)
             i = int(np.searchsorted(entries, due, side="left"))
             if i < len(entries):
-                due = leave[i]
-        return pa.table(
-            {
-                key: pa.array([table.column(key)[0].as_py()] * len(parts), pa.string()),
-                "__part": pa.array(parts, pa.int64()), "due": pa.array(dues, pa.float64()),
-            }
-        )
+                due, before = leave[i], before + kept[i]
+        return pa.table({
+            key: table.column(key), "__part": table.column("__part"),
+            "__due": pa.array(dues, pa.float64()), "__before": pa.array(befores, pa.int64()),
+        })
+
+    fields = shots.schema.fields
 
     def keep(table: pa.Table) -> pa.Table:
-        starts = np.sort(table.column("start_time").to_numpy())
-        at = int(np.searchsorted(starts, table.column("due")[0].as_py(), side="left"))
-        after, kept = _next_kept(starts, interval), []
+        table = table.sort_by([("start_time", "ascending"), ("shot_index", "ascending")])
+        starts = table.column("start_time").to_numpy()
+        at, kept = int(np.searchsorted(starts, one(table, "__due"), side="left")), []
+        after = _next_kept(starts, interval)
         while at < len(starts):
-            kept.append(starts[at])
-            at = after[at]
-        return pa.table(
-            {
-                key: pa.array([table.column(key)[0].as_py()] * len(kept), pa.string()),
-                "start_time": pa.array(kept, pa.float64()),
-            }
-        )
+            kept.append(at)
+            at = int(after[at])
+        rows = table.take(pa.array(kept, pa.int64())).select([f.name for f in fields])
+        return rows.append_column(counted, pa.array(np.arange(len(kept)) + one(table, "__before"), pa.int64()))
 
-    times = placed.select(F.col(key).cast("string").alias(key), "__part", F.col("start_time").cast("double"))
     due = (
-        times.groupBy(key, "__part")
-        .applyInArrow(exits, f"{key} string, __part long, entries array<double>, leave array<double>")
-        .groupBy(key).applyInArrow(follow, f"{key} string, __part long, due double")
-    )
-    kept = (
-        times.select(*[F.col(c).alias(c) for c in times.columns]).join(due, [key, "__part"])
-        .groupBy(key, "__part").applyInArrow(keep, f"{key} string, start_time double")
+        placed.select(key, "__part", "start_time").groupBy(key, "__part")
+        .applyInArrow(exits, f"{key} string, __part long, entries array<double>, leave array<double>, kept array<long>")
+        .groupBy(key).applyInArrow(follow, f"{key} string, __part long, __due double, __before long")
     )
-    return placed.drop("__part").join(kept, [key, "start_time"], "left_semi").select(shots.columns)
+    schema = T.StructType([*fields, T.StructField(counted, T.LongType())])
+    again = placed.select(*[F.col(c).alias(c) for c in placed.columns])
+    kept = again.join(due, [key, "__part"]).groupBy(key, "__part").applyInArrow(keep, schema)
+    return kept if number else kept.drop(counted)
 
 
 def shot_order(shots: DataFrame, key: str = "video_id", stretch: float = 3600.0) -> DataFrame:
@@ -289,7 +301,9 @@ def shots_to_segments(shots: DataFrame, mode: str = "efficient", key: str = "vid
     into int(d / 30) + 1 equal parts. Shots under one second are dropped, and ids keep the shot's number.
     """
     interval = SAMPLE_INTERVAL.get(mode, SAMPLE_INTERVAL["efficient"])
-    numbered = shot_order(sample_shots(shots, interval, key), key) if interval > 0 else shots
+    numbered = shots
+    if interval > 0:
+        numbered = sample_shots(shots, interval, key, number="__kept").withColumn("shot_index", F.col("__kept")).drop("__kept")
     span = F.col("end_time") - F.col("start_time")
     base = numbered.withColumn("__span", span).where(F.col("__span") >= MIN_SEGMENT)
     number = F.col("shot_index").cast("string")
@@ -319,11 +333,16 @@ def shots_to_segments(shots: DataFrame, mode: str = "efficient", key: str = "vid
 
 
 def video_facts(segments: DataFrame, key: str = "video_id") -> DataFrame:
-    """Segments and ordered shot changes per video."""
+    """Segments and length per video."""
     return segments.groupBy(key).agg(
-        F.count(F.lit(1)).alias("segment_count"),
-        F.array_sort(F.collect_list("start_time")).alias("shot_changes"),
-        F.max("end_time").alias("duration_seconds"),
+        F.count(F.lit(1)).alias("segment_count"), F.max("end_time").alias("duration_seconds")
+    )
+
+
+def shot_changes(segments: DataFrame, key: str = "video_id", stretch: float = 86_400.0) -> DataFrame:
+    """Ordered segment starts per video, one array per stretch of a day, so that no array is unbounded."""
+    return segments.groupBy(key, F.floor(F.col("start_time") / stretch).cast("long").alias("day")).agg(
+        F.array_sort(F.collect_list("start_time")).alias("shot_changes")
     )
 
 
@@ -506,10 +525,7 @@ def keep_first(results: DataFrame, keys: Sequence[str], order: Sequence) -> Data
 
 def _media_knn(df: DataFrame, vec: str, q, k: int, kind: str, end: Column, hit_id: str, extra: list[str]) -> DataFrame:
     start = "frame_time" if kind == "ocr" else "start_time"
-    near = (
-        df.withColumn("distance", distance_to(vec, q)).where(F.col("distance").isNotNull())
-        .orderBy("distance", hit_id).limit(k)
-    )
+    near = knn(df, q, k, hit_id, vec)
     return near.select(
         "video_id", "uri", F.col(start).alias("start_time"), end.alias("end_time"), *extra,
         (1 - F.col("distance")).alias("score"), F.lit(kind).alias("result_type"), F.col(hit_id).alias("hit_id"),

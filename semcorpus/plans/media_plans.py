@@ -157,12 +157,17 @@ def segments_full(spark, sf):
 
 
 @query("video_facts", f"""WITH {FULL} SELECT video_id, count(*) AS segment_count,
-    string_agg(printf('%.4f', start_time), ',' ORDER BY start_time) AS shot_changes,
     round(max(end_time), 6) AS duration_seconds FROM segments GROUP BY video_id""")
 def video_facts(spark, sf):
     facts = m.video_facts(m.shots_to_segments(i.shots(spark, sf), "full"))
-    shown = F.transform("shot_changes", lambda x: F.format_string("%.4f", x))
-    return facts.withColumns({"shot_changes": F.array_join(shown, ","), "duration_seconds": F.round("duration_seconds", 6)})
+    return facts.withColumn("duration_seconds", F.round("duration_seconds", 6))
+
+
+@query("shot_changes", f"""WITH {FULL} SELECT video_id, CAST(floor(start_time / 600) AS BIGINT) AS day,
+    string_agg(printf('%.4f', start_time), ',' ORDER BY start_time) AS shot_changes FROM segments GROUP BY 1, 2""")
+def shot_changes(spark, sf):
+    found = m.shot_changes(m.shots_to_segments(i.shots(spark, sf), "full"), stretch=600.0)
+    return found.withColumn("shot_changes", F.array_join(F.transform("shot_changes", lambda x: F.format_string("%.4f", x)), ","))
 
 
 def _cost(mode: str, share: float) -> str:
