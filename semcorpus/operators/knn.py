@@ -18,6 +18,8 @@ from semcorpus.functions.vectors import as_distance, distance_to, has_vector, ma
 from semcorpus.settings import DEFAULTS, Settings
 
 PAIR = "query_id string, doc_id string, distance double"
+# Room for one hit of a batch search in a broadcast: two ids, a distance and a rank.
+HIT_BYTES = 512
 
 
 def knn(
@@ -55,11 +57,16 @@ def _best(ids: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
     return near[np.argsort(row[near], kind="stable")[:k]]
 
 
+# Queries met at once inside a task: bounds the distance matrix of one batch.
+QUERY_BLOCK = 512
+
+
 def _scan_top(
     query_ids: list[str], queries: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
     """Top k per query over one task's batches; keeps k rows per query, whatever the task reads."""
     best: list[list[tuple[float, str]]] = [[] for _ in query_ids]
+    worst = np.full(len(query_ids), np.inf)
     for batch in batches:
         ok, m = matrix(batch.column("vec"), queries.shape[1])
         ids = np.asarray(batch.column("doc_id").filter(pa.array(ok)).to_pylist(), dtype=object)
@@ -70,13 +77,14 @@ def _scan_top(
             continue
         by_id = np.argsort(ids, kind="stable")
         ids, u = ids[by_id], u[by_id]
-        d = as_distance(queries @ u.T)
-        for q in range(len(query_ids)):
-            held = best[q]
-            if len(held) == k and d[q].min() > held[-1][0]:
-                continue
-            found = [(float(d[q, i]), ids[i]) for i in _best(ids, d[q], k)]
-            best[q] = sorted(held + found)[:k]
+        for low in range(0, len(query_ids), QUERY_BLOCK):
+            d = as_distance(queries[low:low + QUERY_BLOCK] @ u.T)
+            for row in np.flatnonzero(d.min(axis=1) <= worst[low:low + QUERY_BLOCK]):
+                found = [(float(d[row, i]), ids[i]) for i in _best(ids, d[row], k)]
+                held = sorted(best[low + row] + found)[:k]
+                best[low + row] = held
+                if len(held) == k:
+                    worst[low + row] = held[-1][0]
     rows = [(query_ids[q], doc, dist) for q in range(len(query_ids)) for dist, doc in best[q]]
     if rows:
         a, b, c = zip(*rows)
@@ -135,7 +143,7 @@ def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, unit_rows(m)
 
 
-def _pair_table(names: Sequence[str], a: list, b: list, d: list) -> pa.Table:
+def _pair_table(names: Sequence[str], a: Sequence, b: Sequence, d: Sequence) -> pa.Table:
     return pa.table(
         {names[0]: pa.array(a, pa.string()), names[1]: pa.array(b, pa.string()), names[2]: pa.array(d, pa.float64())}
     )
@@ -156,7 +164,8 @@ def knn_join(
     """Exact k nearest corpus rows of every query: query_id, doc_id, distance, rank.
 
     Few queries travel to the corpus: their size is checked first, every task keeps k rows per query, and
-    the corpus is not shuffled. Too many queries are met block by block instead.
+    the corpus is not shuffled. Too many queries are met block by block instead. A result that is sure to
+    be small carries a broadcast hint, so that joining texts to it does not shuffle the corpus.
     """
     wanted = _valid(queries, query_id, query_vec, dim)
     room = max(settings.broadcast_bytes // (8 * dim + 16 * k), 1)
@@ -173,7 +182,8 @@ def knn_join(
         docs = corpus.where(has_vector(vec, dim)).select(
             F.col(id_col).cast("string").alias("doc_id"), F.col(vec).cast("array<double>").alias("vec")
         )
-        return top_per_query(docs.mapInArrow(scan, PAIR), k)
+        hits = top_per_query(docs.mapInArrow(scan, PAIR), k)
+        return F.broadcast(hits) if len(names) * k * HIT_BYTES <= settings.broadcast_bytes else hits
 
     def meet(queries_block: pa.Table, docs_block: pa.Table) -> pa.Table:
         if not queries_block.num_rows or not docs_block.num_rows:
@@ -214,7 +224,10 @@ def train_centroids(
     corpus: DataFrame, lists: int, dim: int, sample_rows: int = 200_000, seed: int = 17,
     vec: str = "embedding", settings: Settings = DEFAULTS,
 ) -> np.ndarray:
-    """K-means centres of the unit vectors, fitted on a sample (training only; every row is indexed)."""
+    """K-means centres of the unit vectors, fitted on a sample (training only; every row is indexed).
+
+    Below settings.ivf_min_rows rows a list would hold too little to be worth a probe: one list is made.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -222,8 +235,14 @@ def train_centroids(
         raise ValueError("the centroids would not fit settings.broadcast_bytes; use fewer lists")
     rows = _valid(corpus, vec, vec, dim).select("vec")
     n = rows.count()
-    if n < max(lists, 1):
+    if n == 0:
+        raise ValueError("no vectors to index")
+    lists = 1 if n < settings.ivf_min_rows else lists
+    if n < lists:
         raise ValueError(f"{n} vectors cannot fill {lists} lists")
+    if lists == 1:
+        mean = mean_vectors(rows.withColumn("one", F.lit(1)), "one", "vec").first()
+        return np.array([mean["vec"]])
     if n > sample_rows:
         rows = rows.sample(sample_rows / n, seed)
     model = KMeans(k=lists, seed=seed, distanceMeasure="cosine").fit(
@@ -365,18 +384,17 @@ def _pair_join(
         li, lv = _vectors(left)
         ri, rv = _vectors(right)
         dist = as_distance(lv @ rv.T)
-        a, b, c = [], [], []
         # Each pair is found once: where the smaller id probes the home cell of the larger one.
         after = np.searchsorted(ri, li, side="right")
-        for r in range(len(li)):
-            row = dist[r, after[r]:]
-            near = np.flatnonzero(row < max_distance)
-            if keep is not None and len(near) > keep:
-                near = near[_best(ri[after[r]:][near], row[near], keep)]
-            a += [li[r]] * len(near)
-            b += list(ri[after[r]:][near])
-            c += row[near].tolist()
-        return _pair_table(names, a, b, c)
+        rows, cols = np.nonzero((dist < max_distance) & (np.arange(len(ri)) >= after[:, None]))
+        d = dist[rows, cols]
+        if keep is not None:
+            # Both sides are in id order, so columns settle ties.
+            order = np.lexsort((cols, d, rows))
+            rows, cols, d = rows[order], cols[order], d[order]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+            rows, cols, d = rows[nth < keep], cols[nth < keep], d[nth < keep]
+        return _pair_table(names, list(li[rows]), list(ri[cols]), d)
 
     return block_join(
         probes, members, counts, meet, "doc1 string, doc2 string, distance double", settings.block_rows

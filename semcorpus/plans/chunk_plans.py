@@ -256,7 +256,10 @@ def incremental_corpus(spark, sf):
 def near_copies(spark, sf):
     """Near copies among the documents: equal vectors are listed once with their number of copies."""
     made = i.documents(spark, sf).select("doc_id", hash_embed("text_content", 256).alias("embedding"))
-    groups = knn.distinct_vectors(made.where(F.col("embedding").isNotNull()))
+    # Vectors are made once and stored; every later step reads the stored groups.
+    path = i.work_dir(spark) + "/groups"
+    knn.distinct_vectors(made).write.parquet(path)
+    groups = spark.read.parquet(path)
     pairs = knn.near_pairs(groups, 0.02, 256)
     n = groups.select("doc_id", "copies")
     one = n.select(F.col("doc_id").alias("doc1"), F.col("copies").alias("copies1"))

@@ -28,13 +28,19 @@ def _has_data(spark: SparkSession, path: str) -> bool:
     return fs.exists(folder)
 
 
-def append_new(batch: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Append the rows whose key the table lacks."""
+def append_new(batch: DataFrame, path: str, key: str = "doc_id", days: tuple | None = None) -> None:
+    """Append the rows whose key the table lacks.
+
+    With days only those folders of the table are read: enough when a key always comes with the same
+    created_at.
+    """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates([key])
     if _has_data(spark, path):
-        held = read_table(spark, path, DOCUMENT).select(key)
-        fresh = fresh.join(held, key, "left_anti").select(batch.columns)
+        held = read_table(spark, path, DOCUMENT)
+        if days is not None:
+            held = held.where(F.col("created_date").between(*[F.lit(d) for d in days]))
+        fresh = fresh.join(held.select(key), key, "left_anti").select(batch.columns)
     write_table(fresh, path)
 
 
@@ -71,8 +77,14 @@ def corpus_stream(
 
 def feed_corpus(documents: DataFrame, out: str, checkpoint: str, settings: Settings = DEFAULTS) -> StreamingQuery:
     """As corpus_stream, for any stream of documents."""
+
+    def take(batch: DataFrame, _: int) -> None:
+        day = F.to_date("created_at")
+        days = batch.agg(F.min(day), F.max(day)).first()
+        if days[0] is not None:
+            append_new(corpus_rows(batch, settings), out, days=tuple(days))
+
     return (
-        documents.writeStream
-        .foreachBatch(lambda batch, _: append_new(corpus_rows(batch, settings), out))
+        documents.writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

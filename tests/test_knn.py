@@ -123,12 +123,13 @@ def test_index_with_all_lists_equals_scan(spark, data, scratch):
 
 def test_trained_centroids(data):
     df, _, _ = data
-    c = k.train_centroids(df, 4, DIM)
-    assert c.shape == (4, DIM)
+    few = replace(DEFAULTS, ivf_min_rows=1)
+    assert k.train_centroids(df, 4, DIM, settings=few).shape == (4, DIM)
+    assert k.train_centroids(df, 4, DIM).shape == (1, DIM)
     with pytest.raises(ValueError):
-        k.train_centroids(df, 10_000, DIM)
+        k.train_centroids(df, 10_000, DIM, settings=few)
     with pytest.raises(ValueError):
-        k.train_centroids(df, 4, DIM, settings=replace(DEFAULTS, broadcast_bytes=8))
+        k.train_centroids(df, 4, DIM, settings=replace(few, broadcast_bytes=8))
 
 
 def test_search_plans_take_ordered_rows_without_a_shuffle(data):
