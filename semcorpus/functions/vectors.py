@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from semcorpus.functions.text import col, tokens
+from semcorpus.functions.text import TOKEN_BREAK, col
 
 VECTOR = T.ArrayType(T.DoubleType())
 # Distances are kept to this many decimals, so equal vectors tie exactly and the id decides.
@@ -42,6 +42,11 @@ def as_distance(similarity: np.ndarray) -> np.ndarray:
     return np.round(1.0 - similarity, DIGITS) + 0.0
 
 
+def _once(udf):
+    """Keep a filter on the result above the call. Pushed below it, the filter would make a second call."""
+    return udf.asNondeterministic()
+
+
 def _nullable(values: np.ndarray) -> pa.Array:
     return pa.array(values, type=pa.float64(), mask=np.isnan(values))
 
@@ -112,7 +117,7 @@ def nearest_row(vec: Column | str, centroids: np.ndarray) -> Column:
         missing[rows[good]] = False
         return pa.array(out, mask=missing)
 
-    return nearest_centroid(col(vec))
+    return _once(nearest_centroid)(col(vec))
 
 
 def has_vector(vec: Column | str, dim: int | None = None) -> Column:
@@ -124,29 +129,32 @@ def has_vector(vec: Column | str, dim: int | None = None) -> Column:
 def hash_embed(text: Column | str, dim: int) -> Column:
     """Signed feature hashing of the tokens, as a unit vector; NULL for text without tokens.
 
-    Splitting runs in the JVM. Each batch hashes its distinct tokens once and adds up its rows with one
+    Each batch splits its texts and hashes its distinct tokens once, then adds up its rows with one
     bincount, so nothing is shuffled. This is lexical similarity; hook a model in with embed_with.
     """
 
     @F.arrow_udf(VECTOR)
-    def hashed_tokens(batch: pa.Array) -> pa.Array:
-        sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-        words = batch.flatten().dictionary_encode()
-        digests = [hashlib.md5(w.encode()).hexdigest() for w in words.dictionary.to_pylist()]
+    def hashed_tokens(texts: pa.Array) -> pa.Array:
+        parts = pc.split_pattern_regex(pc.utf8_lower(texts), TOKEN_BREAK)
+        sizes = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+        words = parts.flatten().dictionary_encode()
+        known = words.dictionary.to_pylist()
+        digests = [hashlib.md5(w.encode()).hexdigest() for w in known]
         bucket = np.array([int(h[:8], 16) % dim for h in digests], dtype=np.int64)
-        sign = np.array([1.0 - 2.0 * (int(h[8], 16) % 2) for h in digests])
+        # A break at either end of a text leaves an empty part, which weighs nothing.
+        sign = np.array([1.0 - 2.0 * (int(h[8], 16) % 2) if w else 0.0 for w, h in zip(known, digests)])
         at = words.indices.to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(batch)), sizes)
+        row = np.repeat(np.arange(len(texts)), sizes)
         if len(at):
-            sums = np.bincount(row * dim + bucket[at], weights=sign[at], minlength=len(batch) * dim)
+            sums = np.bincount(row * dim + bucket[at], weights=sign[at], minlength=len(texts) * dim)
         else:
-            sums = np.zeros(len(batch) * dim)
-        m = unit_rows(sums.reshape(len(batch), dim))
+            sums = np.zeros(len(texts) * dim)
+        m = unit_rows(sums.reshape(len(texts), dim))
         empty = ~np.isfinite(m).all(axis=1)
-        offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim)
+        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
         return pa.ListArray.from_arrays(offsets, pa.array(m.ravel()), mask=pa.array(empty))
 
-    return hashed_tokens(tokens(text))
+    return _once(hashed_tokens)(col(text))
 
 
 def embed_with(text: Column | str, model: Callable[[list[str]], np.ndarray]) -> Column:
@@ -162,4 +170,4 @@ def embed_with(text: Column | str, model: Callable[[list[str]], np.ndarray]) ->
                 out[r] = found[i].tolist()
         return pa.array(out, type=pa.list_(pa.float64()))
 
-    return model_vectors(col(text))
+    return _once(model_vectors)(col(text))

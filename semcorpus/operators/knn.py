@@ -59,6 +59,8 @@ def _best(ids: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
 
 # Queries met at once inside a task: bounds the distance matrix of one batch.
 QUERY_BLOCK = 512
+# More than rounding a distance can change it.
+SLACK = 1e-8
 
 
 def _scan_top(
@@ -78,9 +80,11 @@ def _scan_top(
         by_id = np.argsort(ids, kind="stable")
         ids, u = ids[by_id], u[by_id]
         for low in range(0, len(query_ids), QUERY_BLOCK):
-            d = as_distance(queries[low:low + QUERY_BLOCK] @ u.T)
-            for row in np.flatnonzero(d.min(axis=1) <= worst[low:low + QUERY_BLOCK]):
-                found = [(float(d[row, i]), ids[i]) for i in _best(ids, d[row], k)]
+            sims = queries[low:low + QUERY_BLOCK] @ u.T
+            near = sims.max(axis=1) >= 1.0 - worst[low:low + QUERY_BLOCK] - SLACK
+            for row in np.flatnonzero(near):
+                d = as_distance(sims[row])
+                found = [(float(d[i]), ids[i]) for i in _best(ids, d, k)]
                 held = sorted(best[low + row] + found)[:k]
                 best[low + row] = held
                 if len(held) == k:
@@ -383,11 +387,12 @@ def _pair_join(
             return _pair_table(names, [], [], [])
         li, lv = _vectors(left)
         ri, rv = _vectors(right)
-        dist = as_distance(lv @ rv.T)
+        sims = lv @ rv.T
         # Each pair is found once: where the smaller id probes the home cell of the larger one.
         after = np.searchsorted(ri, li, side="right")
-        rows, cols = np.nonzero((dist < max_distance) & (np.arange(len(ri)) >= after[:, None]))
-        d = dist[rows, cols]
+        rows, cols = np.nonzero((sims > 1.0 - max_distance - SLACK) & (np.arange(len(ri)) >= after[:, None]))
+        d = as_distance(sims[rows, cols])
+        rows, cols, d = rows[d < max_distance], cols[d < max_distance], d[d < max_distance]
         if keep is not None:
             # Both sides are in id order, so columns settle ties.
             order = np.lexsort((cols, d, rows))

@@ -50,7 +50,7 @@ def _runs(words: DataFrame, stretch: float, key: str) -> DataFrame:
     prev = F.lag("speaker_id").over(inside)
     local = placed.withColumn(
         "__turn", (prev.isNotNull() & (prev != F.col("speaker_id"))).cast("long")
-    ).withColumn("__run", F.sum("__turn").over(inside))
+    ).withColumn("__run", F.sum("__turn").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     # One row per stretch; it is already spread by the window's keys.
     stretches = local.groupBy(key, "__part").agg(
         F.min_by("speaker_id", at).alias("__first"), F.max_by("speaker_id", at).alias("__last"),

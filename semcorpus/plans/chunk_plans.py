@@ -66,7 +66,7 @@ PACKED = f"""{DOCS}, split AS (SELECT doc_id, string_split(replace(replace(repla
     substr(body, CAST(j * 800 + 1 AS BIGINT), 1200) FROM windows""")
 def chunk_sentences(spark, sf):
     """An ordered fold per text."""
-    return k.chunk_sentences(i.documents(spark, sf)).select(
+    return k.chunk_sentences(i.wide_documents(spark, sf)).select(
         "doc_id", "chunk_index", "chunk_start", "chunk_end", "text_content"
     )
 
@@ -76,7 +76,7 @@ def chunk_sentences(spark, sf):
     SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(j AS INT) AS chunk_index,
     array_to_string(ws[j * 400 + 1 : j * 400 + 500], ' ') AS text FROM s""")
 def chunk_words(spark, sf):
-    texts = i.documents(spark, sf).select("doc_id", F.col("text_content").alias("text"))
+    texts = i.wide_documents(spark, sf).select("doc_id", F.col("text_content").alias("text"))
     return k.chunk_words(texts).select("doc_id", "chunk_index", "text")
 
 
@@ -117,7 +117,7 @@ def _weights(df, key, vec, dim):
 @query("embed_text", f"""WITH {i.hashed('documents', 'doc_id', 'text', 'dv', 256)} SELECT CAST(w.k AS VARCHAR) AS doc_id,
     CAST(b AS INT) AS bucket, round(w / norm, 6) AS weight FROM dv_w w JOIN dv_n n ON n.k = w.k WHERE w <> 0""")
 def embed_text(spark, sf):
-    made = i.documents(spark, sf).select("doc_id", hash_embed("text_content", 256).alias("vec"))
+    made = i.wide_documents(spark, sf).select("doc_id", hash_embed("text_content", 256).alias("vec"))
     return _weights(made, "doc_id", "vec", 256)
 
 
@@ -147,14 +147,14 @@ def _marked(source, e="embedding"):
     CASE WHEN coalesce(len(d.embedding), 0) = 0 AND length(text_content) > 0 THEN coalesce(h.vec, d.embedding)
     ELSE d.embedding END AS embedding FROM dirty d LEFT JOIN hv h ON h.k = d.doc_id) {_marked('filled')}""")
 def embed_backfill(spark, sf):
-    return _mark(c.embed_backfill(i.dirty(spark, sf), DIM))
+    return _mark(c.embed_backfill(i.dirty(spark, sf, True), DIM))
 
 
 @query("repair_embeddings", f"""WITH {DIRTY}, {i.hashed('dirty', 'doc_id', 'text_content', 'hv')}, filled AS (SELECT d.doc_id,
     CASE WHEN len(d.embedding) = 64 THEN d.embedding ELSE h.vec END AS embedding
     FROM dirty d LEFT JOIN hv h ON h.k = d.doc_id) {_marked('filled')}""")
 def repair_embeddings(spark, sf):
-    return _mark(c.repair_embeddings(i.dirty(spark, sf), DIM))
+    return _mark(c.repair_embeddings(i.dirty(spark, sf, True), DIM))
 
 
 @query("repair_report", f"""WITH {DIRTY}, {i.hashed('dirty', 'doc_id', 'text_content', 'hv')}, filled AS (SELECT d.doc_id,
@@ -166,7 +166,7 @@ def repair_embeddings(spark, sf):
     count(*) FILTER (text_content IS NOT NULL AND embedding IS NULL) = 0 AND count(text_content) = count(embedding)
     AS passed FROM filled""")
 def repair_report(spark, sf):
-    return q.verify_embeddings(c.repair_embeddings(i.dirty(spark, sf), DIM), DIM)
+    return q.verify_embeddings(c.repair_embeddings(i.dirty(spark, sf, True), DIM), DIM)
 
 
 @query("clear_embeddings", f"WITH {DOCS} SELECT doc_id, -1::INT AS n, NULL::DOUBLE AS total FROM docs")
@@ -255,7 +255,7 @@ def incremental_corpus(spark, sf):
     WHERE round(1 - list_cosine_similarity(a.vec, b.vec), 9) < 0.02""")
 def near_copies(spark, sf):
     """Near copies among the documents: equal vectors are listed once with their number of copies."""
-    made = i.documents(spark, sf).select("doc_id", hash_embed("text_content", 256).alias("embedding"))
+    made = i.wide_documents(spark, sf).select("doc_id", hash_embed("text_content", 256).alias("embedding"))
     # Vectors are made once and stored; every later step reads the stored groups.
     path = i.work_dir(spark) + "/groups"
     knn.distinct_vectors(made).write.parquet(path)

@@ -11,6 +11,7 @@ from semcorpus.operators import corpus as c, ingest as g, media as m, quality
 from semcorpus.plans import inputs as i
 from semcorpus.plans.inputs import ANNOTATIONS, CORPUS, DOCS, NOW, OBJECTS, SEEN
 from semcorpus.plans.registry import query
+from semcorpus.session import spread
 from semcorpus.sources import objects as o, tables
 from semcorpus.sources.schemas import DOCUMENT
 from semcorpus.streaming.incremental import ingest_stream
@@ -72,7 +73,7 @@ def ingest_pdf_raw(spark, sf):
 
 
 def _json_objects(spark, sf):
-    e = i.table(spark, sf, "events")
+    e = spread(i.table(spark, sf, "events"))
     return e.select(
         F.concat(F.lit("file:///events/"), F.col("event_id").cast("string"), F.lit(".json")).alias("uri"),
         F.octet_length("props").cast("long").alias("size"), F.lit("application/json").alias("content_type"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from semcorpus.operators.knn import mean_vectors
 from semcorpus.operators.media import shot_order, speech_result_table
+from semcorpus.session import spread
 
 DIM = 64
 DAY0 = datetime(2024, 1, 1)
@@ -70,19 +71,26 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(*_doc_columns())
 
 
-def corpus(spark: SparkSession, sf: str) -> DataFrame:
+def wide_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents on all cores, for queries that work hard on each text."""
+    return spread(table(spark, sf, "documents")).select(*_doc_columns())
+
+
+def corpus(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
     """Documents with the given vector of the same number, where there is one."""
+    docs = table(spark, sf, "documents")
+    docs = spread(docs) if wide else docs
     e = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
-    return table(spark, sf, "documents").join(e, "doc_id", "left").select(*_doc_columns(), "embedding")
+    return docs.join(e, "doc_id", "left").select(*_doc_columns(), "embedding")
 
 
-def dirty(spark: SparkSession, sf: str) -> DataFrame:
+def dirty(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
     """The corpus with missing, empty and short vectors and missing texts; vectors from the text's own number."""
     n = F.col("doc_id").cast("long")
     e = F.col("embedding")
-    return corpus(spark, sf).withColumns(
+    return corpus(spark, sf, wide).withColumns(
         {
             "embedding": F.when(n % 10 == 9, F.lit(None).cast("array<double>"))
             .when(n % 10 == 8, F.array().cast("array<double>"))

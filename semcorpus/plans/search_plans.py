@@ -256,7 +256,7 @@ def search_batch(spark, sf):
     WHERE rank <= 5""")
 def text_search_batch(spark, sf):
     """Every benchmark text, whole, against every document, whole."""
-    docs = i.documents(spark, sf).select("doc_id", hash_embed("text_content", DIM).alias("embedding"))
+    docs = i.wide_documents(spark, sf).select("doc_id", hash_embed("text_content", DIM).alias("embedding"))
     asked = s.text_queries(i.table(spark, sf, "benchmark"), "item_id", "text", DIM)
     return knn.knn_join(asked, docs, 5, DIM).withColumn("distance", tidy("distance"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Cluster-neutral settings: AQE re-plans partition counts and skewed joins at run time.
 COMMON = {
@@ -32,6 +32,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy work per row when a scan has fewer splits than there are cores.
+
+    A table of few row groups is small, so shuffling it costs little; larger scans are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for tables that cut lineage."""
     path = spark.conf.get("spark.checkpoint.dir", None)
