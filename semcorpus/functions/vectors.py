@@ -98,7 +98,7 @@ def unit(vec: Column | str) -> Column:
         keep = (norm > 0) & np.isfinite(norm)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(~keep))
 
-    return unit_vector(col(vec))
+    return _once(unit_vector)(col(vec))
 
 
 def nearest_row(vec: Column | str, centroids: np.ndarray) -> Column:

@@ -25,13 +25,12 @@ def confidence(score: str = "relevance_score") -> Column:
     return F.round(F.col(score) * 100, 1)
 
 
-def first_n(df: DataFrame, by: list[str], order: list, n: int, value: Column, name: str) -> DataFrame:
-    """Per group an ordered array of the first n values; rows beyond n never enter the array."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    kept = df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
-    return kept.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__n", value.alias("v")))), lambda s: s["v"]).alias(name)
-    )
+def with_first(df: DataFrame, by: str, n: int, value: Column, name: str, *stats: Column) -> DataFrame:
+    """Per group its statistics and an ordered array of its n best values, in one pass over the hits."""
+    w = Window.partitionBy(by).orderBy(*_best_first())
+    numbered = df.withColumn("__n", F.row_number().over(w))
+    best = F.array_sort(F.collect_list(F.when(F.col("__n") <= n, F.struct("__n", value.alias("v")))))
+    return numbered.groupBy(by).agg(*stats, F.transform(best, lambda s: s["v"]).alias(name))
 
 
 def _best_first() -> list[Column]:
@@ -55,28 +54,23 @@ def explore_by_source(results: DataFrame, n: int = 3) -> DataFrame:
     value = F.struct(
         file_name("uri").alias("filename"), "relevance_score", head("text_content", 200).alias("preview")
     )
-    top = first_n(results, ["source"], _best_first(), n, value, "top_results")
-    stats = results.groupBy("source").agg(
-        F.count(F.lit(1)).alias("count"), F.round(F.avg("relevance_score"), 2).alias("avg_relevance")
-    )
-    return stats.join(top, "source").select(
-        media_icon().alias("icon"), F.col("source").alias("media_type"), "count", "avg_relevance", "top_results"
-    )
+    return with_first(
+        results, "source", n, value, "top_results",
+        F.count(F.lit(1)).alias("count"), F.round(F.avg("relevance_score"), 2).alias("avg_relevance"),
+    ).select(media_icon().alias("icon"), F.col("source").alias("media_type"), "count", "avg_relevance", "top_results")
 
 
 def daily_mentions(results: DataFrame, n: int = 3) -> DataFrame:
-    dated = results.withColumn("date", F.to_date("created_at"))
-    value = F.struct(file_name("uri").alias("filename"), "relevance_score")
-    top = first_n(dated, ["date"], _best_first(), n, value, "top_documents")
-    stats = dated.groupBy("date").agg(
-        F.count(F.lit(1)).alias("daily_mentions"), F.round(F.avg("relevance_score"), 3).alias("avg_relevance")
+    """Per day: hits, mean relevance, its n best hits."""
+    return with_first(
+        results.withColumn("date", F.to_date("created_at")), "date", n,
+        F.struct(file_name("uri").alias("filename"), "relevance_score"), "top_documents",
+        F.count(F.lit(1)).alias("daily_mentions"), F.round(F.avg("relevance_score"), 3).alias("avg_relevance"),
     )
-    return stats.join(top, "date")
 
 
 def top_files_by_source(results: DataFrame, n: int = 5) -> DataFrame:
-    top = first_n(results, ["source"], _best_first(), n, file_name("uri"), "top_files")
-    return results.groupBy("source").agg(F.count(F.lit(1)).alias("count")).join(top, "source")
+    return with_first(results, "source", n, file_name("uri"), "top_files", F.count(F.lit(1)).alias("count"))
 
 
 def coverage(topics: DataFrame, results: DataFrame, depth: int = 20) -> DataFrame:

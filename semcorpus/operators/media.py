@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semcorpus.functions.text import file_name, head, preview
+from semcorpus.functions.text import words as words_of
 from semcorpus.functions.vectors import hash_embed
-from semcorpus.operators.chunk import chunk_words
 from semcorpus.operators.knn import knn
 from semcorpus.operators.search import query_vector
 from semcorpus.settings import DEFAULTS, Settings
@@ -38,6 +38,26 @@ CATEGORIES = [
 ]
 
 
+def running_before(df: DataFrame, key: str, part: Column, order: Sequence, value: Column, name: str) -> DataFrame:
+    """Add the sum of value over the rows of a key that come before this one.
+
+    part must rise with the order. Sums run inside each part, and the totals of earlier parts are added on.
+    """
+    placed = df.withColumn("__part", part).withColumn("__value", value)
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(*earlier)
+    along = Window.partitionBy(key).orderBy("__part").rowsBetween(*earlier)
+    offsets = (
+        placed.groupBy(key, "__part").agg(F.sum("__value").alias("__total"))
+        .select(key, "__part", F.coalesce(F.sum("__total").over(along), F.lit(0)).alias("__offset"))
+    )
+    return (
+        placed.withColumn("__inside", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
+        .join(offsets, [key, "__part"])
+        .select(*df.columns, (F.col("__offset") + F.col("__inside")).alias(name))
+    )
+
+
 # --- speakers ----------------------------------------------------------------------------------------
 
 
@@ -160,17 +180,59 @@ def speaker_chunks(segments: DataFrame, key: str = "media_id") -> DataFrame:
     )
 
 
-def audio_chunks(segments: DataFrame, transcripts: DataFrame, key: str = "media_id") -> DataFrame:
+# Recognised results in one part of a running sum.
+RESULTS_PER_PART = 1000
+
+
+def word_windows(
+    results: DataFrame, size: int = 500, overlap: int = 100, key: str = "media_id", text: str = "transcript"
+) -> DataFrame:
+    """Windows of size words over the results of a recording in order, one every size - overlap words.
+
+    Words are numbered through the recording and grouped by the windows they fall in, so a long recording
+    is never gathered into one row. Input: media_id, result_no, transcript.
+    """
+    stride = size - overlap
+    split = results.select(key, "result_no", words_of(text).alias("__w"))
+    based = running_before(
+        split, key, F.floor(F.col("result_no") / RESULTS_PER_PART), ["result_no"], F.size("__w"), "__base"
+    )
+    flat = based.select(key, "__base", F.posexplode("__w").alias("__pos", "word")).withColumn(
+        "__n", F.col("__base") + F.col("__pos")
+    )
+    last = F.floor(F.col("__n") / stride)
+    first = F.greatest(F.floor((F.col("__n") - size) / stride) + 1, F.lit(0))
+    placed = flat.withColumn("chunk_index", F.explode(F.sequence(first, last)))
+    ordered = F.array_sort(F.collect_list(F.struct("__n", "word")))
+    return placed.groupBy(key, "chunk_index").agg(
+        F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("text")
+    )
+
+
+def audio_chunks(segments: DataFrame, results: DataFrame, facts: DataFrame, key: str = "media_id") -> DataFrame:
     """Speaker chunks, or word windows for recordings without speaker segments."""
-    bare = transcripts.join(segments.select(key).distinct(), key, "left_anti")
-    windows = chunk_words(bare.select(key, "text", "duration_seconds")).select(
-        key, F.col("chunk_index").cast("long").alias("chunk_index"), "text", F.lit(0.0).alias("start_time"),
-        F.col("duration_seconds").alias("end_time"), F.lit(None).cast("string").alias("speaker_id"),
-        F.col("duration_seconds").alias("duration"),
+    bare = results.join(segments.select(key).distinct(), key, "left_anti")
+    lengths = facts.select(key, "duration_seconds")
+    windows = word_windows(bare, key=key).join(lengths, key, "left").select(
+        key, "chunk_index", "text", F.lit(0.0).alias("start_time"),
+        F.coalesce("duration_seconds", F.lit(0.0)).alias("end_time"), F.lit(None).cast("string").alias("speaker_id"),
+        F.coalesce("duration_seconds", F.lit(0.0)).alias("duration"),
     )
     return speaker_chunks(segments, key).unionByName(windows)
 
 
+def transcript_start(results: DataFrame, n: int = 2000, key: str = "media_id", text: str = "transcript") -> DataFrame:
+    """The results of a recording joined in order, as far as a preview of n characters needs them."""
+    before = running_before(
+        results.select(key, "result_no", text), key, F.floor(F.col("result_no") / RESULTS_PER_PART), ["result_no"],
+        F.length(text) + 1, "__before",
+    )
+    parts = F.array_sort(F.collect_list(F.struct("result_no", F.col(text).alias("t"))))
+    return before.where(F.col("__before") <= n + 1).groupBy(key).agg(
+        F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias(text)
+    )
+
+
 def _lines(*parts: Column | str) -> Column:
     return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
@@ -281,17 +343,10 @@ def sample_shots(
 
 
 def shot_order(shots: DataFrame, key: str = "video_id", stretch: float = 3600.0) -> DataFrame:
-    """Renumber shots 0, 1, ... per video by start, counted per stretch and offset by earlier stretches."""
-    placed = shots.withColumn("__part", F.floor(F.col("start_time") / stretch).cast("long"))
-    inside = Window.partitionBy(key, "__part").orderBy("start_time", "shot_index")
-    along = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__offset", F.coalesce(F.sum("__n").over(along), F.lit(0))).drop("__n")
-    )
-    return placed.withColumn("__at", F.row_number().over(inside) - 1).join(offsets, [key, "__part"]).withColumn(
-        "shot_index", F.col("__offset") + F.col("__at")
-    ).select(shots.columns)
+    """Renumber shots 0, 1, ... per video by start."""
+    return running_before(
+        shots, key, F.floor(F.col("start_time") / stretch).cast("long"), ["start_time", "shot_index"], F.lit(1), "__no"
+    ).withColumn("shot_index", F.col("__no")).drop("__no")
 
 
 def shots_to_segments(shots: DataFrame, mode: str = "efficient", key: str = "video_id") -> DataFrame:

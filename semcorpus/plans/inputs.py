@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semcorpus.operators.knn import mean_vectors
-from semcorpus.operators.media import shot_order, speech_result_table
+from semcorpus.operators.media import running_before, shot_order, speech_result_table
 from semcorpus.session import spread
 
 DIM = 64
@@ -170,13 +170,9 @@ def seen(spark: SparkSession, sf: str, modality: str, source: str) -> DataFrame:
 
 def speech_results(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation turn as one recognised result with timed words, half a second per word."""
-    from pyspark.sql import Window
-
     c = table(spark, sf, "conversations")
     parts = F.split("text", " ")
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per turn, not per word: the running word count stays small even for a long conversation.
-    base = F.coalesce(F.sum(F.size(parts)).over(before), F.lit(0))
+    based = running_before(c, "conv_id", F.floor(F.col("turn") / 1000), ["turn"], F.size(parts), "__base")
 
     def word(w: Column, i: Column) -> Column:
         start = (F.col("__base") + i) * 0.5
@@ -185,7 +181,7 @@ def speech_results(spark: SparkSession, sf: str) -> DataFrame:
             F.col("role").alias("speaker_id"), (F.lit(0.5) + F.col("turn") % 5 / 10).alias("confidence"),
         )
 
-    return c.withColumn("__base", base).select(
+    return based.select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("media_id"),
         F.col("turn").alias("result_no"),
         F.transform(parts, word).alias("words"),

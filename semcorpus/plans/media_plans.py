@@ -45,13 +45,6 @@ def speaker_chunks(spark, sf):
     return m.speaker_chunks(m.speaker_segments(i.spoken(spark, sf)))
 
 
-def _transcripts(spark, sf):
-    """All turns of a conversation as one transcript."""
-    r = i.speech_results(spark, sf)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("result_no", "transcript"))), lambda x: x["transcript"])
-    return r.groupBy("media_id").agg(F.array_join(parts, " ").alias("transcript"))
-
-
 @query("audio_chunks", f"""WITH {RUNS}, odd AS (SELECT *, CAST(substr(media_id, 2) AS BIGINT) % 2 = 1 AS voiced FROM segs),
     t AS (SELECT 'c' || conv_id AS media_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations
     WHERE conv_id % 2 = 0 GROUP BY conv_id), f AS (SELECT media_id, max(start_time) + 0.5 AS d FROM words GROUP BY media_id),
@@ -65,9 +58,9 @@ def audio_chunks(spark, sf):
     """Speakers are known for every second recording; the others fall back to word windows."""
     words = i.spoken(spark, sf)
     known = F.substring("media_id", 2, 20).cast("long") % 2 == 1
-    facts = m.transcript_facts(words).select("media_id", "duration_seconds")
-    texts = _transcripts(spark, sf).withColumnRenamed("transcript", "text").join(facts, "media_id")
-    return m.audio_chunks(m.speaker_segments(words.where(known)), texts)
+    return m.audio_chunks(
+        m.speaker_segments(words.where(known)), i.speech_results(spark, sf), m.transcript_facts(words)
+    )
 
 
 FACTS = f"""{WORDS}, f AS (SELECT media_id, max(start_time) + 0.5 AS duration_seconds,
@@ -89,8 +82,9 @@ def transcript_facts(spark, sf):
     || 'Transcription:' || chr(10) || CASE WHEN length(transcript) > 2000 THEN substr(transcript, 1, 2000) || '...'
     ELSE transcript END AS text_content FROM f JOIN s ON s.media_id = f.media_id""")
 def audio_documents(spark, sf):
-    facts = m.transcript_facts(i.spoken(spark, sf), i.speech_results(spark, sf))
-    audio = facts.join(_transcripts(spark, sf), "media_id").withColumns({
+    results = i.speech_results(spark, sf)
+    facts = m.transcript_facts(i.spoken(spark, sf), results)
+    audio = facts.join(m.transcript_start(results), "media_id").withColumns({
         "uri": F.concat(F.lit("file:///audio/"), "media_id", F.lit(".mp3")), "confidence": F.round("confidence", 6),
     })
     return m.audio_document(audio).select("media_id", "text_content")

@@ -123,3 +123,22 @@ def test_audio_document_with_and_without_index_line(spark):
     text = m.audio_document(df, F.lit("now")).first()["text_content"]
     assert text.startswith("Audio File: x.mp3\nDuration: 1.3 seconds\nSpeakers: 2\nConfidence: 50.0%\n\nTranscription:\n")
     assert text.endswith("t...\n\nIndexed: now")
+
+
+def test_word_windows_run_through_results(spark, monkeypatch):
+    monkeypatch.setattr(m, "RESULTS_PER_PART", 2)
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (7, 0, 3, 12, 1)]
+    rows = [("m", i, t) for i, t in enumerate(texts)] + [("n", 0, "one two")]
+    got = {(r["media_id"], r["chunk_index"]): r["text"].split() for r in
+           m.word_windows(spark.createDataFrame(rows, "media_id string, result_no long, transcript string"), 5, 2).collect()}
+    said = " ".join(texts).split()
+    assert got == {**{("m", j): said[j * 3:j * 3 + 5] for j in range(-(-len(said) // 3))}, ("n", 0): ["one", "two"]}
+
+
+@pytest.mark.parametrize("lengths, cut", [((1999,), False), ((2000,), False), ((2000, 1), True), ((5, 1994), False), ((1, 1999, 7), True)])
+def test_transcript_start_is_enough_for_the_preview(spark, lengths, cut):
+    rows = [("m", i, chr(97 + i) * n) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "media_id string, result_no long, transcript string")
+    whole = " ".join(r[2] for r in rows)
+    start = m.transcript_start(df).select(m.preview("transcript", 2000)).first()[0]
+    assert start == (whole[:2000] + "..." if len(whole) > 2000 else whole) and start.endswith("...") == cut
