@@ -206,7 +206,7 @@ def write_embeddings(spark, sf):
     return _mark(c.write_embeddings(i.dirty(spark, sf), i.vectors(spark, sf)))
 
 
-@query("needs_embedding", f"""WITH {DIRTY} SELECT doc_id, length(text_content) AS text_length FROM dirty
+@query("needs_embedding", f"""WITH {DIRTY} SELECT doc_id, CAST(length(text_content) AS INT) AS text_length FROM dirty
     WHERE coalesce(len(embedding), 0) = 0 AND length(text_content) > 0""")
 def needs_embedding(spark, sf):
     rows = i.dirty(spark, sf).where(c.needs_embedding())
@@ -226,7 +226,7 @@ def pending_documents(spark, sf):
 
 
 @query("incremental_corpus", f"""WITH {CHUNKS}, {i.hashed('assembled', 'doc_id', 'text_content', 'hv')}
-    SELECT a.doc_id, a.uri, a.chunk_index, length(a.text_content) AS chars,
+    SELECT a.doc_id, a.uri, a.chunk_index, CAST(length(a.text_content) AS INT) AS chars,
     CAST(coalesce(len(h.vec), -1) AS INT) AS n FROM assembled a LEFT JOIN hv h ON h.k = a.doc_id""")
 def incremental_corpus(spark, sf):
     """Documents read as a stream, chunked, embedded and appended; a second run finds nothing new."""

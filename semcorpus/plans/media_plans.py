@@ -107,32 +107,28 @@ def _greedy(interval: int) -> str:
         start_time, end_time FROM sampled)"""
 
 
-@query("sample_shots", f"""WITH RECURSIVE {SHOTS}, {_greedy(10)} SELECT video_id, shot_index,
-    round(start_time, 6) AS start_time, round(end_time, 6) AS end_time FROM sampled""")
+@query("sample_shots", f"""WITH RECURSIVE {SHOTS}, {_greedy(10)} SELECT video_id, shot_index, start_time, end_time
+    FROM sampled""")
 def sample_shots(spark, sf):
-    kept = m.sample_shots(i.shots(spark, sf), 10.0, stretch=20)
-    return kept.withColumns({c: F.round(c, 6) for c in ("start_time", "end_time")})
-
-
-def _rounded(df):
-    return df.withColumns({c: tidy(c) for c in ("start_time", "end_time", "duration")})
+    """Times come from the same divisions and sums on both sides, so they are compared unrounded."""
+    return m.sample_shots(i.shots(spark, sf), 10.0, stretch=20)
 
 
 def _clamped(interval: int) -> str:
     return f"""WITH RECURSIVE {SHOTS}, {_greedy(interval)} SELECT video_id || '_shot_' || shot_index AS segment_id, video_id,
-    shot_index, round(start_time, 6) AS start_time, round(least(end_time, start_time + 30), 6) AS end_time,
-    round(least(end_time - start_time, 30), 6) AS duration, 'shot_' || shot_index AS shot_label,
+    shot_index, start_time, least(end_time, start_time + 30) AS end_time,
+    least(end_time - start_time, 30) AS duration, 'shot_' || shot_index AS shot_label,
     0.95::DOUBLE AS confidence FROM numbered WHERE end_time - start_time >= 1"""
 
 
 @query("segments_efficient", _clamped(10))
 def segments_efficient(spark, sf):
-    return _rounded(m.shots_to_segments(i.shots(spark, sf), "efficient"))
+    return m.shots_to_segments(i.shots(spark, sf), "efficient")
 
 
 @query("segments_minimal", _clamped(30))
 def segments_minimal(spark, sf):
-    return _rounded(m.shots_to_segments(i.shots(spark, sf), "minimal"))
+    return m.shots_to_segments(i.shots(spark, sf), "minimal")
 
 
 FULL = f"""{SHOTS}, timed AS (SELECT *, end_time - start_time AS d FROM shots WHERE end_time - start_time >= 1),
@@ -144,10 +140,10 @@ FULL = f"""{SHOTS}, timed AS (SELECT *, end_time - start_time AS d FROM shots WH
     'shot_' || shot_index || CASE WHEN d > 30 THEN '_part_' || j ELSE '' END AS shot_label FROM pieces)"""
 
 
-@query("segments_full", f"""WITH {FULL} SELECT segment_id, video_id, shot_index, round(start_time, 6) AS start_time,
-    round(end_time, 6) AS end_time, round(duration, 6) AS duration, shot_label, 0.95::DOUBLE AS confidence FROM segments""")
+@query("segments_full", f"""WITH {FULL} SELECT segment_id, video_id, shot_index, start_time, end_time, duration,
+    shot_label, 0.95::DOUBLE AS confidence FROM segments""")
 def segments_full(spark, sf):
-    return _rounded(m.shots_to_segments(i.shots(spark, sf), "full"))
+    return m.shots_to_segments(i.shots(spark, sf), "full")
 
 
 @query("video_facts", f"""WITH {FULL} SELECT video_id, count(*) AS segment_count,
