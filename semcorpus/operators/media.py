@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from semcorpus.functions.groups import map_groups
 from semcorpus.functions.text import file_name, head, preview
 from semcorpus.functions.text import words as words_of
 from semcorpus.functions.vectors import hash_embed
@@ -305,7 +306,6 @@ def sample_shots(
         })
 
     def follow(table: pa.Table) -> pa.Table:
-        table = table.sort_by("__part")
         due, before, dues, befores = -np.inf, 0, [], []
         for entries, leave, kept in zip(*(table.column(c).to_pylist() for c in ("entries", "leave", "kept"))):
             dues.append(due)
@@ -321,7 +321,6 @@ def sample_shots(
     fields = shots.schema.fields
 
     def keep(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("start_time", "ascending"), ("shot_index", "ascending")])
         starts = table.column("start_time").to_numpy()
         at, kept = int(np.searchsorted(starts, one(table, "__due"), side="left")), []
         after = _next_kept(starts, interval)
@@ -331,14 +330,14 @@ def sample_shots(
         rows = table.take(pa.array(kept, pa.int64())).select([f.name for f in fields])
         return rows.append_column(counted, pa.array(np.arange(len(kept)) + one(table, "__before"), pa.int64()))
 
-    due = (
-        placed.select(key, "__part", "start_time").groupBy(key, "__part")
-        .applyInArrow(exits, f"{key} string, __part long, entries array<double>, leave array<double>, kept array<long>")
-        .groupBy(key).applyInArrow(follow, f"{key} string, __part long, __due double, __before long")
+    left = map_groups(
+        placed.select(key, "__part", "start_time"), [key, "__part"], ["start_time"], exits,
+        f"{key} string, __part long, entries array<double>, leave array<double>, kept array<long>",
     )
+    due = map_groups(left, [key], ["__part"], follow, f"{key} string, __part long, __due double, __before long")
     schema = T.StructType([*fields, T.StructField(counted, T.LongType())])
-    again = placed.select(*[F.col(c).alias(c) for c in placed.columns])
-    kept = again.join(due, [key, "__part"]).groupBy(key, "__part").applyInArrow(keep, schema)
+    again = placed.select(*[F.col(c).alias(c) for c in placed.columns]).join(due, [key, "__part"])
+    kept = map_groups(again, [key, "__part"], ["start_time", "shot_index"], keep, schema)
     return kept if number else kept.drop(counted)
 
 

@@ -142,3 +142,27 @@ def test_transcript_start_is_enough_for_the_preview(spark, lengths, cut):
     whole = " ".join(r[2] for r in rows)
     start = m.transcript_start(df).select(m.preview("transcript", 2000)).first()[0]
     assert start == (whole[:2000] + "..." if len(whole) > 2000 else whole) and start.endswith("...") == cut
+
+
+@pytest.mark.parametrize("batch", [1, 3, 4096])
+def test_groups_are_cut_where_the_key_changes(spark, batch):
+    import pyarrow as pa
+
+    from semcorpus.functions.groups import map_groups
+
+    rng = random.Random(batch)
+    rows = [(rng.choice("abcdefg"), rng.randint(0, 3), i) for i in range(300)]
+
+    def joined(t):
+        return pa.table({"k": t.column("k").slice(0, 1), "p": t.column("p").slice(0, 1), "v": pa.array([t.column("v").to_pylist()], pa.list_(pa.int32()))})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "k string, p int, v int")
+        got = map_groups(df, ["k", "p"], ["v"], joined, "k string, p int, v array<int>").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)
+    want = {}
+    for k, p, v in rows:
+        want.setdefault((k, p), []).append(v)
+    assert {(r["k"], r["p"]): r["v"] for r in got} == want and len(got) == len(want)
