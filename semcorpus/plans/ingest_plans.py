@@ -13,7 +13,7 @@ from semcorpus.plans.inputs import ANNOTATIONS, CORPUS, DOCS, NOW, OBJECTS, SEEN
 from semcorpus.plans.registry import query
 from semcorpus.session import spread
 from semcorpus.sources import objects as o, tables
-from semcorpus.sources.schemas import DOCUMENT
+from semcorpus.sources.schemas import DOCUMENT, SIDE_TABLES, conform
 from semcorpus.streaming.incremental import ingest_stream
 
 _META = """'{"size":' || size || ',"last_modified":"' || strftime(updated, '%Y-%m-%dT%H:%M:%S.000Z')
@@ -408,6 +408,22 @@ def file_stream(spark, sf):
     return _chars_by_source(tables.read_table(spark, f"{root}/documents", DOCUMENT))
 
 
+@query("side_tables", f"""WITH {ANNOTATIONS} SELECT coalesce(category, 'none') AS category, count(*) AS rows,
+    count(DISTINCT uri) AS uris, count(title) AS titles, count(tags) AS tagged FROM annotations GROUP BY 1""")
+def side_tables(spark, sf):
+    """The side tables created empty, annotations appended to theirs, and the table read back."""
+    root = i.work_dir(spark)
+    tables.create_side_tables(spark, root)
+    schema, order = SIDE_TABLES["pdf_metadata"]
+    rows = i.annotations(spark, sf).withColumns({"pdf_id": F.md5("uri"), "created_at": F.lit(NOW)})
+    tables.write_table(conform(rows, schema), f"{root}/pdf_metadata", sort_by=order)
+    back = tables.read_table(spark, f"{root}/pdf_metadata", schema)
+    return back.groupBy(F.coalesce("category", F.lit("none")).alias("category")).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("uri").alias("uris"), F.count("title").alias("titles"),
+        F.count("tags").alias("tagged"),
+    )
+
+
 @query("loaded_json", "SELECT CAST(event_id AS VARCHAR) AS doc_id, event_type AS source FROM events")
 def loaded_json(spark, sf):
     """Events written as JSON lines, read back under the document schema: other fields are ignored."""

@@ -15,6 +15,7 @@ from semcorpus.plans import inputs as i
 from semcorpus.plans.inputs import CORPUS, DIM, TOPICS, near, stamp_sql
 from semcorpus.plans.registry import query
 from semcorpus.sources.tables import export_frame
+from semcorpus.sources.tables import export_results as export_results_to
 from semcorpus.sql_functions import create_search_view, register_sql, sql_vector
 
 START, END = datetime(2024, 1, 3), datetime(2024, 1, 20)
@@ -229,6 +230,15 @@ def export_results(spark, sf):
     return export_frame(found).withColumn("score", tidy("score"))
 
 
+@query("exported_csv", f"""WITH {NEAR} SELECT CAST(rn AS VARCHAR) AS rank, doc_id, uri, source, modality,
+    substr(text_content, 1, 500) AS text_content FROM ({POOLED}) WHERE rn <= 15""")
+def exported_csv(spark, sf):
+    """The export written as CSV and read back as text."""
+    path = i.work_dir(spark) + "/csv"
+    export_results_to(s.search(i.corpus(spark, sf), i.topic(spark, sf), 15), path)
+    return spark.read.csv(path, header=True, multiLine=True, escape='"').drop("score")
+
+
 # Every topic against the whole corpus.
 BATCH = f"""{CORPUS}, {TOPICS}, pairs AS (SELECT t.query_id, c.*,
     round(1 - list_cosine_similarity(c.embedding, t.q), 9) + 0.0 AS distance FROM corpus c, topics t

@@ -104,7 +104,7 @@ def export_results(results: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write search results as one CSV file with a header, or as JSON lines."""
     if fmt == "csv":
         export_frame(results).orderBy("rank").coalesce(1).write.mode("overwrite").csv(
-            path, header=True, escape='"'
+            path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
         )
     elif fmt == "json":
         results.orderBy("distance", "doc_id").coalesce(1).write.mode("overwrite").json(path)
