@@ -50,12 +50,12 @@ class SearchClient:
         )
         if self.index_path is None:
             return total.withColumn("index_exists", F.lit(False))
-        state = index_status(self.spark, self.index_path).select(
-            F.col("exists").alias("index_exists"), F.col("last_updated").alias("index_updated"),
-            F.col("rows").alias("index_rows"),
-        )
-        # Both sides are single aggregate rows.
-        return total.join(state, F.lit(True))
+        state = index_status(self.spark, self.index_path).first()
+        return total.withColumns({
+            "index_exists": F.lit(state["exists"]),
+            "index_updated": F.lit(state["last_updated"]).cast("timestamp"),
+            "index_rows": F.lit(state["rows"]),
+        })
 
     def get_stats(self) -> dict:
         return self.stats().first().asDict()

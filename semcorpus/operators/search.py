@@ -6,10 +6,12 @@ may return fewer than k rows. prefilter=True filters first and fills k.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, datetime
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -239,11 +241,29 @@ def term_coverage(query: str, text: Column | str = "text_content") -> Column:
     return F.lit(10.0) * F.size(F.array_intersect(wanted, tokens(text))) / F.size(wanted)
 
 
+def score_with(text: Column | str, model: Callable[[list[str]], Sequence[float]]) -> Column:
+    """Score with a caller's model: a picklable function from texts to numbers, run per Arrow batch."""
+
+    @F.arrow_udf("double")
+    def model_scores(batch: pa.Array) -> pa.Array:
+        rows = np.flatnonzero(np.asarray(batch.is_valid()))
+        out: list[float | None] = [None] * len(batch)
+        if len(rows):
+            for r, found in zip(rows, model(batch.take(pa.array(rows)).to_pylist())):
+                out[r] = float(found)
+        return pa.array(out, pa.float64())
+
+    return model_scores(F.col(text) if isinstance(text, str) else text)
+
+
 def rerank(
     corpus, query, k: int = 10, scorer: Column | None = None, query_text: str | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Score 3k candidates, capped by rerank_threshold, on their first 1000 characters; best k."""
+    """Score 3k candidates, capped by rerank_threshold, on their first 1000 characters; best k.
+
+    The scorer is a column over the candidates, such as score_with("snippet", model).
+    """
     text = query if isinstance(query, str) else query_text
     if scorer is None and text is None:
         raise ValueError("give a scorer or the query text")

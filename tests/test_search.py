@@ -145,6 +145,21 @@ def test_model_hook(spark):
     assert [r[0] for r in made] == [[3.0, 1.0], None, None, [1.0, 1.0]]
 
 
+def test_rerank_with_a_model(rows):
+    found = s.rerank(rows, [1.0, 0.0], 2, s.score_with("snippet", lambda texts: [len(x) for x in texts]))
+    assert [(r["doc_id"], r["relevance_score"]) for r in found.collect()] == [("b", 15.0), ("d", 11.0)]
+
+
+def test_stats_name_the_index(spark, rows, scratch):
+    from semcorpus.operators import knn
+
+    knn.ivf_build(rows, np.array([[1.0, 0.0], [0.0, 1.0]]), scratch)
+    stats = SearchClient(spark, rows, index_path=scratch, settings=SMALL).get_stats()
+    assert stats["index_exists"] and stats["index_rows"] == 5 and stats["document_count"] == 9
+    none = SearchClient(spark, rows, index_path=scratch + "/none").get_stats()
+    assert not none["index_exists"] and none["index_updated"] is None
+
+
 def test_names_without_extension(spark):
     df = spark.createDataFrame([("file:///a/readme",), ("file:///a/x.TXT",), ("file:///a/",)], "uri string")
     assert [tuple(r) for r in df.select(file_name("uri"), file_format("uri")).collect()] == [
