@@ -363,9 +363,14 @@ def _pair_join(
 ) -> DataFrame:
     """Pairs with id below doc2 and distance below max_distance; with keep, the best keep per row and block."""
     rows = _valid(vectors, id_col, vec, dim)
+    n = rows.count() if centroids is None else 0
+    if n > settings.pair_rows:
+        # Every vector would meet every block; cells leave out the blocks that cannot hold a partner.
+        room = settings.broadcast_bytes // 8
+        lists = max(int(min(n**0.5, room**0.5, room / dim)), 1)
+        centroids = train_centroids(rows, lists, dim, vec="vec", settings=settings)
     if centroids is None:
         probes = members = rows.select(F.lit(0).alias("cell"), "id", "vec")
-        n = rows.count()
         counts = {0: (n, n)}
     else:
         if 8 * len(centroids) * max(dim, len(centroids)) > settings.broadcast_bytes:
@@ -412,7 +417,8 @@ def near_pairs(
 ) -> DataFrame:
     """All pairs doc1 < doc2 closer than max_distance, each once, with their similarity.
 
-    With centroids only cells that can hold a partner are compared; the result is the same. Many equal
+    With centroids, given or trained for many vectors, only cells that can hold a partner are compared;
+    the result is the same. Many equal
     vectors make many pairs: pass the output of distinct_vectors to list each group of copies once.
     """
     pairs = _pair_join(vectors, max_distance, dim, centroids, None, id_col, vec, settings)

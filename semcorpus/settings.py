@@ -85,6 +85,8 @@ class Settings:
     ivf_min_rows: int = 10_000
     # A side is shipped to every task only below this many bytes.
     broadcast_bytes: int = 64 << 20
+    # Above this many vectors a pair search without centroids trains its own.
+    pair_rows: int = 200_000
     # Rows on one side of a vector block; a task holds two blocks.
     block_rows: int = 4096
 

@@ -79,6 +79,13 @@ def test_near_pairs_agree_with_brute_force(data, limit, cells):
     assert len(found) == len(set(found)) and set(found) == pairs_of(rows, limit)
 
 
+def test_many_vectors_train_their_own_cells(data):
+    df, rows, _ = data
+    own = replace(DEFAULTS, pair_rows=50, ivf_min_rows=1, block_rows=40)
+    got = k.near_pairs(df, 0.2, DIM, settings=own).collect()
+    assert {(r["doc1"], r["doc2"]) for r in got} == pairs_of(rows, 0.2)
+
+
 def test_cells_send_rows_only_where_partners_can_be(data):
     df, _, centres = data
     rows = k._valid(df, "doc_id", "embedding", DIM)
