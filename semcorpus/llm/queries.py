@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcorpus.llm import decontaminate
+from semcorpus.llm import decontaminate, language_id
 from semcorpus.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -35,3 +35,12 @@ def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"),
         "longest",
     )
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held = language_id.fold(F.col("doc_id"), 3) == 1
+    model = language_id.train(docs.where(~held), "text", "lang", F.col("doc_id"))
+    found = language_id.identified(docs, model)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
