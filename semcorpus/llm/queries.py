@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcorpus.llm import decontaminate, language_id
+from semcorpus.llm import decontaminate, language_id, secret_scan
 from semcorpus.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -44,3 +44,15 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     model = language_id.train(docs.where(~held), "text", "lang", F.col("doc_id"))
     found = language_id.identified(docs, model)
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def _joined(spans: str):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["stop"])), ",")
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_scan.scanned(table(spark, sf, "documents"))
+    found = found.withColumn("base", F.filter("secrets", lambda s: s["layer"] == ""))
+    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("secrets").alias("spans"))
