@@ -41,6 +41,12 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
+def few_rows(batch: pa.RecordBatch, rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batch a few rows at a time, for work on Python objects that take far more memory than Arrow."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
     """`values` cut into one list per row."""
     ends = np.zeros(len(counts) + 1, np.int32)

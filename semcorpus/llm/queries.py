@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcorpus.llm import decontaminate, language_id, secret_scan
+from semcorpus.llm import byte_bpe, decontaminate, language_id, secret_scan
+from semcorpus.llm.batches import few_rows
 from semcorpus.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -56,3 +60,27 @@ def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = found.withColumn("base", F.filter("secrets", lambda s: s["layer"] == ""))
     count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
     return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("secrets").alias("spans"))
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    vocab = byte_bpe.default_vocabulary()
+    encoded = byte_bpe.encode(table(spark, sf, "documents"), vocab)
+    return byte_bpe.decode(encoded, vocab).mapInArrow(
+        _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )
+
+
+def _digests(batches):
+    for batch in batches:
+        for part in few_rows(batch):
+            ids = part.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in part.column(2).to_pylist()]),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
