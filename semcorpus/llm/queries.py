@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcorpus.llm import byte_bpe, decontaminate, language_id, secret_scan
+from semcorpus.llm import byte_bpe, decontaminate, language_id, minhash_dedup, secret_scan
 from semcorpus.llm.batches import few_rows
 from semcorpus.plans.registry import Query
 
@@ -84,3 +84,8 @@ def _digests(batches):
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+
+
+@query("op6_minhash_dedup")
+def op6_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf, "documents"), percent=85)
