@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcorpus.llm import byte_bpe, decontaminate, language_id, minhash_dedup, secret_scan
+from semcorpus.llm import byte_bpe, decontaminate, language_id, minhash_dedup, secret_scan, token_counts, url_filter
 from semcorpus.llm.batches import few_rows
 from semcorpus.plans.registry import Query
 
@@ -89,3 +89,33 @@ def _digests(batches):
 @query("op6_minhash_dedup")
 def op6_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf, "documents"), percent=85)
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf, "documents"), token_counts.default_tokenizer())
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+_FITS = """CASE WHEN (h = 'example.org' OR h LIKE '%.example.org') AND p LIKE '/en/1%' THEN 'example.org/en/1'
+  WHEN (h = 'example.org' OR h LIKE '%.example.org') AND p LIKE '/es/%' THEN 'example.org/es/'
+  WHEN (h = 'com' OR h LIKE '%.com') AND p LIKE '/fr/%' THEN 'com/fr/'
+  WHEN (h = 'com' OR h LIKE '%.com') AND p LIKE '/de/%' THEN 'com/de/'
+  WHEN (h = 'org' OR h LIKE '%.org') AND p LIKE '/%' THEN 'org/' END"""
+OP2_SQL = f"""
+WITH parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS h,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS p
+  FROM pages),
+fits AS (SELECT *, {_FITS} AS r FROM parts)
+SELECT page_id, h AS host, p AS path, r AS rule,
+  CASE WHEN r IN ('org/', 'com/fr/') THEN 'allow' WHEN r IS NOT NULL THEN 'block'
+    WHEN regexp_matches('.' || h || p, '^[^/]*[.]ads(-track)?[.]') OR regexp_matches('.' || h || p, '/ads/') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM fits"""
+
+
+@query("op2_url_filter", OP2_SQL)
+def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf, "pages"))
