@@ -54,11 +54,15 @@ def _joined(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["stop"])), ",")
 
 
+def _is(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 @query("op9_secret_scan")
 def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = secret_scan.scanned(table(spark, sf, "documents"))
     found = found.withColumn("base", F.filter("secrets", lambda s: s["layer"] == ""))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    count = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
     return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("secrets").alias("spans"))
 
 
