@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcorpus.llm import byte_bpe, decontaminate, language_id, minhash_dedup, secret_scan, token_counts, url_filter
+from semcorpus.llm import byte_bpe, decontaminate, language_id, lm_scoring, minhash_dedup, secret_scan, token_counts, toxicity, url_filter
 from semcorpus.llm.batches import few_rows
 from semcorpus.plans.registry import Query
 
@@ -123,3 +123,24 @@ FROM fits"""
 @query("op2_url_filter", OP2_SQL)
 def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judged(table(spark, sf, "pages"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    held = toxicity.fold(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs, labels.where(~held))
+    found = toxicity.scored(docs, model)
+    return found.select(
+        "doc_id",
+        F.coalesce(held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("sentences").alias("n_sentences"),
+    )
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lm_scoring.scored(docs, *lm_scoring.train(docs))

@@ -59,6 +59,15 @@ class Words(NamedTuple):
     hash: np.ndarray
     counts: np.ndarray  # words of each text
     raw: np.ndarray  # the joined bytes
+    total: np.ndarray  # running sums that hashes are cut from
+
+    def heads(self, size: int) -> np.ndarray:
+        """Hash of the first `size` bytes of each word; 0 for shorter words."""
+        out = np.zeros(len(self.start), np.uint64)
+        long = np.flatnonzero(self.end - self.start >= size)
+        a = self.start[long]
+        out[long] = mix((self.total[a + size] - self.total[a]) * powers(len(self.raw))[1][a] + np.uint64(size))
+        return out
 
 
 def words(texts: pa.Array, kind: Kind) -> Words:
@@ -68,7 +77,7 @@ def words(texts: pa.Array, kind: Kind) -> Words:
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), raw)
+        return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), raw, np.zeros(1, np.uint64))
     inside = kind.inside[raw]
     first = np.empty(n, bool)
     first[0] = True
@@ -86,4 +95,4 @@ def words(texts: pa.Array, kind: Kind) -> Words:
     np.cumsum(_VALUES[kind.low[raw]] * up[:n], out=total[1:])
     h = (total[end] - total[start]) * down[start]
     counts = np.diff(np.searchsorted(start, ends))
-    return Words(start, end, mix(h), counts, raw)
+    return Words(start, end, mix(h), counts, raw, total)
