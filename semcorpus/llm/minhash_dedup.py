@@ -313,3 +313,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = own.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """One document of each group, with its own columns: the one with the smallest id.
+
+    Of rows that repeat an id one stays. Rows without an id all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, percent)
+    gone = "_kept_id"
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(gone)).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    stay = named.join(kept, named[id_col].cast("long") == kept[gone], "left_semi").dropDuplicates([id_col])
+    return stay.unionByName(docs.where(F.col(id_col).isNull()))

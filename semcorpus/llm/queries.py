@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semcorpus.llm import byte_bpe, decontaminate, language_id, lm_scoring, minhash_dedup, secret_scan, token_counts, toxicity, url_filter
+import corpus_pipeline
+from semcorpus.llm import byte_bpe, decontaminate, embedding_dedup, language_id, lm_scoring, minhash_dedup, secret_scan, token_counts, toxicity, url_filter
 from semcorpus.llm.batches import few_rows
 from semcorpus.plans.registry import Query
 
@@ -144,3 +145,11 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lm_scoring.scored(docs, *lm_scoring.train(docs))
+
+
+@query("op5_embedding_dedup")
+def op5_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(table(spark, sf, "embeddings"), least=0.95)
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
