@@ -13,6 +13,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -23,16 +24,16 @@ from semcorpus.llm.batches import few_rows, lists, shared, slices
 
 CHUNK = 1 << 15
 OVERLAP = 256
-KEPT_PIECES = 200_000
+KEPT_PIECES = 100_000
 SAFE = regex.compile(r"\p{L} \p{L}")
 
 
 class Vocabulary:
-    """Ranks and pattern of a byte-level BPE; encodes single pieces and remembers them."""
+    """Ranks and pattern of a byte-level BPE, made ready once per process for encoding or for decoding."""
 
     def __init__(self, lines: bytes, pattern: str):
         self.lines, self.pattern = lines, pattern
-        self._ready = None
+        self._encoder = self._decoder = None
 
     def __getstate__(self):
         return self.lines, self.pattern
@@ -40,16 +41,29 @@ class Vocabulary:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def ready(self) -> tuple[regex.Pattern, Pieces, list[bytes]]:
-        if self._ready is None:
-            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in self.lines.splitlines() if x)}
+    def ranks(self) -> dict[bytes, int]:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in self.lines.splitlines() if x)}
+
+    def encoder(self) -> tuple[tiktoken.Encoding, regex.Pattern, Pieces]:
+        """For whole texts; to split chunks; for single pieces."""
+        if self._encoder is None:
+            ranks = self.ranks()
+            whole = tiktoken.Encoding("texts", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
             # One piece is one match, so the library applies the merges alone.
-            whole = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-            by_id = [b""] * (max(ranks.values()) + 1)
+            piece = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+            self._encoder = whole, regex.compile(self.pattern), Pieces(piece)
+        return self._encoder
+
+    def decoder(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all tokens end to end, where each id begins, and its length."""
+        if self._decoder is None:
+            ranks = self.ranks()
+            by_id = [b""] * (max(ranks.values(), default=-1) + 1)
             for token, i in ranks.items():
                 by_id[i] = token
-            self._ready = regex.compile(self.pattern), Pieces(whole), by_id
-        return self._ready
+            size = np.fromiter(map(len, by_id), np.int64, len(by_id))
+            self._decoder = np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(size) - size, size
+        return self._decoder
 
 
 class Pieces(dict):
@@ -117,11 +131,13 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
     sent = shared(docs.sparkSession, vocab)
 
     def single(batches):
-        pattern, known, _ = sent.value.ready()
+        whole = sent.value.encoder()[0]
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
-                rows = [packed(pattern.findall(t), known) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), id_lists(rows)], names=["doc_id", "ids"])
+                # The library's own order of work for one chunk: split it, then encode the pieces.
+                rows = [whole.encode_to_numpy(t, disallowed_special=()) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                ids = lists(pa.array(np.concatenate(rows).astype(np.int32)), np.array([len(r) for r in rows]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], names=["doc_id", "ids"])
 
     def chunked(batches):
         row = TaskContext.get().partitionId() << 40
@@ -136,7 +152,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=["doc_id", "row", "part", "begin", "after", "reach", "chunk"])
 
     def pieces(batches):
-        pattern, known, _ = sent.value.ready()
+        _, pattern, known = sent.value.encoder()
         for batch in batches:
             heads, starts, rests, stops = [], [], [], []
             for begin, after, reach, text in zip(*(batch.column(c).to_pylist() for c in ("begin", "after", "reach", "chunk"))):
@@ -182,10 +198,16 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
     return short.unionByName(split.groupBy("row").applyInArrow(stitched, schema))
 
 
-def decode_ids(ids: pa.Array, vocab: Vocabulary) -> list[bytes]:
-    """The bytes of each list of ids, end to end."""
-    by_id = vocab.ready()[2]
-    return [b"".join([by_id[i] for i in row]) if row else b"" for row in ids.to_pylist()]
+def decode_ids(ids: pa.ListArray, vocab: Vocabulary) -> pa.Array:
+    """The bytes of each list of ids, end to end. A null list has none."""
+    raw, begin, size = vocab.decoder()
+    flat = ids.flatten().to_numpy()
+    counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    n = size[flat]
+    ends = np.cumsum(n)
+    out = raw[np.repeat(begin[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
 
 
 def decode(encoded: DataFrame, vocab: Vocabulary, ids_col: str = "ids", into: str = "bytes") -> DataFrame:
@@ -198,7 +220,7 @@ def decode(encoded: DataFrame, vocab: Vocabulary, ids_col: str = "ids", into: st
     def run(batches):
         for batch in batches:
             for part in few_rows(batch):
-                raw = pa.array(decode_ids(part.column(place), sent.value), pa.binary())
+                raw = decode_ids(part.column(place), sent.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, raw], names=[*part.schema.names, into])
 
     return kept.mapInArrow(run, schema)

@@ -77,6 +77,7 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _digests(batches):
+    name = [str(i) for i in range(1 << 16)]
     for batch in batches:
         for part in few_rows(batch):
             ids = part.column(1).to_pylist()
@@ -84,7 +85,7 @@ def _digests(batches):
                 [
                     part.column(0),
                     pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(",".join([name[i] for i in x]).encode()).hexdigest() for x in ids]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in part.column(2).to_pylist()]),
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
