@@ -66,7 +66,7 @@ def compile_globs(globs: list[str]) -> Automaton:
     bit(step, steps)
     bit(stay, stays)
     bit(start, [(s, np.array([0])) for s in starts])
-    return Automaton(start[0], step, stay, np.array(finals))
+    return Automaton(start[0], step, stay, np.array(finals, np.int64))
 
 
 def matches(auto: Automaton, urls: pa.Array) -> np.ndarray:
