@@ -14,24 +14,27 @@ from semcorpus.settings import DEFAULTS, Settings
 
 
 class SearchClient:
-    """Search and statistics over documents, their corpus and, if built, its index."""
+    """Search and statistics over documents, their corpus and, if built, its index.
+
+    With an index, searches read only its lists nearest to the query: probes of them, or settings.probes.
+    """
 
     def __init__(
         self, spark: SparkSession, corpus: DataFrame, documents: DataFrame | None = None, name: str = "corpus",
-        index_path: str | None = None, settings: Settings = DEFAULTS,
+        index_path: str | None = None, probes: int | None = None, settings: Settings = DEFAULTS,
     ) -> None:
         self.spark, self.corpus, self.name = spark, corpus, name
         self.documents = corpus if documents is None else documents
-        self.index_path, self.settings = index_path, settings
+        self.index_path, self.probes, self.settings = index_path, probes, settings
 
     def search(
         self, query: str | Sequence[float], top_k: int = 10, sources=None, rerank: bool = False,
-        regex_filter: str | None = None, start_date=None, end_date=None, prefilter: bool = False,
+        regex_filter: str | None = None, start_date=None, end_date=None, prefilter: bool = False, modalities=None,
     ) -> DataFrame:
         """Formatted hits. Without a model behind it, rerank orders the same hits by query-term coverage."""
         found = s.search(
             self.corpus, query, top_k, sources=sources, regex=regex_filter, start=start_date, end=end_date,
-            prefilter=prefilter, settings=self.settings,
+            prefilter=prefilter, modalities=modalities, index=self.index_path, probes=self.probes, settings=self.settings,
         )
         if rerank and isinstance(query, str):
             scored = s.term_coverage(query, s.head("text_content", 1000)) / 10

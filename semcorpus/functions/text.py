@@ -82,3 +82,9 @@ def to_text(data: Column | str) -> Column:
 def tidy(c: Column | str, digits: int = 6) -> Column:
     """Rounded for reports, with negative zero folded into zero."""
     return F.round(col(c), digits) + F.lit(0.0)
+
+
+def row_sample(df: DataFrame, percent: int, id_col: str = "doc_id") -> DataFrame:
+    """About percent of the rows, chosen by a hash of the id, so that every run and engine draws the same."""
+    place = F.conv(F.substring(F.md5(F.col(id_col).cast("binary")), 1, 8), 16, 10).cast("long") % 100
+    return df.where(place < percent)

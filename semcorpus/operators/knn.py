@@ -225,13 +225,9 @@ def mean_vectors(df: DataFrame, by: str, vec: str = "embedding") -> DataFrame:
 
 
 def train_centroids(
-    corpus: DataFrame, lists: int, dim: int, sample_rows: int = 200_000, seed: int = 17,
-    vec: str = "embedding", settings: Settings = DEFAULTS,
+    corpus: DataFrame, lists: int, dim: int, seed: int = 17, vec: str = "embedding", settings: Settings = DEFAULTS
 ) -> np.ndarray:
-    """K-means centres of the unit vectors, fitted on a sample (training only; every row is indexed).
-
-    Below settings.ivf_min_rows rows a list would hold too little to be worth a probe: one list is made.
-    """
+    """K-means centres of the unit vectors, fitted on all rows; as many lists as asked for."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -241,14 +237,11 @@ def train_centroids(
     n = rows.count()
     if n == 0:
         raise ValueError("no vectors to index")
-    lists = 1 if n < settings.ivf_min_rows else lists
     if n < lists:
         raise ValueError(f"{n} vectors cannot fill {lists} lists")
     if lists == 1:
         mean = mean_vectors(rows.withColumn("one", F.lit(1)), "one", "vec").first()
         return np.array([mean["vec"]])
-    if n > sample_rows:
-        rows = rows.sample(sample_rows / n, seed)
     model = KMeans(k=lists, seed=seed, distanceMeasure="cosine").fit(
         rows.select(array_to_vector("vec").alias("features"))
     )

@@ -62,63 +62,64 @@ def running_before(df: DataFrame, key: str, part: Column, order: Sequence, value
 # --- speakers ----------------------------------------------------------------------------------------
 
 
-def _runs(words: DataFrame, stretch: float, key: str) -> DataFrame:
-    """Words with __part, the stretch they start in, and run_no, the run of one speaker they belong to."""
-    placed = words.withColumn("__part", F.floor(F.col("start_time") / stretch).cast("long"))
-    inside = Window.partitionBy(key, "__part").orderBy("start_time", "seq")
-    along = Window.partitionBy(key).orderBy("__part")
-    at = F.struct("start_time", "seq")
-    prev = F.lag("speaker_id").over(inside)
-    local = placed.withColumn(
-        "__turn", (prev.isNotNull() & (prev != F.col("speaker_id"))).cast("long")
-    ).withColumn("__run", F.sum("__turn").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    # One row per stretch; it is already spread by the window's keys.
-    stretches = local.groupBy(key, "__part").agg(
-        F.min_by("speaker_id", at).alias("__first"), F.max_by("speaker_id", at).alias("__last"),
-        F.sum("__turn").alias("__turns"),
-    )
-    opens = F.coalesce((F.lag("__last").over(along) != F.col("__first")).cast("long"), F.lit(0))
-    bases = stretches.withColumn("__opens", opens).select(
-        key, "__part",
-        (F.sum(F.col("__opens") + F.col("__turns")).over(along) - F.col("__turns")).alias("__base"),
-    )
-    return local.join(bases, [key, "__part"]).withColumn("run_no", F.col("__base") + F.col("__run")).drop(
-        "__turn", "__run", "__base"
-    )
-
-
-def speaker_runs(words: DataFrame, stretch: float = 600.0, key: str = "media_id") -> DataFrame:
+# Width of a stretch in word numbers. A recognised result has numbers of its own (see speech_result_table).
+STRETCH = 1 << 16
+
+
+def _local_runs(words: DataFrame, stretch: int, key: str) -> DataFrame:
+    """Words with __part, the stretch they stand in, and __run, the run of one speaker within it, from 0."""
+    placed = words.withColumn("__part", F.floor(F.col("seq") / stretch).cast("long"))
+    inside = Window.partitionBy(key, "__part").orderBy("seq")
+    turn = F.lag("seq").over(inside).isNotNull() & ~F.lag("speaker_id").over(inside).eqNullSafe(F.col("speaker_id"))
+    return placed.withColumn("__turn", turn.cast("long")).withColumn("__run", F.sum("__turn").over(inside)).drop("__turn")
+
+
+def _numbered(pieces: DataFrame, key: str) -> DataFrame:
+    """(key, __part, __run) with run_no, the run within the whole recording: one narrow row per run and stretch.
+
+    A piece opens a new run unless the piece before it has the same speaker, which happens only across stretches.
+    """
+    along = Window.partitionBy(key).orderBy("__part", "__run")
+    opens = F.lag("__run").over(along).isNotNull() & ~F.lag("speaker_id").over(along).eqNullSafe(F.col("speaker_id"))
+    marked = pieces.select(key, "__part", "__run", opens.cast("long").alias("__opens"))
+    return marked.select(key, "__part", "__run", F.sum("__opens").over(along).alias("run_no"))
+
+
+def speaker_runs(words: DataFrame, stretch: int = STRETCH, key: str = "media_id") -> DataFrame:
     """Number the runs of one speaker within each recording: adds run_no, counted from 0.
 
-    Words are (media_id, seq, word, start_time, end_time, speaker_id, ...), ordered by (start_time, seq).
-    Runs are counted inside stretches of a recording; a stretch starts a new run only if its first speaker
-    differs from the last one before it, and run counts of earlier stretches are added on.
+    Words are (media_id, seq, word, start_time, end_time, speaker_id, ...), in the order of seq, whatever their times;
+    a missing speaker is a speaker of its own. Runs are found inside stretches of a recording and joined where one
+    goes on in the next stretch.
     """
-    return _runs(words, stretch, key).drop("__part")
+    local = _local_runs(words, stretch, key)
+    pieces = local.groupBy(key, "__part", "__run").agg(F.first("speaker_id").alias("speaker_id"))
+    return local.join(_numbered(pieces, key), [key, "__part", "__run"]).drop("__part", "__run")
 
 
 def speaker_segments(
-    words: DataFrame, confidence: str | None = None, stretch: float = 600.0, key: str = "media_id"
+    words: DataFrame, confidence: str | None = None, stretch: int = STRETCH, key: str = "media_id"
 ) -> DataFrame:
-    """Consecutive words of one speaker as one segment. confidence names the column whose first value is kept.
+    """Consecutive words of one speaker as one segment, from its first word's start to its last word's end.
 
-    Words are joined per run and stretch, where they already lie together; only the pieces are shuffled.
+    confidence names the column whose first value is kept. Words are joined per run and stretch, where they
+    already lie together; only the pieces are shuffled.
     """
-    at = F.struct("start_time", "seq")
-    value = F.lit(CONFIDENCE) if confidence is None else F.min_by(confidence, at)
-    spoken = F.array_sort(F.collect_list(F.struct("start_time", "seq", "word")))
-    pieces = _runs(words, stretch, key).groupBy(key, "__part", "run_no").agg(
-        F.min_by("speaker_id", at).alias("speaker_id"),
-        F.min("start_time").alias("start_time"),
-        F.max_by("end_time", at).alias("end_time"),
+    value = F.lit(CONFIDENCE) if confidence is None else F.min_by(confidence, "seq")
+    spoken = F.array_sort(F.collect_list(F.struct("seq", "word")))
+    pieces = _local_runs(words, stretch, key).groupBy(key, "__part", "__run").agg(
+        F.first("speaker_id").alias("speaker_id"),
+        F.min_by("start_time", "seq").alias("start_time"),
+        F.max_by("end_time", "seq").alias("end_time"),
         F.array_join(F.transform(spoken, lambda w: w["word"]), " ").alias("text"),
         value.alias("confidence"),
         F.count(F.lit(1)).alias("word_count"),
     )
+    whole = pieces.join(_numbered(pieces, key), [key, "__part", "__run"])
     texts = F.array_sort(F.collect_list(F.struct("__part", "text")))
-    return pieces.groupBy(key, F.col("run_no").alias("segment_index")).agg(
-        F.min_by("speaker_id", "__part").alias("speaker_id"),
-        F.min("start_time").alias("start_time"),
+    return whole.groupBy(key, F.col("run_no").alias("segment_index")).agg(
+        F.first("speaker_id").alias("speaker_id"),
+        F.min_by("start_time", "__part").alias("start_time"),
         F.max_by("end_time", "__part").alias("end_time"),
         F.array_join(F.transform(texts, lambda p: p["text"]), " ").alias("text"),
         F.min_by("confidence", "__part").alias("confidence"),

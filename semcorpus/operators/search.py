@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from semcorpus.functions.text import head, keyword_match, keyword_score, query_terms, tokens
 from semcorpus.functions.vectors import distance_to, hash_embed
-from semcorpus.operators.knn import knn, knn_join
+from semcorpus.operators.knn import HIT_BYTES, knn, knn_join, load_centroids, probe_lists
 from semcorpus.settings import DEFAULTS, MODALITY_ALIASES, Settings
 from semcorpus.sources.tables import on_days
 
@@ -97,6 +97,29 @@ def min_relevance(threshold: float | None) -> Column:
 # --- one query ---------------------------------------------------------------------------------------
 
 
+def probed(spark: SparkSession, index: str, query: Sequence[float], probes: int) -> DataFrame:
+    """The rows of an index in the lists nearest to the query; other folders are not read."""
+    lists = probe_lists(load_centroids(spark, index), query, probes)
+    return spark.read.parquet(f"{index}/rows").where(F.col("ivf_list").isin(lists))
+
+
+def nearest(
+    corpus: DataFrame, query: Sequence[float], k: int, index: str | None = None, probes: int | None = None,
+    keep: Column | None = None, settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """The k nearest rows with all their columns, in no order.
+
+    Ranking reads ids and vectors (and what keep names). Only then are the other columns of the hits fetched, by id and by
+    the folder columns, so that a partitioned table or an index is read in the folders of the hits alone.
+    """
+    rows = corpus if index is None else probed(corpus.sparkSession, index, query, probes or settings.probes)
+    held = rows if keep is None else rows.where(keep)
+    keys = ["doc_id", *[c for c in ("created_date", "ivf_list") if c in rows.columns]]
+    # The bound on the distance holds for all; it tells Spark that the hits are few, which lets it skip folders.
+    near = knn(held.select(*keys, "embedding"), query, k).select(*keys, "distance").where("distance <= 2")
+    return rows.join(F.broadcast(near) if k * HIT_BYTES <= settings.broadcast_bytes else near, keys)
+
+
 def _rows(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     return df.select(*[c if c in have else F.lit(None).cast("double").alias(c) for c in RESULT])
@@ -105,25 +128,28 @@ def _rows(df: DataFrame) -> DataFrame:
 def search(
     corpus: DataFrame, query: str | Sequence[float], k: int = DEFAULTS.top_k, *,
     sources=None, modalities=None, regex: str | None = None, start=None, end=None, now: datetime | None = None,
-    candidates: int | None = None, prefilter: bool = False, settings: Settings = DEFAULTS,
+    candidates: int | None = None, prefilter: bool = False, index: str | None = None, probes: int | None = None,
+    settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Over-fetch, filter, then the k nearest."""
+    """Over-fetch, filter, then the k nearest; with an index, among the lists nearest to the query."""
     q = query_vector(query, settings.dim)
     keep = source_filter(sources) & modality_filter(modalities) & regex_filter(regex) & time_filter(start, end, now)
     if prefilter:
         rows = corpus
         if start or end:
             rows = on_days(corpus, parse_day(start, EPOCH), parse_day(end, now or datetime.now()))
-        return _rows(knn(rows.where(keep), q, k))
-    pool = knn(corpus, q, candidates or k * settings.search_multiplier)
+        return _rows(nearest(rows, q, k, index, probes, keep, settings).orderBy("distance", "doc_id"))
+    pool = nearest(corpus, q, candidates or k * settings.search_multiplier, index, probes, settings=settings)
     return _rows(pool.where(keep).orderBy("distance", "doc_id").limit(k))
 
 
 def semantic_search(
-    corpus, query, k: int | None = 10, threshold: float | None = 0.0, settings: Settings = DEFAULTS
+    corpus, query, k: int | None = 10, threshold: float | None = 0.0, settings: Settings = DEFAULTS,
+    index: str | None = None, probes: int | None = None,
 ) -> DataFrame:
     """k nearest rows above a relevance, with the rounded relevance."""
-    found = knn(corpus, query_vector(query, settings.dim), DEFAULTS.top_k if k is None else k)
+    many = DEFAULTS.top_k if k is None else k
+    found = nearest(corpus, query_vector(query, settings.dim), many, index, probes, settings=settings)
     return (
         found.where(min_relevance(threshold))
         .select(
@@ -134,20 +160,20 @@ def semantic_search(
     )
 
 
-def quick_search(corpus, query, settings: Settings = DEFAULTS) -> DataFrame:
-    return semantic_search(corpus, query, 10, 0.0, settings)
+def quick_search(corpus, query, settings: Settings = DEFAULTS, **index) -> DataFrame:
+    return semantic_search(corpus, query, 10, 0.0, settings, **index)
 
 
-def search_by_source(corpus, query, sources, k=10, settings: Settings = DEFAULTS) -> DataFrame:
-    return semantic_search(corpus, query, k, 0.0, settings).where(F.col("source").isin(list(sources)))
+def search_by_source(corpus, query, sources, k=10, settings: Settings = DEFAULTS, **index) -> DataFrame:
+    return semantic_search(corpus, query, k, 0.0, settings, **index).where(F.col("source").isin(list(sources)))
 
 
-def search_by_date(corpus, query, start: date, end: date, k=10, settings: Settings = DEFAULTS) -> DataFrame:
-    return semantic_search(corpus, query, k, 0.0, settings).where(day_filter(start, end))
+def search_by_date(corpus, query, start: date, end: date, k=10, settings: Settings = DEFAULTS, **index) -> DataFrame:
+    return semantic_search(corpus, query, k, 0.0, settings, **index).where(day_filter(start, end))
 
 
-def search_content(corpus, query, n: int = 5, settings: Settings = DEFAULTS) -> DataFrame:
-    return semantic_search(corpus, query, n, 0.0, settings).select("text_content")
+def search_content(corpus, query, n: int = 5, settings: Settings = DEFAULTS, **index) -> DataFrame:
+    return semantic_search(corpus, query, n, 0.0, settings, **index).select("text_content")
 
 
 def rerank_order() -> list[Column]:
@@ -156,32 +182,29 @@ def rerank_order() -> list[Column]:
 
 def semantic_grep_table(
     corpus, query, k, sources=None, start=None, end=None, regex=None, scorer: Column | None = None,
-    now: datetime | None = None, settings: Settings = DEFAULTS,
+    now: datetime | None = None, settings: Settings = DEFAULTS, **index,
 ) -> DataFrame:
     """Larger pool, all filters, rerank order. Without a scorer there is no relevance score."""
-    pool = knn(corpus, query_vector(query, settings.dim), max(k * settings.search_multiplier, settings.pool_floor))
+    size = max(k * settings.search_multiplier, settings.pool_floor)
+    pool = nearest(corpus, query_vector(query, settings.dim), size, settings=settings, **index)
     kept = pool.where(source_filter(sources) & time_filter(start, end, now) & regex_filter(regex))
     scored = kept.withColumn("rel_score", F.lit(None).cast("double") if scorer is None else scorer)
     return _rows(scored).orderBy(*rerank_order()).limit(k)
 
 
-def semantic_grep(corpus, query, k, settings: Settings = DEFAULTS) -> DataFrame:
+def semantic_grep(corpus, query, k, settings: Settings = DEFAULTS, **index) -> DataFrame:
     """Candidates by vector alone, joined back to the corpus, with a constant score of 0.5."""
-    near = knn(
-        corpus.select("doc_id", "embedding"), query_vector(query, settings.dim),
-        max(k * settings.search_multiplier, settings.pool_floor),
-    ).select("doc_id", "distance")
-    # At most the pool size, so it is safe to broadcast.
-    rows = corpus.join(F.broadcast(near), "doc_id").withColumn("rel_score", F.lit(0.5))
-    return _rows(rows).orderBy(*rerank_order()).limit(k)
+    size = max(k * settings.search_multiplier, settings.pool_floor)
+    rows = nearest(corpus, query_vector(query, settings.dim), size, settings=settings, **index)
+    return _rows(rows.withColumn("rel_score", F.lit(0.5))).orderBy(*rerank_order()).limit(k)
 
 
-def search_similar(corpus, doc_id: str, k: int = 10) -> DataFrame:
+def search_similar(corpus, doc_id: str, k: int = 10, settings: Settings = DEFAULTS, **index) -> DataFrame:
     """Neighbours of a stored document, without itself."""
     stored = corpus.where((F.col("doc_id") == doc_id) & F.col("embedding").isNotNull()).select("embedding").first()
     if stored is None:
         raise ValueError(f"no embedded document {doc_id!r}")
-    near = knn(corpus, stored["embedding"], k + 1).where(F.col("doc_id") != doc_id)
+    near = nearest(corpus, stored["embedding"], k + 1, settings=settings, **index).where(F.col("doc_id") != doc_id)
     return (
         near.select("doc_id", "uri", "modality", "source", "created_at", "text_content", "distance")
         .orderBy("distance", "doc_id")
@@ -222,16 +245,15 @@ def hybrid_merge(semantic: DataFrame, keyword: DataFrame, keyword_weight: float
 
 def hybrid_search(
     corpus, query, keywords: str | None = None, k: int = 20, keyword_weight: float = 0.3,
-    settings: Settings = DEFAULTS,
+    settings: Settings = DEFAULTS, **index,
 ) -> DataFrame:
     """Weighted blend of 1/(1+distance) and the keyword score over two pools of 2k."""
     if keywords is None:
         if not isinstance(query, str):
             raise ValueError("give keywords with a vector query")
         keywords = query
-    merged = hybrid_merge(
-        search(corpus, query, 2 * k, settings=settings), keyword_search(corpus, keywords, 2 * k), keyword_weight
-    )
+    meant = search(corpus, query, 2 * k, settings=settings, **index)
+    merged = hybrid_merge(meant, keyword_search(corpus, keywords, 2 * k), keyword_weight)
     return merged.orderBy(F.round("combined_score", 9).desc(), "doc_id").limit(k)
 
 
@@ -258,18 +280,17 @@ def score_with(text: Column | str, model: Callable[[list[str]], Sequence[float]]
 
 def rerank(
     corpus, query, k: int = 10, scorer: Column | None = None, query_text: str | None = None,
-    settings: Settings = DEFAULTS,
+    settings: Settings = DEFAULTS, **index,
 ) -> DataFrame:
-    """Score 3k candidates, capped by rerank_threshold, on their first 1000 characters; best k.
+    """Score 3k candidates on their first 1000 characters; best k.
 
     The scorer is a column over the candidates, such as score_with("snippet", model).
     """
     text = query if isinstance(query, str) else query_text
     if scorer is None and text is None:
         raise ValueError("give a scorer or the query text")
-    pool = knn(
-        corpus, query_vector(query, settings.dim), max(min(3 * k, settings.rerank_threshold), k)
-    ).withColumn("snippet", head("text_content", 1000))
+    pool = nearest(corpus, query_vector(query, settings.dim), 3 * k, settings=settings, **index)
+    pool = pool.withColumn("snippet", head("text_content", 1000))
     score = term_coverage(text, "snippet") if scorer is None else scorer
     return (
         pool.withColumn("relevance_score", score)
@@ -279,9 +300,11 @@ def rerank(
     )
 
 
-def relevant_docs(corpus, query, threshold: float = 0.7, k: int = 10, settings: Settings = DEFAULTS) -> DataFrame:
+def relevant_docs(
+    corpus, query, threshold: float = 0.7, k: int = 10, settings: Settings = DEFAULTS, **index
+) -> DataFrame:
     """Id, path and snippet of the hits above a relevance."""
-    return search(corpus, query, k, settings=settings).where((1 - F.col("distance")) > threshold).select(
+    return search(corpus, query, k, settings=settings, **index).where((1 - F.col("distance")) > threshold).select(
         F.col("doc_id").alias("id"), F.col("uri").alias("path"), head("text_content", 200).alias("snippet")
     )
 

@@ -5,7 +5,6 @@ Every input is a whole table: nothing is sampled or cut.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
 from functools import lru_cache
@@ -15,10 +14,9 @@ from pyspark.sql import functions as F
 
 from semcorpus.operators.knn import mean_vectors
 from semcorpus.operators.media import running_before, shot_order, speech_result_table
-from semcorpus.session import spread
+from semcorpus.session import shared_dir
 
 DIM = 64
-DAY0 = datetime(2024, 1, 1)
 NOW = datetime(2024, 6, 1)
 
 
@@ -28,13 +26,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder under the shared one; local sessions without one get a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/semcorpus-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """A fresh folder under the shared one."""
+    return f"{shared_dir(spark)}/semcorpus-{uuid.uuid4().hex}"
 
 
 def stamp(c: Column | str) -> Column:
@@ -71,26 +64,20 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(*_doc_columns())
 
 
-def wide_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents on all cores, for queries that work hard on each text."""
-    return spread(table(spark, sf, "documents")).select(*_doc_columns())
-
-
-def corpus(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with the given vector of the same number, where there is one."""
     docs = table(spark, sf, "documents")
-    docs = spread(docs) if wide else docs
     e = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
     return docs.join(e, "doc_id", "left").select(*_doc_columns(), "embedding")
 
 
-def dirty(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
+def dirty(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus with missing, empty and short vectors and missing texts; vectors from the text's own number."""
     n = F.col("doc_id").cast("long")
     e = F.col("embedding")
-    return corpus(spark, sf, wide).withColumns(
+    return corpus(spark, sf).withColumns(
         {
             "embedding": F.when(n % 10 == 9, F.lit(None).cast("array<double>"))
             .when(n % 10 == 8, F.array().cast("array<double>"))

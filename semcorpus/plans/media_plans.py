@@ -28,10 +28,37 @@ def speech_words(spark, sf):
 @query("speaker_segments", f"""WITH {RUNS} SELECT media_id, segment_index, speaker_id, start_time, end_time, text,
     round(confidence, 6) AS confidence, word_count FROM segs""")
 def speaker_segments(spark, sf):
-    segments = m.speaker_segments(i.spoken(spark, sf), "confidence", stretch=60.0)
+    segments = m.speaker_segments(i.spoken(spark, sf), "confidence", stretch=64)
     return segments.withColumn("confidence", F.round("confidence", 6))
 
 
+# Recognised results with missing times, NULL speakers and overlapping channels: order is that of results and words.
+_ROUGH = """turns AS (SELECT conv_id, turn, role, string_split(text, ' ') AS parts FROM conversations),
+    words AS (SELECT 'c' || conv_id AS media_id, turn, unnest(parts) AS word, generate_subscripts(parts, 1) - 1 AS word_no,
+        CASE WHEN (turn + generate_subscripts(parts, 1)) % 4 = 0 THEN 0 ELSE generate_subscripts(parts, 1) - turn % 3 END::DOUBLE
+            AS start_time,
+        CASE WHEN turn % 5 = 0 AND generate_subscripts(parts, 1) % 7 < 3 THEN NULL ELSE role END AS speaker_id FROM turns),
+    marked AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND lag(speaker_id) OVER w IS DISTINCT FROM speaker_id
+        THEN 1 ELSE 0 END AS flip FROM words WINDOW w AS (PARTITION BY media_id ORDER BY turn, word_no)),
+    runs AS (SELECT *, sum(flip) OVER (PARTITION BY media_id ORDER BY turn, word_no) AS run FROM marked)"""
+
+
+@query("speaker_segments_rough", f"""WITH {_ROUGH} SELECT media_id, CAST(run AS BIGINT) AS segment_index,
+    any_value(speaker_id) AS speaker_id, first(start_time ORDER BY turn, word_no) AS start_time,
+    last(start_time ORDER BY turn, word_no) AS end_time, string_agg(word, ' ' ORDER BY turn, word_no) AS text,
+    count(*) AS word_count FROM runs GROUP BY media_id, run""")
+def speaker_segments_rough(spark, sf):
+    c = i.table(spark, sf, "conversations")
+    n = F.col("word_no") + 1
+    words = c.select("conv_id", "turn", "role", F.posexplode(F.split("text", " ")).alias("word_no", "word")).select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("media_id"),
+        (F.col("turn") * F.lit(1 << 32) + F.col("word_no")).alias("seq"), "word",
+        F.when((F.col("turn") + n) % 4 != 0, n - F.col("turn") % 3).otherwise(0).cast("double").alias("start_time"),
+        F.when(~((F.col("turn") % 5 == 0) & (n % 7 < 3)), F.col("role")).alias("speaker_id"),
+    ).withColumn("end_time", F.col("start_time"))
+    return m.speaker_segments(words, stretch=16).drop("confidence")
+
+
 @query("transcript_rows", f"""WITH {RUNS} SELECT media_id || '_transcript_' || segment_index AS transcript_id,
     media_id AS video_id, start_time, end_time, speaker_id, text, 0.95::DOUBLE AS confidence FROM segs""")
 def transcript_rows(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from semcorpus.operators import analytics, knn, search as s
 from semcorpus.plans import inputs as i
 from semcorpus.plans.inputs import CORPUS, DIM, TOPICS, near, stamp_sql
 from semcorpus.plans.registry import query
+from semcorpus.settings import DEFAULTS
 from semcorpus.sources.tables import export_frame
 from semcorpus.sources.tables import export_results as export_results_to
 from semcorpus.sql_functions import create_search_view, register_sql, sql_vector
@@ -171,22 +173,41 @@ def hybrid_search(spark, sf):
 ASK = "the order of the heart and the rest"
 
 
-@query("rerank", f"""WITH {NEAR}, pool AS (SELECT * FROM ({POOLED}) WHERE rn <= 36),
+def _rerank(k: int) -> str:
+    return f"""WITH {NEAR}, pool AS (SELECT * FROM ({POOLED}) WHERE rn <= {3 * k}),
     ask AS (SELECT list_distinct(list_filter(regexp_split_to_array(lower('{ASK}'), '[^\\p{{L}}\\p{{N}}]+'),
         lambda x: x <> '')) AS words),
     scored AS (SELECT doc_id, uri, modality, source, text_content, distance,
     10.0 * len(list_intersect(ask.words, list_filter(regexp_split_to_array(lower(substr(text_content, 1, 1000)),
         '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))) / len(ask.words) AS score FROM pool, ask)
     SELECT doc_id, uri, modality, source, text_content, round(distance, 6) + 0.0 AS distance,
-    round(score, 6) AS relevance_score FROM scored z ORDER BY score DESC, z.distance, doc_id LIMIT 12""")
-def rerank(spark, sf):
-    found = s.rerank(i.corpus(spark, sf), i.topic(spark, sf), 12, query_text=ASK)
+    round(score, 6) AS relevance_score FROM scored z ORDER BY score DESC, z.distance, doc_id LIMIT {k}"""
+
+
+def _reranked(spark, sf, k):
+    found = s.rerank(i.corpus(spark, sf), i.topic(spark, sf), k, query_text=ASK)
     return found.select(
         "doc_id", "uri", "modality", "source", "text_content", tidy("distance").alias("distance"),
         F.round("relevance_score", 6).alias("relevance_score"),
     )
 
 
+@query("rerank", _rerank(12))
+def rerank(spark, sf):
+    return _reranked(spark, sf, 12)
+
+
+@query("rerank_20", _rerank(20))
+def rerank_20(spark, sf):
+    return _reranked(spark, sf, 20)
+
+
+@query("rerank_50", _rerank(50))
+def rerank_50(spark, sf):
+    """All of the 150 candidates are scored."""
+    return _reranked(spark, sf, 50)
+
+
 @query("relevant_docs", f"""WITH {NEAR} SELECT doc_id AS id, uri AS path, substr(text_content, 1, 200) AS snippet
     FROM ({POOLED}) WHERE rn <= 20 AND 1 - distance > 0.33""")
 def relevant_docs(spark, sf):
@@ -266,7 +287,7 @@ def search_batch(spark, sf):
     WHERE rank <= 5""")
 def text_search_batch(spark, sf):
     """Every benchmark text, whole, against every document, whole."""
-    docs = i.wide_documents(spark, sf).select("doc_id", hash_embed("text_content", DIM).alias("embedding"))
+    docs = i.documents(spark, sf).select("doc_id", hash_embed("text_content", DIM).alias("embedding"))
     asked = s.text_queries(i.table(spark, sf, "benchmark"), "item_id", "text", DIM)
     return knn.knn_join(asked, docs, 5, DIM).withColumn("distance", tidy("distance"))
 
@@ -284,10 +305,11 @@ def projected_fields(spark, sf):
     )
 
 
-@query("row_sample")
+@query("row_sample", f"""WITH {i.DOCS} SELECT doc_id, uri FROM docs
+    WHERE ('0x' || substr(md5(doc_id), 1, 8))::BIGINT % 100 < 25""")
 def row_sample(spark, sf):
-    """A seeded share of the rows; which rows depends on the engine, so there is no SQL."""
-    return i.documents(spark, sf).sample(0.25, 11).select("doc_id", "uri")
+    """A quarter of the rows, chosen by a hash of the id: the same rows everywhere and every time."""
+    return t.row_sample(i.documents(spark, sf), 25).select("doc_id", "uri")
 
 
 # --- SQL functions -----------------------------------------------------------------------------------
@@ -368,6 +390,50 @@ def ivf_search(spark, sf):
     return hit(knn.ivf_search(spark.read.parquet(f"{path}/rows"), cents, i.topic(spark, sf), 20, 3))
 
 
+PROBED = f"""{_LISTS}, probed AS (SELECT p.label FROM topics p, topics t WHERE t.label = 3
+    ORDER BY round(1 - list_cosine_similarity(p.q, t.q), 9), p.label LIMIT 4),
+    near AS (SELECT c.*, round(1 - list_cosine_similarity(c.embedding, t.q), 9) + 0.0 AS distance
+    FROM placed c, topics t WHERE t.label = 3 AND c.ivf_list IN (SELECT label FROM probed))"""
+
+
+@query("search_indexed", f"""WITH {PROBED} SELECT {HIT} FROM ({POOLED}) near WHERE rn <= 100
+    AND modality IN ('text', 'pdf', 'image') AND regexp_matches(text_content, '{RE}') ORDER BY near.distance, doc_id LIMIT 20""")
+def search_indexed(spark, sf):
+    """A filtered search that reads four of the index's lists."""
+    rows = i.corpus(spark, sf)
+    return hit(s.search(
+        rows, i.topic(spark, sf), 20, modalities=["text", "pdf", "images"], regex=RE, index=_indexed(spark, sf), probes=4,
+    ))
+
+
+@query("semantic_search_indexed", f"""WITH {PROBED} SELECT doc_id, uri, source, modality, text_content,
+    round(1 - distance, 3) + 0.0 AS relevance_score, {stamp_sql()} AS created, meta AS metadata
+    FROM ({POOLED}) WHERE rn <= 30 AND 1 - distance >= 0.3""")
+def semantic_search_indexed(spark, sf):
+    found = s.semantic_search(i.corpus(spark, sf), i.topic(spark, sf), 30, 0.3, index=_indexed(spark, sf), probes=4)
+    return _semantic_columns(found)
+
+
+@query("client_search_indexed", f"""WITH {PROBED} SELECT doc_id, uri, source, modality, round(distance, 6) + 0.0 AS score,
+    round(1 - distance, 3) AS relevance_score, text_content AS content
+    FROM ({POOLED}) z WHERE rn <= 60 AND source IN ('src2', 'src5', 'src7', 'src11', 'src13')
+    AND modality IN ('text', 'image') ORDER BY z.distance, doc_id LIMIT 12""")
+def client_search_indexed(spark, sf):
+    client = SearchClient(spark, i.corpus(spark, sf), index_path=_indexed(spark, sf), probes=4)
+    found = client.search(i.topic(spark, sf), 12, sources=SOURCES, modalities=["text", "images"])
+    return found.select("doc_id", "uri", "source", "modality", tidy("score").alias("score"), "relevance_score", "content")
+
+
+@query("trained_index", f"WITH {NEAR} SELECT {HIT} FROM near ORDER BY near.distance, doc_id LIMIT 20")
+def trained_index(spark, sf):
+    """Eight lists trained on all vectors; reading all of them finds what a scan finds."""
+    rows = i.corpus(spark, sf)
+    path = i.work_dir(spark)
+    cents = knn.train_centroids(rows, 8, DIM)
+    knn.ivf_build(rows, cents, path)
+    return hit(s.search(rows, i.topic(spark, sf), 20, candidates=20, index=path, probes=len(cents)))
+
+
 @query("index_status", f"""WITH {_LISTS}, sizes AS (SELECT ivf_list, count(*) AS n FROM placed GROUP BY ivf_list)
     SELECT true AS "exists", CAST(sum(n) AS BIGINT) AS rows, count(*) AS lists, max(n) AS largest_list FROM sizes""")
 def index_status(spark, sf):
@@ -393,6 +459,23 @@ def near_pairs_by_cell(spark, sf):
     return found.select("doc1", "doc2", F.round("similarity", 6).alias("similarity"))
 
 
+@query("near_pairs_trained", PAIRS + _PAIR_OUT)
+def near_pairs_trained(spark, sf):
+    """The same pairs through cells trained on all vectors, in small blocks."""
+    own = replace(DEFAULTS, pair_rows=100, block_rows=128)
+    found = knn.near_pairs(i.vectors(spark, sf), 0.65, DIM, settings=own)
+    return found.select("doc1", "doc2", F.round("similarity", 6).alias("similarity"))
+
+
+@query("search_batch_blocks", f"""WITH {BATCH} SELECT query_id, doc_id, CAST(rank AS INT) AS rank,
+    round(distance, 6) + 0.0 AS distance FROM batch WHERE rank <= 15""")
+def search_batch_blocks(spark, sf):
+    """More queries than travel to a task: queries and rows meet block by block."""
+    own = replace(DEFAULTS, broadcast_bytes=1024, block_rows=64)
+    found = knn.knn_join(i.topics(spark, sf), i.corpus(spark, sf), 15, DIM, settings=own)
+    return found.select("query_id", "doc_id", "rank", tidy("distance").alias("distance"))
+
+
 @query("similar_docs", PAIRS + """SELECT doc1, string_agg(doc2 || '=' || printf('%.4f', 1 - distance), ','
     ORDER BY distance, doc2) AS similar_docs FROM (SELECT *, row_number() OVER (PARTITION BY doc1
     ORDER BY distance, doc2) AS rn FROM pairs WHERE distance < 0.75) WHERE rn <= 5 GROUP BY doc1""")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import SparkSession
 
 # Cluster-neutral settings: AQE re-plans partition counts and skewed joins at run time.
 COMMON = {
@@ -32,18 +34,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy work per row when a scan has fewer splits than there are cores.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names for tables that cut lineage.
 
-    A table of few row groups is small, so shuffling it costs little; larger scans are left as they are.
+    Where none is named, a session within one process gets a folder of its own; any other session is refused.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names for tables that cut lineage."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+        path = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

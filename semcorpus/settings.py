@@ -80,9 +80,9 @@ class Settings:
     top_k: int = 10
     search_multiplier: int = 5
     pool_floor: int = 50
-    rerank_threshold: int = 50
+    # Lists of an index that a search reads unless told otherwise.
+    probes: int = 8
     dim: int = 768
-    ivf_min_rows: int = 10_000
     # A side is shipped to every task only below this many bytes.
     broadcast_bytes: int = 64 << 20
     # Above this many vectors a pair search without centroids trains its own.

@@ -42,12 +42,18 @@ def test_overlap_must_be_smaller(spark):
         chunk.chunk_fixed(docs(spark, ["x"]), 10, 10)
 
 
-def test_sentences_lose_no_text():
+def packed(spark, texts, size, overlap):
+    rows = docs(spark, texts).select("doc_id", chunk.pack_sentences("text_content", size, overlap).alias("p")).collect()
+    return [r["p"] for r in sorted(rows, key=lambda r: int(r["doc_id"][1:]))]
+
+
+def test_sentences_lose_no_text(spark):
     rng = random.Random(7)
+    texts = []
     for _ in range(40):
         sents = ["".join(rng.choices("abc ", k=rng.choice([1, 5, 15, 25, 60]))).strip() + rng.choice(".!?") for _ in range(30)]
-        text = " ".join(sents)
-        out = chunk.pack_sentences(text, 20, 6)
+        texts.append(" ".join(sents))
+    for text, out in zip(texts, packed(spark, texts, 20, 6)):
         for s in re.split(r"(?<=[.!?]) ", text):
             # Kept whole, or cut into windows that cover it.
             assert any(s in c["text_content"] for c in out) or all(
@@ -55,9 +61,9 @@ def test_sentences_lose_no_text():
             )
 
 
-def test_a_long_sentence_in_an_empty_chunk_is_kept():
+def test_a_long_sentence_in_an_empty_chunk_is_kept(spark):
     text = "x" * 1500 + ". " + "y" * 900 + ". z."
-    out = chunk.pack_sentences(text, 1000, 200)
+    (out,) = packed(spark, [text], 1000, 200)
     assert [len(c["text_content"]) for c in out] == [1501, 904]
     assert [c["chunk_index"] for c in out] == [0, 1]
 

@@ -81,7 +81,7 @@ def test_near_pairs_agree_with_brute_force(data, limit, cells):
 
 def test_many_vectors_train_their_own_cells(data):
     df, rows, _ = data
-    own = replace(DEFAULTS, pair_rows=50, ivf_min_rows=1, block_rows=40)
+    own = replace(DEFAULTS, pair_rows=50, block_rows=40)
     got = k.near_pairs(df, 0.2, DIM, settings=own).collect()
     assert {(r["doc1"], r["doc2"]) for r in got} == pairs_of(rows, 0.2)
 
@@ -130,13 +130,12 @@ def test_index_with_all_lists_equals_scan(spark, data, scratch):
 
 def test_trained_centroids(data):
     df, _, _ = data
-    few = replace(DEFAULTS, ivf_min_rows=1)
-    assert k.train_centroids(df, 4, DIM, settings=few).shape == (4, DIM)
-    assert k.train_centroids(df, 4, DIM).shape == (1, DIM)
+    assert k.train_centroids(df, 4, DIM).shape == (4, DIM)
+    assert k.train_centroids(df, 1, DIM).shape == (1, DIM)
     with pytest.raises(ValueError):
-        k.train_centroids(df, 10_000, DIM, settings=few)
+        k.train_centroids(df, 10_000, DIM)
     with pytest.raises(ValueError):
-        k.train_centroids(df, 4, DIM, settings=replace(few, broadcast_bytes=8))
+        k.train_centroids(df, 4, DIM, settings=replace(DEFAULTS, broadcast_bytes=8))
 
 
 def test_search_plans_take_ordered_rows_without_a_shuffle(data):

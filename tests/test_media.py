@@ -166,3 +166,25 @@ def test_groups_are_cut_where_the_key_changes(spark, batch):
     for k, p, v in rows:
         want.setdefault((k, p), []).append(v)
     assert {(r["k"], r["p"]): r["v"] for r in got} == want and len(got) == len(want)
+
+
+def test_words_keep_the_order_of_the_recogniser(spark):
+    """Missing times count as 0 and move nothing; a missing speaker is a speaker of its own."""
+    said = [("hello", 1.0, "a"), ("there", 2.0, "a"), ("no", 3.0, "b"), ("time", 0.0, "b"), ("here", 4.0, "b"), ("who", 5.0, None), ("yes", 6.0, "a")]
+    rows = [("m", i, w, t, t + 0.5, who) for i, (w, t, who) in enumerate(said)]
+    df = spark.createDataFrame(rows, "media_id string, seq long, word string, start_time double, end_time double, speaker_id string")
+    want = [("a", 1.0, 2.5, "hello there"), ("b", 3.0, 4.5, "no time here"), (None, 5.0, 5.5, "who"), ("a", 6.0, 6.5, "yes")]
+    for stretch in (1, 2, 3, 100):
+        got = m.speaker_segments(df, stretch=stretch).orderBy("segment_index").collect()
+        assert [(r["speaker_id"], r["start_time"], r["end_time"], r["text"]) for r in got] == want
+        runs = m.speaker_runs(df, stretch).orderBy("seq").collect()
+        assert [r["run_no"] for r in runs] == [0, 0, 1, 1, 1, 2, 3]
+
+
+def test_segments_scan_once_and_shuffle_little(spark, tmp_path):
+    schema = "media_id string, seq long, word string, start_time double, end_time double, speaker_id string"
+    spark.createDataFrame([("m", i, "w", 0.0, 0.0, "a") for i in range(50)], schema).write.parquet(str(tmp_path / "words"))
+    segments = m.speaker_segments(spark.read.parquet(str(tmp_path / "words")))
+    segments.collect()
+    plan = segments._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 5

@@ -4,11 +4,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from semcorpus.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQLS = entry.queries(), entry.oracle_sql()
-# Depends on the engine's random stream.
-NO_SQL = {"row_sample"}
+QUERIES = {name: q.run for name, q in catalog.QUERIES.items()}
+SQLS = {name: q.sql for name, q in catalog.QUERIES.items() if q.sql is not None}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,8 @@ def con():
 
 
 def test_contract():
-    assert set(SQLS) == set(QUERIES) - NO_SQL
+    assert set(SQLS) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQLS) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):

@@ -198,3 +198,17 @@ def test_topics_without_hits(spark):
     cover = {r["topic"]: (r["document_count"], r["top_match"]) for r in a.topic_coverage(topics, hits).collect()}
     assert cover == {"q": (1, "x"), "r": (0, "No results")}
     assert {r["query_id"]: r["count"] for r in a.compare_queries(topics, hits).collect()} == {"q": 1, "r": 0}
+
+
+def test_ranking_reads_no_texts_and_skips_folders(spark, tmp_path):
+    import datetime
+
+    schema = "doc_id string, uri string, modality string, source string, created_at timestamp, author string, channel string, text_content string, meta string, embedding array<double>, created_date date"
+    day = datetime.date(2024, 1, 1)
+    rows = [(f"d{i}", "u", "text", "s", datetime.datetime(2024, 1, 1 + i % 9), None, None, "t" * 50, None, [1.0, float(i)], day + datetime.timedelta(days=i % 9)) for i in range(90)]
+    spark.createDataFrame(rows, schema).write.partitionBy("created_date").parquet(str(tmp_path / "c"))
+    found = s.semantic_search(spark.read.parquet(str(tmp_path / "c")), [1.0, 3.0], 4)
+    assert len(found.collect()) == 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    schemas = [x for x in plan.split("ReadSchema: ")[1:]]
+    assert any("text_content" not in x.split("\n")[0] for x in schemas) and "dynamicpruning" in plan
