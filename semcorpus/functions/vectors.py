@@ -126,12 +126,8 @@ def has_vector(vec: Column | str, dim: int | None = None) -> Column:
     return n > 0 if dim is None else n == dim
 
 
-def hash_embed(text: Column | str, dim: int) -> Column:
-    """Signed feature hashing of the tokens, as a unit vector; NULL for text without tokens.
-
-    Each batch splits its texts and hashes its distinct tokens once, then adds up its rows with one
-    bincount, so nothing is shuffled. This is lexical similarity; hook a model in with embed_with.
-    """
+def hashing(dim: int):
+    """The function behind hash_embed, as SQL can register it."""
 
     @F.arrow_udf(VECTOR)
     def hashed_tokens(texts: pa.Array) -> pa.Array:
@@ -154,7 +150,16 @@ def hash_embed(text: Column | str, dim: int) -> Column:
         offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
         return pa.ListArray.from_arrays(offsets, pa.array(m.ravel()), mask=pa.array(empty))
 
-    return _once(hashed_tokens)(col(text))
+    return hashed_tokens
+
+
+def hash_embed(text: Column | str, dim: int) -> Column:
+    """Signed feature hashing of the tokens, as a unit vector; NULL for text without tokens.
+
+    Each batch splits its texts and hashes its distinct tokens once, then adds up its rows with one
+    bincount, so nothing is shuffled. This is lexical similarity; hook a model in with embed_with.
+    """
+    return _once(hashing(dim))(col(text))
 
 
 def embed_with(text: Column | str, model: Callable[[list[str]], np.ndarray]) -> Column:

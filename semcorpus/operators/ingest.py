@@ -230,7 +230,8 @@ def summarize_json(df: DataFrame, text: str = "text_content", indexed: Column |
     )
 
 
-_NEWLINE, _COMMA = "\u0001", "\u0002"
+# Stands before a letter that tells what is masked; a mark of the text itself is masked too, so nothing is mistaken.
+_MARK = "\u0001"
 
 
 def _csv_records(text: Column) -> Column:
@@ -239,20 +240,23 @@ def _csv_records(text: Column) -> Column:
     last = F.size(parts) - 1
 
     def part(p: Column, i: Column) -> Column:
-        masked = F.replace(F.replace(p, F.lit("\n"), F.lit(_NEWLINE)), F.lit(","), F.lit(_COMMA))
+        plain = F.replace(p, F.lit(_MARK), F.lit(_MARK + "m"))
+        masked = F.replace(F.replace(plain, F.lit("\n"), F.lit(_MARK + "n")), F.lit(","), F.lit(_MARK + "c"))
         # Nothing between two quoted runs is a doubled quote.
         doubled = (p == "") & (i > 0) & (i < last)
-        return F.when(i % 2 == 1, masked).when(doubled, '"').otherwise(p)
+        return F.when(i % 2 == 1, masked).when(doubled, '"').otherwise(plain)
 
     joined = F.array_join(F.transform(parts, part), "")
     return F.filter(F.split(joined, "\r?\n"), lambda r: r != "")
 
 
 def _csv_fields(record: Column) -> Column:
-    return F.transform(
-        F.split(record, ","),
-        lambda v: F.translate(v, _NEWLINE + _COMMA, "\n,"),
-    )
+    def unmasked(v: Column) -> Column:
+        for letter, meant in (("c", ","), ("n", "\n"), ("m", _MARK)):
+            v = F.replace(v, F.lit(_MARK + letter), F.lit(meant))
+        return v
+
+    return F.transform(F.split(record, ","), unmasked)
 
 
 def summarize_csv(df: DataFrame, text: str = "text_content", indexed: Column | None = None) -> DataFrame:

@@ -16,7 +16,8 @@ from semcorpus.plans import inputs as i
 from semcorpus.plans.inputs import CORPUS, DIM, TOPICS, near, stamp_sql
 from semcorpus.plans.registry import query
 from semcorpus.settings import DEFAULTS
-from semcorpus.sources.tables import export_frame
+from semcorpus.sources.schemas import DOCUMENT
+from semcorpus.sources.tables import append_rows, create_tables, export_frame, read_table
 from semcorpus.sources.tables import export_results as export_results_to
 from semcorpus.sql_functions import create_search_view, register_sql, sql_vector
 
@@ -260,6 +261,28 @@ def exported_csv(spark, sf):
     return spark.read.csv(path, header=True, multiLine=True, escape='"').drop("score")
 
 
+@query("exported_json", f"""WITH {NEAR} SELECT doc_id, uri, source, text_content, round(distance, 6) + 0.0 AS distance
+    FROM ({POOLED}) WHERE rn <= 15""")
+def exported_json(spark, sf):
+    """The hits written as JSON lines, with their distance, and read back."""
+    path = i.work_dir(spark) + "/json"
+    export_results_to(s.search(i.corpus(spark, sf), i.topic(spark, sf), 15), path, "json")
+    kind = "doc_id string, uri string, source string, text_content string, distance double"
+    return spark.read.schema(kind).json(path).withColumn("distance", tidy("distance"))
+
+
+@query("appended_rows", f"""WITH {NEAR} SELECT doc_id, uri, source, modality, {stamp_sql()} AS created
+    FROM ({POOLED}) WHERE rn <= 15""")
+def appended_rows(spark, sf):
+    """Hits that a caller holds in memory, appended to a created table in two parts and read back without a schema."""
+    root = i.work_dir(spark)
+    create_tables(spark, root)
+    held = [r.asDict() for r in s.search(i.corpus(spark, sf), i.topic(spark, sf), 15).collect()]
+    for part in (held[:7], held[7:]):
+        append_rows(spark, part, DOCUMENT, f"{root}/documents", ("modality", "source"))
+    return read_table(spark, f"{root}/documents").select("doc_id", "uri", "source", "modality", i.stamp("created_at").alias("created"))
+
+
 # Every topic against the whole corpus.
 BATCH = f"""{CORPUS}, {TOPICS}, pairs AS (SELECT t.query_id, c.*,
     round(1 - list_cosine_similarity(c.embedding, t.q), 9) + 0.0 AS distance FROM corpus c, topics t
@@ -360,6 +383,33 @@ def sql_semantic_grep(spark, sf):
     ))
 
 
+ASKED = "the order of the heart and the rest"
+_ASKED = f"""WITH {i.DOCS}, {i.hashed('documents', 'doc_id', 'text', 'dv')}, asked AS (SELECT 0 AS k, '{ASKED}' AS text),
+    {i.hashed('asked', 'k', 'text', 'qv')}, near AS (SELECT d.*, round(1 - list_cosine_similarity(v.vec, q.vec), 9) + 0.0
+    AS distance FROM docs d JOIN dv v ON v.k = d.n, qv q)"""
+
+
+@query("sql_text_search", f"""{_ASKED} SELECT doc_id, source, round(1 - distance, 3) + 0.0 AS relevance_score, text_content
+    FROM ({POOLED}) WHERE rn <= 25 AND 1 - distance >= 0.01""")
+def sql_text_search(spark, sf):
+    """A search by words, all in SQL, over documents that are embedded by their words."""
+    rows = i.documents(spark, sf).withColumn("embedding", hash_embed("text_content", DIM))
+    register_sql(spark, rows, settings=replace(DEFAULTS, dim=DIM))
+    return spark.sql(f"SELECT * FROM semantic_search_text('{ASKED}', 25, 0.01D)").select(
+        "doc_id", "source", tidy("relevance_score", 3).alias("relevance_score"), "text_content"
+    )
+
+
+@query("sql_lateral_batch", f"""WITH {BATCH} SELECT query_id, doc_id, source, round(distance, 6) + 0.0 AS distance
+    FROM batch WHERE rank <= 8""")
+def sql_lateral_batch(spark, sf):
+    """The search function once per row of a table of queries."""
+    register_sql(spark, i.corpus(spark, sf))
+    i.topics(spark, sf).createOrReplaceTempView("asked_topics")
+    found = spark.sql("SELECT a.query_id, h.* FROM asked_topics a, LATERAL semantic_search(a.q, 8, -2D) h")
+    return found.select("query_id", "doc_id", "source", tidy("distance").alias("distance"))
+
+
 # --- index and pairs ---------------------------------------------------------------------------------
 
 _UNIT = "vecs AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from datetime import datetime
 
@@ -31,8 +32,33 @@ def write_table(
     )
 
 
+def _schema_path(spark: SparkSession, path: str):
+    """A file that readers of the table pass over."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_declared_schema.json")
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()), file
+
+
+def declare(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Keep the declared schema beside the rows, as a table without rows keeps none."""
+    fs, file = _schema_path(spark, path)
+    out = fs.create(file, True)
+    out.write(bytearray(schema.json().encode()))
+    out.close()
+
+
+def declared(spark: SparkSession, path: str) -> T.StructType | None:
+    fs, file = _schema_path(spark, path)
+    if not fs.exists(file):
+        return None
+    data = fs.open(file)
+    text = bytes(data.readAllBytes()).decode()
+    data.close()
+    return T.StructType.fromJson(json.loads(text))
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read a table; created_date stays, as the column to prune days by."""
+    """Read a table; created_date stays, as the column to prune days by. Created tables know their own schema."""
+    schema = schema or declared(spark, path)
     if schema is None:
         return spark.read.parquet(path)
     dated = T.StructType([*schema.fields, T.StructField("created_date", T.DateType())])
@@ -52,16 +78,18 @@ def on_days(df: DataFrame, start: datetime | None, end: datetime | None) -> Data
 
 def create_tables(spark: SparkSession, root: str, side: bool = False) -> list[str]:
     """Empty core tables (and side tables) with their declared schema."""
-    tables = {**CORE_TABLES, **(SIDE_TABLES if side else {})}
-    for name, (schema, sort_by) in tables.items():
-        write_table(spark.createDataFrame([], schema), f"{root}/{name}", "overwrite", sort_by)
-    return sorted(tables)
+    return _created(spark, root, {**CORE_TABLES, **(SIDE_TABLES if side else {})})
 
 
 def create_side_tables(spark: SparkSession, root: str) -> list[str]:
-    for name, (schema, sort_by) in SIDE_TABLES.items():
+    return _created(spark, root, SIDE_TABLES)
+
+
+def _created(spark: SparkSession, root: str, tables: dict) -> list[str]:
+    for name, (schema, sort_by) in tables.items():
         write_table(spark.createDataFrame([], schema), f"{root}/{name}", "overwrite", sort_by)
-    return sorted(SIDE_TABLES)
+        declare(spark, f"{root}/{name}", schema)
+    return sorted(tables)
 
 
 def load_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from semcorpus.functions.vectors import hashing
 from semcorpus.operators.search import query_vector
 from semcorpus.settings import DEFAULTS, Settings
 
@@ -21,10 +22,13 @@ def _cosine(a: str, b: str) -> str:
     return f"round(1 - {dot} / nullif(sqrt({na}) * sqrt({nb}), 0), 9) + 0D"
 
 
-def register_sql(spark: SparkSession, corpus: DataFrame, view: str = "search_corpus") -> None:
-    """Create the corpus view, cosine_distance and the search functions.
+def register_sql(
+    spark: SparkSession, corpus: DataFrame, view: str = "search_corpus", settings: Settings = DEFAULTS
+) -> None:
+    """Create the corpus view, cosine_distance, embed_query and the search functions.
 
-    A LIMIT must be constant in SQL functions, so the rank is compared instead; Spark prunes to k rows per
+    Functions that end in _text take the words of a query, the others its vector; both can stand after LATERAL with
+    vectors of a table of queries. A LIMIT must be constant in SQL functions, so the rank is compared instead; Spark prunes to k rows per
     task before the rank is taken.
     """
     corpus.createOrReplaceTempView(view)
@@ -74,6 +78,14 @@ def register_sql(spark: SparkSession, corpus: DataFrame, view: str = "search_cor
                 AND (pattern IS NULL OR pattern = '' OR text_content RLIKE pattern)))
         WHERE rank <= k""",
     ]
+    statements += [
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION semantic_search_text(ask STRING, k INT, threshold DOUBLE)
+        RETURNS TABLE({rows}) RETURN
+        SELECT {names} FROM semantic_search(embed_query(ask), k, threshold)""",
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION search_text(ask STRING) RETURNS TABLE({rows}) RETURN
+        SELECT {names} FROM semantic_search(embed_query(ask), 10, 0D)""",
+    ]
+    spark.udf.register("embed_query", hashing(settings.dim))
     for s in statements:
         spark.sql(s)
 

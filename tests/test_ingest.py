@@ -116,6 +116,22 @@ def test_csv_summaries(spark):
     assert got.split("Data preview:\n")[1] == "\n".join(body.split("\n")[:30])
 
 
+def test_csv_cells_keep_control_characters(spark):
+    got = g.summarize_csv(docs(spark, ['a,b\nx\u0001y,p\u0002q\n"\u0001c,\u0001n","\u0001m\n\u0001"\n'])).first()["summary"]
+    assert "Row 1: a:x\u0001y | b:p\u0002q" in got and "Row 2: a:\u0001c,\u0001n | b:\u0001m\n\u0001" in got
+
+
+def test_empty_tables_keep_their_schema(spark, scratch):
+    from semcorpus.sources import tables
+    from semcorpus.sources.schemas import CORE_TABLES
+
+    for name in tables.create_tables(spark, scratch, side=True):
+        rows = tables.read_table(spark, f"{scratch}/{name}")
+        assert rows.count() == 0 and "created_date" in rows.columns
+    name, (schema, _) = next(iter(CORE_TABLES.items()))
+    assert tables.read_table(spark, f"{scratch}/{name}").columns[:-1] == [f.name for f in schema.fields]
+
+
 def test_extraction_is_cut_and_replaces_the_note(spark):
     d = spark.createDataFrame([("a", "pdf", "PDF\nNote: Full text extraction requires x", "u"), ("b", "pdf", "keep", "v")], "doc_id string, modality string, text_content string, uri string")
     ext = spark.createDataFrame([("a", "t" * 12), ("b", "")], "doc_id string, extracted_text string")
