@@ -6,6 +6,8 @@ folder and point readers there.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from semcorpus.functions.vectors import has_vector, hash_embed
 from semcorpus.operators.chunk import chunk_fixed, is_long
 from semcorpus.operators.ingest import EXTRACTED
 from semcorpus.settings import DEFAULTS
+from semcorpus.sources.tables import on_days
 
 
 def parent_id(doc_id: Column | str) -> Column:
@@ -83,11 +86,16 @@ def needs_embedding() -> Column:
     return ~has_vector("embedding") & (F.length("text_content") > 0)
 
 
-def embed_backfill(corpus: DataFrame, dim: int = DEFAULTS.dim, embed=None) -> DataFrame:
+def embed_backfill(
+    corpus: DataFrame, dim: int = DEFAULTS.dim, embed=None, start: datetime | None = None, end: datetime | None = None
+) -> DataFrame:
     """Embed every row that lacks a vector and has text, in one pass without a join.
 
-    embed maps a text column to a vector column; rows that already have a vector send it a NULL text.
+    embed maps a text column to a vector column; rows that already have a vector send it a NULL text. start and end
+    name the days to return: of a table kept by day only their folders are read. A filter on the result would run
+    after the vectors are made.
     """
+    corpus = on_days(corpus, start, end)
     text = F.when(needs_embedding(), F.col("text_content"))
     made = hash_embed(text, dim) if embed is None else embed(text)
     return corpus.withColumn("__made", made).withColumn(
@@ -95,9 +103,11 @@ def embed_backfill(corpus: DataFrame, dim: int = DEFAULTS.dim, embed=None) -> Da
     ).drop("__made")
 
 
-def repair_embeddings(corpus: DataFrame, dim: int = DEFAULTS.dim, embed=None) -> DataFrame:
-    """Drop empty and wrong-sized vectors, then embed what is missing."""
-    return embed_backfill(fix_dims(fix_empty(corpus), dim), dim, embed)
+def repair_embeddings(
+    corpus: DataFrame, dim: int = DEFAULTS.dim, embed=None, start: datetime | None = None, end: datetime | None = None
+) -> DataFrame:
+    """Drop empty and wrong-sized vectors, then embed what is missing; days as in embed_backfill."""
+    return embed_backfill(fix_dims(fix_empty(corpus), dim), dim, embed, start, end)
 
 
 def pending(corpus: DataFrame, n: int = 1000) -> DataFrame:

@@ -109,3 +109,17 @@ def test_null_known_ids_hide_nothing(spark):
     held = spark.createDataFrame([(None, None, "pdf"), ("a", "u1", "pdf")], d.schema)
     assert [r["doc_id"] for r in corpus.add_missing(held, d, "pdf").collect()] == ["b"]
     assert [r["doc_id"] for r in corpus.add_missing(held, d, "pdf", "uri").collect()] == ["b"]
+
+
+def test_backfill_of_days_reads_their_folders(spark, tmp_path):
+    import datetime
+
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(f"d{i}", "some words", None, (day + datetime.timedelta(days=i)).date()) for i in range(6)]
+    schema = "doc_id string, text_content string, embedding array<double>, created_date date"
+    spark.createDataFrame(rows, schema).write.partitionBy("created_date").parquet(str(tmp_path / "c"))
+    table = spark.read.parquet(str(tmp_path / "c"))
+    made = corpus.embed_backfill(table, 16, start=day + datetime.timedelta(days=2), end=day + datetime.timedelta(days=3))
+    assert sorted(r["doc_id"] for r in made.collect()) == ["d2", "d3"]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in plan
