@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
@@ -85,3 +86,8 @@ def extend(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], k
 def shared(spark, value) -> Broadcast:
     """A value of bounded size for all tasks; the caller states the bound."""
     return spark.sparkContext.broadcast(value)
+
+
+def fold(key: Column, folds: int) -> Column:
+    """Which of `folds` parts a row belongs to, by the CRC-32 of its key as text; null for a null key."""
+    return F.crc32(key.cast("string").cast("binary")) % folds

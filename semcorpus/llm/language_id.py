@@ -233,10 +233,6 @@ def mark(df: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame
     return extend(df, text_col, [(lang, T.StringType()), (score, T.DoubleType())], kernel), lang, score
 
 
-def fold(key: Column, folds: int) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % folds
-
-
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every document."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from semcorpus.llm import byte_bpe, decontaminate, embedding_dedup, language_id, lm_scoring, minhash_dedup, secret_scan, token_counts, toxicity, url_filter
-from semcorpus.llm.batches import few_rows
+from semcorpus.llm.batches import few_rows, fold
 from semcorpus.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -45,7 +45,7 @@ def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_language_id")
 def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    held = language_id.fold(F.col("doc_id"), 3) == 1
+    held = fold(F.col("doc_id"), 3) == 1
     model = language_id.train(docs.where(~held), "text", "lang", F.col("doc_id"))
     found = language_id.identified(docs, model)
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
@@ -130,7 +130,7 @@ def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
-    held = toxicity.fold(F.col("doc_id"), 4) == 2
+    held = fold(F.col("doc_id"), 4) == 2
     model = toxicity.train(docs, labels.where(~held))
     found = toxicity.scored(docs, model)
     return found.select(

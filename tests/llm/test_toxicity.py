@@ -4,6 +4,7 @@ import pytest
 from llm_common import by_id
 
 from semcorpus.llm import toxicity
+from semcorpus.llm.batches import fold
 from semcorpus.llm.queries import QUERIES
 
 
@@ -11,7 +12,7 @@ from semcorpus.llm.queries import QUERIES
 def model(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    return toxicity.train(docs, labels.where(toxicity.fold(labels.doc_id, 4) != 2))
+    return toxicity.train(docs, labels.where(fold(labels.doc_id, 4) != 2))
 
 
 def test_held_out_documents(spark, model):
