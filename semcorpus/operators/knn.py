@@ -136,6 +136,19 @@ def block_join(
     )
 
 
+def self_join(rows: DataFrame, count: int, kernel: Callable, schema: str, per_block: int) -> DataFrame:
+    """Run kernel on every two blocks of one table, and on every block with itself, each once.
+
+    Rows are (id, vec). A row travels to one more block than there are, half as often as in a full grid.
+    """
+    n = _blocks(count, per_block)
+    placed = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"), "id", "vec")
+    keep = [F.col(c).alias(c) for c in ("i", "j", "id", "vec")]
+    lower = placed.withColumn("j", F.explode(F.sequence(F.col("own"), F.lit(n - 1)))).withColumnRenamed("own", "i")
+    upper = placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumnRenamed("own", "j")
+    return lower.select(*keep).groupBy("i", "j").cogroup(upper.select(*keep).groupBy("i", "j")).applyInArrow(kernel, schema)
+
+
 def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids in order, and their unit vectors."""
     table = table.combine_chunks().sort_by("id")
@@ -362,10 +375,7 @@ def _pair_join(
         room = settings.broadcast_bytes // 8
         lists = max(int(min(n**0.5, room**0.5, room / dim)), 1)
         centroids = train_centroids(rows, lists, dim, vec="vec", settings=settings)
-    if centroids is None:
-        probes = members = rows.select(F.lit(0).alias("cell"), "id", "vec")
-        counts = {0: (n, n)}
-    else:
+    if centroids is not None:
         if 8 * len(centroids) * max(dim, len(centroids)) > settings.broadcast_bytes:
             raise ValueError("the centroids would not fit settings.broadcast_bytes; use fewer lists")
         placed = _reach(rows, centroids, max_distance)
@@ -379,6 +389,7 @@ def _pair_join(
         if not counts:
             return vectors.sparkSession.createDataFrame([], "doc1 string, doc2 string, distance double")
     names = ["doc1", "doc2", "distance"]
+    schema, by_cell = "doc1 string, doc2 string, distance double", centroids is not None
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -386,22 +397,28 @@ def _pair_join(
         li, lv = _vectors(left)
         ri, rv = _vectors(right)
         sims = lv @ rv.T
-        # Each pair is found once: where the smaller id probes the home cell of the larger one.
-        after = np.searchsorted(ri, li, side="right")
-        rows, cols = np.nonzero((sims > 1.0 - max_distance - SLACK) & (np.arange(len(ri)) >= after[:, None]))
+        near = sims > 1.0 - max_distance - SLACK
+        if by_cell or np.array_equal(li, ri):
+            # With cells a pair is found where the smaller id probes the home cell of the larger one.
+            near &= np.arange(len(ri)) >= np.searchsorted(ri, li, side="right")[:, None]
+        rows, cols = np.nonzero(near)
         d = as_distance(sims[rows, cols])
         rows, cols, d = rows[d < max_distance], cols[d < max_distance], d[d < max_distance]
+        # Two blocks meet once, so either side may hold the smaller id.
+        ids = np.unique(np.concatenate([li, ri]))
+        one, two = np.searchsorted(ids, li)[rows], np.searchsorted(ids, ri)[cols]
+        low, high = np.minimum(one, two), np.maximum(one, two)
         if keep is not None:
-            # Both sides are in id order, so columns settle ties.
-            order = np.lexsort((cols, d, rows))
-            rows, cols, d = rows[order], cols[order], d[order]
-            nth = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-            rows, cols, d = rows[nth < keep], cols[nth < keep], d[nth < keep]
-        return _pair_table(names, list(li[rows]), list(ri[cols]), d)
-
-    return block_join(
-        probes, members, counts, meet, "doc1 string, doc2 string, distance double", settings.block_rows
-    )
+            # Places follow the ids, so the larger one settles ties.
+            order = np.lexsort((high, d, low))
+            low, high, d = low[order], high[order], d[order]
+            nth = np.arange(len(low)) - np.searchsorted(low, low, side="left")
+            low, high, d = low[nth < keep], high[nth < keep], d[nth < keep]
+        return _pair_table(names, list(ids[low]), list(ids[high]), d)
+
+    if centroids is None:
+        return self_join(rows, n, meet, schema, settings.block_rows)
+    return block_join(probes, members, counts, meet, schema, settings.block_rows)
 
 
 def near_pairs(
