@@ -5,12 +5,12 @@
 2. Classes that share a band key are candidates. First every member of a band meets the smallest id of the band.
 3. A candidate pair is compared batch by batch of its signatures; it is dropped as soon as the posterior
    probability that the similarity reaches the threshold falls below `MISS`. Survivors are verified on full sets.
-4. Bands whose members are not yet in one component go on: pairs across components meet in rounds of growing
-   shares of all pairs, in blocks, until every such pair was compared or lies within one component. What is
-   left out is only what cannot change a component.
+4. Bands whose members are not yet in one component go on. In small ones all pairs across components meet as in 3. Large
+   ones are cut into blocks that meet pairwise and bring their sets along: a task compares the signatures of all
+   pairs across components, verifies survivors, likeliest first, as long as they would join two components, and
+   returns only the links. What is left out is only what cannot change a component.
 
-No task holds a whole band and no list of all pairs is made: blocks of a band are compared by numpy, and only
-pairs that survive the posterior bound leave the task.
+No task holds a whole band and no list of all pairs of a large band is made.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ BANDS, ROWS = 20, 6
 TESTED, STEP = 64, 16
 # Chance at each batch to drop a pair that reaches the threshold.
 MISS = 1e-5
-# Members of a band that meet in one block; bands up to SMALL members meet at once.
-BLOCK, SMALL, FIRST_PARTNERS = 1024, 16, 8
+# Members of a band that meet in one block; the pairs of bands up to SMALL members are listed.
+BLOCK, SMALL = 512, 16
 # Bits of the filter that keeps sets nobody asks for from being shuffled; its size does not grow with the data.
 FILTER_BITS = 1 << 25
 
@@ -183,20 +183,22 @@ class Search:
         some = self.features.where("n > 0 and id is not null")
         self.classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
         ours = some.join(self.classes.withColumnRenamed("rep", "id"), ["id", "k1", "k2"], "left_semi")
-        self.reps = ours.select("id", "n", "bands", "sig")
+        self.reps = cut(ours.select("id", "n", "bands", "sig"))
 
     def bands(self) -> DataFrame:
         """(band, id, hub): members of the bands that two or more classes share; `hub` is the smallest."""
-        every = self.reps.select(F.explode("bands").alias("band"), "id").distinct()
+        # Dealt out once; the groups and the join use the same exchange.
+        every = self.reps.select(F.explode("bands").alias("band"), "id").repartition("band")
         groups = every.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
         return cut(every.join(groups, "band"))
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are as similar as asked: sequential test, then the exact one."""
-        side = self.reps.select("id", "n", "sig")
+        pairs = cut(pairs.distinct())
+        side = _asked(self.reps.select("id", "n", "sig"), pairs.select(F.explode(F.array("a", "b")).alias("id")))
         left = side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
         right = side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        both = pairs.distinct().join(left, "a").join(right, "b")
+        both = pairs.join(left, "a").join(right, "b")
         both = both.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         needed, percent = self.needed, self.percent
 
@@ -212,11 +214,8 @@ class Search:
 
         def exact(batches):
             for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3)):
-                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    same = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(100 * same >= percent * (len(p) + len(q) - same))
+                read = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+                keep = [alike(read(x), read(y), percent) for x, y in zip(batch.column(2), batch.column(3))]
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
         full = passed.join(asked.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
@@ -233,67 +232,99 @@ class Search:
         state = by_label.groupBy("band").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels"))
         return cut(named.join(state.where("labels > 1").drop("labels"), "band"))
 
-    def across(self, members: DataFrame, turn: int) -> DataFrame:
-        """Pairs of different components within open bands that are due in this round.
-
-        A pair has a fixed place between 0 and 1; round by round the share of places that are due grows.
-        """
+    def small_pairs(self, members: DataFrame) -> DataFrame:
+        """Pairs of different components within small open bands."""
         small = members.where(F.col("size") <= SMALL)
-        pairs = None
-        if turn == 0:
-            one = small.select("band", F.col("id").alias("a"), F.col("label").alias("la"))
-            two = small.select("band", F.col("id").alias("b"), F.col("label").alias("lb"))
-            pairs = one.join(two, "band").where("a < b and la <> lb").select("a", "b")
-        large = members.where(F.col("size") > SMALL).join(self.reps.select("id", "sig"), "id")
-        rest = large.where("label <> main")
-        blocks = rest.groupBy("band").agg(F.count("*").alias("minor"))
-        large = large.join(blocks, "band")
+        one = small.select("band", F.col("id").alias("a"), F.col("label").alias("la"))
+        two = small.select("band", F.col("id").alias("b"), F.col("label").alias("lb"))
+        return one.join(two, "band").where("a < b and la <> lb").select("a", "b")
+
+    def large_links(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between components within large open bands, as many as it takes to join them."""
+        large = members.where(F.col("size") > SMALL)
+        rest = large.where("label <> main").groupBy("band").agg(F.count("*").alias("minor"))
+        held = _asked(sets, large.select("id")).join(self.reps.select("id", "bands", "sig"), "id")
+        large = large.join(rest, "band").join(held, "id")
         rows, cols = F.ceil(F.col("minor") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
         own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-        keep = ["id", "label", "size", "sig"]
+        keep = ["id", "label", "main", "sig", "bands", "members"]
         left = large.where("label <> main").select("band", own(rows).alias("i"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("j"), F.lit(True).alias("minor"), *keep)
         right = large.select("band", F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), own(cols).alias("j"), F.lit(False).alias("minor"), *keep)
-        needed = self.needed
+        needed, percent = self.needed, self.percent
 
         def block(table: pa.Table) -> pa.Table:
-            minor = table.column("minor").to_numpy()
-            sig = _sig(table.column("sig"))
-            ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
-            size = int(table.column("size")[0].as_py())
-            low, high = (min(1.0, FIRST_PARTNERS * 4.0**t / size) if t >= 0 else 0.0 for t in (turn - 1, turn))
-            l, r = np.flatnonzero(minor), np.flatnonzero(~minor)
-            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo in range(0, len(l), 64):
-                x = l[lo : lo + 64]
-                a, b = np.minimum(ids[x][:, None], ids[r]), np.maximum(ids[x][:, None], ids[r])
-                at = (mix(mix(a.view(np.uint64)) + b.view(np.uint64)) >> np.uint64(11)) * (1.0 / (1 << 53))
-                p, q = np.nonzero((at >= low) & (at < high) & (label[x][:, None] != label[r]))
-                keep_ = survivors(sig[x[p]], sig[r[q]], needed)
-                found_a.append(a[p[keep_], q[keep_]])
-                found_b.append(b[p[keep_], q[keep_]])
-            return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
-
-        met = left.unionByName(right).groupBy("band", "i", "j").applyInArrow(block, "a long, b long")
-        return met if pairs is None else pairs.unionByName(met)
+            a, b = block_links(table, needed, percent)
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        return left.unionByName(right).groupBy("band", "i", "j").applyInArrow(block, "a long, b long")
 
     def labels(self) -> DataFrame:
         """(id, component) of the classes that are linked to a smaller one."""
         members = self.bands()
         sets = _asked(self.docs, members.select("id")).mapInArrow(_sets, "id long, members binary")
         sets = cut(sets.dropDuplicates(["id"]))
-        members_ = members.where("id <> hub")
-        links = self.linked(members_.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets)
-        turn, found = 0, components(links)
-        while True:
-            left = self.open_bands(members_.select("band", "id"), found)
-            most = left.agg(F.max("size")).first()[0] or 0
-            if not most or turn and FIRST_PARTNERS * 4.0 ** (turn - 1) >= most:
-                return found
-            new = self.linked(self.across(left, turn), sets)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                found = components(links)
-            turn += 1
+        members = members.where("id <> hub").select("band", "id", "hub")
+        links = self.linked(members.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets)
+        found = components(links)
+        left = self.open_bands(members.select("band", "id"), found)
+        if left.isEmpty():
+            return found
+        more = self.linked(self.small_pairs(left), sets).unionByName(self.large_links(left, sets))
+        return components(links.unionByName(more))
+
+
+def block_links(table: pa.Table, needed: list[int], percent: int) -> tuple[list[int], list[int]]:
+    """Links of two blocks of a band: rows of lesser components (minor) against rows of any.
+
+    A pair that shares several bands is met in the first of them only, and two minor rows only with the larger id on the left.
+    """
+    minor = table.column("minor").to_numpy()
+    sig, ids, label = _sig(table.column("sig")), table.column("id").to_numpy(), table.column("label").to_numpy()
+    main, here = table.column("main")[0].as_py(), table.column("band")[0].as_py()
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
+    l, r = np.flatnonzero(minor), np.flatnonzero(~minor)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(l), 64):
+        x = l[lo : lo + 64]
+        p, q = np.nonzero((label[x][:, None] != label[r]) & ((label[r] == main) | (ids[x][:, None] > ids[r])))
+        p, q = x[p], r[q]
+        live = survivors(sig[p], sig[q], needed)
+        p, q = p[live], q[live]
+        both = bands[p] == bands[q]
+        mine = bands[p, both.argmax(axis=1)] == here
+        p, q = p[mine], q[mine]
+        found.append((p, q, (sig[p] == sig[q]).sum(axis=1)))
+    if not found:
+        return [], []
+    p, q, same = (np.concatenate(f) for f in zip(*found))
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    a, b = [], []
+    for k in np.argsort(-same, kind="stable").tolist():
+        i, j = p[k], q[k]
+        u, v = top(int(label[i])), top(int(label[j]))
+        if u != v and alike(sets[i], sets[j], percent):
+            root[max(u, v)] = min(u, v)
+            a.append(int(ids[i]))
+            b.append(int(ids[j]))
+    return a, b
+
+
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sets, each in order, are as similar as asked."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

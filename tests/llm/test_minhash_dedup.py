@@ -66,7 +66,7 @@ def test_documents(documents, texts):
 def test_groups_with_and_without_a_hub(spark, monkeypatch):
     """Near copies of one text; chains in which only neighbours are alike; texts that are nearly but not quite alike."""
     monkeypatch.setattr(minhash_dedup, "SMALL", 4)
-    monkeypatch.setattr(minhash_dedup, "FIRST_PARTNERS", 1)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
     rnd = random.Random(4)
     base = [f"w{i}" for i in range(200)]
     rows = [edited(rnd, base, rnd.choice([0, 1, 2, 3, 5, 6, 8])) for _ in range(60)]
