@@ -6,32 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semcorpus.llm import byte_bpe, decontaminate, language_id, minhash_dedup, secret_scan
+from semcorpus.llm.batches import small_batches
 from semcorpus.llm.components import cut
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language of the corpus; texts without letters, or that fit none, go."""
+    small_batches(spark)
     model = language_id.train(docs, "text", "lang", F.col("doc_id"))
     return language_id.recognised(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: word shingles of five, similarity 0.8 or more."""
+    small_batches(spark)
     return minhash_dedup.deduplicated(docs, percent=80)
 
 
 def unseen_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with a benchmark item."""
+    small_batches(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced."""
+    small_batches(spark)
     return secret_scan.redacted(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, their number, and the hash of the bytes that they decode to."""
+    small_batches(spark)
     vocab = byte_bpe.default_vocabulary()
     both = byte_bpe.decode(byte_bpe.encode(docs, vocab), vocab)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("bytes", 256).alias("decoded_sha256"), "ids")

@@ -8,11 +8,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
+# Rows that travel between Spark and Python at a time. Texts are long, so the default of 10,000 would hold much memory
+# on both sides.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches be small in this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +83,10 @@ def extend(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], k
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(place)
-            parts = [kernel(texts.slice(lo, hi - lo)) for lo, hi in slices(texts)]
-            more = [pa.concat_arrays([p[i] for p in parts]) for i in range(len(fields))] if parts else []
-            if parts:
-                names = [*batch.schema.names, *[n for n, _ in fields]]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
+            names = [*batch.schema.names, *[n for n, _ in fields]]
+            for lo, hi in slices(batch.column(place)):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, *kernel(part.column(place))], names=names)
 
     return df.mapInArrow(run, schema)
 

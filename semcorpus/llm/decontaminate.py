@@ -217,21 +217,20 @@ def _pass(step, place: int, window: int, kind):
 
     def run(batches):
         block = step.value if step is not None else None
+        keys = [f.name for f in arrow]
         for batch in batches:
-            texts, before, made = batch.column(place), batch.column(batch.num_columns - 1), []
-            for lo, hi in slices(texts, SHARD_BYTES):
-                part = texts.slice(lo, hi - lo)
+            for lo, hi in slices(batch.column(place), SHARD_BYTES):
+                rows, made = batch.slice(lo, hi - lo), []
+                part, old = rows.column(place), rows.column(rows.num_columns - 1)
                 counts, found = search(part, block, window) if block else (words(part, ALPHANUMERIC).counts, {})
-                old = before.slice(lo, hi - lo)
                 for i, count in enumerate(counts.tolist()):
                     longest, items, spans = found.get(i, (0, [], []))
                     if old[i].is_valid and (was := old[i].as_py())["n_hit"]:
                         longest, items = max(longest, was["longest"]), sorted({*items, *was["items"]})
                         spans = joined(spans + [(s["begin"], s["stop"]) for s in was["spans"]])
                     made.append((count, sum(b - a for a, b in spans), longest, items, [{"begin": a, "stop": b} for a, b in spans]))
-            keys = [f.name for f in arrow]
-            column = pa.array([dict(zip(keys, m)) for m in made], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=batch.schema.names)
+                column = pa.array([dict(zip(keys, m)) for m in made], arrow)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], column], names=batch.schema.names)
 
     return run
 

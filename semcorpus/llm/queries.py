@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from semcorpus.llm import byte_bpe, decontaminate, embedding_dedup, language_id, lm_scoring, minhash_dedup, secret_scan, token_counts, toxicity, url_filter
-from semcorpus.llm.batches import few_rows, fold
+from semcorpus.llm.batches import few_rows, fold, small_batches
 from semcorpus.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
