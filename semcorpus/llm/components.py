@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; a local session without one, as in tests, gets its own."""
-    base = spark.conf.get(SETTING, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set(SETTING, base)
-    return base.rstrip("/")
+from semcorpus.session import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read again: lost executors repeat no earlier work."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -74,7 +62,7 @@ def components(links: DataFrame) -> DataFrame:
         mark = said
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())

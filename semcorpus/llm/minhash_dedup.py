@@ -265,14 +265,21 @@ class Search:
         sets = cut(sets.dropDuplicates(["id"]))
         members = members.where("id <> hub").select("band", "id", "hub")
         links = self.linked(members.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets)
-        found = components(links)
-        left = self.open_bands(members.select("band", "id"), found)
-        if left.isEmpty():
-            return found
+        left = self.open_bands(members.select("band", "id"), _near_roots(links))
         more = self.linked(self.small_pairs(left), sets).unionByName(self.large_links(left, sets))
         return components(links.unionByName(more))
 
 
+def _near_roots(links: DataFrame) -> DataFrame:
+    """(id, component): a smaller id that the links from hubs a to members b join it to; two steps towards the smallest.
+
+    Enough to see which bands hold more than one group; a band left open without need only costs comparisons.
+    """
+    first = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
+    again = first.select(F.col("id").alias("component"), F.col("component").alias("next"))
+    return first.join(again, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+
+
 def block_links(table: pa.Table, needed: list[int], percent: int) -> tuple[list[int], list[int]]:
     """Links of two blocks of a band: rows of lesser components (minor) against rows of any.
 
