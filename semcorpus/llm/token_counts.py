@@ -111,9 +111,16 @@ def count_tokens(docs: DataFrame, counting: Counting, id_col: str = "doc_id", te
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     known = distinct_runs(narrow, "text", counting)
-    top = known.orderBy(F.desc("docs"), "run").limit(held).toArrow()
+    # Sixteen steps to each doubling; the table takes whole steps from the top, as many as it has room for.
+    step = F.floor(F.log2("docs") * 16)
+    least, room = 1 << 30, held
+    for r in sorted(known.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    top = known.where(step >= least).select("run", "pieces").toArrow()
     table = dict(zip(top.column("run").to_pylist(), top.column("pieces").to_pylist()))
-    edge = int(np.min(top.column("docs").to_numpy())) if len(table) == held else 0
     sent = shared(docs.sparkSession, table)
 
     def rows(batches):
@@ -152,7 +159,7 @@ def count_tokens(docs: DataFrame, counting: Counting, id_col: str = "doc_id", te
                 )
 
     parts = narrow.mapInArrow(rows, f"row long, doc_id {kind}, n_bytes long, run string, times long, held long")
-    rest = known.where(F.col("docs") <= edge).select("run", "pieces") if edge else known.where("false").select("run", "pieces")
+    rest = known.where(step < least).select("run", "pieces")
     joined = parts.join(rest, "run", "left")
     total = F.sum(F.col("held") + F.col("times") * F.coalesce("pieces", F.lit(0)))
     sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), total.alias("n_tokens"))
