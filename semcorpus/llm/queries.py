@@ -146,7 +146,8 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_lm_scoring")
 def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return lm_scoring.scored(docs, *lm_scoring.train(docs))
+    counts = lm_scoring.word_counts(docs)
+    return lm_scoring.scored(docs, *lm_scoring.train(docs, counts=counts), counts=counts)
 
 
 @query("op5_embedding_dedup")
