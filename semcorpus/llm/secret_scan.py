@@ -2,17 +2,20 @@
 
 Each text starts a worklist of layers. A layer is searched for secrets, then whatever is encoded in it is decoded
 into further layers: percent escapes, Unicode escapes, base64 runs, and compressed data inside base64. A layer
-already seen at the same place is dropped, so the list ends. Every character of a layer keeps the place in the
-original text that it came from; what is found is reported there.
+already seen at the same place is dropped, so the list ends. Every character of a layer leads back to the place in the
+original text that it came from; what is found is reported there. A run may have other text before it, so base64 is
+decoded from each of its first four characters on, and whatever comes out is searched: bytes that are not UTF-8 stand
+for themselves and hide nothing beside them.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import hashlib
 import re
 import zlib
-from collections import deque
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +33,11 @@ LEAST_VALUE = 6
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Runs go on over line breaks.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+BLANKS = re.compile(r"[ \t\r\n]")
+# No secret, and no code of one, has fewer characters.
+LEAST_LAYER = 12
 # Bytes that one compressed run may grow to; beyond it the run is taken for a decompression bomb and not opened.
 MOST_UNPACKED = 64 << 20
 
@@ -46,58 +53,48 @@ def secrets(text: str) -> list[tuple[int, int, str]]:
 
 
 class Layer:
-    """A decoded text. `begin` and `stop` hold for each character where it came from; None: the text itself."""
+    """A decoded text. `place(a, b)` gives where characters a to b came from in the original text."""
 
-    def __init__(self, text: str, begin: list[int] | None, stop: list[int] | None, path: str):
-        self.text, self.begin, self.stop, self.path = text, begin, stop, path
-
-    def place(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.begin is None else (self.begin[a], self.stop[b - 1])
+    def __init__(self, text: str, place: Callable[[int, int], tuple[int, int]], path: str):
+        self.text, self.place, self.path = text, place, path
 
     def replaced(self, parts: list[tuple[int, int, list[tuple[str, int, int]]]], step: str) -> Layer | None:
         """This layer with each part (from, to, characters with their places in it) put in the place of its code."""
         if not parts:
             return None
-        text, begin, stop, at = [], [], [], 0
+        # Segments by their first character: a decoded character with its code's place, or an unchanged stretch (no stop).
+        text, new, old, at, size = [], [], [], 0, 0
 
-        def keep(a: int, b: int):
-            text.append(self.text[a:b])
-            begin.extend(range(a, b) if self.begin is None else self.begin[a:b])
-            stop.extend(range(a + 1, b + 1) if self.stop is None else self.stop[a:b])
+        def add(chars: str, x: int, y: int | None):
+            nonlocal size
+            if chars:
+                text.append(chars)
+                new.append(size)
+                old.append((x, y))
+                size += len(chars)
 
         for a, b, chars in parts:
-            keep(at, a)
+            add(self.text[at:a], at, None)
             for c, x, y in chars:
-                p, q = self.place(x, y)
-                text.append(c)
-                begin.append(p)
-                stop.append(q)
+                add(c, x, y)
             at = b
-        keep(at, len(self.text))
-        return Layer("".join(text), begin, stop, f"{self.path}{step}")
-
-    def within(self, a: int, b: int, text: str, even: bool, step: str) -> Layer:
-        """What a run decodes to: characters in even steps along the run, or all of them at the whole run."""
-        p, q = self.place(a, b)
-        if not even:
-            return Layer(text, [p] * len(text), [q] * len(text), f"{self.path}{step}")
-        begin, stop, at = [], [], 0
-        for c in text:
-            more = len(c.encode())
-            x, y = a + at * 8 // 6, min(b, a + ((at + more) * 8 - 1) // 6 + 1)
-            p, q = self.place(x, y)
-            begin.append(p)
-            stop.append(q)
-            at += more
-        return Layer(text, begin, stop, f"{self.path}{step}")
-
-
-def printable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        add(self.text[at:], at, None)
+
+        def one(i: int) -> tuple[int, int]:
+            k = bisect_right(new, i) - 1
+            x, y = old[k]
+            return (x + i - new[k], x + i - new[k] + 1) if y is None else (x, y)
+
+        return Layer("".join(text), lambda a, b: self.place(one(a)[0], one(b - 1)[1]), f"{self.path}{step}")
+
+
+def decoded(raw: bytes) -> str:
+    """The bytes as text; each byte that is not UTF-8 becomes a character of its own (a lone surrogate)."""
+    return raw.decode("utf-8", "surrogateescape")
+
+
+def n_bytes(text: str) -> int:
+    return len(text.encode("utf-8", "surrogateescape"))
 
 
 def unescaped_percent(layer: Layer) -> Layer | None:
@@ -149,45 +146,68 @@ def unpacked(raw: bytes) -> bytes | None:
     return out if reader.eof else None
 
 
-def opened(layer: Layer) -> list[Layer]:
-    """The texts in base64 runs, unpacked where they are compressed."""
-    out = []
+def opened(layer: Layer) -> Iterator[Layer]:
+    """The texts in base64 runs at each of the four alignments, unpacked where they are compressed."""
     for m in BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except binascii.Error:
-            continue
-        steps, even = "base64>", True
-        seen = {raw}
-        while (inner := unpacked(raw)) is not None and inner not in seen:
-            raw, steps, even = inner, f"{steps}compressed>", False
-            seen.add(raw)
-        text = printable(raw)
-        if text:
-            out.append(layer.within(m.start(), m.end(), text, even, steps))
-    return out
+        run, at, spots = m.group().rstrip("="), m.start(), None
+        if BLANKS.search(run):
+            spots = [i for i, c in enumerate(run) if c not in " \t\r\n"]
+            run = "".join([run[i] for i in spots])
+        run = run.replace("-", "+").replace("_", "/")
+        for k in range(4):
+            body = run[k : len(run) - ((len(run) - k) % 4 == 1)]
+            if len(body) * 6 // 8 < LEAST_LAYER:
+                break
+            raw = base64.b64decode(body + "=" * (-len(body) % 4))
+            text = decoded(raw)
+
+            def place(a: int, b: int, at=at, k=k, spots=spots, text=text, most=len(body)) -> tuple[int, int]:
+                x = n_bytes(text[:a])
+                y = x + n_bytes(text[a:b])
+                first, last = k + x * 8 // 6, k + min(most, (y * 8 - 1) // 6 + 1) - 1
+                return layer.place(at + (spots[first] if spots else first), at + (spots[last] if spots else last) + 1)
+
+            yield Layer(text, place, f"{layer.path}base64>")
+            steps, seen = "base64>", {raw}
+            while (inner := unpacked(raw)) is not None and inner not in seen:
+                raw, steps = inner, f"{steps}compressed>"
+                seen.add(raw)
+            if len(seen) > 1:
+                whole = layer.place(*m.span())
+                yield Layer(decoded(raw), lambda a, b, whole=whole: whole, f"{layer.path}{steps}")
+
+
+def deeper(layer: Layer) -> Iterator[Layer]:
+    """The layers directly within one."""
+    yield from opened(layer)
+    if "%" in layer.text and (new := unescaped_percent(layer)):
+        yield new
+    if "\\" in layer.text and (new := unescaped_unicode(layer)):
+        yield new
 
 
 def scan(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, begin, stop, layer) of every secret by place and kind. `layer` is empty in the text itself, else the decodings."""
     found: dict[tuple[int, int, str], str] = {}
-    work, seen = deque([Layer(text, None, None, "")]), set()
+    # Layers within layers one at a time, so that few are held.
+    work, seen = [iter([Layer(text, lambda a, b: (a, b), "")])], set()
     while work:
-        layer = work.popleft()
-        place = (0, len(text)) if layer.begin is None else (layer.begin[0], layer.stop[-1])
-        if (layer.text, place) in seen:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if len(layer.text) < LEAST_LAYER:
+            continue
+        key = layer.text if len(layer.text) <= 256 else hashlib.blake2b(layer.text.encode("utf-8", "surrogateescape")).digest()
+        key = (key, layer.place(0, len(layer.text)))
+        if key in seen:
             continue
-        seen.add((layer.text, place))
+        seen.add(key)
         for a, b, kind in secrets(layer.text):
-            found.setdefault((*layer.place(a, b), kind), layer.path)
-        if "%" in layer.text and (new := unescaped_percent(layer)):
-            work.append(new)
-        if "\\" in layer.text and (new := unescaped_unicode(layer)):
-            work.append(new)
-        work.extend(opened(layer))
+            spot = (*layer.place(a, b), kind)
+            if spot not in found or found[spot].count(">") > layer.path.count(">"):
+                found[spot] = layer.path
+        work.append(deeper(layer))
     order = sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
     return [(kind, a, b, found[a, b, kind]) for a, b, kind in order]
 

@@ -82,3 +82,39 @@ def test_redaction_counts_anew(spark):
     df = spark.createDataFrame([(1, "a password=hunter2000 b", 23), (2, "plain", 99)], "doc_id long, text string, n_chars long")
     rows = {r["doc_id"]: r for r in secret_scan.redacted(df).collect()}
     assert rows[1]["text"] == "a [REDACTED] b" and rows[1]["n_chars"] == 14 and rows[2]["n_chars"] == 99
+
+
+SECRET = "password=hunter2000"
+
+
+def covered(text, hint="base64>"):
+    """The stretches of the text in which an encoded assignment was found."""
+    return [text[a:b] for kind, a, b, layer in secret_scan.scan(text) if kind == "assign" and hint in layer]
+
+
+@pytest.mark.parametrize("odd_one", ["\u00a0", "\u3000", "\u200b", "\ufeff", "\f", "\0", b"\xff", b"\xe3\x80"])
+def test_one_odd_character_hides_nothing(odd_one):
+    odd_one = odd_one if isinstance(odd_one, bytes) else odd_one.encode()
+    raw = b"some text " + odd_one + SECRET.encode() + odd_one + b"more text"
+    code = base64.b64encode(raw).decode()
+    (found,) = covered(f"see {code} end")
+    at = code.index(found)
+    assert SECRET.encode() in base64.b64decode(code[at // 4 * 4 : -(-(at + len(found)) // 4) * 4])
+    assert covered(f"see {base64.b64encode(gzip.compress(raw * 50)).decode()} end", "compressed>")
+
+
+@pytest.mark.parametrize("before", ["https://h.example/reset/", "GET /cb/", "sess-", "a_", "x", "ab", "abc", "q/"])
+@pytest.mark.parametrize("padding", ["", "=", "== and so on", "/next/path"])
+def test_base64_after_other_text(before, padding):
+    code = base64.b64encode(f"user {SECRET}!".encode()).decode().rstrip("=")
+    text = f"go {before}{code}{padding}"
+    (found,) = covered(text)
+    assert found in code and len(found) <= len(SECRET) * 8 // 6 + 2
+
+
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\n    "])
+def test_wrapped_base64_is_one_run(line):
+    code = base64.b64encode(f"{'filler ' * 7}{SECRET} and {'filler ' * 20}".encode()).decode()
+    text = "see\n" + line.join(code[i : i + 76] for i in range(0, len(code), 76)) + "\nend"
+    (found,) = covered(text)
+    assert line in found and len(found.replace(line, "")) <= len(SECRET) * 8 // 6 + 2
