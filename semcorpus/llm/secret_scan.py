@@ -1,7 +1,7 @@
 """Secret scan that unwraps nested encodings.
 
 Each text starts a worklist of layers. A layer is searched for secrets, then whatever is encoded in it is decoded
-into further layers: percent escapes, Unicode escapes, base64 runs, and compressed data inside base64. A layer
+into further layers: percent escapes, Unicode escapes, base64 runs, and compressed data inside any of them. A layer
 already seen at the same place is dropped, so the list ends. Every character of a layer leads back to the place in the
 original text that it came from; what is found is reported there. A run may have other text before it, so base64 is
 decoded from each of its first four characters on, and whatever comes out is searched: bytes that are not UTF-8 stand
@@ -15,7 +15,8 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +39,17 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9+
 BLANKS = re.compile(r"[ \t\r\n]")
 # No secret, and no code of one, has fewer characters.
 LEAST_LAYER = 12
-# Bytes that one compressed run may grow to; beyond it the run is taken for a decompression bomb and not opened.
-MOST_UNPACKED = 64 << 20
+# Where gzip or zlib data may begin.
+HEADER = re.compile(b"\x1f\x8b\x08|" + b"|".join(re.escape(bytes([c, f])) for c in range(8, 128, 16) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 32), re.S)
+# Stretches that may hold bytes written as percent escapes, and as the escapes of a string literal.
+URL_BYTES = re.compile(r'[^\s"<>]+')
+LITERAL_BYTES = re.compile(
+    r"""(?<=")x?\\(?:x|u00)[0-9A-Fa-f]{2}(?:\\.|[^\\"\r\n])*|(?<=')x?\\(?:x|u00)[0-9A-Fa-f]{2}(?:\\.|[^\\'\r\n])*|x?\\(?:x|u00)[0-9A-Fa-f]{2}(?:\\.|[^\\\r\n])*"""
+)
+LITERAL = re.compile(rb"""\\(?:(?:x|u00)([0-9A-Fa-f]{2})|([abfnrtv0\\'"]))""")
+NAMED = dict(zip(b"abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\""))
+# Unpacked data is searched in windows of so many bytes that share `OVERLAP`; data is read and written in small portions.
+WINDOW, OVERLAP, READ, WRITTEN = 64 << 20, 1 << 20, 4096, 1 << 20
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("layer", T.StringType())])
 
@@ -53,10 +63,10 @@ def secrets(text: str) -> list[tuple[int, int, str]]:
 
 
 class Layer:
-    """A decoded text. `place(a, b)` gives where characters a to b came from in the original text."""
+    """A decoded text. `place(a, b)` gives where characters a to b came from in the original text; `raw` are its bytes if it was made of any."""
 
-    def __init__(self, text: str, place: Callable[[int, int], tuple[int, int]], path: str):
-        self.text, self.place, self.path = text, place, path
+    def __init__(self, text: str, place: Callable[[int, int], tuple[int, int]], path: str, raw: bytes = b""):
+        self.text, self.place, self.path, self.raw = text, place, path, raw
 
     def replaced(self, parts: list[tuple[int, int, list[tuple[str, int, int]]]], step: str) -> Layer | None:
         """This layer with each part (from, to, characters with their places in it) put in the place of its code."""
@@ -134,16 +144,81 @@ def unescaped_unicode(layer: Layer) -> Layer | None:
     return new if new and new.text != layer.text else None
 
 
-def unpacked(raw: bytes) -> bytes | None:
-    """gzip or zlib data opened; None if it is neither."""
-    if raw[:2] != b"\x1f\x8b" and (len(raw) < 2 or raw[0] & 15 != 8 or (raw[0] << 8 | raw[1]) % 31):
-        return None
-    reader = zlib.decompressobj(47)
+def salvaged(reader, piece: bytes) -> bytes:
+    """What a reader gives before the damage in a piece."""
+    out = bytearray()
     try:
-        out = reader.decompress(raw, MOST_UNPACKED)
+        for i in range(len(piece)):
+            out += reader.decompress(piece[i : i + 1])
     except zlib.error:
-        return None
-    return out if reader.eof else None
+        pass
+    return bytes(out)
+
+
+def windows(raw: bytes, at: int) -> Generator[bytes, None, int]:
+    """The data of the gzip members or the zlib stream at `at`, also of one that is damaged or cut off. Returns where to look on."""
+    reader, done, tail, held, new = zlib.decompressobj(47), at + 1, b"", bytearray(), 0
+    while True:
+        piece = tail or raw[at : at + READ]
+        before = reader.copy()
+        try:
+            got = reader.decompress(piece, WRITTEN)
+        except zlib.error:
+            got, piece = salvaged(before, piece), None
+        held += got
+        new += len(got)
+        if len(held) >= WINDOW:
+            yield bytes(held)
+            del held[: max(0, len(held) - OVERLAP)]
+            new = 0
+        if piece is None:
+            break
+        at += 0 if tail else len(piece)
+        tail = reader.unconsumed_tail
+        if reader.eof:
+            done = at = at - len(reader.unused_data)
+            if raw[at : at + 2] != b"\x1f\x8b":
+                break
+            reader, tail = zlib.decompressobj(31), b""
+        elif not piece and not got:
+            break
+    if new:
+        yield bytes(held)
+    return done
+
+
+def unpacked(raw: bytes, path: str, place: tuple[int, int]) -> Iterator[Layer]:
+    """The texts of all gzip and zlib data in some bytes; their characters stand at the whole run."""
+    at = 0
+    while m := HEADER.search(raw, at):
+        at = m.start()
+        stream = windows(raw, at)
+        while True:
+            try:
+                data = next(stream)
+            except StopIteration as end:
+                at = end.value
+                break
+            if len(data) >= LEAST_LAYER:
+                yield Layer(decoded(data), lambda a, b: place, f"{path}compressed>", data)
+
+
+def escaped_bytes(layer: Layer) -> Iterator[Layer]:
+    """What is compressed in bytes written as percent escapes or as those of a string literal."""
+    if "%" in layer.text:
+        for m in URL_BYTES.finditer(layer.text):
+            if "%" in m.group():
+                run = m.group().encode("utf-8", "surrogateescape")
+                for code in {run, run.replace(b"+", b" ")}:
+                    raw = unquote_to_bytes(code)
+                    if HEADER.search(raw):
+                        yield from unpacked(raw, f"{layer.path}url>", layer.place(*m.span()))
+    if "\\x" in layer.text or "\\u00" in layer.text:
+        for m in LITERAL_BYTES.finditer(layer.text):
+            run = m.group().encode("utf-8", "surrogateescape")
+            raw = LITERAL.sub(lambda e: bytes([int(e[1], 16) if e[1] else NAMED[e[2][0]]]), run)
+            if HEADER.search(raw):
+                yield from unpacked(raw, f"{layer.path}unicode>", layer.place(*m.span()))
 
 
 def opened(layer: Layer) -> Iterator[Layer]:
@@ -168,18 +243,16 @@ def opened(layer: Layer) -> Iterator[Layer]:
                 return layer.place(at + (spots[first] if spots else first), at + (spots[last] if spots else last) + 1)
 
             yield Layer(text, place, f"{layer.path}base64>")
-            steps, seen = "base64>", {raw}
-            while (inner := unpacked(raw)) is not None and inner not in seen:
-                raw, steps = inner, f"{steps}compressed>"
-                seen.add(raw)
-            if len(seen) > 1:
-                whole = layer.place(*m.span())
-                yield Layer(decoded(raw), lambda a, b, whole=whole: whole, f"{layer.path}{steps}")
+            if HEADER.search(raw):
+                yield from unpacked(raw, f"{layer.path}base64>", layer.place(*m.span()))
 
 
 def deeper(layer: Layer) -> Iterator[Layer]:
     """The layers directly within one."""
+    if layer.raw:
+        yield from unpacked(layer.raw, layer.path, layer.place(0, len(layer.text)))
     yield from opened(layer)
+    yield from escaped_bytes(layer)
     if "%" in layer.text and (new := unescaped_percent(layer)):
         yield new
     if "\\" in layer.text and (new := unescaped_unicode(layer)):

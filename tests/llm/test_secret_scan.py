@@ -118,3 +118,47 @@ def test_wrapped_base64_is_one_run(line):
     text = "see\n" + line.join(code[i : i + 76] for i in range(0, len(code), 76)) + "\nend"
     (found,) = covered(text)
     assert line in found and len(found.replace(line, "")) <= len(SECRET) * 8 // 6 + 2
+
+
+LOG = "".join(f"{i * 7919 % 10007} line {i}\n" for i in range(400))
+
+
+def test_windows_of_unpacked_data(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 20000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 500)
+    monkeypatch.setattr(secret_scan, "WRITTEN", 1000)
+    for at in (10, 19995, 20000, 150000, 299990):
+        log = ("a b " * 75000)[:at] + f" {SECRET} " + ("c d " * 75000)[at:]
+        code = base64.b64encode(gzip.compress(log.encode())).decode()
+        assert covered(f"see {code} end") == [code], at
+
+
+def test_all_members_and_what_is_left_of_a_stream():
+    parts = [gzip.compress(t.encode()) for t in (LOG, LOG + SECRET[:8], SECRET[8:] + LOG)]
+    code = base64.b64encode(b"".join(parts)).decode()
+    assert covered(f"see {code} end") == [code]
+    code = base64.b64encode(gzip.compress(f"{SECRET} {LOG}".encode())[:-900]).decode()
+    assert covered(f"see {code} end") == [code]
+    damaged = bytearray(gzip.compress(f"{SECRET} {LOG}".encode()))
+    damaged[-8:] = bytes(8)
+    code = base64.b64encode(damaged).decode()
+    assert covered(f"see {code} end") == [code]
+    code = base64.b64encode(zlib.compress(f"{SECRET} {LOG}".encode())).decode().rstrip("=")
+    assert covered(f"GET /cb/{code}")[0].endswith(code)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress])
+def test_compressed_bytes_in_escapes(pack):
+    raw = pack(f"{SECRET} {LOG}".encode())
+    for code in (urllib.parse.quote(raw, safe=""), urllib.parse.quote_plus(raw), "".join(f"%{c:02x}" for c in raw)):
+        assert any(code in x for x in covered(f"see {code} end", "url>compressed>"))
+    for code in (repr(raw), "".join(f"\\x{c:02x}" for c in raw), '"' + "".join(f"\\u{c:04x}" for c in raw) + '"'):
+        (found,) = covered(f"see {code}\nend", "compressed>")
+        assert found.strip("'\"") in code and len(found) >= len(code) - 3
+
+
+def test_data_that_unpacks_to_itself_ends():
+    raw = b"x" * 100
+    for _ in range(20):
+        raw = gzip.compress(raw)
+    secret_scan.scan(base64.b64encode(raw).decode() + " " + "x\\x9c" * 2000 + " " + "%78%9c" * 2000 + " " + "VVVV" * 2000)
