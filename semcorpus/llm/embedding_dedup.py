@@ -1,6 +1,6 @@
 """Near-equal vectors through an inverted index with product quantisation.
 
-1. Equal vectors form one class; only the smallest id of a class is compared.
+1. Equal vectors form one class; only the smallest id of a class is compared. Vectors of each length make an index of their own.
 2. k-means on a bounded sample gives the lists; codebooks per subspace are trained on the sample's residuals.
    Every vector is indexed: its list, its residual's codes, and the length that the codes leave out.
 3. A vector also visits the lists beyond its own whose border lies so near that a partner could be there.
@@ -163,8 +163,8 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     Vectors are linked if their cosine is at least `least`. `n_links` counts the rows directly linked, `component_id` is the
     smallest id reachable and `kept` marks it. Vectors that are null, empty, zero, or hold null or non-finite components link
-    with nothing, nor do those without an id or of another length than most. Rows that repeat an id count as further copies.
-    Equal vectors are linked. An empty table gives an empty result. All pairs found are exact; which pairs are found depends on the
+    with nothing, nor do those without an id. Vectors of every length are compared, with those of their length. Rows that
+    repeat an id count as further copies, of vectors of one length. Equal vectors are linked. An empty table gives an empty result. All pairs found are exact; which pairs are found depends on the
     lists visited (see the README for the recall).
     """
     narrow = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -177,17 +177,18 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.binary()), pa.array(raw, pa.binary())], names=["id", "key", "vector"])
 
     units = cut(narrow.mapInArrow(prepare, "id long, key binary, vector binary"))
-    some = units.where("key is not null and id is not null").withColumn("size", F.octet_length("vector"))
-    sizes = some.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
-    classes = some.where(F.col("size") == (sizes[0]["size"] if sizes else 0)).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
-    classes = cut(classes)
-    n = classes.count()
-    if n > 1:
-        found, counts = _search(classes, n, least, sample, per_list)
-    else:
-        spark = vectors.sparkSession
-        found, counts = spark.createDataFrame([], "id long, component long"), spark.createDataFrame([], "id long, links long")
-    named = classes.select("key", F.col("id").alias("rep"), "weight").join(found.withColumnRenamed("id", "rep"), "rep", "left").join(counts.withColumnRenamed("id", "rep"), "rep", "left")
+    some = units.where("key is not null and id is not null")
+    classes = cut(some.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")).withColumn("size", F.octet_length("vector")))
+    # A row for each length of vectors: as many as there are embedding models.
+    sizes = sorted((r["size"], r["count"]) for r in classes.groupBy("size").count().collect())
+    spark = vectors.sparkSession
+    found, counts = spark.createDataFrame([], "rep long, component long, size int"), spark.createDataFrame([], "rep long, links long, size int")
+    for size, n in sizes:
+        if n > 1:
+            joined, linked = _search(classes.where(F.col("size") == size).drop("size"), n, least, sample, per_list)
+            found = found.unionByName(joined.withColumnRenamed("id", "rep").withColumn("size", F.lit(size)))
+            counts = counts.unionByName(linked.withColumnRenamed("id", "rep").withColumn("size", F.lit(size)))
+    named = classes.select("key", "size", F.col("id").alias("rep"), "weight").join(found, ["size", "rep"], "left").join(counts, ["size", "rep"], "left")
     both = units.select("id", "key").join(named, "key", "left")
     # A row without an id shares its vector's class only by chance; it stays alone.
     own = F.col("id").isNotNull()

@@ -59,3 +59,16 @@ def test_odd_rows(spark):
         assert [tuple(found[i][0])] == [(i, 0, i, True)]
     assert [tuple(r) for r in found[None]] == [(None, 0, None, True)]
     assert embedding_dedup.linked_vectors(df.where("false")).count() == 0
+
+
+def test_vectors_of_every_length_are_compared(spark):
+    """Three models in one table; ids of the second repeat some of the first without linking through them."""
+    first, second, third = made(400, 16, 3), made(200, 24, 4), {7000 + i: [1.0, float(i // 2)] for i in range(6)}
+    second = {(i if i % 5 == 0 else 5000 + i): v for i, v in second.items()}
+    rows = [(i, v) for part in (first, second, third) for i, v in part.items()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = embedding_dedup.linked_vectors(df.where("vec_id < 7000"), per_list=10**6).collect()
+    want = [(i, *x, x[1] == i) for part in (first, second) for i, x in expected(part, 0.95).items()]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    got = by_id(embedding_dedup.linked_vectors(df, least=0.999, per_list=10**6).where("vec_id >= 7000"), "vec_id")
+    assert {i: tuple(r[0])[1:] for i, r in got.items()} == {i: (1, i // 2 * 2, i % 2 == 0) for i in third}
