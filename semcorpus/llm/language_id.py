@@ -21,9 +21,9 @@ from semcorpus.llm.words import mix
 
 LONGEST = 4
 UNKNOWN = "und"
-# The classifier is fitted on about this many labelled texts, chosen by a hash of the id.
+# The classifier is fitted on about this many labelled texts of each language, chosen by a hash of the id.
 TRAINING_ROWS = 10_000
-# Entries kept for words and for each n-gram length; each costs 8 bytes and 4 more per language in every task.
+# Entries that each language keeps for words and for each n-gram length; each costs 8 bytes and 4 more per language in every task.
 ENTRIES = 40_000
 SMOOTHING = 0.1
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -180,24 +180,38 @@ def _counted(batches):
 
 
 def train(labelled: DataFrame, text_col: str, lang_col: str, key: Column, max_rows: int = TRAINING_ROWS, entries: int = ENTRIES) -> Model:
-    """Fit on about `max_rows` of the rows with a text and a language, chosen by a hash of `key`.
+    """Fit on about `max_rows` of the rows of each language, chosen by a hash of `key`; a language with fewer takes part whole.
 
-    Counts are summed in Spark; the driver gets `entries` of the most frequent words and as many n-grams of
-    each length, with one count per language. Without labelled rows the model knows no language.
+    Counts are summed in Spark; the driver gets about `entries` of the most frequent words of each language and as many
+    n-grams of each length, with one count per language. Without labelled rows the model knows no language.
     """
     have = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     pick = F.xxhash64(F.lit("training"), key)
-    rows = have.count()
-    if rows > max_rows:
-        have = have.where(F.pmod(pick, F.lit(1_000_000)) < int(1_000_000 * max_rows / rows))
+    spark = labelled.sparkSession
+    many = [(r[0], max_rows / r[1]) for r in have.groupBy(lang_col).count().collect() if r[1] > max_rows]
+    if many:
+        # A row for each language with more than its share.
+        share = F.broadcast(spark.createDataFrame(many, "_many string, _share double"))
+        place = F.pmod(pick, F.lit(1_000_000_000)) / 1_000_000_000
+        have = have.join(share, F.col(lang_col) == F.col("_many"), "left").where(F.col("_share").isNull() | (place < F.col("_share")))
     parts = have.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).mapInArrow(_counted, "lang string, n int, gram long, c long")
     sums = parts.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     both = sums.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by")).where("total > 1").persist()
-    top = None
-    for n in range(LONGEST + 1):
-        part = both.where(F.col("n") == n).orderBy(F.desc("total"), "gram").limit(entries)
-        top = part if top is None else top.union(part)
-    got = top.select("n", "gram", F.explode("by").alias("b")).select("n", "gram", "b.lang", "b.c").toArrow()
+    each = both.select("n", "gram", F.explode("by").alias("b")).select("n", "gram", "b.lang", "b.c")
+    # Sixteen steps to each doubling; whole steps from the top, and of the last one the share that there is room for.
+    step = F.floor(F.log2("c") * 16)
+    room, least = {}, {}
+    for r in sorted(each.groupBy("n", "lang", step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        k = r["n"], r["lang"]
+        left = room.setdefault(k, entries)
+        if left > 0:
+            least[k] = r["step"], min(1.0, left / r["count"])
+            room[k] = left - r["count"]
+    cuts = F.broadcast(spark.createDataFrame([(*k, *v) for k, v in least.items()], "n int, lang string, least long, share double"))
+    place = F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) / 1_000_000
+    keep = (step > F.col("least")) | ((step == F.col("least")) & (place < F.col("share")))
+    kept = each.join(cuts, ["n", "lang"]).groupBy("n", "gram").agg(F.max(keep).alias("keep"), F.collect_list(F.struct("lang", "c")).alias("by")).where("keep")
+    got = kept.select("n", "gram", F.explode("by").alias("b")).select("n", "gram", "b.lang", "b.c").toArrow()
     both.unpersist()
     languages = sorted(set(got.column("lang").to_pylist()))
     number = {x: i for i, x in enumerate(languages)}

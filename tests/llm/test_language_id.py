@@ -58,3 +58,20 @@ def test_words_are_runs_of_letters():
     words = language_id.spelled(pa.array(["Ab1cd É", None, "", "日本 x_y"]))
     assert words.counts.tolist() == [3, 0, 0, 3]
     assert "".join(map(chr, words.code[words.begin[2] : words.stop[2]])) == "é"
+
+
+def test_rare_languages_are_learned(spark):
+    """A language with three rows beside thousands, whose words are rarer than all of the large one's."""
+    import pyarrow as pa
+
+    large = [(i, " ".join(f"{a}{b}ka" for a in "bdfgm" for b in "aeiou"), "xx") for i in range(3000)]
+    rare = [(5000 + i, "zûrýq zîwŷt qûzŵy", "zz") for i in range(3)]
+    df = spark.createDataFrame(large + rare, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(df, "text", "lang", F.col("doc_id"), max_rows=50, entries=20)
+    assert model.languages == ["xx", "zz"]
+    found = by_id(language_id.identified(spark.createDataFrame([(1, "zîwŷt zûrýq"), (2, "baka deka mika")], "doc_id long, text string"), model))
+    assert [found[i][0]["lang_pred"] for i in (1, 2)] == ["zz", "xx"]
+    # Its words are kept as words, beside no more than `entries` of each language.
+    assert 3 < len(model.keys[0]) <= 2 * 20 + 5
+    known = language_id.spelled(pa.array(["zîwŷt"])).hash
+    assert language_id.lookup(model, 0, known)[0] >= 0
