@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from semcorpus.llm import byte_bpe, decontaminate, embedding_dedup, language_id, lm_scoring, minhash_dedup, secret_scan, token_counts, toxicity, url_filter
+from semcorpus.llm import byte_bpe, conversation_repair, decontaminate, embedding_dedup, language_id, lm_scoring, minhash_dedup, secret_scan, token_counts, toxicity, url_filter
 from semcorpus.llm.batches import few_rows, fold, small_batches
 from semcorpus.plans.registry import Query
 
@@ -155,4 +155,14 @@ def op5_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.linked_vectors(table(spark, sf, "embeddings"), least=0.95)
 
 
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    talks = table(spark, sf, "conversations")
+    found = conversation_repair.reports(conversation_repair.damaged(talks)).withColumnRenamed("conv_id", "c")
+    ids = talks.select("conv_id").distinct()
+    found = ids.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return found.select("conv_id", *[F.coalesce(c, none.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns[1:]])
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
