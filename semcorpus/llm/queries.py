@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from semcorpus.llm import byte_bpe, conversation_repair, decontaminate, embedding_dedup, language_id, lm_scoring, minhash_dedup, secret_scan, token_counts, toxicity, url_filter
+from semcorpus.llm import byte_bpe, collocations, conversation_repair, decontaminate, embedding_dedup, language_id, lm_scoring, minhash_dedup, oracles, pii, secret_scan, token_counts, toxicity, url_filter
 from semcorpus.llm.batches import few_rows, fold, small_batches
 from semcorpus.plans.registry import Query
 
@@ -155,7 +155,7 @@ def op5_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.linked_vectors(table(spark, sf, "embeddings"), least=0.95)
 
 
-@query("op11_conversation_repair")
+@query("op11_conversation_repair", oracles.OP11)
 def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     talks = table(spark, sf, "conversations")
     found = conversation_repair.reports(conversation_repair.damaged(talks)).withColumnRenamed("conv_id", "c")
@@ -165,4 +165,17 @@ def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("conv_id", *[F.coalesce(c, none.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns[1:]])
 
 
+@query("op12_collocations", oracles.OP12)
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query("op13_pii")
+def op13_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.scanned(table(spark, sf, "documents"))
+    found = found.withColumn("base", F.filter("spans", lambda s: s["plain"]))
+    count = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *count, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
