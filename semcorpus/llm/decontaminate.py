@@ -34,13 +34,13 @@ class Block(NamedTuple):
     names: list
 
 
-def block_of(rows: list[tuple[str, str]], window: int) -> Block | None:
-    """The items of one block, or None if no item has a word."""
+def block_of(rows: list[tuple[str | None, str]], window: int) -> Block | None:
+    """The items of one block, or None if no item has a word. An item without an id has windows and no name."""
     found = words(pa.array([t for _, t in rows], pa.string()), ALPHANUMERIC)
     if not len(found.hash):
         return None
     vocabulary, number = np.unique(found.hash, return_inverse=True)
-    names = sorted({n for n, _ in rows})
+    names = sorted({n for n, _ in rows if n is not None})
     place = {n: i for i, n in enumerate(names)}
     numbers, queries, at, k = [], {}, 0, 0
     for (name, _), count in zip(rows, found.counts):
@@ -48,7 +48,9 @@ def block_of(rows: list[tuple[str, str]], window: int) -> Block | None:
         k += count
         size = min(window, int(count))
         for i in range(int(count) - size + 1 if count else 0):
-            queries.setdefault(item[i : i + size].tobytes(), (at + i, size, set()))[2].add(place[name])
+            owned = queries.setdefault(item[i : i + size].tobytes(), (at + i, size, set()))[2]
+            if name is not None:
+                owned.add(place[name])
         numbers.append(np.append(item, np.int32(0)))
         at += int(count) + 1
     begin, length, owners = zip(*queries.values())
@@ -172,9 +174,9 @@ def search(texts: pa.Array, block: Block, window: int) -> tuple[np.ndarray, dict
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int):
-    """The items, a block of bounded size at a time. Rows without an id or a text are left out."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).dropna().distinct()
-    part: list[tuple[str, str]] = []
+    """The items, a block of bounded size at a time. Rows without a text are left out."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
+    part: list[tuple[str | None, str]] = []
     size = 0
     for row in rows.toLocalIterator():
         part.append((row["i"], row["t"]))
@@ -192,7 +194,8 @@ def mark(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
     The struct: `n_words`; `n_hit` words inside an occurrence of a window; `longest` verbatim match in words;
     `items` with occurring windows, sorted; `spans` of hit words. A window is `window` consecutive words of an
     item, or the whole of a shorter one. Null and empty texts have no words and no hits; an empty benchmark hits
-    nothing; repeated rows each get their own result.
+    nothing; repeated rows each get their own result. Words of an item without an id are hit like any other; it is not among
+    `items`, as it has no name.
     """
     spark = df.sparkSession
     name = free_name(df, "_shared")

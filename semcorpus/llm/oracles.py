@@ -127,3 +127,46 @@ ranked AS (
   FROM best b JOIN totals t ON t.lang = b.lang LEFT JOIN chains c ON c.lang = b.lang AND c.phrase = b.phrase
   LEFT JOIN sizes s ON s.lang = c.lang AND s.head = c.head WHERE o = 1)
 SELECT * FROM ranked WHERE rank <= 2000"""
+
+
+_REACH = """, reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a)"""
+
+OP5 = f"""
+WITH RECURSIVE vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (SELECT * FROM vecs WHERE list_aggregate(list_transform(e, lambda x: CASE WHEN isfinite(x) THEN x * x END), 'sum') > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95){_REACH},
+degree AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(c, vec_id), vec_id) AS component_id,
+  vec_id = coalesce(least(c, vec_id), vec_id) AS kept
+FROM vecs LEFT JOIN degree d ON d.id = vec_id LEFT JOIN least l ON l.id = vec_id"""
+
+OP6 = f"""
+WITH RECURSIVE lists AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+spots AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM lists WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM spots),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON y.s = x.s AND y.doc_id <> x.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)){_REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(c, d.doc_id), d.doc_id) AS component_id,
+  d.doc_id = coalesce(least(c, d.doc_id), d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN least l ON l.id = d.doc_id"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), '{u}', '{l}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(u=UPPER, l=LOWER)
+OP10 = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, row_number() OVER () AS k, {_WORDS} AS w FROM benchmark),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM docs),
+asked AS (SELECT k, len(w) AS n, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM items),
+meets AS (SELECT doc_id, k, n, i, i - j AS diagonal FROM words JOIN asked USING (x)),
+numbered AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, k, diagonal ORDER BY i) AS run FROM meets),
+runs AS (SELECT doc_id, k, min(i) AS a, max(i) AS b FROM numbered GROUP BY doc_id, k, diagonal, run, n HAVING count(*) >= least(10, n)),
+hit AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM runs) h GROUP BY doc_id),
+held AS (SELECT doc_id, max(b - a + 1) AS longest FROM runs GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS said FROM (
+  SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM runs JOIN items USING (k) WHERE item_id IS NOT NULL) m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items,
+  sha256(coalesce(said, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM docs d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN held l ON l.doc_id = d.doc_id LEFT JOIN names m ON m.doc_id = d.doc_id"""

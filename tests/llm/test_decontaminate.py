@@ -66,9 +66,19 @@ def test_long_items_are_not_cut(spark):
 def test_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "lorem ipsum dolor sit amet lorem ipsum dolor sit amet"), (None, "one two")], "item_id long, text string")
     found = by_id(decontaminate.shared_words(odd, bench))
-    assert found[1][0]["n_words"] == 0 and found[5][0]["n_hit"] == 40000 and found[4][0]["n_hit"] == 0
+    assert found[1][0]["n_words"] == 0 and found[5][0]["n_hit"] == 40000 and found[4][0]["n_hit"] == 2
     assert len(found[6]) == 2 and len(found[None]) == 1
     kept = decontaminate.decontaminated(odd, bench)
     assert kept.columns == odd.columns and kept.count() == 9
     assert decontaminate.shared_words(none, bench).count() == 0
     assert decontaminate.decontaminated(odd, bench.where("false")).count() == 10
+
+
+def test_items_without_an_id(spark):
+    """Their words are hit; they have no name."""
+    words_ = " ".join(f"k{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"a {words_} b"), (2, "short one here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, words_), (None, "one"), (7, "short")], "item_id long, text string")
+    found = by_id(decontaminate.shared_words(docs, bench))
+    assert (found[1][0]["n_hit"], found[1][0]["items"]) == (14, [])
+    assert (found[2][0]["n_hit"], found[2][0]["items"]) == (2, ["7"])

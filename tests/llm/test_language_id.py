@@ -67,11 +67,78 @@ def test_rare_languages_are_learned(spark):
     large = [(i, " ".join(f"{a}{b}ka" for a in "bdfgm" for b in "aeiou"), "xx") for i in range(3000)]
     rare = [(5000 + i, "zûrýq zîwŷt qûzŵy", "zz") for i in range(3)]
     df = spark.createDataFrame(large + rare, "doc_id long, text string, lang string").repartition(3)
-    model = language_id.train(df, "text", "lang", F.col("doc_id"), max_rows=50, entries=20)
+    model = language_id.train(df, "text", "lang", F.col("doc_id"), max_rows=100, least_rows=3)
     assert model.languages == ["xx", "zz"]
     found = by_id(language_id.identified(spark.createDataFrame([(1, "zîwŷt zûrýq"), (2, "baka deka mika")], "doc_id long, text string"), model))
     assert [found[i][0]["lang_pred"] for i in (1, 2)] == ["zz", "xx"]
-    # Its words are kept as words, beside no more than `entries` of each language.
-    assert 3 < len(model.keys[0]) <= 2 * 20 + 5
+    # Its words are kept as words.
     known = language_id.spelled(pa.array(["zîwŷt"])).hash
-    assert language_id.lookup(model, 0, known)[0] >= 0
+    assert language_id.lookup(model.counts[0], known)[0] >= 0
+
+
+def test_every_word_of_the_sample_is_kept(spark):
+    """Words that occur once decide, however many there are."""
+    import pyarrow as pa
+
+    words = ["".join("abcdefghij"[int(c)] for c in f"{i:06d}") for i in range(45_000)]
+    df = spark.createDataFrame([(0, " ".join(words), "xx"), (1, "qq", "yy")], "doc_id long, text string, lang string")
+    model = language_id.train(df, "text", "lang", F.col("doc_id"))
+    some = language_id.spelled(pa.array(words[::7])).hash
+    assert (language_id.lookup(model.counts[0], some) >= 0).all()
+
+
+def expected(rows, text):
+    """Language and score by the definition, in dictionaries."""
+    import math
+    import re
+
+    runs = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    langs = sorted({x for _, x in rows})
+    count = [{} for _ in range(5)]
+    for t, x in rows:
+        for w in runs(t):
+            for n in range(5):
+                for g in [w] if n == 0 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]:
+                    count[n].setdefault(g, dict.fromkeys(langs, 0))[x] += 1
+    total = [{x: sum(c[x] for c in k.values()) + 0.1 * max(1, len(k)) for x in langs} for k in count]
+    log = lambda n, g, x: math.log((count[n][g][x] + 0.1) / total[n][x])
+    sums, mean, seen = dict.fromkeys(langs, 0.0), dict.fromkeys(langs, 0.0), runs(text)
+    for w in seen:
+        word = dict.fromkeys(langs, 0.0)
+        full = f" {w} "
+        for x in langs:
+            if w in count[0]:
+                word[x] = log(0, w, x)
+                continue
+            for i in range(len(full)):
+                fits = [full[i : i + n] for n in (4, 3, 2, 1) if i + n <= len(full) and full[i : i + n] in count[n]]
+                word[x] += log(len(fits[0]), fits[0], x) / len(fits[0]) if fits else math.log(0.1) + math.log(0.1 / total[1][x])
+        top = max(word.values())
+        odds = {x: math.exp(v - top) for x, v in word.items()}
+        for x in langs:
+            sums[x] += word[x]
+            mean[x] += odds[x] / sum(odds.values())
+    best = max(langs, key=lambda x: (sums[x], [-ord(c) for c in x]))
+    return best, min(1.0, mean[best] / len(seen))
+
+
+def test_against_dictionaries(spark, documents):
+    rows = [(r["text"], r["lang"]) for r in documents.where("doc_id % 5 = 0").collect()]
+    asked = {r["doc_id"]: r["text"] for r in documents.where("doc_id % 5 = 1").collect()} | {-1: "qzx wvy !? ßß", -2: "é", -3: "日本 the"}
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.train(df, "text", "lang", F.col("doc_id"))
+    found = by_id(language_id.identified(spark.createDataFrame(list(asked.items()), "doc_id long, text string"), model))
+    for k, text in asked.items():
+        lang, score = expected(rows, text)
+        assert found[k][0]["lang_pred"] == lang and abs(found[k][0]["score"] - score) < 1e-4, k
+
+
+def test_model_size_follows_the_entries(spark):
+    """A hundred languages with words of their own."""
+    rows = [(i, f"q{chr(0x3041 + i % 80)}{chr(0x4E00 + i)}{chr(0x4F00 + i // 2)} {chr(0x5E00 + i)}w", f"l{i:03d}") for i in range(100)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", F.col("doc_id"))
+    assert len(model.languages) == 100
+    held = sum(len(c.more) for c in model.counts)
+    assert held < 100 * 40
+    found = by_id(language_id.identified(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model))
+    assert all(found[i][0]["lang_pred"] == x for i, _, x in rows)

@@ -1,5 +1,7 @@
 import base64
+import bz2
 import gzip
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -162,3 +164,67 @@ def test_data_that_unpacks_to_itself_ends():
     for _ in range(20):
         raw = gzip.compress(raw)
     secret_scan.scan(base64.b64encode(raw).decode() + " " + "x\\x9c" * 2000 + " " + "%78%9c" * 2000 + " " + "VVVV" * 2000)
+
+
+INSIDE = "password=hunter2000abc"
+
+
+def raw_deflate(data):
+    packer = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return packer.compress(data) + packer.flush()
+
+
+@pytest.mark.parametrize("pack", [bz2.compress, lzma.compress, raw_deflate, lambda d: bz2.compress(d) + bz2.compress(d[::-1] + d), lambda d: lzma.compress(gzip.compress(d))])
+def test_every_compression(pack):
+    code = base64.b64encode(pack((INSIDE + " and more text").encode())).decode()
+    found = secret_scan.scan(f"see {code} there")
+    assert any(k == "assign" and layer.endswith("compressed>") for k, _, _, layer in found)
+    assert all(4 <= a and b <= 4 + len(code) for _, a, b, _ in found)
+    # Cut off or damaged: what comes out before that is searched, where there is a header to begin from.
+    if pack in (lzma.compress,):
+        half = pack((INSIDE + " ").encode() + bytes(range(256)) * 2000)
+        assert any(k == "assign" for k, *_ in secret_scan.scan(base64.b64encode(half[:-40]).decode()))
+
+
+def test_long_chains_of_escapes():
+    """Once a recursion error; linear in the text."""
+    for head, link, end, n in (("%", "25", "41", 100_000), ("\\", "u005c", "u0041", 40_000), ("\\", "x5c", "x41", 40_000), ("%", "25", "zz", 100_000)):
+        text = f"token=%41bcdefg {head}{link * n}{end} x password=hunter2000"
+        found = secret_scan.scan(text)
+        assert ("assign", text.index("password"), len(text), "") in found
+    # Layers that alternate cost a layer each, but no stack.
+    text = "%5cx25" + "5cx25" * 1500 + "41 password=hunter2000"
+    assert any(k == "assign" for k, *_ in secret_scan.scan(text))
+
+
+def test_chained_secret_and_its_place():
+    inner = "".join(f"%{'25' * 7}{ord(c):02x}" for c in INSIDE)
+    text = f"a {inner} b"
+    assert ("assign", 2, 2 + len(inner), "url>url>") in secret_scan.scan(text)
+    inner = "".join(f"\\{'u005c' * 5}u{ord(c):04x}" for c in INSIDE)
+    text = f"é {inner} b"
+    assert ("assign", 2, 2 + len(inner), "unicode>unicode>") in secret_scan.scan(text)
+
+
+def test_nested_streams_across_windows(monkeypatch):
+    """A stream within a stream whose data goes on beyond one window."""
+    monkeypatch.setattr(secret_scan, "WINDOW", 4000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 500)
+    noise = "".join(chr(65 + (i * i) % 23) + " " for i in range(6000))
+    inner = base64.b64encode(zlib.compress((noise[:300] + INSIDE).encode())).decode()
+    text = base64.b64encode(gzip.compress((noise + inner + " " + noise).encode())).decode()
+    assert any(k == "assign" and layer == "base64>compressed>base64>compressed>" for k, _, _, layer in secret_scan.scan(text))
+
+
+def test_very_long_texts_end():
+    for text in ("a" * 400_000, "QUJD" * 100_000, "%" * 200_000, "\\" * 200_000, "%41" * 100_000, "x=" * 100_000, "token=" * 50_000):
+        assert isinstance(secret_scan.scan(text), list)
+
+
+def test_query_hash(spark, sf, texts):
+    import hashlib
+
+    for row in QUERIES["op9_secret_scan"].run(spark, sf).collect():
+        said = ",".join(f"{k}:{a}:{b}" for a, b, k in secret_scan.secrets(texts[row["doc_id"]] or ""))
+        assert row["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert set(filter(None, said.split(","))) <= set(row["spans"].split(","))
