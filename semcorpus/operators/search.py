@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from semcorpus.functions.text import head, keyword_match, keyword_score, query_terms, tokens
 from semcorpus.functions.vectors import hash_embed
 from semcorpus.operators.knn import HIT_BYTES, knn, knn_join, load_centroids, probe_lists
+from semcorpus.operators.list_index import ListIndex
 from semcorpus.settings import DEFAULTS, MODALITY_ALIASES, Settings
 from semcorpus.sources.tables import on_days
 
@@ -97,14 +98,16 @@ def min_relevance(threshold: float | None) -> Column:
 # --- one query ---------------------------------------------------------------------------------------
 
 
-def probed(spark: SparkSession, index: str, query: Sequence[float], probes: int) -> DataFrame:
+def probed(spark: SparkSession, index: str | ListIndex, query: Sequence[float], probes: int) -> DataFrame:
     """The rows of an index in the lists nearest to the query; other folders are not read."""
+    if isinstance(index, ListIndex):
+        return index.rows(index.nearest_lists(query, probes))
     lists = probe_lists(load_centroids(spark, index), query, probes)
     return spark.read.parquet(f"{index}/rows").where(F.col("ivf_list").isin(lists))
 
 
 def nearest(
-    corpus: DataFrame, query: Sequence[float], k: int, index: str | None = None, probes: int | None = None,
+    corpus: DataFrame, query: Sequence[float], k: int, index: str | ListIndex | None = None, probes: int | None = None,
     keep: Column | None = None, settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """The k nearest rows with all their columns, in no order.
@@ -114,7 +117,7 @@ def nearest(
     """
     rows = corpus if index is None else probed(corpus.sparkSession, index, query, probes or settings.probes)
     held = rows if keep is None else rows.where(keep)
-    keys = ["doc_id", *[c for c in ("created_date", "ivf_list") if c in rows.columns]]
+    keys = ["doc_id", *[c for c in ("created_date", "ivf_list", "part") if c in rows.columns]]
     # The bound on the distance holds for all; it tells Spark that the hits are few, which lets it skip folders.
     near = knn(held.select(*keys, "embedding"), query, k).select(*keys, "distance").where("distance <= 2")
     return rows.join(F.broadcast(near) if k * HIT_BYTES <= settings.broadcast_bytes else near, keys)
@@ -327,10 +330,16 @@ def format_results(results: DataFrame) -> DataFrame:
 
 def search_batch(
     corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, dim: int = DEFAULTS.dim,
-    settings: Settings = DEFAULTS,
+    settings: Settings = DEFAULTS, index: ListIndex | None = None, probes: int | None = None,
 ) -> DataFrame:
-    """The k nearest rows of every (query_id, q), in one job, with the corpus columns joined on."""
-    hits = knn_join(queries, corpus, k, dim, settings=settings)
+    """The k nearest rows of every (query_id, q), in one job, with the corpus columns joined on.
+
+    With an index each query is compared with the rows of its `probes` nearest lists alone.
+    """
+    if index is None:
+        hits = knn_join(queries, corpus, k, dim, settings=settings)
+    else:
+        hits = index.search_batch(queries, k, probes)
     if threshold is not None:
         hits = hits.where(min_relevance(threshold))
     rows = corpus.drop("embedding").join(hits, "doc_id")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from semcorpus.functions.text import head
 from semcorpus.sources.schemas import CORE_TABLES, SIDE_TABLES, conform
+from semcorpus.sources.versions import versions
 
 
 def write_table(
@@ -22,6 +23,8 @@ def write_table(
     The rebalance hint lets AQE gather a day's rows into few files and split a day that is too large.
     Never write over a path the same plan reads: write a new folder and point readers at it.
     """
+    if mode == "append" and versions(df.sparkSession, f"{path}/_days"):
+        raise ValueError("the table has versions; use append_days")
     dated = df.withColumn("created_date", F.to_date("created_at"))
     (
         dated.hint("rebalance", "created_date")
@@ -57,7 +60,14 @@ def declared(spark: SparkSession, path: str) -> T.StructType | None:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read a table; created_date stays, as the column to prune days by. Created tables know their own schema."""
+    """Read a table; created_date stays, as the column to prune days by. Created tables know their own schema.
+
+    A table with versions is read as its latest one has it.
+    """
+    if versions(spark, f"{path}/_days"):
+        from semcorpus.sources.updates import read_days
+
+        return read_days(spark, path, schema=schema)
     schema = schema or declared(spark, path)
     if schema is None:
         return spark.read.parquet(path)

@@ -6,9 +6,11 @@ Python operators, which work on Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.udtf import SkipRestOfInputTableException
 
 from semcorpus.functions.vectors import hashing
 from semcorpus.operators.search import query_vector
@@ -22,6 +24,44 @@ def _cosine(a: str, b: str) -> str:
     return f"round(1 - {dot} / nullif(sqrt({na}) * sqrt({nb}), 0), 9) + 0D"
 
 
+@F.udtf(returnType="query_id STRING, context STRING, texts INT, used_tokens DOUBLE")
+class FillContext:
+    """One context per partition of hits that come best first: headed texts while their tokens fit the budget.
+
+    Hits of equal relevance count together: all of them fit, or none. At the first that do not, the rest of the partition is
+    skipped. Missing texts weigh nothing and add nothing. A partition of which nothing fits gives no row.
+    """
+
+    def __init__(self):
+        self.kept, self.equal = [], []
+        self.used = self.pending = 0.0
+        self.query = self.relevance = None
+
+    def eval(self, hit: Row, max_tokens: float) -> None:
+        if self.equal and hit["relevance_score"] != self.relevance:
+            self._take()
+        self.query, self.relevance = hit["query_id"], hit["relevance_score"]
+        text = hit["text_content"]
+        self.pending += len(text or "") / 4.0
+        if self.used + self.pending > max_tokens:
+            self.equal = []
+            raise SkipRestOfInputTableException("the budget is used up")
+        name = (hit["uri"] or "").rpartition("/")[2]
+        whole = None not in (text, hit["source"]) and name
+        self.equal.append(f"[Source: {hit['source']} - {name}]\n{text}\n---\n" if whole else None)
+
+    def _take(self) -> None:
+        self.kept += self.equal
+        self.used += self.pending
+        self.equal, self.pending = [], 0.0
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.equal:
+            self._take()
+        if self.kept:
+            yield self.query, "\n".join(t for t in self.kept if t is not None), len(self.kept), self.used
+
+
 def register_sql(
     spark: SparkSession, corpus: DataFrame, view: str = "search_corpus", settings: Settings = DEFAULTS
 ) -> None:
@@ -84,7 +124,17 @@ def register_sql(
         SELECT {names} FROM semantic_search(embed_query(ask), k, threshold)""",
         f"""CREATE OR REPLACE TEMPORARY FUNCTION search_text(ask STRING) RETURNS TABLE({rows}) RETURN
         SELECT {names} FROM semantic_search(embed_query(ask), 10, 0D)""",
+        # A function in SQL may not hand a table to a table function, so the budget is a running sum here.
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION get_rag_context(q {vec}, max_tokens DOUBLE)
+        RETURNS TABLE(context STRING) RETURN
+        SELECT array_join(transform(array_sort(collect_list(struct(rn, part))), s -> s.part), '\\n') FROM (
+            SELECT row_number() OVER (ORDER BY relevance_score DESC, distance, doc_id) AS rn,
+                   sum(length(text_content) / 4.0D) OVER (ORDER BY relevance_score DESC) AS used,
+                   concat('[Source: ', source, ' - ', nullif(regexp_extract(uri, '([^/]+)$', 1), ''), ']\\n',
+                          text_content, '\\n---\\n') AS part
+            FROM semantic_search(q, 15, 0.7D)) WHERE used <= max_tokens HAVING count(*) > 0""",
     ]
+    spark.udtf.register("fill_context", FillContext)
     spark.udf.register("embed_query", hashing(settings.dim))
     for s in statements:
         spark.sql(s)

@@ -1,11 +1,14 @@
 """New files and new documents as streams that run until nothing is left.
 
-A checkpoint remembers what was read. Sinks also skip ids they already hold, so a batch that is replayed
-after a failure, or a lost checkpoint, adds no duplicates.
+A checkpoint remembers what was read. The stream of files keeps the ids it has seen in keyed state and honours batch
+numbers, so a batch that is replayed adds nothing and no batch reads the output; only a batch that was broken off, and those
+of a checkpoint younger than its table, are compared with what the table holds. The stream of documents skips ids that the days of its
+batch already hold.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +22,13 @@ from semcorpus.settings import DEFAULTS, Settings
 from semcorpus.sources.objects import stream_objects
 from semcorpus.sources.schemas import DOCUMENT
 from semcorpus.sources.tables import read_table, write_table
+from semcorpus.sources.versions import fs_of
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _has_data(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, folder = fs_of(spark, path)
     return fs.exists(folder)
 
 
@@ -44,14 +48,54 @@ def append_new(batch: DataFrame, path: str, key: str = "doc_id", days: tuple | N
     write_table(fresh, path)
 
 
+class BatchSink:
+    """Appends batches to a table, each once.
+
+    Two marks beside the table say that a batch was begun and done. A batch that is done is not written again. One that was
+    begun and not done may have left some of its rows, so it is compared with the table. So is every batch of a checkpoint
+    that is younger than its table (a lost one, or rows from elsewhere), as its state does not know what is there. Any other
+    batch is appended as it is: its ids are new by the state of the stream.
+    """
+
+    def __init__(self, path: str, checkpoint: str):
+        self.path = path
+        self.marks = f"{path}/_batches/{hashlib.md5(checkpoint.encode()).hexdigest()}"
+
+    def _marked(self, spark: SparkSession, name: str, make: bool = False) -> bool:
+        fs, file = fs_of(spark, f"{self.marks}/{name}")
+        held = fs.exists(file)
+        if make and not held:
+            fs.create(file, False).close()
+        return held
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if self._marked(spark, f"{number}.done"):
+            return
+        broken = self._marked(spark, f"{number}.begun")
+        if number == 0 and not broken and _has_data(spark, self.path):
+            self._marked(spark, "younger", make=True)
+        self._marked(spark, f"{number}.begun", make=True)
+        if broken or self._marked(spark, "younger"):
+            append_new(batch, self.path)
+        else:
+            write_table(batch, self.path)
+        self._marked(spark, f"{number}.done", make=True)
+
+
 def ingest_stream(
     spark: SparkSession, root: str, out: str, checkpoint: str, modality: str = "text",
     reader: Callable[[DataFrame], DataFrame] = ingest_text, files_per_batch: int = 10_000,
 ) -> StreamingQuery:
-    """Files that appeared under root since the last run, as documents appended to out."""
-    documents = reader(stream_objects(spark, root, modality, files_per_batch))
+    """Files that appeared under root since the last run, as documents appended to out.
+
+    The ids seen so far are keyed state in RocksDB: on the disks of the executors and in the checkpoint, not in memory. A
+    file that is written anew under a known uri is not taken again.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    documents = reader(stream_objects(spark, root, modality, files_per_batch)).dropDuplicates(["doc_id"])
     return (
-        documents.writeStream.foreachBatch(lambda batch, _: append_new(batch, out))
+        documents.writeStream.foreachBatch(BatchSink(out, checkpoint))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
