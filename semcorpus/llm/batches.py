@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,11 +19,11 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1024
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Let Arrow batches be small in this session; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +74,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def extend(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], kernel: Callable) -> DataFrame:
+def release() -> None:
+    """Give back to the system what this process has freed: Spark keeps its Python workers, and several idle ones add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def extend(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], kernel: Callable, limit: int = SLICE_BYTES) -> DataFrame:
     """Every row with further columns. `kernel(texts)` returns one array for each of `fields` in their order.
 
-    `fields` names must be free in `df` (`free_name`). One pass over the rows without a shuffle.
+    `fields` names must be free in `df` (`free_name`). One pass over the rows without a shuffle, about `limit` bytes of text
+    at a time.
     """
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t, True) for n, t in fields]])
     place = df.columns.index(text_col)
@@ -84,9 +94,10 @@ def extend(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType]], k
     def run(batches):
         for batch in batches:
             names = [*batch.schema.names, *[n for n, _ in fields]]
-            for lo, hi in slices(batch.column(place)):
+            for lo, hi in slices(batch.column(place), limit):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, *kernel(part.column(place))], names=names)
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semcorpus.llm.batches import extend, free_name, shared, slices
+from semcorpus.llm.components import cut, drop
 from semcorpus.llm.words import mix
 
 LONGEST = 4
 UNKNOWN = "und"
-# The classifier is fitted on about this many labelled texts of each language, chosen by a hash of the id.
-TRAINING_ROWS = 10_000
-# Entries that each language keeps for words and for each n-gram length; each costs 8 bytes and 4 more per language in every task.
-ENTRIES = 40_000
+# The classifier is fitted on about this many labelled texts in all, an equal share of each language and at least `LEAST_ROWS`
+# of each, chosen by a hash of the id. It keeps every word and n-gram of them.
+TRAINING_ROWS, LEAST_ROWS = 16_000, 200
+# Bytes of text, and words, worked on at a time.
+PORTION, WORDS = 1 << 18, 1 << 14
 SMOOTHING = 0.1
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _letters: list[np.ndarray] = []
@@ -92,47 +94,63 @@ def places(words: Spelled, which: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return np.repeat(begin, count) + step, np.repeat(np.arange(len(which)), count)
 
 
+class Counts(NamedTuple):
+    """What is known of words, or of n-grams of one length: for each key a stretch of (language, score above that of a
+    key the language lacks). The size follows the entries learned, not keys times languages."""
+
+    keys: np.ndarray  # sorted hashes
+    begin: np.ndarray  # of each key's stretch, and the end of the last
+    lang: np.ndarray
+    more: np.ndarray
+    base: np.ndarray  # log score of a key that a language lacks
+
+
 class Model(NamedTuple):
     languages: list[str]
-    keys: list[np.ndarray]  # sorted hashes: words, then grams of 1, 2, ... characters
-    scores: list[np.ndarray]  # log frequency by key and language
+    counts: list[Counts]  # words, then grams of 1, 2, ... characters
     floor: np.ndarray  # of a character never seen
 
 
-def lookup(model: Model, kind: int, hashes: np.ndarray) -> np.ndarray:
-    """Row of each hash, or -1."""
-    keys = model.keys[kind]
-    if not len(keys):
+def lookup(counts: Counts, hashes: np.ndarray) -> np.ndarray:
+    """Place of each hash among the keys, or -1."""
+    if not len(counts.keys):
         return np.full(len(hashes), -1)
-    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-    return np.where(keys[at] == hashes, at, -1)
+    at = np.minimum(np.searchsorted(counts.keys, hashes), len(counts.keys) - 1)
+    return np.where(counts.keys[at] == hashes, at, -1)
+
+
+def add(counts: Counts, row: np.ndarray, owner: np.ndarray, part: float, out: np.ndarray) -> None:
+    """Add `part` of the scores of known keys to the rows of `out` that own them."""
+    out += np.bincount(owner, minlength=len(out))[:, None] * (counts.base * part)
+    size = counts.begin[row + 1] - counts.begin[row]
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    at = np.repeat(counts.begin[row], size) + step
+    flat = np.repeat(owner, size) * out.shape[1] + counts.lang[at]
+    out += np.bincount(flat, counts.more[at] * part, out.size).reshape(out.shape)
 
 
 def word_scores(model: Model, words: Spelled, which: np.ndarray) -> np.ndarray:
     """Log score of the chosen words in each language."""
-    out = np.zeros((len(which), len(model.languages)), np.float32)
-    row = lookup(model, 0, words.hash[which])
-    known = row >= 0
-    out[known] = model.scores[0][row[known]]
-    lost = np.flatnonzero(~known)
+    out = np.zeros((len(which), len(model.languages)))
+    row = lookup(model.counts[0], words.hash[which])
+    known = np.flatnonzero(row >= 0)
+    add(model.counts[0], row[known], known, 1.0, out)
+    lost = np.flatnonzero(row < 0)
     if not len(lost):
         return out
     at, owner = places(words, which[lost], 1)
-    sums = np.zeros((len(lost), len(model.languages)), np.float32)
     stop = words.stop[which[lost]] + 1
     for n in range(LONGEST, 0, -1):
         if not len(at):
             break
         fits = at + n <= stop[owner]
         row = np.full(len(at), -1)
-        row[fits] = lookup(model, n, grams(words.code, at[fits], n))
+        row[fits] = lookup(model.counts[n], grams(words.code, at[fits], n))
         hit = row >= 0
         # n overlapping grams cover each character n times.
-        for k in range(len(model.languages)):
-            sums[:, k] += np.bincount(owner[hit], model.scores[n][row[hit], k] / n, len(lost)).astype(np.float32)
+        add(model.counts[n], row[hit], lost[owner[hit]], 1.0 / n, out)
         at, owner = at[~hit], owner[~hit]
-    rest = np.bincount(owner, minlength=len(lost)).astype(np.float32)
-    out[lost] = sums + rest[:, None] * model.floor
+    out += np.bincount(lost[owner], minlength=len(out))[:, None] * model.floor
     return out
 
 
@@ -143,17 +161,24 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     if not len(words.begin) or not model.languages:
         return found, share
     _, which, back = np.unique(words.hash, return_index=True, return_inverse=True)
-    scores = word_scores(model, words, which)
-    odds = np.exp(scores - scores.max(axis=1, keepdims=True))
-    odds /= odds.sum(axis=1, keepdims=True)
+    text = np.repeat(np.arange(n), words.counts)
+    total, mean = np.zeros((n, len(model.languages))), np.zeros((n, len(model.languages)))
+    # Words in the order of their keys, some at a time: only these are spread over all languages.
+    order = np.argsort(back, kind="stable")
+    ends = np.searchsorted(back[order], np.arange(0, len(which) + WORDS, WORDS))
+    for k, (a, b) in enumerate(zip(ends, ends[1:])):
+        scores = word_scores(model, words, which[k * WORDS : (k + 1) * WORDS])
+        odds = np.exp(scores - scores.max(axis=1, keepdims=True))
+        odds /= odds.sum(axis=1, keepdims=True)
+        own, at = back[order[a:b]] - k * WORDS, text[order[a:b]]
+        for j in range(len(model.languages)):
+            total[:, j] += np.bincount(at, scores[own, j], n)
+            mean[:, j] += np.bincount(at, odds[own, j], n)
     some = np.flatnonzero(words.counts)
-    starts = (np.cumsum(words.counts) - words.counts)[some]
-    total = np.add.reduceat(scores[back].astype(np.float64), starts)
-    mean = np.add.reduceat(odds[back].astype(np.float64), starts) / words.counts[some][:, None]
-    best = total.argmax(axis=1)
-    for i, k in zip(some.tolist(), best.tolist()):
-        found[i] = model.languages[k]
-    share[some] = np.minimum(1.0, mean[np.arange(len(some)), best])
+    best = total[some].argmax(axis=1)
+    for i, j in zip(some.tolist(), best.tolist()):
+        found[i] = model.languages[j]
+    share[some] = np.minimum(1.0, mean[some, best] / words.counts[some])
     return found, share
 
 
@@ -164,7 +189,7 @@ def _counted(batches):
         rows: dict[str, list] = {k: [] for k in ("lang", "n", "gram", "c")}
         for lang in dict.fromkeys(langs):
             mine = texts.filter(pa.array([x == lang for x in langs]))
-            for lo, hi in slices(mine):
+            for lo, hi in slices(mine, PORTION):
                 words = spelled(mine.slice(lo, hi - lo))
                 for n in range(LONGEST + 1):
                     every = np.arange(len(words.begin))
@@ -179,55 +204,41 @@ def _counted(batches):
             )
 
 
-def train(labelled: DataFrame, text_col: str, lang_col: str, key: Column, max_rows: int = TRAINING_ROWS, entries: int = ENTRIES) -> Model:
-    """Fit on about `max_rows` of the rows of each language, chosen by a hash of `key`; a language with fewer takes part whole.
+def train(labelled: DataFrame, text_col: str, lang_col: str, key: Column, max_rows: int = TRAINING_ROWS, least_rows: int = LEAST_ROWS) -> Model:
+    """Fit on about `max_rows` labelled rows: of each language an equal share (at least `least_rows`), chosen by a hash of
+    `key`; a language with fewer takes part whole, and so does a row that repeats.
 
-    Counts are summed in Spark; the driver gets about `entries` of the most frequent words of each language and as many
-    n-grams of each length, with one count per language. Without labelled rows the model knows no language.
+    Counts are summed in Spark; the driver gets every word and n-gram of those rows, once for each language that has it.
+    Rows without a text or a language teach nothing. Without labelled rows the model knows no language.
     """
     have = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     pick = F.xxhash64(F.lit("training"), key)
     spark = labelled.sparkSession
-    many = [(r[0], max_rows / r[1]) for r in have.groupBy(lang_col).count().collect() if r[1] > max_rows]
+    sizes = have.groupBy(lang_col).count().collect()
+    each = max(least_rows, max_rows // max(1, len(sizes)))
+    many = [(r[0], each / r[1]) for r in sizes if r[1] > each]
     if many:
         # A row for each language with more than its share.
         share = F.broadcast(spark.createDataFrame(many, "_many string, _share double"))
         place = F.pmod(pick, F.lit(1_000_000_000)) / 1_000_000_000
         have = have.join(share, F.col(lang_col) == F.col("_many"), "left").where(F.col("_share").isNull() | (place < F.col("_share")))
     parts = have.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).mapInArrow(_counted, "lang string, n int, gram long, c long")
-    sums = parts.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    both = sums.groupBy("n", "gram").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by")).where("total > 1").persist()
-    each = both.select("n", "gram", F.explode("by").alias("b")).select("n", "gram", "b.lang", "b.c")
-    # Sixteen steps to each doubling; whole steps from the top, and of the last one the share that there is room for.
-    step = F.floor(F.log2("c") * 16)
-    room, least = {}, {}
-    for r in sorted(each.groupBy("n", "lang", step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        k = r["n"], r["lang"]
-        left = room.setdefault(k, entries)
-        if left > 0:
-            least[k] = r["step"], min(1.0, left / r["count"])
-            room[k] = left - r["count"]
-    cuts = F.broadcast(spark.createDataFrame([(*k, *v) for k, v in least.items()], "n int, lang string, least long, share double"))
-    place = F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) / 1_000_000
-    keep = (step > F.col("least")) | ((step == F.col("least")) & (place < F.col("share")))
-    kept = each.join(cuts, ["n", "lang"]).groupBy("n", "gram").agg(F.max(keep).alias("keep"), F.collect_list(F.struct("lang", "c")).alias("by")).where("keep")
-    got = kept.select("n", "gram", F.explode("by").alias("b")).select("n", "gram", "b.lang", "b.c").toArrow()
-    both.unpersist()
-    languages = sorted(set(got.column("lang").to_pylist()))
-    number = {x: i for i, x in enumerate(languages)}
-    n, gram, c = (got.column(k).to_numpy() for k in ("n", "gram", "c"))
-    lang = np.array([number[x] for x in got.column("lang").to_pylist()], np.int64)
-    keys, scores = [], []
-    for k in range(LONGEST + 1):
-        mine = n == k
-        key_, row = np.unique(gram[mine].view(np.uint64), return_inverse=True)
-        count = np.zeros((len(key_), len(languages)))
-        np.add.at(count, (row, lang[mine]), c[mine])
-        total = count.sum(axis=0) + SMOOTHING * max(1, len(key_))
-        keys.append(key_)
-        scores.append(np.log((count + SMOOTHING) / total).astype(np.float32))
-    floor = np.log(SMOOTHING / np.maximum(1.0, np.exp(-scores[1].min(axis=0)))) if len(keys[1]) else np.zeros(len(languages))
-    return Model(languages, keys, scores, floor.astype(np.float32))
+    languages = sorted(r[0] for r in sizes)
+    named = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)]), F.col("lang")) if languages else F.lit(0)
+    sums = cut(parts.groupBy(named.cast("int").alias("lang"), "n", "gram").agg(F.sum("c").alias("c")))
+    counts = []
+    for n in range(LONGEST + 1):
+        got = sums.where(F.col("n") == n).select("lang", "gram", "c").toArrow()
+        lang, gram, c = (got.column(k).to_numpy() for k in ("lang", "gram", "c"))
+        order = np.lexsort((lang, gram.view(np.uint64)))
+        lang, gram, c = lang[order], gram.view(np.uint64)[order], c[order]
+        keys, begin = np.unique(gram, return_index=True)
+        total = np.bincount(lang, c, len(languages)) + SMOOTHING * max(1, len(keys))
+        base = np.log(SMOOTHING / total)
+        more = np.log((c + SMOOTHING) / SMOOTHING)
+        counts.append(Counts(keys, np.append(begin, len(gram)), lang.astype(np.int32), more.astype(np.float32), base))
+    drop(sums)
+    return Model(languages, counts, counts[1].base + np.log(SMOOTHING))
 
 
 def mark(df: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, str, str]:
@@ -244,7 +255,7 @@ def mark(df: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame
         found, share = predict(sent.value, texts)
         return [pa.array(found, pa.string()), pa.array(share)]
 
-    return extend(df, text_col, [(lang, T.StringType()), (score, T.DoubleType())], kernel), lang, score
+    return extend(df, text_col, [(lang, T.StringType()), (score, T.DoubleType())], kernel, PORTION), lang, score
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
