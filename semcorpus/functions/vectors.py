@@ -126,29 +126,34 @@ def has_vector(vec: Column | str, dim: int | None = None) -> Column:
     return n > 0 if dim is None else n == dim
 
 
+def hashed(texts: pa.Array, dim: int) -> pa.Array:
+    """The hashed unit vector of each text; NULL for text without tokens."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(texts), TOKEN_BREAK)
+    sizes = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+    words = parts.flatten().dictionary_encode()
+    known = words.dictionary.to_pylist()
+    digests = [hashlib.md5(w.encode()).hexdigest() for w in known]
+    bucket = np.array([int(h[:8], 16) % dim for h in digests], dtype=np.int64)
+    # A break at either end of a text leaves an empty part, which weighs nothing.
+    sign = np.array([1.0 - 2.0 * (int(h[8], 16) % 2) if w else 0.0 for w, h in zip(known, digests)])
+    at = words.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    if len(at):
+        sums = np.bincount(row * dim + bucket[at], weights=sign[at], minlength=len(texts) * dim)
+    else:
+        sums = np.zeros(len(texts) * dim)
+    m = unit_rows(sums.reshape(len(texts), dim))
+    empty = ~np.isfinite(m).all(axis=1)
+    offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
+    return pa.ListArray.from_arrays(offsets, pa.array(m.ravel()), mask=pa.array(empty))
+
+
 def hashing(dim: int):
     """The function behind hash_embed, as SQL can register it."""
 
     @F.arrow_udf(VECTOR)
     def hashed_tokens(texts: pa.Array) -> pa.Array:
-        parts = pc.split_pattern_regex(pc.utf8_lower(texts), TOKEN_BREAK)
-        sizes = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
-        words = parts.flatten().dictionary_encode()
-        known = words.dictionary.to_pylist()
-        digests = [hashlib.md5(w.encode()).hexdigest() for w in known]
-        bucket = np.array([int(h[:8], 16) % dim for h in digests], dtype=np.int64)
-        # A break at either end of a text leaves an empty part, which weighs nothing.
-        sign = np.array([1.0 - 2.0 * (int(h[8], 16) % 2) if w else 0.0 for w, h in zip(known, digests)])
-        at = words.indices.to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(texts)), sizes)
-        if len(at):
-            sums = np.bincount(row * dim + bucket[at], weights=sign[at], minlength=len(texts) * dim)
-        else:
-            sums = np.zeros(len(texts) * dim)
-        m = unit_rows(sums.reshape(len(texts), dim))
-        empty = ~np.isfinite(m).all(axis=1)
-        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
-        return pa.ListArray.from_arrays(offsets, pa.array(m.ravel()), mask=pa.array(empty))
+        return hashed(texts, dim)
 
     return hashed_tokens
 

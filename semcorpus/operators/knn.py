@@ -435,6 +435,84 @@ def near_pairs(
     return pairs.withColumn("similarity", 1 - F.col("distance"))
 
 
+def hash_tables(max_distance: float, bits: int, miss: float) -> int:
+    """How many tables of so many sign bits leave out a pair at max_distance with a chance of at most miss."""
+    same = (1.0 - np.arccos(np.clip(1.0 - max_distance, -1.0, 1.0)) / np.pi) ** bits
+    if not 0 < miss < 1 or same <= 0:
+        raise ValueError("no number of tables finds pairs at this distance")
+    return 1 if same >= 1 else max(int(np.ceil(np.log(miss) / np.log1p(-same))), 1)
+
+
+def _signed(rows: DataFrame, dim: int, tables: int, bits: int, seed: int) -> DataFrame:
+    """Each row with one code per table: the sides of random planes that its vector lies on."""
+    if not 0 < bits <= 20:
+        raise ValueError("bits must be 1 to 20")
+    planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
+    weight = 1 << np.arange(bits)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, QUERY_BLOCK):
+                batch = whole.slice(lo, QUERY_BLOCK)
+                u = unit_rows(matrix(batch.column("vec"), dim)[1])
+                good = np.isfinite(u).all(axis=1)
+                side = (u[good] @ planes > 0).reshape(-1, tables, bits)
+                codes = (side * weight).sum(axis=2).astype(np.int32)
+                kept = batch.filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, pa.array(codes.tolist(), pa.list_(pa.int32()))], names=["id", "vec", "codes"]
+                )
+
+    return rows.mapInArrow(sign, "id string, vec array<double>, codes array<int>")
+
+
+def near_pairs_hashed(
+    vectors: DataFrame, max_distance: float = 0.1, dim: int = DEFAULTS.dim, bits: int = 12, miss: float = 0.05,
+    seed: int = 17, id_col: str = "doc_id", vec: str = "embedding", settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Pairs as near_pairs, of those that share a bucket in some table of sign hashes.
+
+    Pairs found are exact; one at max_distance is left out with a chance of at most `miss`, a nearer one with a smaller one.
+    near_pairs finds all. A row goes to one bucket per table; a bucket with many rows is cut into blocks, and a pair that
+    shares several buckets is returned from the first of them.
+    """
+    tables = hash_tables(max_distance, bits, miss)
+    placed = _signed(_valid(vectors, id_col, vec, dim), dim, tables, bits, seed)
+    spread = placed.select("id", "vec", "codes", F.posexplode("codes").alias("table", "code")).select(
+        (F.col("table") * F.lit(1 << bits) + F.col("code")).cast("int").alias("cell"), "id",
+        F.struct("vec", "codes").alias("vec"),
+    )
+    # At most one row per bucket, and their number is tables times 2 to the power of bits.
+    sizes = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").collect()
+    names, schema = ["doc1", "doc2", "distance"], "doc1 string, doc2 string, distance double"
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], schema).withColumn("similarity", 1 - F.col("distance"))
+
+    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        held = table.column("vec").combine_chunks()
+        held = pa.concat_arrays(held.chunks) if isinstance(held, pa.ChunkedArray) else held
+        _, codes = matrix(held.field("codes"), tables)
+        ids = np.asarray(table.column("id").to_pylist(), dtype=object)
+        return ids, unit_rows(matrix(held.field("vec"), dim)[1]), codes.astype(np.int32)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _pair_table(names, [], [], [])
+        here = left.column("cell")[0].as_py() >> bits
+        li, lv, lc = read(left)
+        ri, rv, rc = read(right)
+        rows, cols = np.nonzero(lv @ rv.T > 1.0 - max_distance - SLACK)
+        keep = (li[rows] < ri[cols]).astype(bool)
+        rows, cols = rows[keep], cols[keep]
+        d = as_distance(np.einsum("ij,ij->i", lv[rows], rv[cols]))
+        keep = (d < max_distance) & ~(lc[rows, :here] == rc[cols, :here]).any(axis=1)
+        return _pair_table(names, list(li[rows[keep]]), list(ri[cols[keep]]), d[keep])
+
+    counts = {r["cell"]: (r["n"], r["n"]) for r in sizes}
+    pairs = block_join(spread, spread, counts, meet, schema, settings.block_rows)
+    return pairs.withColumn("similarity", 1 - F.col("distance"))
+
+
 def similar_docs(
     vectors: DataFrame, max_distance: float = 0.3, n: int = 5, dim: int = DEFAULTS.dim,
     centroids: np.ndarray | None = None, id_col: str = "doc_id", vec: str = "embedding",

@@ -74,15 +74,19 @@ def _local_runs(words: DataFrame, stretch: int, key: str) -> DataFrame:
     return placed.withColumn("__turn", turn.cast("long")).withColumn("__run", F.sum("__turn").over(inside)).drop("__turn")
 
 
-def _numbered(pieces: DataFrame, key: str) -> DataFrame:
-    """(key, __part, __run) with run_no, the run within the whole recording: one narrow row per run and stretch.
-
-    A piece opens a new run unless the piece before it has the same speaker, which happens only across stretches.
+def _offsets(pieces: DataFrame, key: str) -> DataFrame:
+    """(key, __part, __base): how many runs of the recording were opened before the first of a stretch, that one included if
+    it goes on with the last speaker of the stretch before. Only one row per stretch is put in order.
     """
-    along = Window.partitionBy(key).orderBy("__part", "__run")
-    opens = F.lag("__run").over(along).isNotNull() & ~F.lag("speaker_id").over(along).eqNullSafe(F.col("speaker_id"))
-    marked = pieces.select(key, "__part", "__run", opens.cast("long").alias("__opens"))
-    return marked.select(key, "__part", "__run", F.sum("__opens").over(along).alias("run_no"))
+    parts = pieces.groupBy(key, "__part").agg(
+        F.max("__run").alias("__turns"), F.min_by("speaker_id", "__run").alias("__first"),
+        F.max_by("speaker_id", "__run").alias("__last"),
+    )
+    along = Window.partitionBy(key).orderBy("__part")
+    opens = F.lag("__turns").over(along).isNotNull() & ~F.lag("__last").over(along).eqNullSafe(F.col("__first"))
+    marked = parts.select(key, "__part", "__turns", opens.cast("long").alias("__opens"))
+    before = F.coalesce(F.sum("__turns").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.select(key, "__part", (before + F.sum("__opens").over(along)).alias("__base"))
 
 
 def speaker_runs(words: DataFrame, stretch: int = STRETCH, key: str = "media_id") -> DataFrame:
@@ -94,7 +98,8 @@ def speaker_runs(words: DataFrame, stretch: int = STRETCH, key: str = "media_id"
     """
     local = _local_runs(words, stretch, key)
     pieces = local.groupBy(key, "__part", "__run").agg(F.first("speaker_id").alias("speaker_id"))
-    return local.join(_numbered(pieces, key), [key, "__part", "__run"]).drop("__part", "__run")
+    numbered = local.join(_offsets(pieces, key), [key, "__part"])
+    return numbered.withColumn("run_no", F.col("__base") + F.col("__run")).drop("__part", "__run", "__base")
 
 
 def speaker_segments(
@@ -115,7 +120,7 @@ def speaker_segments(
         value.alias("confidence"),
         F.count(F.lit(1)).alias("word_count"),
     )
-    whole = pieces.join(_numbered(pieces, key), [key, "__part", "__run"])
+    whole = pieces.join(_offsets(pieces, key), [key, "__part"]).withColumn("run_no", F.col("__base") + F.col("__run"))
     texts = F.array_sort(F.collect_list(F.struct("__part", "text")))
     return whole.groupBy(key, F.col("run_no").alias("segment_index")).agg(
         F.first("speaker_id").alias("speaker_id"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semcorpus.functions.text import head, keyword_match, keyword_score, query_terms, tokens
-from semcorpus.functions.vectors import hash_embed
+from semcorpus.functions.vectors import hash_embed, hashed
 from semcorpus.operators.knn import HIT_BYTES, knn, knn_join, load_centroids, probe_lists
 from semcorpus.operators.list_index import ListIndex
 from semcorpus.settings import DEFAULTS, MODALITY_ALIASES, Settings
@@ -29,11 +29,10 @@ EPOCH = datetime(1970, 1, 1)
 
 @lru_cache(maxsize=4096)
 def _embedded(text: str, dim: int) -> tuple[float, ...]:
-    spark = SparkSession.active()
-    row = spark.createDataFrame([(text,)], "t string").select(hash_embed("t", dim).alias("v")).first()
-    if row["v"] is None:
+    vector = hashed(pa.array([text], pa.string()), dim)[0].as_py()
+    if vector is None:
         raise ValueError("the query text has no tokens")
-    return tuple(row["v"])
+    return tuple(vector)
 
 
 def query_vector(query: str | Sequence[float], dim: int = DEFAULTS.dim) -> Sequence[float]:

@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 
 from semcorpus.functions.text import tidy
 from semcorpus.operators import corpus as c
+from semcorpus.operators import knn
 from semcorpus.operators import search as s
+from semcorpus.operators.daily import DailyReports
+from semcorpus.operators.known import drop_known
 from semcorpus.operators.list_index import ListIndex
 from semcorpus.operators.postings import Postings, build_postings
 from semcorpus.plans import inputs as i
+from semcorpus.plans.ingest_plans import _write_files
 from semcorpus.plans.inputs import CORPUS, DIM, stamp_sql
 from semcorpus.plans.registry import query
 from semcorpus.plans.report_plans import _HEAD
-from semcorpus.plans.search_plans import _LISTS, BATCH, HIT, KEYWORD, NEAR, POOLED, RE, TERMS, batch, hit
+from semcorpus.plans.search_plans import _LISTS, BATCH, HIT, KEYWORD, NEAR, PAIRS, POOLED, RE, TERMS, batch, hit
 from semcorpus.settings import DEFAULTS
+from semcorpus.sources.listing import list_objects
 from semcorpus.sources.tables import read_table, write_table
-from semcorpus.sources.updates import update_days
+from semcorpus.sources.updates import append_days, update_days
 from semcorpus.sql_functions import register_sql, sql_vector
 
 LISTS = 10
@@ -191,3 +196,56 @@ def sql_get_rag_context(spark, sf):
     register_sql(spark, i.corpus(spark, sf))
     stored = i.vectors(spark, sf).where("doc_id = '17'").first()["embedding"]
     return spark.sql(f"SELECT context FROM get_rag_context({sql_vector(stored)}, 3000D)")
+
+
+@query("near_pairs_hashed", PAIRS + "SELECT doc1, doc2, round(1 - distance, 6) AS similarity FROM pairs WHERE distance < 0.1")
+def near_pairs_hashed(spark, sf):
+    """Pairs that share a bucket of sign hashes; with so small a chance to miss one the result is that of all pairs."""
+    found = knn.near_pairs_hashed(i.vectors(spark, sf), 0.1, DIM, miss=1e-5)
+    return found.select("doc1", "doc2", F.round("similarity", 6).alias("similarity"))
+
+
+@query("drop_known", f"WITH {i.OBJECTS}, {i.SEEN} SELECT uri, size FROM objects WHERE uri NOT IN (SELECT uri FROM seen)")
+def drop_known_objects(spark, sf):
+    """Objects that are not ingested yet, with a filter of their uris sent to the known side."""
+    return drop_known(i.objects(spark, sf).select("uri", "size"), i.seen(spark, sf, "text", "file"))
+
+
+# --- reports kept by day -----------------------------------------------------------------------------
+
+
+def _daily(spark, sf, rows):
+    """Reports made before and refreshed after the later half of the days was appended."""
+    path, report = i.work_dir(spark), i.work_dir(spark)
+    late = F.col("created_at") >= F.lit("2024-02-01").cast("timestamp")
+    write_table(rows.where(~late), path)
+    reports = DailyReports(spark, path, report)
+    reports.refresh()
+    append_days(rows.where(late), path)
+    reports.refresh()
+    return reports
+
+
+@query("daily_modality_stats", f"""WITH {i.DOCS} SELECT modality, source, count(*) AS document_count,
+    count(DISTINCT uri) AS unique_files, round(avg(length(text_content)), 6) AS avg_text_length,
+    {stamp_sql('max(created_at)')} AS latest_update FROM docs GROUP BY modality, source""")
+def daily_modality_stats(spark, sf):
+    return _daily(spark, sf, i.documents(spark, sf)).modality_stats().withColumns(
+        {"avg_text_length": F.round("avg_text_length", 6), "latest_update": i.stamp("latest_update")}
+    )
+
+
+@query("daily_embedding_stats", f"""WITH {i.DIRTY}, t AS (SELECT count(*) AS n, count(*) FILTER (coalesce(len(embedding), 0) > 0) AS w,
+    avg(nullif(len(embedding), 0)) AS d FROM dirty WHERE text_content IS NOT NULL) SELECT n AS total_documents,
+    w AS documents_with_embeddings, n - w AS documents_without_embeddings, round(d, 6) AS avg_embedding_dimension,
+    round(w / n * 100, 6) AS coverage_percentage FROM t""")
+def daily_embedding_stats(spark, sf):
+    stats = _daily(spark, sf, i.dirty(spark, sf)).embedding_stats()
+    return stats.withColumns({x: F.round(x, 6) for x in ("avg_embedding_dimension", "coverage_percentage")})
+
+
+@query("listed_files", "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source")
+def listed_files(spark, sf):
+    """Documents as text files, listed by the tasks, with a filter on the modality."""
+    found = list_objects(spark, _write_files(spark, sf)).where("modality = 'text'")
+    return found.groupBy(F.regexp_extract("uri", "source=([^/]+)", 1).alias("source")).agg(F.sum("size").alias("bytes"))

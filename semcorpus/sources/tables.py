@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Sequence
 from datetime import datetime
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semcorpus.functions.text import head
+from semcorpus.session import shared_dir
 from semcorpus.sources.schemas import CORE_TABLES, SIDE_TABLES, conform
 from semcorpus.sources.versions import versions
 
@@ -124,30 +126,60 @@ def copy_dataset(spark: SparkSession, src: str, dst: str, mode: str = "overwrite
     df.write.mode(mode).partitionBy(*parts).parquet(dst)
 
 
+# Results of at most so many rows are numbered and written by one task.
+EXPORT_ROWS = 100_000
+
+
 def ranked(results: DataFrame, order: Sequence, by: str = "rank") -> DataFrame:
-    """Number rows 1..n. Meant for results that a limit has already made small."""
+    """Number rows 1..n in one task: for results that a limit has made small. `numbered` does so at any size."""
     return results.withColumn(by, F.row_number().over(Window.orderBy(*order)))
 
 
-def export_frame(results: DataFrame, text_chars: int = 500) -> DataFrame:
+def numbered(results: DataFrame, order: Sequence, by: str = "rank") -> DataFrame:
+    """Number rows 1..n over many tasks, in ranges of the order: those of a task go on from where the task before ends.
+
+    The sorted rows are written to the shared folder, as ranges are drawn anew each time they are computed.
+    """
+    spark, path = results.sparkSession, f"{shared_dir(results.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    rows = results.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = rows.withColumn("__at", F.monotonically_increasing_id())
+    rows.write.parquet(path)
+    held = spark.read.schema(rows.schema).parquet(path).withColumn("__part", F.shiftrightunsigned("__at", 33))
+    # One row per task.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.join(F.broadcast(offsets), "__part").withColumn(by, F.col("__base") + inside + 1).select(*results.columns, by)
+
+
+def export_frame(results: DataFrame, text_chars: int = 500, few: bool = True) -> DataFrame:
     """Rank, keys, score and the start of the text, in distance order."""
-    return ranked(results, [F.col("distance"), F.col("doc_id")]).select(
+    order = [F.col("distance"), F.col("doc_id")]
+    return (ranked if few else numbered)(results, order).select(
         "rank", "doc_id", "uri", "source", "modality",
         F.coalesce(F.col("rel_score"), F.col("distance")).alias("score"),
         head("text_content", text_chars).alias("text_content"),
     )
 
 
-def export_results(results: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Write search results as one CSV file with a header, or as JSON lines."""
+def export_results(results: DataFrame, path: str, fmt: str = "csv", one_file: int = EXPORT_ROWS) -> None:
+    """Write search results as CSV with a header or as JSON lines, in order.
+
+    Up to `one_file` rows make one file; more make one file per task, and the files follow the order by name.
+    """
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"unknown export format {fmt!r}")
+    few = results.limit(one_file + 1).count() <= one_file
     if fmt == "csv":
-        export_frame(results).orderBy("rank").coalesce(1).write.mode("overwrite").csv(
-            path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-        )
-    elif fmt == "json":
-        results.orderBy("distance", "doc_id").coalesce(1).write.mode("overwrite").json(path)
+        rows, order = export_frame(results, few=few), ["rank"]
     else:
-        raise ValueError(f"unknown export format {fmt!r}")
+        rows, order = results, ["distance", "doc_id"]
+    writer = (rows.orderBy(*order).coalesce(1) if few else rows.orderBy(*order)).write.mode("overwrite")
+    if fmt == "csv":
+        writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    else:
+        writer.json(path)
 
 
 def check_contract(df: DataFrame, schema: T.StructType) -> DataFrame:

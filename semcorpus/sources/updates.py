@@ -139,6 +139,17 @@ def append_days(rows: DataFrame, path: str, part: str | None = None) -> bool:
     return True
 
 
+def replace_days(rows: DataFrame, path: str, days: list[date | None]) -> None:
+    """Put rows (with created_date) in the place of all rows of some days; a day without rows ends."""
+    spark = rows.sparkSession
+    version, held = state(spark, path)
+    part = f"r{uuid.uuid4().hex}"
+    fresh = _write_part(rows, path, part)
+    if not set(fresh) <= set(days):
+        raise ValueError("rows of other days")
+    _publish(spark, path, version + 1, {d: fs for d, fs in held.items() if d not in days} | {d: [f"_parts/part={part}/{_name(d)}"] for d in fresh})
+
+
 def vacuum(spark: SparkSession, path: str) -> int:
     """Delete folders that the latest version does not name, and older versions. No reader may be on an older state."""
     version, held = state(spark, path)

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from semcorpus.operators.chunk import chunk_fixed, is_long
 from semcorpus.operators.corpus import embed_backfill
 from semcorpus.operators.ingest import ingest_text
+from semcorpus.operators.known import drop_known
 from semcorpus.settings import DEFAULTS, Settings
 from semcorpus.sources.objects import stream_objects
 from semcorpus.sources.schemas import DOCUMENT
@@ -36,7 +37,7 @@ def append_new(batch: DataFrame, path: str, key: str = "doc_id", days: tuple | N
     """Append the rows whose key the table lacks.
 
     With days only those folders of the table are read: enough when a key always comes with the same
-    created_at.
+    created_at. Of the table's keys only those that may be in the batch are shuffled.
     """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates([key])
@@ -44,7 +45,7 @@ def append_new(batch: DataFrame, path: str, key: str = "doc_id", days: tuple | N
         held = read_table(spark, path, DOCUMENT)
         if days is not None:
             held = held.where(F.col("created_date").between(*[F.lit(d) for d in days]))
-        fresh = fresh.join(held.select(key), key, "left_anti").select(batch.columns)
+        fresh = drop_known(fresh, held, key)
     write_table(fresh, path)
 
 

@@ -136,3 +136,41 @@ def test_equal_vectors_are_not_split(spark, scratch):
     assert index.split(5) is index
     with pytest.raises(ValueError):
         ListIndex.open(spark, f"{scratch}/none")
+
+
+# --- pairs by sign hashes ----------------------------------------------------------------------------
+
+
+def test_hashed_pairs(spark, data):
+    df, rows, _, _ = data
+    some = spark.createDataFrame([r[:2] for r in rows[:300]] + [(r[0], r[1]) for r in rows[600:]], "doc_id string, embedding array<double>").repartition(4)
+    want = {(r["doc1"], r["doc2"]): r["distance"] for r in k.near_pairs(some, 0.02, DIM).collect()}
+    own = replace(DEFAULTS, block_rows=17)
+    found = k.near_pairs_hashed(some, 0.02, DIM, bits=6, miss=0.001, settings=own).collect()
+    got = {(r["doc1"], r["doc2"]): r["distance"] for r in found}
+    assert len(got) == len(found) and len(want) > 800
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
+    assert all(got[p] == want[p] for p in got)
+    # Odd rows take no part; nothing to compare is no pair.
+    assert k.near_pairs_hashed(data[0].where("doc_id like 'z%'"), 0.1, DIM).count() == 0
+
+
+def test_number_of_tables():
+    assert k.hash_tables(0.1, 12, 0.05) < k.hash_tables(0.1, 12, 0.01) < k.hash_tables(0.2, 12, 0.01)
+    assert k.hash_tables(0.0, 12, 0.01) == 1
+    with pytest.raises(ValueError):
+        k.hash_tables(0.1, 12, 0.0)
+
+
+# --- what is known -----------------------------------------------------------------------------------
+
+
+def test_drop_known(spark):
+    from semcorpus.operators.known import drop_known
+
+    known = spark.createDataFrame([(f"u{n}",) for n in range(0, 5000, 2)] + [(None,)] * 3, "uri string")
+    fresh = spark.createDataFrame([(f"u{n}", n) for n in range(100)] + [(None, -1)], "uri string, n int")
+    for bits in (24, 8):
+        left = drop_known(fresh, known, bits=bits)
+        assert sorted(r["n"] for r in left.collect()) == [-1, *range(1, 100, 2)]
+    assert drop_known(fresh.where("false"), known).count() == 0 and drop_known(fresh, known.where("false")).count() == 101

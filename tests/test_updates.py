@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from semcorpus.operators import analytics as a
 from semcorpus.operators import corpus as c
+from semcorpus.operators import quality
 from semcorpus.operators import search as s
+from semcorpus.operators.daily import DailyReports
 from semcorpus.operators.postings import Postings, build_postings, required
 from semcorpus.sources import tables as t
 from semcorpus.sources.updates import append_days, read_days, state, update_days, vacuum
@@ -185,3 +187,58 @@ def test_contexts_equal_the_operator(spark):
         assert {r["query_id"]: r["context"] for r in got} == want, budget
         assert all(r["used_tokens"] <= budget for r in got)
     assert spark.sql("SELECT * FROM get_rag_context(array(1D), 100D)").count() == 0
+
+
+# --- exports of any size -----------------------------------------------------------------------------
+
+
+def test_large_exports_are_numbered_over_tasks(spark, tmp_path):
+    made = [(f"d{n:04d}", "u", "s", "text", (n * 37 % 100) / 100, None, "t") for n in range(1000)]
+    df = spark.createDataFrame(made, "doc_id string, uri string, source string, modality string, distance double, rel_score double, text_content string").repartition(5)
+    want = [r[0] for r in sorted(made, key=lambda r: (r[4], r[0]))]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        t.export_results(df, str(tmp_path / "csv"), one_file=100)
+        t.export_results(df, str(tmp_path / "json"), "json", one_file=100)
+        got = {int(r["rank"]): r["doc_id"] for r in spark.read.csv(str(tmp_path / "csv"), header=True).collect()}
+        assert [got[n + 1] for n in range(1000)] == want and len(got) == 1000
+        files = sorted(p for p in (tmp_path / "json").iterdir() if p.name.startswith("part-"))
+        lines = [line for p in files for line in p.read_text().splitlines()]
+        assert len(files) > 1 and [__import__("json").loads(line)["doc_id"] for line in lines] == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+# --- reports kept by day -----------------------------------------------------------------------------
+
+
+def test_daily_reports_equal_a_scan(spark, scratch):
+    day = datetime(2024, 1, 1)
+    made = [
+        (f"d{n}", f"u{n % 23}" if n % 11 else None, ["text", "pdf", None][n % 3], f"s{n % 2}", None if n % 7 == 0 else "x" * (n % 13),
+         day + timedelta(days=n % 5) if n % 19 else None, [None, [], [1.0, 2.0]][n % 3])
+        for n in range(120)
+    ]
+    df = spark.createDataFrame(made, "doc_id string, uri string, modality string, source string, text_content string, created_at timestamp, embedding array<double>")
+    path = f"{scratch}/t"
+    late = F.col("doc_id").isin("d6", "d11")
+    t.write_table(df.where(~late), path)
+    daily = DailyReports(spark, path, f"{scratch}/r")
+
+    def same():
+        rows = t.read_table(spark, path)
+        for name in ("modality_stats", "document_stats", "embedding_stats", "corpus_totals"):
+            want = values(getattr(quality, name)(rows), *getattr(quality, name)(rows).columns)
+            got = getattr(daily, name)()
+            assert values(got, *getattr(quality, name)(rows).columns) == want, name
+
+    assert len(daily.refresh()) == 6 and daily.refresh() == []
+    same()
+    append_days(df.where(late), path)
+    assert [d.isoformat() for d in daily.refresh()] == ["2024-01-02"]
+    same()
+    update_days(spark, path, c.clear_embeddings, F.col("doc_id") == "d5")
+    update_days(spark, path, lambda rows: rows.where("false"), F.col("doc_id") == "d3")
+    assert len(daily.refresh()) == 2
+    same()
