@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query("op10_decontaminate")
+@query("op10_decontaminate", oracles.OP10)
 def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.shared_words(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select(
@@ -93,7 +93,7 @@ def _digests(batches):
             )
 
 
-@query("op6_minhash_dedup")
+@query("op6_minhash_dedup", oracles.OP6)
 def op6_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf, "documents"), percent=85)
 
@@ -147,10 +147,11 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     counts = lm_scoring.word_counts(docs)
-    return lm_scoring.scored(docs, *lm_scoring.train(docs, counts=counts), counts=counts)
+    memory = lm_scoring.contexts(docs)
+    return lm_scoring.scored(docs, *lm_scoring.train(docs, counts=counts), counts=counts, memory=memory)
 
 
-@query("op5_embedding_dedup")
+@query("op5_embedding_dedup", oracles.OP5)
 def op5_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embedding_dedup.linked_vectors(table(spark, sf, "embeddings"), least=0.95)
 
