@@ -3,13 +3,15 @@
 A long text becomes chunks that overlap. Pre-tokenising from any place falls into step with the right pieces
 at the first boundary both have: what follows depends only on the text after it. So a chunk ends where its pieces
 and those of the next chunk, begun at that chunk's own start, first have a boundary in common, and stitching drops
-the next chunk's pieces before that place. An overlap reaches until it must hold such a boundary: a letter, one blank,
-and a letter. Chunks without one (a run of a million digits) grow instead.
+the next chunk's pieces before that place. An overlap reaches until it must hold such a boundary: the end of a run of
+letters, or of one of digits, as no piece goes on after either. Chunks without one (a single piece of a million letters)
+grow instead.
 """
 
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcorpus.llm.batches import few_rows, lists, shared, slices
+from semcorpus.llm.batches import few_rows, lists, release, shared, slices
 
 CHUNK = 1 << 15
 OVERLAP = 256
 KEPT_PIECES = 100_000
-SAFE = regex.compile(r"\p{L} \p{L}")
+# For patterns in which a letter is followed only by letters within a piece, and a digit only by digits.
+SAFE = regex.compile(r"\p{L}\P{L}|\p{N}\P{N}")
+# Ids decoded at a time.
+DECODED = 1 << 20
 
 
 class Vocabulary:
@@ -124,7 +129,8 @@ def meeting(pieces: list[str], text: str, at: int, pattern: regex.Pattern) -> in
 def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id and `ids` of every document, special strings taken as plain text.
 
-    Null and empty texts have no ids. Every row has its own result, also where an id repeats or is null.
+    Null and empty texts have no ids. Every row has its own result, also where an id repeats or is null. A caller's own
+    pattern must end its pieces where `SAFE` says; else a text of several chunks may raise an error, never a wrong result.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -138,6 +144,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
                 rows = [whole.encode_to_numpy(t, disallowed_special=()) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 ids = lists(pa.array(np.concatenate(rows).astype(np.int32)), np.array([len(r) for r in rows]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids], names=["doc_id", "ids"])
+        release()
 
     def chunked(batches):
         row = TaskContext.get().partitionId() << 40
@@ -210,8 +217,20 @@ def decode_ids(ids: pa.ListArray, vocab: Vocabulary) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
 
 
+def few_ids(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    """The batch a few rows at a time, by their number and by that of their ids; a longer list is a part of its own."""
+    for part in few_rows(batch):
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(part.column(place)), 0).to_numpy().astype(np.int64))
+        lo = 0
+        while lo < part.num_rows:
+            hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + DECODED, side="right"))
+            hi = max(hi, lo + 1)
+            yield part.slice(lo, hi - lo)
+            lo = hi
+
+
 def decode(encoded: DataFrame, vocab: Vocabulary, ids_col: str = "ids", into: str = "bytes") -> DataFrame:
-    """Every row with the raw bytes of its ids. Null ids give empty bytes."""
+    """Every row with the raw bytes of its ids. Null ids give empty bytes; repeated rows each have their own."""
     kept = encoded.drop(into)
     sent = shared(encoded.sparkSession, vocab)
     schema = kept.withColumn(into, F.lit(None).cast("binary")).schema
@@ -219,9 +238,10 @@ def decode(encoded: DataFrame, vocab: Vocabulary, ids_col: str = "ids", into: st
 
     def run(batches):
         for batch in batches:
-            for part in few_rows(batch):
+            for part in few_ids(batch, place):
                 raw = decode_ids(part.column(place), sent.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, raw], names=[*part.schema.names, into])
+        release()
 
     return kept.mapInArrow(run, schema)
 

@@ -42,3 +42,26 @@ def test_odd_rows(odd, none, library):
     assert found[5][0]["ids"] == library.encode_ordinary(long) and bytes(found[5][0]["bytes"]).decode() == long
     assert len(found[None]) == 1 and sum(map(len, found.values())) == 10
     assert byte_bpe.encode(none, vocab).count() == 0
+
+
+def test_texts_without_blanks_are_chunked(library):
+    """Japanese, code and lists of numbers."""
+    for text in ("日本語の文章。" * 4000, "x=y(1);" * 4000, "12,34;" * 5000, "été\n" * 6000):
+        parts = byte_bpe.cuts(text, 1000, 50)
+        assert len(parts) >= len(text) // 1200 and all(b - a < 1200 for a, b in parts)
+    assert len(byte_bpe.cuts("語" * 20_000, 1000, 50)) == 1
+
+
+def test_chunks_of_texts_without_blanks(spark, library):
+    texts = ["日本語の文章。" * 90, "x=y(1);'s" * 70, "12,34;" * 100, "été\n\n été's" * 60, "語" * 900, "1a2b3c " * 80]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = by_id(byte_bpe.encode(df, byte_bpe.default_vocabulary(), chunk=60, overlap=10))
+    assert [found[i][0]["ids"] for i in range(len(texts))] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_many_long_lists_in_one_batch(spark, monkeypatch, library):
+    monkeypatch.setattr(byte_bpe, "DECODED", 500)
+    rows = [(i, library.encode_ordinary("some words here " * (i * 37 % 200))) for i in range(60)] + [(60, None), (61, [])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)
+    for r in byte_bpe.decode(df, byte_bpe.default_vocabulary()).collect():
+        assert bytes(r["bytes"]).decode() == library.decode(r["ids"] or [])
