@@ -70,9 +70,11 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
         mark = said
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # Written, so that Spark can split the neighbours of a hub in the joins.
+        first = least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, now = now, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        drop(before)
+        for done in (before, first, least):
+            drop(done)

@@ -34,6 +34,8 @@ SUBSPACES, CODES, TURNS = 8, 64, 8
 # A partner lies within a known distance; along the line to another list's centroid that distance, spread over all
 # dimensions, has this many standard deviations before a border counts as too far.
 REACH = 3.5
+# Share of a block's pairs that codes may leave before they are thinned out by one matrix product.
+DENSE = 0.02
 
 
 class Index(NamedTuple):
@@ -140,6 +142,10 @@ def block_links(index: Index, here: int, guests: _Rows, members: _Rows, codes: n
     for lo in range(0, len(guests.id), 256):
         part = slice(lo, lo + 256)
         near = distances(index, guests.vectors[part], here, codes) - off <= radius + 1e-9
+        if near.mean() > DENSE:
+            # Codes leave so many that one product of the block is cheaper than theirs one by one; those near the
+            # threshold or above are still computed exactly.
+            near &= guests.vectors[part] @ members.vectors.T >= least - 1e-9
         g, m = np.nonzero(near)
         g += lo
         # Two of one list meet twice, as guest and member: the larger id is the guest.
@@ -188,8 +194,12 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
             joined, linked = _search(classes.where(F.col("size") == size).drop("size"), n, least, sample, per_list)
             found = found.unionByName(joined.withColumnRenamed("id", "rep").withColumn("size", F.lit(size)))
             counts = counts.unionByName(linked.withColumnRenamed("id", "rep").withColumn("size", F.lit(size)))
-    named = classes.select("key", "size", F.col("id").alias("rep"), "weight").join(found, ["size", "rep"], "left").join(counts, ["size", "rep"], "left")
-    both = units.select("id", "key").join(named, "key", "left")
+    # Written, so that Spark can split the rows of a vector with very many copies in the join.
+    named = cut(classes.select("key", "size", F.col("id").alias("rep"), "weight").join(found, ["size", "rep"], "left").join(counts, ["size", "rep"], "left"))
+    # Vectors that cannot be compared have no class: they go past the join, in which they would all meet.
+    lone = [F.lit(None).cast(named.schema[c].dataType).alias(c) for c in named.columns if c != "key"]
+    keyed = units.where("key is not null").select("id", "key").join(named, "key", "left")
+    both = keyed.unionByName(units.where("key is null").select("id", "key", *lone))
     # A row without an id shares its vector's class only by chance; it stays alone.
     own = F.col("id").isNotNull()
     out = both.select(

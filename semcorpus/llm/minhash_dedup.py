@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcorpus.llm.batches import shared, slices
+from semcorpus.llm.batches import release, shared, slices
 from semcorpus.llm.components import components, cut
 from semcorpus.llm.words import BLANK_SEPARATED, mix, words
 
 SHINGLE = 5
-BANDS, ROWS = 20, 6
+# Chance that a pair that just reaches the threshold shares no band, and signature values that bands may take for it.
+BAND_MISS, BAND_VALUES = 1e-4, 120
 # Signature values compared by the sequential test, apart from those of the bands; values per batch.
 TESTED, STEP = 64, 16
 # Chance at each batch to drop a pair that reaches the threshold.
@@ -36,9 +37,21 @@ MISS = 1e-5
 BLOCK, SMALL = 512, 16
 # Bits of the filter that keeps sets nobody asks for from being shuffled; its size does not grow with the data.
 FILTER_BITS = 1 << 25
+# Bytes of text worked on at a time.
+PORTION = 1 << 19
 
-_FACTORS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS + TESTED, dtype=np.uint64) | np.uint64(1)
-_PLUS = np.random.default_rng(13).integers(1, 1 << 63, BANDS * ROWS + TESTED, dtype=np.uint64)
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """Bands and values per band for a threshold: the longest bands that keep to `BAND_VALUES` at `BAND_MISS`.
+
+    20 of 6 at 85 percent, 24 of 5 at 80. Below about 8 percent bands of one value take more than that.
+    """
+    for rows in range(BAND_VALUES, 0, -1):
+        same = min((percent / 100) ** rows, 1 - 1e-12)
+        bands = int(np.ceil(np.log(BAND_MISS) / np.log1p(-same)))
+        if bands * rows <= BAND_VALUES or rows == 1:
+            return bands, rows
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,44 +79,47 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
     return s[new], np.bincount(owner[new], minlength=len(texts))
 
 
-def signatures(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Minimum of every hash function over each set that has members."""
+def signatures(s: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Minimum of `size` hash functions over each set that has members."""
     starts = (np.cumsum(counts) - counts)[counts > 0]
-    out = np.empty((len(starts), len(_FACTORS)), np.uint64)
-    for i, (a, b) in enumerate(zip(_FACTORS, _PLUS)):
+    factors = np.random.default_rng(11).integers(1, 1 << 63, size, dtype=np.uint64) | np.uint64(1)
+    plus = np.random.default_rng(13).integers(1, 1 << 63, size, dtype=np.uint64)
+    out = np.empty((len(starts), size), np.uint64)
+    for i, (a, b) in enumerate(zip(factors, plus)):
         v = s * a
         v ^= b
         out[:, i] = np.minimum.reduceat(v, starts)
     return out >> np.uint64(32)
 
 
-def _features(batches):
+def _features(batches, count: int, rows: int):
     for batch in batches:
-        for lo, hi in slices(batch.column(1)):
+        for lo, hi in slices(batch.column(1), PORTION):
             s, counts = shingles(batch.column(1).slice(lo, hi - lo))
             some = np.flatnonzero(counts)
             n = hi - lo
             keys = np.zeros((2, n), np.uint64)
-            bands = np.zeros((n, BANDS), np.uint64)
+            bands = np.zeros((n, count), np.uint64)
             tested = np.zeros((n, TESTED), np.uint32)
             if len(some):
                 starts = (np.cumsum(counts) - counts)[some]
                 keys[0, some] = np.add.reduceat(mix(s), starts)
                 keys[1, some] = np.add.reduceat(mix(s ^ np.uint64(0x5555555555555555)), starts)
-                sig = signatures(s, counts)
-                for k in range(BANDS):
+                sig = signatures(s, counts, count * rows + TESTED)
+                for k in range(count):
                     h = np.full(len(some), k + 1, np.uint64)
-                    for v in sig[:, k * ROWS : (k + 1) * ROWS].T:
+                    for v in sig[:, k * rows : (k + 1) * rows].T:
                         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + v)
                     bands[some, k] = h
-                tested[some] = sig[:, BANDS * ROWS :].astype(np.uint32)
+                tested[some] = sig[:, count * rows :].astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, n), pa.array(counts.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
-                    pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64())), pa.array([r.tobytes() for r in tested], pa.binary()),
+                    pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel().view(np.int64)), count).cast(pa.list_(pa.int64())), pa.array([r.tobytes() for r in tested], pa.binary()),
                 ],
                 names=["id", "n", "k1", "k2", "bands", "sig"],
             )
+    release()
 
 
 def fewest(threshold: float, miss: float = MISS) -> list[int]:
@@ -166,11 +182,12 @@ def _asked(df: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
 
 def _sets(batches):
     for batch in batches:
-        for lo, hi in slices(batch.column(1)):
+        for lo, hi in slices(batch.column(1), PORTION):
             s, counts = shingles(batch.column(1).slice(lo, hi - lo))
             ends = np.cumsum(counts)
             sets = [s[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "members"])
+    release()
 
 
 class Search:
@@ -179,9 +196,11 @@ class Search:
     def __init__(self, docs: DataFrame, percent: int):
         self.docs, self.percent = docs, percent
         self.needed = fewest(percent / 100)
-        self.features = cut(docs.mapInArrow(_features, "id long, n long, k1 long, k2 long, bands array<long>, sig binary"))
+        count, rows = layout(percent)
+        self.features = cut(docs.mapInArrow(lambda batches: _features(batches, count, rows), "id long, n long, k1 long, k2 long, bands array<long>, sig binary"))
         some = self.features.where("n > 0 and id is not null")
-        self.classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+        # Written, so that Spark can split the rows of a text with very many copies in the joins.
+        self.classes = cut(some.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
         ours = some.join(self.classes.withColumnRenamed("rep", "id"), ["id", "k1", "k2"], "left_semi")
         self.reps = cut(ours.select("id", "n", "bands", "sig"))
 
@@ -288,7 +307,7 @@ def block_links(table: pa.Table, needed: list[int], percent: int) -> tuple[list[
     minor = table.column("minor").to_numpy()
     sig, ids, label = _sig(table.column("sig")), table.column("id").to_numpy(), table.column("label").to_numpy()
     main, here = table.column("main")[0].as_py(), table.column("band")[0].as_py()
-    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("members")]
     l, r = np.flatnonzero(minor), np.flatnonzero(~minor)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -346,9 +365,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     run = Search(narrow, percent)
     found = run.labels()
-    own = run.features.select("id", "n", "k1", "k2").join(run.classes, ["k1", "k2"], "left")
-    own = own.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")).otherwise(F.col("id")).alias("rep"))
-    named = own.join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    # Rows without shingles or id have no class: they go past the join, in which they would all meet.
+    some = (F.col("n") > 0) & F.col("id").isNotNull()
+    rows = run.features.select("id", "n", "k1", "k2")
+    own = rows.where(some).join(run.classes, ["k1", "k2"], "left").select("id", "n", "rep")
+    alone = rows.where(~some).select("id", "n", F.col("id").alias("rep"))
+    named = own.join(found.withColumnRenamed("id", "rep"), "rep", "left").unionByName(alone.withColumn("component", F.lit(None).cast("long")))
     out = named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
