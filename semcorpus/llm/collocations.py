@@ -32,8 +32,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semcorpus.llm.batches import shared, slices
-from semcorpus.llm.components import cut
+from semcorpus.llm.batches import release, shared, slices
+from semcorpus.llm.components import cut, drop
 from semcorpus.llm.words import kind_of, mix, words
 
 MOST = 4
@@ -44,8 +44,9 @@ _BREAK[list(BREAKS)] = True
 # Words with a number of their own: so many in all, and so many of each language.
 TABLE, TABLE_LANG = 1 << 20, (1 << 16) - 2
 # Bits of the filter that tells rare words from frequent ones without a number.
-FILTER_BITS = 26
+FILTER_BITS = 25
 SLICE, EDGES, BIN = 2 << 20, 1 << 20, 1 << 20
+SHARES = 256
 ONE = np.uint64(1)
 
 
@@ -139,28 +140,44 @@ def _bit(bits: np.ndarray, spot: np.ndarray) -> np.ndarray:
     return (bits[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & ONE).astype(bool)
 
 
+def first_of(rows: DataFrame, number: str, most: int, order: list, key: str) -> DataFrame:
+    """The first rows of each language, numbered from 1. Shares of a language by a hash are cut first, so that no task sorts
+    more than a share of the largest or the first rows of all shares."""
+    share = F.pmod(F.xxhash64(key), F.lit(SHARES))
+    for by in ([F.col("lang"), share], [F.col("lang")]):
+        rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(number) <= most)
+    return rows
+
+
 def known_words(counts: DataFrame) -> Known:
-    """At most `TABLE` words with numbers and a filter of 2^26 bits, whatever the corpus."""
+    """At most `TABLE` words with numbers and a filter of 2^25 bits, whatever the corpus."""
     own = counts.where("word IS NOT NULL").select("lang", "key", "n")
-    by = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
-    top = own.withColumn("number", F.row_number().over(by)).where(F.col("number") <= TABLE_LANG)
-    top = top.orderBy(F.desc("n"), "key").limit(TABLE).select("lang", "key", "number").toArrow()
+    # Sixteen steps to each doubling; whole steps from the top, as many as there is room for. A row per language and step.
+    step = F.floor(F.log2("n") * 16)
+    least, room, left, shut = {}, {}, TABLE, set()
+    for r in sorted(own.groupBy("lang", step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        lang = r["lang"]
+        if lang in shut or min(room.setdefault(lang, TABLE_LANG), left) < r["count"]:
+            shut.add(lang)
+            continue
+        least[lang], room[lang], left = r["step"], room[lang] - r["count"], left - r["count"]
+    cuts = F.broadcast(counts.sparkSession.createDataFrame(list(least.items()), "lang string, least long"))
+    top = own.join(cuts, "lang").where(step >= F.col("least")).select("lang", "key", "n").toArrow()
     half = 1 << FILTER_BITS
     spots = F.explode(F.array(*[F.pmod(F.shiftrightunsigned("key", s), F.lit(half)) for s in (1, 1 + FILTER_BITS)])).alias("spot")
     words64 = own.select(spots).select(F.shiftright("spot", 6).alias("at"), F.expr("shiftleft(1L, CAST(spot & 63 AS INT))").alias("bit"))
     words64 = words64.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(half >> 6, np.uint64)
     bits[words64.column(0).to_numpy().astype(np.int64)] = words64.column(1).to_numpy().view(np.uint64)
-    key = top.column(1).to_numpy().view(np.uint64)
-    number = top.column(2).to_numpy().astype(np.uint16)
-    lang = np.array(top.column(0).to_pylist(), object)
-    by_lang = {}
-    for name in set(lang.tolist()):
-        mine = lang == name
-        # Numbers of a language have no holes but those beyond the limit of all, which are the last.
-        keys = np.zeros(int(number[mine].max()) + 1, np.uint64)
-        keys[number[mine]] = key[mine]
-        by_lang[name] = keys
+    key, n = top.column(1).to_numpy().view(np.uint64), top.column(2).to_numpy()
+    lang = top.column(0).combine_chunks().dictionary_encode()
+    lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
+    code, number, by_lang = lang.indices.to_numpy(), np.zeros(len(key), np.uint16), {}
+    for i, name in enumerate(lang.dictionary.to_pylist()):
+        mine = np.flatnonzero(code == i)
+        mine = mine[np.lexsort((key[mine], -n[mine]))]
+        number[mine] = np.arange(1, len(mine) + 1)
+        by_lang[name] = np.concatenate([np.zeros(1, np.uint64), key[mine]])
     order = np.argsort(key)
     return Known(key[order], number[order], by_lang, bits)
 
@@ -251,7 +268,7 @@ def _edges(texts: DataFrame, known: Broadcast, bins: int) -> DataFrame:
             packed = np.zeros(n, np.uint64)
             for k in range(MOST):
                 part = np.zeros(n, np.uint64)
-                part[: n - k] = number[k:]
+                part[: max(0, n - k)] = number[k:]
                 packed |= np.where(size_own > k, part, 0).astype(np.uint64) << np.uint64(16 * (MOST - 1 - k))
             own = size_own >= 2
             other = np.flatnonzero((size_all > size_own) & (size_all >= 2))
@@ -319,6 +336,7 @@ def graph(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
     total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
     bins = max(8, -(-total // BIN))
     known = shared(spark, known_words(counts))
+    release()
     packed = _edges(texts, known, bins)
     for size in range(MOST, 1, -1):
         packed = _level(packed, known, size, least, bins)
@@ -346,7 +364,8 @@ def compacted(runs: DataFrame) -> DataFrame:
         step = now.where("NOT done").join(far, ["lang", "head"])
         step = step.select("lang", "words", "n", F.when(F.col("further").isNull(), F.col("head")).otherwise(F.col("further")).alias("head"), (F.col("place") + F.col("more")).alias("place"), "ends")
         # An edge is done when the one it points to was done: that one is a head, or points to its head.
-        now = cut(now.where("done").unionByName(step.withColumnRenamed("ends", "done")))
+        before, now = now, cut(now.where("done").unionByName(step.withColumnRenamed("ends", "done")))
+        drop(before)
     return now.select("lang", "words", "n", F.coalesce("head", "words").alias("head"), "place")
 
 
@@ -384,7 +403,6 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     phrase = F.array_join(F.transform("spelt", lambda s: s["word"]), " ")
     found = best.join(spelt, ["lang", "words"]).join(inside, ["lang", "words"], "left")
     found = found.select("lang", phrase.alias("phrase"), "a", "cut.l", "cut.r", "cut.score", F.coalesce("passage", F.size("words").cast("long")).alias("passage"))
-    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    found = found.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= top)
+    found = first_of(found, "rank", top, [F.desc("score"), F.desc("a"), F.col("phrase")], "phrase").withColumn("rank", F.col("rank").cast("long"))
     total = g.words.where("word IS NULL").select("lang", "n")
     return found.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "passage")

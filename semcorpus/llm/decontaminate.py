@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semcorpus.llm.batches import free_name, shared, slices
+from semcorpus.llm.batches import free_name, release, shared, slices
 from semcorpus.llm.words import ALPHANUMERIC, words
 
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 FOUND = "n_words long, n_hit long, longest long, items array<string>, spans array<struct<begin:int,stop:int>>"
 
 
@@ -234,6 +234,7 @@ def _pass(step, place: int, window: int, kind):
                     made.append((count, sum(b - a for a, b in spans), longest, items, [{"begin": a, "stop": b} for a, b in spans]))
                 column = pa.array([dict(zip(keys, m)) for m in made], arrow)
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], column], names=batch.schema.names)
+        release()
 
     return run
 
