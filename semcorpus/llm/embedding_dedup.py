@@ -115,11 +115,13 @@ def distances(index: Index, rows: np.ndarray, here: int, codes: np.ndarray) -> n
     """Rows by members: distance from each row to each member's code, by one table per row and subspace."""
     left = rows - index.centres[here]
     left = np.pad(left, ((0, 0), (0, index.width - left.shape[1])))
-    out = np.zeros((len(rows), len(codes)))
+    # Members by rows, so that a look-up copies one stretch of the table for all rows.
+    out = np.zeros((len(codes), len(rows)))
     for p, book, code in zip(np.split(left, SUBSPACES, axis=1), index.books, codes.T):
-        table = ((p[:, None, :] - book) ** 2).sum(axis=2)
-        out += table[:, code]
-    return np.sqrt(out)
+        table = (book * book).sum(axis=1)[:, None] - 2 * book @ p.T + (p * p).sum(axis=1)
+        out += table.take(code, axis=0)
+    # Rounding may leave a distance of zero a little below it.
+    return np.sqrt(np.maximum(out, 0, out=out), out=out).T
 
 
 class _Rows(NamedTuple):
