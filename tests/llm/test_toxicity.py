@@ -64,3 +64,35 @@ def test_noisy_or():
 
     z = np.log(np.array([0.5, 0.5, 0.2]) / (1 - np.array([0.5, 0.5, 0.2])))
     assert toxicity.noisy_or(z, np.array([2, 0, 1]), -np.inf) == pytest.approx([0.75, 0, 0.2])
+
+
+def by_definition(model, text):
+    """One minus the chances that neither the leak nor a sentence is toxic, a word at a time."""
+    import math
+    import re
+
+    import pyarrow as pa
+
+    from semcorpus.llm.words import ALPHANUMERIC, words
+
+    clean = 1 / (1 + math.exp(model.leak))
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        told = set()
+        for word in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence):
+            found = words(pa.array([word]), ALPHANUMERIC)
+            for h in [int(found.hash[0]), *(int(found.heads(k)[0]) for k in toxicity.HEADS if len(word.encode()) >= k)]:
+                place = h & (toxicity.PLACES - 1)
+                if model.weights[place]:
+                    told.add(place)
+        if told:
+            odds = model.bias + sum(float(model.weights[p]) for p in told)
+            clean *= 1 / (1 + math.exp(odds))
+    return 1 - clean
+
+
+def test_scores_by_definition(model, documents, texts):
+    found = by_id(toxicity.scored(documents, model))
+    some = sorted(texts)[:60] + [k for k in texts if found[k][0]["score"] > 0.05]
+    assert any(found[k][0]["score"] > 0.3 for k in some)
+    for key in some:
+        assert found[key][0]["score"] == pytest.approx(by_definition(model, texts[key]), abs=1e-5), key
