@@ -198,10 +198,10 @@ def sql_get_rag_context(spark, sf):
     return spark.sql(f"SELECT context FROM get_rag_context({sql_vector(stored)}, 3000D)")
 
 
-@query("near_pairs_hashed", PAIRS + "SELECT doc1, doc2, round(1 - distance, 6) AS similarity FROM pairs WHERE distance < 0.1")
+@query("near_pairs_hashed", PAIRS + "SELECT doc1, doc2, round(1 - distance, 6) AS similarity FROM pairs WHERE distance < 0.6")
 def near_pairs_hashed(spark, sf):
     """Pairs that share a bucket of sign hashes; with so small a chance to miss one the result is that of all pairs."""
-    found = knn.near_pairs_hashed(i.vectors(spark, sf), 0.1, DIM, miss=1e-5)
+    found = knn.near_pairs_hashed(i.vectors(spark, sf), 0.6, DIM, bits=5, miss=1e-6)
     return found.select("doc1", "doc2", F.round("similarity", 6).alias("similarity"))
 
 
