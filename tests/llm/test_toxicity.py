@@ -76,7 +76,8 @@ def by_definition(model, text):
     from semcorpus.llm.words import ALPHANUMERIC, words
 
     clean = 1 / (1 + math.exp(model.leak))
-    for sentence in re.split(r"[.!?\n]", text or ""):
+    low = (text or "").translate({i: i + 32 for i in range(65, 91)})
+    for sentence in re.split(r"[.!?\n]", low):
         told = set()
         for word in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence):
             found = words(pa.array([word]), ALPHANUMERIC)
