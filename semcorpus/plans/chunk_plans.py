@@ -234,7 +234,8 @@ def incremental_corpus(spark, sf):
     batch = i.documents(spark, sf)
     raw = i.table(spark, sf, "documents")
     for n in range(2):
-        source = spark.readStream.schema(raw.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+        # A pattern, as a stream's own path must be a folder and the table may be one file or a folder of many.
+        source = spark.readStream.schema(raw.schema).parquet(f"{sf}/documents.parque[t]")
         docs = source.select(*i._doc_columns()).withColumns(
             {x: F.lit(None).cast(t) for x, t in (
                 ("chunk_index", "long"), ("chunk_start", "long"), ("chunk_end", "long"), ("embedding", "array<double>"))}
