@@ -59,6 +59,8 @@ def _best(ids: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
 
 # Queries met at once inside a task: bounds the distance matrix of one batch.
 QUERY_BLOCK = 512
+# Rows of a block that meet the other block at once: bounds the matrix and the pairs found in it.
+PAIR_BLOCK = 128
 # More than rounding a distance can change it.
 SLACK = 1e-8
 
@@ -340,9 +342,7 @@ def _reach(rows: DataFrame, centroids: np.ndarray, max_distance: float) -> DataF
     radius = float(np.sqrt(2.0 * max_distance)) + 1e-6
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(lo, QUERY_BLOCK) for whole in batches for lo in range(0, whole.num_rows, QUERY_BLOCK)):
             u = unit_rows(matrix(batch.column("vec"), c.shape[1])[1])
             sims = u @ c.T
             home = as_distance(sims).argmin(axis=1)
@@ -391,30 +391,37 @@ def _pair_join(
     names = ["doc1", "doc2", "distance"]
     schema, by_cell = "doc1 string, doc2 string, distance double", centroids is not None
 
+    def nearest(low: np.ndarray, high: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if keep is None:
+            return low, high, d
+        order = np.lexsort((high, d, low))
+        low, high, d = low[order], high[order], d[order]
+        first = np.arange(len(low)) - np.searchsorted(low, low, side="left") < keep
+        return low[first], high[first], d[first]
+
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _pair_table(names, [], [], [])
         li, lv = _vectors(left)
         ri, rv = _vectors(right)
-        sims = lv @ rv.T
-        near = sims > 1.0 - max_distance - SLACK
-        if by_cell or np.array_equal(li, ri):
-            # With cells a pair is found where the smaller id probes the home cell of the larger one.
-            near &= np.arange(len(ri)) >= np.searchsorted(ri, li, side="right")[:, None]
-        rows, cols = np.nonzero(near)
-        d = as_distance(sims[rows, cols])
-        rows, cols, d = rows[d < max_distance], cols[d < max_distance], d[d < max_distance]
-        # Two blocks meet once, so either side may hold the smaller id.
-        ids = np.unique(np.concatenate([li, ri]))
-        one, two = np.searchsorted(ids, li)[rows], np.searchsorted(ids, ri)[cols]
-        low, high = np.minimum(one, two), np.maximum(one, two)
-        if keep is not None:
-            # Places follow the ids, so the larger one settles ties.
-            order = np.lexsort((high, d, low))
-            low, high, d = low[order], high[order], d[order]
-            nth = np.arange(len(low)) - np.searchsorted(low, low, side="left")
-            low, high, d = low[nth < keep], high[nth < keep], d[nth < keep]
-        return _pair_table(names, list(ids[low]), list(ids[high]), d)
+        # Two blocks meet once, so either side may hold the smaller id. Places follow the ids, so the larger one settles ties.
+        ids, at = np.unique(np.concatenate([li, ri]), return_inverse=True)
+        la, ra = at[:len(li)].astype(np.int32), at[len(li):].astype(np.int32)
+        ordered, parts = by_cell or np.array_equal(li, ri), []
+        for first in range(0, len(li), PAIR_BLOCK):
+            own = la[first:first + PAIR_BLOCK]
+            sims = lv[first:first + PAIR_BLOCK] @ rv.T
+            near = sims > 1.0 - max_distance - SLACK
+            if ordered:
+                # With cells a pair is found where the smaller id probes the home cell of the larger one.
+                near &= ra > own[:, None]
+            rows, cols = np.nonzero(near)
+            d = as_distance(sims[rows, cols])
+            rows, cols, d = rows[d < max_distance], cols[d < max_distance], d[d < max_distance]
+            parts.append(nearest(np.minimum(own[rows], ra[cols]), np.maximum(own[rows], ra[cols]), d))
+        low, high, d = nearest(*(np.concatenate(x) for x in zip(*parts)))
+        named = pa.array(ids, pa.string())
+        return _pair_table(names, named.take(pa.array(low)), named.take(pa.array(high)), d)
 
     if centroids is None:
         return self_join(rows, n, meet, schema, settings.block_rows)

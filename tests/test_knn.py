@@ -141,3 +141,29 @@ def test_trained_centroids(data):
 def test_search_plans_take_ordered_rows_without_a_shuffle(data):
     plan = k.knn(data[0], [1.0] * DIM, 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange hash" not in plan
+
+
+@pytest.mark.parametrize("keep", [None, 5])
+def test_two_blocks_meet_in_bounded_memory(spark, monkeypatch, keep):
+    """The kernel itself, on two full blocks: never the whole matrix of them at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(k, "self_join", lambda rows, n, meet, schema, per_block: meet)
+    some = spark.createDataFrame([("a", [1.0, 0.0])], "doc_id string, embedding array<double>")
+    meet = k._pair_join(some, 0.2, 16, None, keep, "doc_id", "embedding", DEFAULTS)
+    m = np.random.default_rng(5).normal(size=(2 * DEFAULTS.block_rows, 16))
+    ids = np.array([f"d{i:05d}" for i in np.random.default_rng(6).permutation(len(m))], dtype=object)
+    one, two = (pa.table({"id": pa.array(ids[h], pa.string()), "vec": pa.array(list(m[h]), pa.list_(pa.float64()))}) for h in (slice(0, DEFAULTS.block_rows), slice(DEFAULTS.block_rows, None)))
+    tracemalloc.start()
+    got = meet(one, two)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    rows, cols = np.nonzero(1 - u[:DEFAULTS.block_rows] @ u[DEFAULTS.block_rows:].T < 0.2)
+    want = {tuple(sorted((ids[a], ids[DEFAULTS.block_rows + b]))) for a, b in zip(rows, cols)}
+    pairs = list(zip(got["doc1"].to_pylist(), got["doc2"].to_pylist()))
+    assert len(pairs) == len(set(pairs)) and set(pairs) <= want and len(pairs) > 10
+    assert keep is not None or set(pairs) == want
