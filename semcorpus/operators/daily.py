@@ -1,8 +1,10 @@
 """Corpus reports from sums kept by day, so that only days that changed are read again.
 
-    <report>/sums/    per day, modality and source: counts, sums and latest times
-    <report>/uris/    per day, modality and source: the distinct uris
-    <report>/seen/    versions of what each day of the corpus looked like when it was summed
+    <report>/sums/part=<name>/    per day, modality and source: counts, sums and latest times
+    <report>/uris/part=<name>/    per day, modality and source: the distinct uris
+    <report>/seen/    versions of what each day of the corpus looked like when it was summed, and the part that has its rows
+
+A refresh writes one part. Days have no folders of their own here, as a folder takes longer to make than its few rows.
 
 Counts, sums, maxima and sets of distinct uris of days merge into those of the corpus, so the reports equal a full scan.
 """
@@ -10,6 +12,7 @@ Counts, sums, maxima and sets of distinct uris of days merge into those of the c
 from __future__ import annotations
 
 import hashlib
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +21,10 @@ from pyspark.sql import functions as F
 from semcorpus.functions.vectors import has_vector
 from semcorpus.operators.quality import _share
 from semcorpus.sources import versions as v
-from semcorpus.sources.updates import read_days, replace_days, state
+from semcorpus.sources.updates import read_days, state
 
 KEYS = ("created_date", "modality", "source")
-SEEN = "created_date date, mark string"
+SEEN = "created_date date, mark string, part string"
 
 
 def day_sums(rows: DataFrame) -> DataFrame:
@@ -58,31 +61,48 @@ class DailyReports:
     def refresh(self) -> list[date | None]:
         """Sum the days that changed since the last time, and no others; returns them."""
         _, held = state(self.spark, self.path)
-        now, before = self._marks(held), {}
-        known = v.versions(self.spark, f"{self.report}/seen")
-        if known:
-            rows = self.spark.read.schema(SEEN).parquet(v.version_path(f"{self.report}/seen", known[-1])).collect()
-            before = {r["created_date"]: r["mark"] for r in rows}
-        changed = [d for d in now if before.get(d) != now[d]]
+        now, known = self._marks(held), v.versions(self.spark, f"{self.report}/seen")
+        before = {r["created_date"]: r for r in self._seen().collect()} if known else {}
+        changed = [d for d in now if d not in before or before[d]["mark"] != now[d]]
         gone = [d for d in before if d not in now]
         if not changed and not gone:
             return []
-        rows = read_days(self.spark, self.path, changed, at=held)
-        if "embedding" not in rows.columns:
-            rows = rows.withColumn("embedding", F.lit(None).cast("array<double>"))
-        replace_days(day_sums(rows), f"{self.report}/sums", changed + gone)
-        replace_days(rows.where("uri IS NOT NULL").select(*KEYS, "uri").distinct(), f"{self.report}/uris", changed + gone)
+        part = f"r{uuid.uuid4().hex}"
+        if changed:
+            rows = read_days(self.spark, self.path, changed, at=held)
+            if "embedding" not in rows.columns:
+                rows = rows.withColumn("embedding", F.lit(None).cast("array<double>"))
+            day_sums(rows).write.parquet(f"{self.report}/sums/part={part}")
+            rows.where("uri IS NOT NULL").select(*KEYS, "uri").distinct().write.parquet(f"{self.report}/uris/part={part}")
         # Last, so that a refresh that breaks off is done again.
-        seen = self.spark.createDataFrame(list(now.items()), SEEN)
+        fresh = set(changed)
+        seen = self.spark.createDataFrame([(d, m, part if d in fresh else before[d]["part"]) for d, m in now.items()], SEEN)
         v.commit(seen, f"{self.report}/seen", known[-1] + 1 if known else 0)
         return changed + gone
 
+    def _seen(self) -> DataFrame:
+        known = v.versions(self.spark, f"{self.report}/seen")
+        if not known:
+            raise ValueError(f"no days are kept at {self.report}")
+        return self.spark.read.schema(SEEN).parquet(v.version_path(f"{self.report}/seen", known[-1]))
+
+    def _kept(self, name: str) -> DataFrame:
+        """Rows of the parts that the latest version names, of the days for which it names them."""
+        seen = self._seen()
+        parts = [r["part"] for r in seen.select("part").distinct().collect()]
+        if not parts:
+            raise ValueError(f"no days are kept at {self.report}")
+        root = f"{self.report}/{name}"
+        rows = self.spark.read.option("basePath", root).parquet(*[f"{root}/part={p}" for p in parts])
+        day, part = seen["created_date"], seen["part"]
+        return rows.join(seen, rows["created_date"].eqNullSafe(day) & (rows["part"] == part), "left_semi").drop("part")
+
     def _sums(self) -> DataFrame:
-        return read_days(self.spark, f"{self.report}/sums")
+        return self._kept("sums")
 
     def modality_stats(self) -> DataFrame:
         """As quality.modality_stats."""
-        uris = read_days(self.spark, f"{self.report}/uris").groupBy("modality", "source").agg(F.countDistinct("uri").alias("unique_files"))
+        uris = self._kept("uris").groupBy("modality", "source").agg(F.countDistinct("uri").alias("unique_files"))
         sums = self._sums().groupBy("modality", "source").agg(
             F.sum("documents").alias("document_count"), (F.sum("chars") / F.sum("texts")).alias("avg_text_length"),
             F.max("latest").alias("latest_update"),
