@@ -1,6 +1,6 @@
 """Keyword and pattern search from trigram postings, so that only texts that can match are read.
 
-    postings/bucket=<n>/    (trigram, doc_id), sorted by trigram
+    postings/bucket=<n>/    (trigram, ids of some documents that hold it), sorted by trigram
     trigrams/               trigram, bucket and how many documents hold it
 
 A text is lower-cased as the scan does it and cut into its distinct runs of three characters; a shorter text is one run.
@@ -13,8 +13,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +27,30 @@ from semcorpus.settings import DEFAULTS, Settings
 RAREST = 4
 # Texts cut at a time: bounds the Python objects of a task.
 TEXTS = 256
+# A character and one more in a number.
+MASK = (1 << 21) - 1
+
+
+def _names(runs: np.ndarray) -> pa.Array:
+    """The characters of runs given as numbers."""
+    chars = np.stack([runs >> 42, runs >> 21 & MASK, runs & MASK], axis=1)
+    ends = np.cumsum((chars > 0).sum(axis=1)).tolist()
+    text = (chars[chars > 0] - 1).astype("<u4").tobytes().decode("utf-32-le")
+    return pa.array([text[a:b] for a, b in zip([0, *ends], ends)], pa.string())
+
+
+def _runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of each text as numbers, in order, and which text each is of. A character, plus one, has 21 bits."""
+    runs, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for k, text in enumerate(texts.to_pylist()):
+        c = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64) + 1
+        if len(c) < 3:
+            c = np.concatenate([c, np.zeros(3 - len(c), np.int64)])
+        runs.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+        owners.append(np.full(len(runs[-1]), k, np.int32))
+    run, owner = np.concatenate(runs), np.concatenate(owners)
+    order = np.argsort(run, kind="stable")
+    return run[order], owner[order]
 
 
 def build_postings(
@@ -40,20 +64,20 @@ def build_postings(
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(lo, TEXTS)
-                runs = [list({t[i:i + 3] for i in range(len(t) - 2)} if len(t) > 2 else {t}) for t in part.column(1).to_pylist()]
-                runs = pa.array(runs, pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [runs.flatten(), part.column(0).take(pc.list_parent_indices(runs))], names=["trigram", "doc_id"]
-                )
+                run, owner = _runs(part.column(1))
+                ends = np.flatnonzero(np.diff(run, append=-1)) + 1
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), part.column(0).take(pa.array(owner)))
+                yield pa.RecordBatch.from_arrays([_names(run[ends - 1]), ids], names=["trigram", "ids"])
 
-    found = rows.mapInArrow(cut, T.StructType([T.StructField("trigram", T.StringType()), T.StructField("doc_id", kind)]))
+    # A trigram travels and is sorted once for all texts that are cut at a time.
+    found = rows.mapInArrow(cut, T.StructType([T.StructField("trigram", T.StringType()), T.StructField("ids", T.ArrayType(kind))]))
     found = found.withColumn("bucket", F.pmod(F.xxhash64("trigram"), F.lit(buckets)).cast("int"))
     (
         found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "trigram")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     )
     held = corpus.sparkSession.read.parquet(f"{path}/postings")
-    held.groupBy("trigram", "bucket").agg(F.count("*").alias("docs")).write.mode("overwrite").parquet(f"{path}/trigrams")
+    held.groupBy("trigram", "bucket").agg(F.sum(F.size("ids").cast("long")).alias("docs")).write.mode("overwrite").parquet(f"{path}/trigrams")
 
 
 class Postings:
@@ -61,7 +85,7 @@ class Postings:
 
     def __init__(self, spark: SparkSession, path: str, settings: Settings = DEFAULTS):
         self.spark, self.settings = spark, settings
-        self.postings = spark.read.parquet(f"{path}/postings")
+        self.postings = spark.read.parquet(f"{path}/postings").select("trigram", "bucket", F.explode("ids").alias("doc_id"))
         self.trigrams = spark.read.parquet(f"{path}/trigrams")
 
     def _runs(self, term: str) -> list[tuple[str, int]] | None:

@@ -242,3 +242,34 @@ def test_daily_reports_equal_a_scan(spark, scratch):
     update_days(spark, path, lambda rows: rows.where("false"), F.col("doc_id") == "d3")
     assert len(daily.refresh()) == 2
     same()
+
+
+def test_postings_keep_a_trigram_once_for_many_texts(spark, scratch):
+    texts = ["same words here", "same words there", "a\0", "a", "\U0001f600\U0001f600x", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text_content string").coalesce(1)
+    build_postings(rows, scratch, 2)
+    held = spark.read.parquet(f"{scratch}/postings").collect()
+    want = {}
+    for i, t in enumerate(texts):
+        for run in {t[j:j + 3] for j in range(len(t) - 2)} if t and len(t) > 2 else [] if t is None else [t]:
+            want.setdefault(run, []).append(i)
+    assert len(held) == len(want) and {r["trigram"]: sorted(r["ids"]) for r in held} == want
+    assert {r["trigram"]: r["docs"] for r in spark.read.parquet(f"{scratch}/trigrams").collect()} == {t: len(x) for t, x in want.items()}
+
+
+def test_reports_have_no_folder_for_each_day(spark, scratch):
+    """A refresh writes few files however many days it sums, and days that are summed again count once."""
+    days = spark.range(40).select(
+        F.col("id").cast("string").alias("doc_id"), F.concat(F.lit("u"), "id").alias("uri"), F.lit("text").alias("modality"),
+        F.lit("web").alias("source"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 86400).alias("created_at"),
+        F.lit("words").alias("text_content"), F.array(F.lit(1.0)).alias("embedding"),
+    )
+    path = f"{scratch}/t"
+    t.write_table(days, path)
+    daily = DailyReports(spark, path, f"{scratch}/r")
+    assert len(daily.refresh()) == 40 and daily.refresh() == []
+    assert not [p for p in Path(scratch, "r").rglob("created_date=*")]
+    append_days(days.where("doc_id < 10").withColumn("uri", F.concat("uri", F.lit("b"))), path)
+    assert len(daily.refresh()) == 10
+    row = daily.modality_stats().first()
+    assert (row["document_count"], row["unique_files"]) == (50, 50) and daily.embedding_stats().first()["total_documents"] == 50
