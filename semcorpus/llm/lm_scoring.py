@@ -11,9 +11,9 @@ Training is data-parallel: each task walks its own documents with minibatches of
 weights, and a tree of partial sums averages the results, weighted by words. All documents take part in the
 frequencies and in exactly one round. Only the network's weights have a fixed size, whatever the size of the corpus.
 
-A network of fixed size can't remember texts. A hashed share of the contexts (two words on either side) is kept with the
-words that stood in them, over the whole corpus; where such a context also stands elsewhere, its words there, with the place
-itself left out, have half a say in the chance of the word. Text that the corpus has twice scores far above text that it has
+A network of fixed size can't remember texts. All contexts (two words on either side) are counted with the words that stood
+in them, over the whole corpus; where a context also stands elsewhere, its words there, with the place itself left out, have
+half a say in the chance of the word. Text that the corpus has twice scores far above text that it has
 once; `recalled` is what this adds to the sum.
 """
 
@@ -25,7 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semcorpus.llm.batches import shared, slices
@@ -41,8 +41,8 @@ FAN_IN = 6
 HELD, GATHERED = 1 << 17, 1 << 21
 # What all words of a place that the corpus does not hold are counted as together.
 UNSEEN = 0.5
-# One context in so many is remembered, chosen by its hash; what its other occurrences say weighs so much.
-CONTEXTS, TRUST = 16, 0.5
+# One context in so many is remembered: all of them. What a context's other occurrences say weighs so much.
+CONTEXTS, TRUST = 1, 0.5
 NONE = WORDS  # the place beyond the edge of a text
 SPOTS = [-2, -1, 1, 2]
 
@@ -177,7 +177,7 @@ def frequencies(counts: DataFrame) -> Frequencies:
 
 
 def remembered(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words whose context is remembered: their numbers, the hash of the context, and that of context and word place."""
+    """Of the words whose context is remembered: their numbers, the hash of the context, and the word place."""
     n, context = len(found.hash), np.zeros(len(found.hash), np.uint64)
     begin = np.repeat(np.cumsum(found.counts) - found.counts, found.counts)
     stop = begin + np.repeat(found.counts, found.counts)
@@ -188,8 +188,12 @@ def remembered(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         near[ok] = found.hash[at[ok]]
         context = mix(context * ODD + near + np.uint64(1))
     some = np.flatnonzero((context >> np.uint64(40)) % np.uint64(CONTEXTS) == 0)
-    context = context[some]
-    return some, context, mix(context * ODD + place_of(found.hash[some]) + np.uint64(1))
+    return some, context[some], place_of(found.hash[some])
+
+
+def spot_key(context: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The hash of a context and the place of a word that stands in it."""
+    return mix(context * ODD + place.astype(np.uint64) + np.uint64(1))
 
 
 def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -199,14 +203,20 @@ def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def count(batches):
         for batch in batches:
             for lo, hi in slices(batch.column(0)):
-                _, context, key = remembered(words(batch.column(0).slice(lo, hi - lo), ALPHANUMERIC))
-                key, first, n = np.unique(key, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(key.view(np.int64)), pa.array(n)], names=["context", "word", "n"])
+                _, context, place = remembered(words(batch.column(0).slice(lo, hi - lo), ALPHANUMERIC))
+                _, first, n = np.unique(spot_key(context, place), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(place[first].astype(np.int32)), pa.array(n)], names=["context", "place", "n"])
+
+    def keyed(batches):
+        for batch in batches:
+            key = spot_key(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(2)], names=["word", "p"])
 
-    counted = docs.select(text_col).mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-    counted = cut(counted)
-    twice = counted.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
-    return cut(counted.join(twice, "context").select("word", ((F.col("n") - 1) / (F.col("all") - 1)).alias("p")))
+    # Dealt by the context once: counts by place and by context are then made where the rows are.
+    dealt = docs.select(text_col).mapInArrow(count, "context long, place int, n long").repartition("context")
+    counted = dealt.groupBy("context", "place").agg(F.sum("n").alias("n"))
+    counted = counted.withColumn("all", F.sum("n").over(Window.partitionBy("context"))).where(F.col("all") > 1)
+    return cut(counted.select("context", "place", ((F.col("n") - 1) / (F.col("all") - 1)).alias("p")).mapInArrow(keyed, "word long, p double"))
 
 
 def _plus(a: tuple, b: tuple) -> tuple:
@@ -328,7 +338,8 @@ def scored(docs: DataFrame, net: Net, known: Frequencies, id_col: str = "doc_id"
                     place = pairs // max(1, len(seen))
                     ids = number + np.arange(n)
                     number += n
-                    spot, _, key = remembered(found) if recall else (np.zeros(0, np.int64), None, np.zeros(0, np.uint64))
+                    spot, *context = remembered(found) if recall else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+                    key = spot_key(*context)
                     others = len(pairs) + len(spot)
                     yield pa.RecordBatch.from_arrays(
                         [

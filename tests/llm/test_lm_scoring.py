@@ -122,3 +122,12 @@ def test_remembered_contexts_by_hand(spark, monkeypatch):
     found = by_id(lm_scoring.scored(df, *lm_scoring.train(df, counts=counts), counts=counts, memory=lm_scoring.contexts(df)))
     assert found[1][0]["recalled"] == pytest.approx(found[2][0]["recalled"]) and found[1][0]["recalled"] > found[3][0]["recalled"]
     assert found[5][0]["recalled"] == 0
+
+
+def test_every_context_is_remembered():
+    from semcorpus.llm.words import ALPHANUMERIC, words
+
+    found = words(pa.array([" ".join(f"w{i}" for i in range(200)), "one two", None]), ALPHANUMERIC)
+    some, context, place = lm_scoring.remembered(found)
+    assert some.tolist() == list(range(202)) and len(set(context.tolist())) == 202
+    assert place.tolist() == lm_scoring.place_of(found.hash).tolist()
