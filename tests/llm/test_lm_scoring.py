@@ -1,4 +1,7 @@
+import os
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -131,3 +134,71 @@ def test_every_context_is_remembered():
     some, context, place = lm_scoring.remembered(found)
     assert some.tolist() == list(range(202)) and len(set(context.tolist())) == 202
     assert place.tolist() == lm_scoring.place_of(found.hash).tolist()
+
+
+def shuffled(spark):
+    """Shuffle files that this process holds, with their sizes."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f: os.path.getsize(f) for f in files.split("\n") if "/shuffle_" in f and f.endswith(".data") and os.path.exists(f)}
+
+
+def test_shuffles_go_with_each_part(spark, monkeypatch):
+    """Neither the memory nor the scores leave shuffled contexts on disk, whenever the driver collects its garbage."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(200)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).localCheckpoint()
+    counts = lm_scoring.word_counts(df)
+    model = lm_scoring.train(df, counts=counts)
+    key, asked, write = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], lm_scoring.cut
+    before, setting = shuffled(spark), spark.conf.get(key)
+    monkeypatch.setattr(lm_scoring, "cut", lambda df: (asked.append(spark.conf.get(key)), write(df))[1])
+    scores = lm_scoring.scored(df, *model, counts=counts, memory=lm_scoring.contexts(df))
+    # Sums of a few bytes may stay, 8000 contexts may not.
+    left = lambda: sum(size for f, size in shuffled(spark).items() if f not in before)
+    until = time.time() + 10
+    while left() > 10000 and time.time() < until:
+        time.sleep(0.2)
+    assert left() <= 10000
+    # The memory, and then one part of the documents after the other.
+    assert asked == ["true"] * 3
+    assert scores.count() == 40
+    assert spark.conf.get(key) == setting
+
+
+@pytest.mark.parametrize("held", [0, 30, 1 << 17])
+def test_contexts_and_their_say_against_plain_counts(spark, monkeypatch, held):
+    """Many small shares: shares, counts and what they add, against counts kept in dictionaries; ids that are texts, null or repeated."""
+    from semcorpus.llm.words import ALPHANUMERIC, words
+
+    monkeypatch.setattr(lm_scoring, "SHARE_BYTES", 512)
+    monkeypatch.setattr(lm_scoring, "PACKED", 300)
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice("abc") + rnd.choice("xy") for _ in range(rnd.randrange(60))) for _ in range(60)]
+    texts += ["one two three four five"] * 20 + ["alone", "", None, "alone"]
+    df = spark.createDataFrame([(None if i == 70 else f"d{i % 80}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+
+    def spots(text):
+        w = text.split() if text else []
+        at = lambda i: w[i] if 0 <= i < len(w) else None
+        return [((at(i - 2), at(i - 1), at(i + 1), at(i + 2)), w[i]) for i in range(len(w))]
+
+    n = Counter(s for t in texts for s in spots(t))
+    every = Counter(s[0] for t in texts for s in spots(t))
+    memory, counts = lm_scoring.contexts(df), lm_scoring.word_counts(df)
+    found = sorted((r["n"], round(r["p"], 9)) for r in memory.collect())
+    assert found == sorted((k, round((k - 1) / (every[c] - 1), 9)) for (c, _), k in n.items() if every[c] > 1)
+
+    net, known = lm_scoring.train(df, counts=counts)
+
+    def recalled(text):
+        hashes = words(pa.array([text or ""]), ALPHANUMERIC)
+        logs = lm_scoring.word_logs(net, known, lm_scoring.place_of(hashes.hash), hashes.counts) if len(hashes.hash) else []
+        return sum(np.log(0.5 + 0.5 * (n[s] - 1) / (every[s[0]] - 1) * np.exp(-x)) for s, x in zip(spots(text), logs) if every[s[0]] > 1)
+
+    got = lm_scoring.scored(df, net, known, counts=counts, held=held, memory=memory).collect()
+    assert Counter((r["doc_id"], r["n_words"]) for r in got) == Counter((None if i == 70 else f"d{i % 80}", len(spots(t))) for i, t in enumerate(texts))
+    by = {}
+    for i, t in enumerate(texts):
+        by.setdefault((None if i == 70 else f"d{i % 80}", len(spots(t))), []).append(recalled(t))
+    for r in got:
+        assert min(abs(r["recalled"] - x) for x in by[r["doc_id"], r["n_words"]]) < 1e-3
