@@ -6,6 +6,7 @@ that can still matter leave the task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semcorpus.functions.vectors import as_distance, distance_to, has_vector, matrix, nearest_row, unit_rows
+from semcorpus.session import shared_dir
 from semcorpus.settings import DEFAULTS, Settings
 
 PAIR = "query_id string, doc_id string, distance double"
@@ -63,6 +65,18 @@ QUERY_BLOCK = 512
 PAIR_BLOCK = 128
 # More than rounding a distance can change it.
 SLACK = 1e-8
+# Small blocks of cells travel together, in shares of up to so many rows.
+SHARE_ROWS = 4096
+# Cells that a pair search trains at most: they only leave out pairs, and training costs rows times cells.
+MOST_CELLS = 64
+# Vectors that directions are chosen from, which leave out pairs by a bound; any directions give the same pairs.
+BASIS_ROWS = 4096
+# Bytes of packed blocks that travel to Python at a time, two blocks at least.
+TRAVEL_BYTES = 8 << 20
+# Packed blocks on either side of a task.
+TASK_BLOCKS = 6
+# Pairs checked at once: bounds the vectors gathered for them.
+CHECKED = 4096
 
 
 def _scan_top(
@@ -139,16 +153,110 @@ def block_join(
 
 
 def self_join(rows: DataFrame, count: int, kernel: Callable, schema: str, per_block: int) -> DataFrame:
-    """Run kernel on every two blocks of one table, and on every block with itself, each once.
+    """Run kernel on every two blocks of one table, and on every block with itself, each once. Rows are (id, vec)."""
+    n = _blocks(count, per_block)
+    return _met(rows.withColumn("no", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n, kernel, schema)
+
+
+def _met(
+    placed: DataFrame, blocks: int, kernel: Callable, schema: str, dress: Callable | None = None, cells: int = 0
+) -> DataFrame:
+    """Run kernel on every two blocks, and on every block with itself (as one table given twice), each once.
 
-    Rows are (id, vec). A row travels to one more block than there are, half as often as in a full grid.
+    Rows are (no, id, vec). Each goes to its block once; a block is one packed row of a table in the shared folder, and the
+    tasks that meet two blocks read that table. So the disk holds every vector once, however many blocks there are. With
+    cells, rows are dressed with `home` and `reach`, and blocks meet if some rows of each reach a cell of the other.
     """
-    n = _blocks(count, per_block)
-    placed = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"), "id", "vec")
-    keep = [F.col(c).alias(c) for c in ("i", "j", "id", "vec")]
-    lower = placed.withColumn("j", F.explode(F.sequence(F.col("own"), F.lit(n - 1)))).withColumnRenamed("own", "i")
-    upper = placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumnRenamed("own", "j")
-    return lower.select(*keep).groupBy("i", "j").cogroup(upper.select(*keep).groupBy("i", "j")).applyInArrow(kernel, schema)
+    spark, kind = placed.sparkSession, "no int, held binary, homes array<int>, reach array<int>"
+
+    def pack(table: pa.Table) -> pa.Table:
+        no = table.column("no")[0].as_py()
+        table = _narrow(table.select(["id", "vec"]).combine_chunks())
+        table = table if dress is None else dress(table)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        homes, reach = (table.column("home").unique().to_pylist(), np.flatnonzero(_reached(table, cells).any(axis=0))) if cells else (None, None)
+        ints = pa.list_(pa.int32())
+        return pa.table({
+            "no": pa.array([no], pa.int32()), "held": pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+            "homes": pa.array([homes], ints), "reach": pa.array([reach], ints),
+        })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone = pa.ipc.IpcReadOptions(use_threads=False)
+        unpack = lambda held: pa.ipc.open_stream(held.as_buffer(), options=alone).read_all().combine_chunks()
+        last, left = None, None
+        for batch in batches:
+            for i, one, j, two in zip(*(batch.column(c) for c in ("i", "one", "j", "two"))):
+                if i.as_py() != last:
+                    last, left = i.as_py(), unpack(one)
+                found = kernel(left, left if i.as_py() == j.as_py() else unpack(two))
+                yield from found.combine_chunks().to_batches(max_chunksize=8 * CHECKED)
+        pa.default_memory_pool().release_unused()
+
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    conf, cleanup = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleanup)
+    # What was shuffled goes once the table is written.
+    conf.set(cleanup, "true")
+    try:
+        packed = placed.groupBy("no").applyInArrow(pack, kind)
+        packed.write.option("maxRecordsPerFile", -(-blocks // 256)).parquet(path)
+    finally:
+        conf.set(cleanup, before)
+    _few_at_once(spark)
+    held = spark.read.schema(kind).parquet(path)
+    # A task has a cost of its own: each gets many blocks, but as many tasks as can run have some.
+    most = max(-(-blocks // TASK_BLOCKS), int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism))))
+    one, two = (
+        held.coalesce(most).select(*[F.col(c).alias(name) for c, name in zip(("no", "held", "homes", "reach"), names)])
+        for names in (("i", "one", "homes_i", "reach_i"), ("j", "two", "homes_j", "reach_j"))
+    )
+    # Either order of two blocks is met by half of them, so that tasks are alike.
+    i, j = F.col("i"), F.col("j")
+    once = (i == j) | ((i < j) & ((i + j) % 2 == 1)) | ((i > j) & ((i + j) % 2 == 0))
+    if cells:
+        once &= F.arrays_overlap("reach_i", "homes_j") & F.arrays_overlap("reach_j", "homes_i")
+    return one.hint("shuffle_replicate_nl").join(two, once).select("i", "one", "j", "two").mapInArrow(run, schema)
+
+
+def _few_at_once(spark: SparkSession) -> None:
+    """Let few packed blocks travel to Python at a time in this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= TRAVEL_BYTES:
+        spark.conf.set(key, str(TRAVEL_BYTES))
+
+
+def _narrow(table: pa.Table) -> pa.Table:
+    """Vectors as floats where that loses nothing."""
+    small = pc.cast(table.column("vec"), pa.list_(pa.float32()), safe=False)
+    same = pc.cast(small, pa.list_(pa.float64())).equals(pc.cast(table.column("vec"), pa.list_(pa.float64())))
+    return table.set_column(table.schema.get_field_index("vec"), "vec", small) if same else table
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    held = column.combine_chunks()
+    return pa.concat_arrays(held.chunks) if isinstance(held, pa.ChunkedArray) else held
+
+
+def _fixed(m: np.ndarray) -> pa.Array:
+    """Rows of numbers as bytes of one length."""
+    m = np.ascontiguousarray(m)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(m.shape[1] * m.itemsize), len(m), [None, pa.py_buffer(m.tobytes())])
+
+
+def _reached(table: pa.Table, cells: int) -> np.ndarray:
+    """Whether a row reaches a cell."""
+    return np.unpackbits(_of_fixed(table.column("reach"), np.uint8), axis=1)[:, :cells].astype(bool)
+
+
+def _of_fixed(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    held = _one(column)
+    width = held.type.byte_width
+    raw = np.frombuffer(held.buffers()[1], np.uint8)[held.offset * width:(held.offset + len(held)) * width]
+    return raw.view(dtype).reshape(len(held), -1)
 
 
 def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -337,24 +445,15 @@ def _reach(rows: DataFrame, centroids: np.ndarray, max_distance: float) -> DataF
     and |x - y| <= r, then x is at most r beyond the plane halfway between the two centroids:
     (|x - c_j|^2 - |x - c_i|^2) / (2 |c_i - c_j|) <= r. Cells that fail this cannot hold a partner.
     """
-    c = unit_rows(np.asarray(centroids, dtype=np.float64))
-    gaps = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 0.0))
-    radius = float(np.sqrt(2.0 * max_distance)) + 1e-6
+    place = _placing(centroids, max_distance)
+    dim = np.shape(centroids)[1]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(lo, QUERY_BLOCK) for whole in batches for lo in range(0, whole.num_rows, QUERY_BLOCK)):
-            u = unit_rows(matrix(batch.column("vec"), c.shape[1])[1])
-            sims = u @ c.T
-            home = as_distance(sims).argmin(axis=1)
-            # |x - c|^2 = 2 - 2 x.c on the unit sphere.
-            over = sims[np.arange(len(home)), home][:, None] - sims
-            with np.errstate(divide="ignore", invalid="ignore"):
-                beyond = np.where(gaps[home] > 0, over / gaps[home], 0.0)
-            near = beyond <= radius
-            near[np.arange(len(home)), home] = True
+            home, near = place(unit_rows(matrix(batch.column("vec"), dim)[1]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), batch.column("vec"), pa.array(home.astype(np.int32)),
+                    batch.column("id"), batch.column("vec"), pa.array(home),
                     pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32())),
                 ],
                 names=["id", "vec", "home", "cells"],
@@ -363,33 +462,77 @@ def _reach(rows: DataFrame, centroids: np.ndarray, max_distance: float) -> DataF
     return rows.mapInArrow(assign, "id string, vec array<double>, home int, cells array<int>")
 
 
-def _pair_join(
-    vectors: DataFrame, max_distance: float, dim: int, centroids: np.ndarray | None, keep: int | None,
-    id_col: str, vec: str, settings: Settings,
-) -> DataFrame:
-    """Pairs with id below doc2 and distance below max_distance; with keep, the best keep per row and block."""
-    rows = _valid(vectors, id_col, vec, dim)
-    n = rows.count() if centroids is None else 0
-    if n > settings.pair_rows:
-        # Every vector would meet every block; cells leave out the blocks that cannot hold a partner.
-        room = settings.broadcast_bytes // 8
-        lists = max(int(min(n**0.5, room**0.5, room / dim)), 1)
-        centroids = train_centroids(rows, lists, dim, vec="vec", settings=settings)
-    if centroids is not None:
-        if 8 * len(centroids) * max(dim, len(centroids)) > settings.broadcast_bytes:
-            raise ValueError("the centroids would not fit settings.broadcast_bytes; use fewer lists")
-        placed = _reach(rows, centroids, max_distance)
-        probes = placed.select(F.explode("cells").alias("cell"), "id", "vec")
-        members = placed.select(F.col("home").alias("cell"), "id", "vec")
-        # At most one row per centroid.
-        per_cell = placed.select("home", F.explode("cells").alias("cell")).groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n_left"), F.count_if(F.col("home") == F.col("cell")).alias("n_right")
-        )
-        counts = {r["cell"]: (r["n_left"], r["n_right"]) for r in per_cell.collect() if r["n_right"]}
-        if not counts:
-            return vectors.sparkSession.createDataFrame([], "doc1 string, doc2 string, distance double")
+def _placing(centroids: np.ndarray, max_distance: float) -> Callable:
+    """From unit vectors to their home cells and the cells that they reach, as `_reach` has them."""
+    c = unit_rows(np.asarray(centroids, dtype=np.float64))
+    gaps = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 0.0))
+    radius = float(np.sqrt(2.0 * max_distance)) + 1e-6
+
+    def place(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sims = u @ c.T
+        home = as_distance(sims).argmin(axis=1)
+        # |x - c|^2 = 2 - 2 x.c on the unit sphere.
+        over = sims[np.arange(len(home)), home][:, None] - sims
+        with np.errstate(divide="ignore", invalid="ignore"):
+            beyond = np.where(gaps[home] > 0, over / gaps[home], 0.0)
+        near = beyond <= radius
+        near[np.arange(len(home)), home] = True
+        return home.astype(np.int32), near
+
+    return place
+
+
+def _rough(u: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Coordinates along some orthogonal directions, and the length of what is left of a unit vector.
+
+    Their products bound those of the vectors from above, as what is left of two vectors has at most the product of its lengths.
+    """
+    low = u @ basis
+    left = np.sqrt(np.maximum(1.0 - np.einsum("ij,ij->i", low, low), 0.0))
+    return np.hstack([low, left[:, None]]).astype(np.float32)
+
+
+def _rough_slack(dim: int) -> float:
+    """More than the products of `_rough` lose to rounding."""
+    return 4e-7 * (dim + 8)
+
+
+def _basis(rows: DataFrame, count: int, dim: int, max_distance: float) -> np.ndarray | None:
+    """Directions for `_rough` that make a pair search cheapest; None where they would leave out too little.
+
+    Chosen on a bounded sample. They decide only how soon a pair is left out, never whether it is a result.
+    """
+    part = F.pmod(F.xxhash64("id"), F.lit(max(count // BASIS_ROWS, 1))) == 0
+    held = rows.where(part).select("vec").limit(2 * BASIS_ROWS).toArrow()
+    if not held.num_rows:
+        return None
+    u = unit_rows(matrix(_one(held.column("vec")), dim)[1])
+    u = u[np.isfinite(u).all(axis=1)]
+    if not len(u):
+        return None
+    values, vectors = np.linalg.eigh(u.T @ u)
+    vectors = vectors[:, np.argsort(-values, kind="stable")]
+    best, cost = None, float(2 * dim + 12)
+    for m in [*(m for m in (16, 24, 32, 48, 64, 96, 128, 192, 256) if m < dim), dim]:
+        low = _rough(u, vectors[:, :m])
+        share = float((low[:256] @ low.T > 1.0 - max_distance - _rough_slack(dim)).mean())
+        # A pair that is left over is gathered from memory, which costs far more than to rule it out.
+        if share < 1 / 16 and m + 13 + 100 * dim * share < cost:
+            best, cost = vectors[:, :m], m + 13 + 100 * dim * share
+    return best
+
+
+def _pair_kernel(
+    dim: int, max_distance: float, keep: int | None = None, basis: np.ndarray | None = None, cells: int = 0,
+    meets: Callable | None = None,
+) -> Callable:
+    """A kernel for two blocks: their pairs with id below doc2 and distance below max_distance; with keep, the best keep per row.
+
+    `cells` are the cells of blocks that hold `home` and `reach`. `meets` says which pairs of rows of two blocks may be results.
+    """
     names = ["doc1", "doc2", "distance"]
-    schema, by_cell = "doc1 string, doc2 string, distance double", centroids is not None
+    least = 1.0 - max_distance - SLACK
+    last: list = [None, None]
 
     def nearest(low: np.ndarray, high: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if keep is None:
@@ -399,33 +542,122 @@ def _pair_join(
         first = np.arange(len(low)) - np.searchsorted(low, low, side="left") < keep
         return low[first], high[first], d[first]
 
+    def read(table: pa.Table) -> tuple:
+        u = unit_rows(matrix(_one(table.column("vec")), dim)[1])
+        placed = None
+        if cells:
+            placed = table.column("home").to_numpy(), _reached(table, cells)
+        return u, u if basis is None else _rough(u, basis), placed
+
+    def similar(left: tuple, right: tuple, own: slice, pick: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the pairs of some left rows with the picked right ones that may be near enough, and their similarity."""
+        (lv, lw, _), (rv, rw, _) = left, right
+        if basis is not None:
+            near = lw[own] @ (rw if pick is None else rw[pick]).T > np.float32(least - _rough_slack(dim))
+            found = np.flatnonzero(near)
+            if len(found) <= near.size // 16:
+                rows, cols = np.divmod(found, near.shape[1])
+                rows, cols = rows + own.start, cols if pick is None else pick[cols]
+                sims = np.empty(len(rows))
+                for lo in range(0, len(rows), CHECKED):
+                    some = slice(lo, lo + CHECKED)
+                    sims[some] = np.einsum("ij,ij->i", lv[rows[some]], rv[cols[some]])
+                return rows, cols, sims
+        sims = lv[own] @ (rv if pick is None else rv[pick]).T
+        rows, cols = np.nonzero(sims > least)
+        return rows + own.start, cols if pick is None else pick[cols], sims[rows, cols]
+
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _pair_table(names, [], [], [])
-        li, lv = _vectors(left)
-        ri, rv = _vectors(right)
-        # Two blocks meet once, so either side may hold the smaller id. Places follow the ids, so the larger one settles ties.
-        ids, at = np.unique(np.concatenate([li, ri]), return_inverse=True)
-        la, ra = at[:len(li)].astype(np.int32), at[len(li):].astype(np.int32)
-        ordered, parts = by_cell or np.array_equal(li, ri), []
-        for first in range(0, len(li), PAIR_BLOCK):
-            own = la[first:first + PAIR_BLOCK]
-            sims = lv[first:first + PAIR_BLOCK] @ rv.T
-            near = sims > 1.0 - max_distance - SLACK
-            if ordered:
-                # With cells a pair is found where the smaller id probes the home cell of the larger one.
-                near &= ra > own[:, None]
-            rows, cols = np.nonzero(near)
-            d = as_distance(sims[rows, cols])
-            rows, cols, d = rows[d < max_distance], cols[d < max_distance], d[d < max_distance]
-            parts.append(nearest(np.minimum(own[rows], ra[cols]), np.maximum(own[rows], ra[cols]), d))
+        # A block meets many others one after another.
+        if left is not last[0]:
+            last[:] = left, read(left)
+        one = last[1]
+        two = one if left is right else read(right)
+        # Places follow the ids, so the larger one settles ties.
+        ids = pa.concat_arrays([_one(left.column("id")), _one(right.column("id"))])
+        at = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int32)
+        la, ra, parts = at[:left.num_rows], at[left.num_rows:], []
+        for first in range(0, len(la), PAIR_BLOCK):
+            own = slice(first, first + PAIR_BLOCK)
+            pick = None
+            if cells:
+                # Two near rows each reach the other's home cell.
+                (lh, lr), (rh, rr) = one[2], two[2]
+                pick = lr[own].any(axis=0)[rh] & rr[:, np.unique(lh[own])].any(axis=1)
+                if not pick.any():
+                    continue
+                pick = None if pick.all() else np.flatnonzero(pick)
+            rows, cols, sims = similar(one, two, own, pick)
+            d = as_distance(sims)
+            # Two blocks meet once, so either side may hold the smaller id.
+            good = (d < max_distance) & (ra[cols] > la[rows] if left is right else ra[cols] != la[rows])
+            rows, cols, d = rows[good], cols[good], d[good]
+            if meets is not None and len(rows):
+                good = meets(left, right, rows, cols)
+                rows, cols, d = rows[good], cols[good], d[good]
+            parts.append(nearest(np.minimum(la[rows], ra[cols]), np.maximum(la[rows], ra[cols]), d))
+        if not parts:
+            return _pair_table(names, [], [], [])
         low, high, d = nearest(*(np.concatenate(x) for x in zip(*parts)))
-        named = pa.array(ids, pa.string())
-        return _pair_table(names, named.take(pa.array(low)), named.take(pa.array(high)), d)
+        place = np.zeros(at.max() + 1, np.int64)
+        place[at] = np.arange(len(at))
+        return _pair_table(names, ids.take(pa.array(place[low])), ids.take(pa.array(place[high])), d)
+
+    return meet
+
 
+def _pair_join(
+    vectors: DataFrame, max_distance: float, dim: int, centroids: np.ndarray | None, keep: int | None,
+    id_col: str, vec: str, settings: Settings,
+) -> DataFrame:
+    """Pairs with id below doc2 and distance below max_distance; with keep, the best keep per row and block."""
+    rows = _valid(vectors, id_col, vec, dim).where("id IS NOT NULL")
+    schema = "doc1 string, doc2 string, distance double"
+    n = rows.count() if centroids is None else 0
+    if n > settings.pair_rows:
+        # Every vector would meet every other; cells leave out those that cannot hold a partner.
+        room = settings.broadcast_bytes // 8
+        lists = max(int(min(n**0.5, room**0.5, room / dim, MOST_CELLS)), 1)
+        centroids = train_centroids(rows, lists, dim, vec="vec", settings=settings)
     if centroids is None:
-        return self_join(rows, n, meet, schema, settings.block_rows)
-    return block_join(probes, members, counts, meet, schema, settings.block_rows)
+        basis = _basis(rows, n, dim, max_distance) if n > settings.block_rows else None
+        return self_join(rows, n, _pair_kernel(dim, max_distance, keep, basis), schema, settings.block_rows)
+    if 8 * len(centroids) * max(dim, len(centroids)) > settings.broadcast_bytes:
+        raise ValueError("the centroids would not fit settings.broadcast_bytes; use fewer lists")
+    homes = _reach(rows, centroids, max_distance).select("home", "id", "vec")
+    # At most one row per centroid.
+    counts = {r["home"]: r["n"] for r in homes.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return vectors.sparkSession.createDataFrame([], schema)
+    shares = _shares(counts, min(max(settings.block_rows, SHARE_ROWS), 32 * settings.block_rows))
+    sized = homes.join(F.broadcast(vectors.sparkSession.createDataFrame(shares, "home int, first int, many int")), "home")
+    placed = sized.select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int").alias("no"), "id", "vec")
+    place, n = _placing(centroids, max_distance), sum(counts.values())
+
+    def dress(table: pa.Table) -> pa.Table:
+        home, near = place(unit_rows(matrix(_one(table.column("vec")), dim)[1]))
+        table = table.append_column("home", pa.array(home)).append_column("reach", _fixed(np.packbits(near, axis=1)))
+        return table.take(pa.array(np.argsort(home, kind="stable")))
+
+    basis = _basis(rows, n, dim, max_distance) if n > settings.block_rows else None
+    meet = _pair_kernel(dim, max_distance, keep, basis, len(centroids))
+    return _met(placed, shares[-1][1] + shares[-1][2], meet, schema, dress, len(centroids))
+
+
+def _shares(counts: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """Cell, its first share and their number: cells that follow each other share one, a cell of more than `most` rows has several."""
+    out, no, room = [], -1, 0
+    for cell, n in sorted(counts.items()):
+        many = _blocks(n, most)
+        if many > 1 or n > room:
+            out.append((cell, no + 1, many))
+            no, room = no + many, most - n if many == 1 else 0
+        else:
+            out.append((cell, no, 1))
+            room -= n
+    return out
 
 
 def near_pairs(

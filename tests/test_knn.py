@@ -167,3 +167,68 @@ def test_two_blocks_meet_in_bounded_memory(spark, monkeypatch, keep):
     pairs = list(zip(got["doc1"].to_pylist(), got["doc2"].to_pylist()))
     assert len(pairs) == len(set(pairs)) and set(pairs) <= want and len(pairs) > 10
     assert keep is not None or set(pairs) == want
+
+
+def packed_ids(spark, before):
+    """Ids in the blocks that were written since, with repeats."""
+    import pyarrow as pa
+
+    (folder,) = set(blocks_of(spark)) - before
+    held = [r["held"] for r in spark.read.parquet(folder).collect()]
+    return sorted(i for h in held for i in pa.ipc.open_stream(bytes(h)).read_all()["id"].to_pylist())
+
+
+def blocks_of(spark):
+    from glob import glob
+
+    from semcorpus.session import shared_dir
+
+    return set(glob(f"{shared_dir(spark)}/blocks-*"))
+
+
+@pytest.fixture(scope="module")
+def spread_out(spark):
+    """Vectors in all directions, some of them near copies of others, and odd rows."""
+    rng = np.random.default_rng(8)
+    scale = np.array([1.0] * 12 + [0.2] * 52)
+    vecs = [rng.normal(size=64) * scale for _ in range(500)]
+    vecs += [vecs[7 * i] + rng.normal(size=64) * scale * 0.05 for i in range(60)]
+    rows = [(f"d{i:03d}", [float(x) for x in v]) for i, v in enumerate(vecs)]
+    bad = [(None, rows[0][1]), ("x0", None), ("x1", [0.0] * 64), ("x2", [float("nan")] * 64), ("x3", [1.0])]
+    return spark.createDataFrame(rows + bad, SCHEMA).repartition(5).cache(), rows
+
+
+def test_blocks_are_written_once_and_not_dealt_to_each_other(spark, spread_out):
+    df, rows = spread_out
+    before = blocks_of(spark)
+    got = k.near_pairs(df, 0.02, 64, settings=replace(DEFAULTS, block_rows=10))
+    assert packed_ids(spark, before) == sorted([*(r[0] for r in rows), "x2"])
+    found = [(r["doc1"], r["doc2"]) for r in got.collect()]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert len(found) == len(set(found)) and set(found) == pairs_of(rows, 0.02) and len(found) > 40
+
+
+@pytest.mark.parametrize("limit", [0.02, 0.2, 0.5])
+def test_pairs_left_out_by_a_bound_are_none(spread_out, limit):
+    """Directions that leave out most pairs, with and without cells, change no result."""
+    df, rows = spread_out
+    basis = k._basis(k._valid(df.where("doc_id like 'd%'"), "doc_id", "embedding", 64), 560, 64, limit)
+    assert limit > 0.2 or np.allclose(basis.T @ basis, np.eye(basis.shape[1]))
+    centres = np.array([r[1] for r in rows[:8]])
+    for cells in (None, centres):
+        got = k.near_pairs(df, limit, 64, cells, settings=replace(DEFAULTS, block_rows=4)).collect()
+        found = [(r["doc1"], r["doc2"]) for r in got]
+        assert len(found) == len(set(found)) and set(found) == pairs_of(rows, limit)
+
+
+def test_ids_that_repeat_pair_with_others_only(spark):
+    rows = [("a", [1.0, 0.1, 0.0]), ("a", [0.0, 0.1, 1.0]), ("b", [1.0, 0.1, 0.0]), ("b", [0.0, 0.1, 1.0]), ("b", [0.0, 0.1, 1.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for cells in (None, np.array([[1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])):
+        for size in (1, 50):
+            got = k.near_pairs(df, 0.2, 3, cells, settings=replace(DEFAULTS, block_rows=size)).collect()
+            assert [(r["doc1"], r["doc2"]) for r in got] == [("a", "b")] * 3
+
+
+def test_shares_hold_whole_cells():
+    assert k._shares({3: 2, 1: 5, 7: 25, 8: 4, 9: 5, 10: 2}, 10) == [(1, 0, 1), (3, 0, 1), (7, 1, 3), (8, 4, 1), (9, 4, 1), (10, 5, 1)]
