@@ -232,3 +232,13 @@ def test_ids_that_repeat_pair_with_others_only(spark):
 
 def test_shares_hold_whole_cells():
     assert k._shares({3: 2, 1: 5, 7: 25, 8: 4, 9: 5, 10: 2}, 10) == [(1, 0, 1), (3, 0, 1), (7, 1, 3), (8, 4, 1), (9, 4, 1), (10, 5, 1)]
+
+
+def test_trained_cells_write_each_vector_once(spark, spread_out):
+    df, rows = spread_out
+    before = blocks_of(spark)
+    got = k.near_pairs(df.where("doc_id <> 'x2'"), 0.65, 64, settings=replace(DEFAULTS, pair_rows=100, block_rows=2))
+    assert packed_ids(spark, before) == sorted(r[0] for r in rows)
+    found = [(r["doc1"], r["doc2"]) for r in got.collect()]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert len(found) == len(set(found)) and set(found) == pairs_of(rows, 0.65)
