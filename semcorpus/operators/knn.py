@@ -684,10 +684,7 @@ def hash_tables(max_distance: float, bits: int, miss: float) -> int:
 
 def _signed(rows: DataFrame, dim: int, tables: int, bits: int, seed: int) -> DataFrame:
     """Each row with one code per table: the sides of random planes that its vector lies on."""
-    if not 0 < bits <= 20:
-        raise ValueError("bits must be 1 to 20")
-    planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
-    weight = 1 << np.arange(bits)
+    codes_of = _signing(dim, tables, bits, seed)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -695,8 +692,7 @@ def _signed(rows: DataFrame, dim: int, tables: int, bits: int, seed: int) -> Dat
                 batch = whole.slice(lo, QUERY_BLOCK)
                 u = unit_rows(matrix(batch.column("vec"), dim)[1])
                 good = np.isfinite(u).all(axis=1)
-                side = (u[good] @ planes > 0).reshape(-1, tables, bits)
-                codes = (side * weight).sum(axis=2).astype(np.int32)
+                codes = codes_of(u[good])
                 kept = batch.filter(pa.array(good))
                 yield pa.RecordBatch.from_arrays(
                     [*kept.columns, pa.array(codes.tolist(), pa.list_(pa.int32()))], names=["id", "vec", "codes"]
@@ -705,6 +701,38 @@ def _signed(rows: DataFrame, dim: int, tables: int, bits: int, seed: int) -> Dat
     return rows.mapInArrow(sign, "id string, vec array<double>, codes array<int>")
 
 
+def _signing(dim: int, tables: int, bits: int, seed: int) -> Callable:
+    """From unit vectors to their codes, one per table."""
+    if not 0 < bits <= 20:
+        raise ValueError("bits must be 1 to 20")
+    planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
+    weight = 1 << np.arange(bits)
+
+    def codes_of(u: np.ndarray) -> np.ndarray:
+        return ((u @ planes > 0).reshape(-1, tables, bits) * weight).sum(axis=2).astype(np.int32)
+
+    return codes_of
+
+
+def _bucket_pairs(
+    rows: DataFrame, n: int, max_distance: float, dim: int, tables: int, bits: int, seed: int, schema: str, settings: Settings
+) -> DataFrame:
+    """The pairs of near_pairs_hashed where nearly every two rows share a bucket: blocks of all rows meet."""
+    codes_of = _signing(dim, tables, bits, seed)
+
+    def dress(table: pa.Table) -> pa.Table:
+        codes = [codes_of(unit_rows(matrix(_one(table.column("vec")), dim)[1])[lo:lo + QUERY_BLOCK]) for lo in range(0, table.num_rows, QUERY_BLOCK)]
+        return table.append_column("codes", _fixed(np.concatenate(codes)))
+
+    def meets(left: pa.Table, right: pa.Table, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return (_of_fixed(left.column("codes"), np.int32)[at] == _of_fixed(right.column("codes"), np.int32)[to]).any(axis=1)
+
+    basis = _basis(rows, n, dim, max_distance) if n > settings.block_rows else None
+    blocks = _blocks(n, settings.block_rows)
+    placed = rows.withColumn("no", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return _met(placed, blocks, _pair_kernel(dim, max_distance, None, basis, meets=meets), schema, dress)
+
+
 def near_pairs_hashed(
     vectors: DataFrame, max_distance: float = 0.1, dim: int = DEFAULTS.dim, bits: int = 12, miss: float = 0.05,
     seed: int = 17, id_col: str = "doc_id", vec: str = "embedding", settings: Settings = DEFAULTS,
@@ -713,10 +741,12 @@ def near_pairs_hashed(
 
     Pairs found are exact; one at max_distance is left out with a chance of at most `miss`, a nearer one with a smaller one.
     near_pairs finds all. A row goes to one bucket per table; a bucket with many rows is cut into blocks, and a pair that
-    shares several buckets is returned from the first of them.
+    shares several buckets is returned from the first of them. Where the buckets together hold more pairs than the rows do,
+    each pair of rows is looked at once instead, and is a result if the two share a bucket.
     """
     tables = hash_tables(max_distance, bits, miss)
-    placed = _signed(_valid(vectors, id_col, vec, dim), dim, tables, bits, seed)
+    rows = _valid(vectors, id_col, vec, dim).where("id IS NOT NULL")
+    placed = _signed(rows, dim, tables, bits, seed)
     spread = placed.select("id", "vec", "codes", F.posexplode("codes").alias("table", "code")).select(
         (F.col("table") * F.lit(1 << bits) + F.col("code")).cast("int").alias("cell"), "id",
         F.struct("vec", "codes").alias("vec"),
@@ -726,6 +756,10 @@ def near_pairs_hashed(
     names, schema = ["doc1", "doc2", "distance"], "doc1 string, doc2 string, distance double"
     if not sizes:
         return vectors.sparkSession.createDataFrame([], schema).withColumn("similarity", 1 - F.col("distance"))
+    n = rows.count()
+    if sum(r["n"] ** 2 for r in sizes) >= n**2:
+        pairs = _bucket_pairs(rows, n, max_distance, dim, tables, bits, seed, schema, settings)
+        return pairs.withColumn("similarity", 1 - F.col("distance"))
 
     def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         held = table.column("vec").combine_chunks()

@@ -242,3 +242,20 @@ def test_trained_cells_write_each_vector_once(spark, spread_out):
     found = [(r["doc1"], r["doc2"]) for r in got.collect()]
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert len(found) == len(set(found)) and set(found) == pairs_of(rows, 0.65)
+
+
+def test_hashed_pairs_of_full_buckets_write_each_vector_once(spark, spread_out):
+    """Few bits and many tables: buckets hold more pairs than all rows do."""
+    df, rows = spread_out
+    own, before = replace(DEFAULTS, block_rows=40), blocks_of(spark)
+    got = k.near_pairs_hashed(df, 0.3, 64, bits=2, miss=1e-6, settings=own)
+    assert packed_ids(spark, before) == sorted([*(r[0] for r in rows), "x2"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    found = [(r["doc1"], r["doc2"]) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == pairs_of(rows, 0.3)
+    # Both ways return the pairs that share a bucket, and no others.
+    usable = k._valid(df, "doc_id", "embedding", 64).where("id like 'd%'")
+    tables = k.hash_tables(0.3, 8, 0.5)
+    by_bucket = {(r["doc1"], r["doc2"], r["distance"]) for r in k.near_pairs_hashed(df, 0.3, 64, bits=8, miss=0.5, settings=own).collect()}
+    by_row = {tuple(r) for r in k._bucket_pairs(usable, len(rows), 0.3, 64, tables, 8, 17, "doc1 string, doc2 string, distance double", own).collect()}
+    assert by_bucket == by_row and 0 < len(by_row) < len(pairs_of(rows, 0.3))
