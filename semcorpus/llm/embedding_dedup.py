op5_embedding_dedup: guests of a list travel without the lists they visit

Symptom: op5_embedding_dedup spends most of its CPU in Python where the blocks of a list meet; on 51,282 vectors (0.02 GB) 1494 s a GB in Python and 627 s in the JVM.
Evidence: a profile of that step on the same vectors, without Spark, gives 2.0 of 2.7 s to turning each row's list of visits into Python integers; guests are nearly all rows (1.47 million of 51,282 vectors), and only the visits of a member that links with one of them are ever looked at.
Fix: guests are dealt without their visits; members keep them as an Arrow column, and only those of linked members are read.
Effect: at 0.6 GB of input CPU 451 -> 272 s, shuffle 1.72 -> 1.48 GB, spill 0.00 -> 0.00 GB, read 0.24 -> 0.24 GB, longest task 6 -> 4 s, most memory of a task 105 -> 105 MB; at 6 GB of input CPU 6694 -> 2140 s, shuffle 61.99 -> 44.14 GB, spill 0.00 -> 0.00 GB, read 2.59 -> 2.59 GB, longest task 131 -> 75 s, most memory of a task 554 -> 386 MB; with hot keys, at 0.6 GB of input CPU 274 -> 246 s, shuffle 1.13 -> 1.00 GB, spill 0.00 -> 0.00 GB, read 0.20 -> 0.20 GB, longest task 6 -> 5 s, most memory of a task 105 -> 105 MB.

@@ -128,13 +128,13 @@ class _Rows(NamedTuple):
     id: np.ndarray
     weight: np.ndarray
     home: np.ndarray
-    visits: list
+    visits: pa.ChunkedArray  # of members; guests come without
     vectors: np.ndarray
 
 
 def _read(table: pa.Table) -> _Rows:
     vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1))
-    return _Rows(table.column("id").to_numpy(), table.column("weight").to_numpy(), table.column("home").to_numpy(), table.column("visits").to_pylist(), vectors)
+    return _Rows(table.column("id").to_numpy(), table.column("weight").to_numpy(), table.column("home").to_numpy(), table.column("visits"), vectors)
 
 
 def block_links(index: Index, here: int, guests: _Rows, members: _Rows, codes: np.ndarray, off: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +160,10 @@ def block_links(index: Index, here: int, guests: _Rows, members: _Rows, codes: n
     g = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
     m = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
     # A pair of two lists that visit each other is found in both: it counts in the lower one.
-    twice = np.zeros(len(g), bool)
-    for k in np.flatnonzero(guests.home[g] < here).tolist():
-        twice[k] = guests.home[g[k]] in members.visits[m[k]]
+    twice, lower = np.zeros(len(g), bool), np.flatnonzero(guests.home[g] < here)
+    found_, at = np.unique(m[lower], return_inverse=True)
+    goes = members.visits.take(pa.array(found_)).to_pylist()
+    twice[lower] = [home in goes[k] for home, k in zip(guests.home[g[lower]].tolist(), at.tolist())]
     return g[~twice], m[~twice]
 
 
@@ -212,6 +213,22 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def blocks(placed: DataFrame) -> DataFrame:
+    """The rows of every list, cut into blocks (i, j): its members, and the guests that visit it. Only members are asked where
+    they go, so guests, which are most of the rows, come without their visits.
+    """
+    # At most MOST_LISTS rows each: how many blocks the members and the guests of a list make.
+    sizes = placed.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
+    guests = placed.select("id", "weight", "home", "vector", F.explode(F.concat(F.array("home"), "visits")).alias("list"))
+    turns = guests.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
+    cuts = F.broadcast(sizes.join(turns, "list"))
+    slot = lambda c: F.pmod(F.xxhash64("id"), c).cast("int")
+    keep = ["list", "i", "j", "member", "id", "weight", "home", "visits", "vector"]
+    inside = placed.withColumn("list", F.col("home")).join(cuts, "list").withColumn("member", F.lit(True)).withColumn("i", slot(F.col("m"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    outside = guests.join(cuts, "list").withColumn("member", F.lit(False)).withColumn("visits", F.lit(None).cast("array<int>")).withColumn("j", slot(F.col("g"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    return inside.select(keep).unionByName(outside.select(keep))
+
+
 def _search(classes: DataFrame, n: int, least: float, sample: int, per_list: int) -> tuple[DataFrame, DataFrame]:
     """(id, component) and (id, links to rows of other classes) of the classes that have links."""
     share = F.pmod(F.xxhash64(F.lit("index"), "id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n)) + 1
@@ -233,15 +250,6 @@ def _search(classes: DataFrame, n: int, least: float, sample: int, per_list: int
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(away, pa.list_(pa.int32()))], names=["id", "weight", "vector", "home", "visits"])
 
     placed = cut(classes.select("id", "weight", "vector").mapInArrow(place, "id long, weight long, vector binary, home int, visits array<int>"))
-    # At most MOST_LISTS rows each: how many blocks the members and the guests of a list make.
-    blocks = placed.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
-    guests = placed.select("*", F.explode(F.concat(F.array("home"), "visits")).alias("list"))
-    turns = guests.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
-    cuts = F.broadcast(blocks.join(turns, "list"))
-    slot = lambda c: F.pmod(F.xxhash64("id"), c).cast("int")
-    keep = ["list", "i", "j", "member", "id", "weight", "home", "visits", "vector"]
-    inside = placed.withColumn("list", F.col("home")).join(cuts, "list").withColumn("member", F.lit(True)).withColumn("i", slot(F.col("m"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    outside = guests.join(cuts, "list").withColumn("member", F.lit(False)).withColumn("j", slot(F.col("g"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
 
     def meet(table: pa.Table) -> pa.Table:
         index, here = sent.value, int(table.column("list")[0].as_py())
@@ -260,6 +268,6 @@ def _search(classes: DataFrame, n: int, least: float, sample: int, per_list: int
         linked, root = roots(a, b)
         return pa.table({"a": linked, "b": root, "links": total})
 
-    met = inside.select(keep).unionByName(outside.select(keep)).groupBy("list", "i", "j").applyInArrow(meet, "a long, b long, links long")
+    met = blocks(placed).groupBy("list", "i", "j").applyInArrow(meet, "a long, b long, links long")
     met = cut(met)
     return components(met.select("a", "b")), met.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))

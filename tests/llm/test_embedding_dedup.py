@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from llm_common import by_id
 
 from semcorpus.llm import embedding_dedup
@@ -72,3 +73,31 @@ def test_vectors_of_every_length_are_compared(spark):
     assert sorted(tuple(r) for r in got) == sorted(want)
     got = by_id(embedding_dedup.linked_vectors(df, least=0.999, per_list=10**6).where("vec_id >= 7000"), "vec_id")
     assert {i: tuple(r[0])[1:] for i, r in got.items()} == {i: (1, i // 2 * 2, i % 2 == 0) for i in third}
+
+
+def test_guests_come_without_their_visits(spark, monkeypatch):
+    """Every guest of a list meets every member once; only members bring the lists that they visit."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 2)
+    rows = [(i, 1, bytes(8), i % 2, v) for i, v in enumerate([[1], [0], [1, 2], [], [1], [], [], [0, 2]])] + [(8, 1, bytes(8), 2, [])]
+    placed = spark.createDataFrame(rows, "id long, weight long, vector binary, home int, visits array<int>")
+    got = embedding_dedup.blocks(placed).collect()
+    assert all(r["visits"] == (rows[r["id"]][4] if r["member"] else None) for r in got)
+    for at in range(3):
+        met = [(g["id"], m["id"]) for g in got for m in got if not g["member"] and m["member"] and at == g["list"] == m["list"] and (g["i"], g["j"]) == (m["i"], m["j"])]
+        guests, members = [r[0] for r in rows if at in (r[3], *r[4])], [r[0] for r in rows if r[3] == at]
+        assert sorted(met) == [(g, m) for g in guests for m in members]
+
+
+def test_a_pair_of_lists_that_visit_each_other_counts_once():
+    vectors = np.array([[1.0, 0.0], [0.999, np.sqrt(1 - 0.999**2)]])
+    index = embedding_dedup.Index(vectors.copy(), np.zeros((8, 1, 1)), 8)
+
+    def links(here, goes):
+        """The vector of the other list as a guest here, where the member goes to the lists given."""
+        row = lambda k, visits: embedding_dedup._Rows(np.array([k]), np.array([1]), np.array([k], np.int32), pa.chunked_array([pa.array(visits, pa.list_(pa.int32()))]), vectors[[k]])
+        guest, member = row(1 - here, [None]), row(here, [goes])
+        codes, off = embedding_dedup.encoded(index, member.vectors, np.array([here]))
+        return len(embedding_dedup.block_links(index, here, guest, member, codes, off, 0.95)[0])
+
+    assert (links(0, [1]), links(1, [0])) == (1, 0)
+    assert (links(0, []), links(1, [])) == (1, 1)
