@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from semcorpus.functions.groups import map_groups
 from semcorpus.functions.text import file_name, head, preview
@@ -66,40 +67,75 @@ def running_before(df: DataFrame, key: str, part: Column, order: Sequence, value
 STRETCH = 1 << 16
 
 
-def _local_runs(words: DataFrame, stretch: int, key: str) -> DataFrame:
-    """Words with __part, the stretch they stand in, and __run, the run of one speaker within it, from 0."""
-    placed = words.withColumn("__part", F.floor(F.col("seq") / stretch).cast("long"))
-    inside = Window.partitionBy(key, "__part").orderBy("seq")
-    turn = F.lag("seq").over(inside).isNotNull() & ~F.lag("speaker_id").over(inside).eqNullSafe(F.col("speaker_id"))
-    return placed.withColumn("__turn", turn.cast("long")).withColumn("__run", F.sum("__turn").over(inside)).drop("__turn")
+# Word numbers that a mark of a speaker covers, a bit for each.
+MARKED = 64
 
 
-def _offsets(pieces: DataFrame, key: str) -> DataFrame:
+def _turn(order: WindowSpec, present: str, last: str, now: str) -> Column:
+    """1 where there is a row before and it has another speaker, else 0."""
+    return (F.lag(present).over(order).isNotNull() & ~F.lag(last).over(order).eqNullSafe(F.col(now))).cast("long")
+
+
+def _stretches(placed: DataFrame, key: str) -> DataFrame:
+    """(key, __part, __turns, __first, __last): how often the speaker changes inside a stretch, and who speaks first and last.
+
+    Tasks combine the words of a speaker into marks before anything is shuffled. A mark that no other speaker shares is
+    one row for all its words; else each of its word numbers is one. Words without a number are a stretch before all
+    others, in which the speaker of the first of them speaks on.
+    """
+    seq = F.col("seq").cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(seq, F.lit(MARKED)).cast("int"))
+    row = F.when(F.col("seq").isNull(), F.monotonically_increasing_id())
+    said = placed.select(key, "__part", F.shiftright(seq, 6).alias("__mark"), "speaker_id", bit.alias("__bit"), row.alias("__row"))
+    marks = said.groupBy(key, "__part", "__mark", "speaker_id").agg(F.bit_or("__bit").alias("__bits"), F.min("__row").alias("__row"))
+    sharing = F.count(F.lit(1)).over(Window.partitionBy(key, "__part", "__mark"))
+    each = F.filter(F.sequence(F.lit(0), F.lit(MARKED - 1)), lambda n: F.getbit("__bits", n) == 1)
+    shared = marks.repartition(key, "__part").withColumn("__sharing", sharing)
+    one = (F.col("__sharing") == 1) | F.col("__bits").isNull()
+    rows = shared.withColumn("__at", F.explode(F.when(one, F.array(F.lit(0))).otherwise(each)))
+    order = ["__mark", "__at", "__row", "speaker_id"]
+    turn = _turn(Window.partitionBy(key, "__part").orderBy(*order), "__mark", "speaker_id", "speaker_id")
+    first, last = F.min_by("speaker_id", F.struct(*order)), F.max_by("speaker_id", F.struct(*order))
+    return rows.withColumn("__turn", turn).groupBy(key, "__part").agg(
+        F.sum("__turn").alias("__turns"), first.alias("__first"),
+        F.when(F.col("__part").isNull(), first).otherwise(last).alias("__last"),
+    )
+
+
+def _offsets(placed: DataFrame, key: str) -> DataFrame:
     """(key, __part, __base): how many runs of the recording were opened before the first of a stretch, that one included if
     it goes on with the last speaker of the stretch before. Only one row per stretch is put in order.
     """
-    parts = pieces.groupBy(key, "__part").agg(
-        F.max("__run").alias("__turns"), F.min_by("speaker_id", "__run").alias("__first"),
-        F.max_by("speaker_id", "__run").alias("__last"),
-    )
     along = Window.partitionBy(key).orderBy("__part")
-    opens = F.lag("__turns").over(along).isNotNull() & ~F.lag("__last").over(along).eqNullSafe(F.col("__first"))
-    marked = parts.select(key, "__part", "__turns", opens.cast("long").alias("__opens"))
+    opens = _turn(along, "__turns", "__last", "__first")
+    marked = _stretches(placed, key).select(key, "__part", "__turns", opens.alias("__opens"))
     before = F.coalesce(F.sum("__turns").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return marked.select(key, "__part", (before + F.sum("__opens").over(along)).alias("__base"))
 
 
+def _numbered(words: DataFrame, stretch: int, key: str) -> DataFrame:
+    """Words with __part, the stretch they stand in, and run_no, the run of one speaker within the recording, from 0.
+
+    Words without a recording or a number are left out; the latter count as words before the first.
+    """
+    placed = words.where(F.col(key).isNotNull()).withColumn("__part", F.floor(F.col("seq") / stretch).cast("long"))
+    # The base of a stretch is a row before its first word, with which the count of runs begins: no join is needed.
+    bases = _offsets(placed, key).where(F.col("__part").isNotNull())
+    both = placed.where(F.col("seq").isNotNull()).unionByName(bases, allowMissingColumns=True)
+    inside = Window.partitionBy(key, "__part")
+    opened = F.coalesce("__base", _turn(inside.orderBy("seq", "speaker_id"), "seq", "speaker_id", "speaker_id"))
+    counted = both.withColumn("__opened", opened).withColumn("run_no", F.sum("__opened").over(inside.orderBy("seq")))
+    return counted.where(F.col("seq").isNotNull()).drop("__opened", "__base")
+
+
 def speaker_runs(words: DataFrame, stretch: int = STRETCH, key: str = "media_id") -> DataFrame:
     """Number the runs of one speaker within each recording: adds run_no, counted from 0.
 
     Words are (media_id, seq, word, start_time, end_time, speaker_id, ...), in the order of seq, whatever their times;
-    a missing speaker is a speaker of its own. Runs are found inside stretches of a recording and joined where one
-    goes on in the next stretch.
+    a missing speaker is a speaker of its own, and speakers of one word number take turns in their order. Runs are found
+    inside stretches of a recording and joined where one goes on in the next stretch.
     """
-    local = _local_runs(words, stretch, key)
-    pieces = local.groupBy(key, "__part", "__run").agg(F.first("speaker_id").alias("speaker_id"))
-    numbered = local.join(_offsets(pieces, key), [key, "__part"])
-    return numbered.withColumn("run_no", F.col("__base") + F.col("__run")).drop("__part", "__run", "__base")
+    return _numbered(words, stretch, key).drop("__part")
 
 
 def speaker_segments(
@@ -112,7 +148,9 @@ def speaker_segments(
     """
     value = F.lit(CONFIDENCE) if confidence is None else F.min_by(confidence, "seq")
     spoken = F.array_sort(F.collect_list(F.struct("seq", "word")))
-    pieces = _local_runs(words, stretch, key).groupBy(key, "__part", "__run").agg(
+    # What differs from word to word lies together, the text last: such rows are smaller when they are shuffled.
+    named = [key, "speaker_id", "seq", "start_time", "end_time", *([] if confidence is None else [confidence]), "word"]
+    pieces = _numbered(words.select(*dict.fromkeys(named)), stretch, key).groupBy(key, "__part", "run_no").agg(
         F.first("speaker_id").alias("speaker_id"),
         F.min_by("start_time", "seq").alias("start_time"),
         F.max_by("end_time", "seq").alias("end_time"),
@@ -120,9 +158,8 @@ def speaker_segments(
         value.alias("confidence"),
         F.count(F.lit(1)).alias("word_count"),
     )
-    whole = pieces.join(_offsets(pieces, key), [key, "__part"]).withColumn("run_no", F.col("__base") + F.col("__run"))
     texts = F.array_sort(F.collect_list(F.struct("__part", "text")))
-    return whole.groupBy(key, F.col("run_no").alias("segment_index")).agg(
+    return pieces.groupBy(key, F.col("run_no").alias("segment_index")).agg(
         F.first("speaker_id").alias("speaker_id"),
         F.min_by("start_time", "__part").alias("start_time"),
         F.max_by("end_time", "__part").alias("end_time"),

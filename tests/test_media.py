@@ -188,3 +188,44 @@ def test_segments_scan_once_and_shuffle_little(spark, tmp_path):
     segments.collect()
     plan = segments._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 5
+
+
+@pytest.mark.parametrize("stretch", [5, 100, 1 << 16])
+def test_speakers_who_take_turns_within_a_mark(spark, stretch):
+    """Gaps, numbers below 0 and far up, words that come twice, missing speakers and words; rows without recording or number go,
+    but the latter open a recording with a run of their first speaker."""
+    rng = random.Random(7)
+    rows, want = [], []
+    for rec, at in (("r1", -200), ("r2", (1 << 33) - 150)):
+        n, last = -1, ""
+        for i in range(600):
+            at += rng.choice([1, 1, 1, 1, 2, 70])
+            who = last if last != "" and rng.random() < (0.95 if i % 200 < 100 else 0.5) else rng.choice(["a", "b", None])
+            word = rng.choice([f"w{i}", f"w{i}", None])
+            copies = rng.choice([1, 1, 2])
+            if i == 0 or who != last:
+                n, last = n + 1, who
+                want.append((rec, n, who, float(i), i + 0.5, [], 0))
+            rec_, n_, who_, begin, _, text, count = want[-1]
+            want[-1] = (rec_, n_, who_, begin, i + 0.5, text + [word] * copies, count + copies)
+            rows += [(rec, at, word, float(i), i + 0.5, who)] * copies
+    want = [(w[0], w[1] + (w[0] == "r1"), *w[2:5], " ".join(x for x in w[5] if x is not None), w[6]) for w in want]
+    lost = [("r1", None, "lost", 0.0, 0.0, "z"), ("r1", None, "lost", 0.0, 0.0, want[0][2]), ("r3", None, "lost", 0.0, 0.0, "a")]
+    schema = "media_id string, seq long, word string, start_time double, end_time double, speaker_id string"
+    df = spark.createDataFrame(rows, schema).repartition(5).union(spark.createDataFrame([(None, 3, "lost", 0.0, 0.0, "a"), *lost], schema).coalesce(1))
+    got = [(r["media_id"], r["segment_index"], r["speaker_id"], r["start_time"], r["end_time"], " ".join(r["text"].split()), r["word_count"]) for r in m.speaker_segments(df, stretch=stretch).collect()]
+    assert sorted(got, key=lambda r: r[:2]) == want
+    runs = m.speaker_runs(df, stretch)
+    assert runs.columns == [*df.columns, "run_no"] and runs.count() == len(rows)
+    assert m.speaker_segments(df.where("false")).count() == 0
+
+
+def test_words_are_put_in_order_once(spark, tmp_path):
+    """Changes of speaker are counted from marks, so that words are shuffled and sorted for their texts alone."""
+    schema = "media_id string, seq long, word string, start_time double, end_time double, speaker_id string"
+    rows = [("m", i, "w", 0.0, 0.0, "ab"[i // 640 % 2]) for i in range(6400)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "words"))
+    segments = m.speaker_segments(spark.read.parquet(str(tmp_path / "words")))
+    assert segments.count() == 10
+    plan = segments._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert plan.count("lag(seq") == 1
