@@ -252,6 +252,22 @@ def packed(shares: int, key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarr
     return of[order[begin]].astype(np.int32), order, [cells(c[order], begin) for c in (key, *columns)]
 
 
+def counted(shares: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Contexts and word places, each pair once with its count, packed in shares. Nothing depends on their order in a share: equal
+    counts and places lie together, so that less is shuffled.
+    """
+    context, place = (np.concatenate(h) for h in zip(*held))
+    order, begin = runs(spot_key(context, place))
+    first, n = order[begin], np.diff(begin, append=len(order)).astype(np.uint32)
+    del order, begin
+    # Short numbers are quick to sort; counts beyond their limit stay in any order.
+    alike = np.lexsort((place[first], np.minimum(n, 0xFFFF).astype(np.uint16)))
+    first, n = first[alike], n[alike]
+    del alike
+    share, _, found = packed(shares, context[first], place[first], n)
+    return pa.RecordBatch.from_arrays([pa.array(share), *found], names=["share", "context", "place", "n"])
+
+
 def unpacked(table: pa.Table, name: str, kind: type) -> np.ndarray:
     """The values of a column of bytes end to end."""
     parts = []
@@ -302,13 +318,6 @@ def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     context and word place, the share of that place in the context's other occurrences, and how often it stands there."""
     shares = shares_of(docs, text_col)
 
-    def passed(held):
-        context, place = (np.concatenate(h) for h in zip(*held))
-        order, begin = runs(spot_key(context, place))
-        first, n = order[begin], np.diff(begin, append=len(order))
-        share, _, found = packed(shares, context[first], place[first], n.astype(np.uint32))
-        return pa.RecordBatch.from_arrays([pa.array(share), *found], names=["share", "context", "place", "n"])
-
     def count(batches):
         held, size = [], 0
         for batch in batches:
@@ -316,10 +325,10 @@ def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 held.append(remembered(words(batch.column(0).slice(lo, hi - lo), ALPHANUMERIC))[1:])
                 size += len(held[-1][0])
                 if size > PACKED:
-                    yield passed(held)
+                    yield counted(shares, held)
                     held, size = [], 0
         if size:
-            yield passed(held)
+            yield counted(shares, held)
 
     def add(batches):
         for table in whole_shares(batches):
@@ -341,8 +350,8 @@ def contexts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _plus(a: tuple, b: tuple) -> tuple:
-    """Sums of weights and words; None weighs nothing."""
-    return b if a[0] is None else a if b[0] is None else (a[0] + b[0], a[1] + b[1])
+    """Sums of weights and words, in double precision; None weighs nothing."""
+    return b if a[0] is None else a if b[0] is None else (np.add(a[0], b[0], dtype=np.float64), a[1] + b[1])
 
 
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[Net, Frequencies]:
@@ -369,12 +378,13 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, counts:
 
         due = docs.where(F.pmod(F.xxhash64(text_col), F.lit(rounds)) == turn) if rounds > 1 else docs
         sums = due.select(text_col).mapInArrow(walk, "weights binary, seen double").rdd
-        pairs = sums.map(lambda r: (np.frombuffer(r["weights"], np.float32).astype(np.float64), r["seen"]))
+        # What a task has learned travels as it is; only sums need double precision.
+        pairs = sums.map(lambda r: (np.frombuffer(r["weights"], np.float32), r["seen"]))
         # Deep enough that a handful of sums reach the driver, however many tasks there were.
         depth = max(2, ceil(log(max(2, pairs.getNumPartitions()), FAN_IN)))
         total, seen = pairs.treeAggregate((None, 0.0), _plus, _plus, depth)
         if seen:
-            net = shaped(total / seen)
+            net = shaped(total.astype(np.float64) / seen)
         given.unpersist()
     return net, known
 

@@ -202,3 +202,26 @@ def test_contexts_and_their_say_against_plain_counts(spark, monkeypatch, held):
         by.setdefault((None if i == 70 else f"d{i % 80}", len(spots(t))), []).append(recalled(t))
     for r in got:
         assert min(abs(r["recalled"] - x) for x in by[r["doc_id"], r["n_words"]]) < 1e-3
+
+
+def test_equal_counts_and_places_lie_together_in_a_share():
+    """Contexts in a share come by count and place, and nothing is lost."""
+    rng = np.random.default_rng(5)
+    context, place = rng.integers(0, 40, 3000, np.uint64) << np.uint64(32), rng.integers(0, 9, 3000).astype(np.uint16)
+    batch = lm_scoring.counted(7, [(context[:1000], place[:1000]), (context[1000:], place[1000:]), (np.full(70000, 99 << 32, np.uint64), np.zeros(70000, np.uint16))])
+    want, got = Counter(zip((context >> np.uint64(32)).tolist(), place.tolist())), Counter()
+    want[99, 0] = 70000
+    for share, *cells in zip(*(c.to_pylist() for c in batch.columns)):
+        key, where, n = (np.frombuffer(c, t) for c, t in zip(cells, (np.uint64, np.uint16, np.uint32)))
+        assert set(((key >> np.uint64(32)) % np.uint64(7)).tolist()) == {share}
+        assert list(zip(n, where)) == sorted(zip(n, where))
+        got.update(dict(zip(zip((key >> np.uint64(32)).tolist(), where.tolist()), n.tolist())))
+    assert got == want
+
+
+def test_weights_travel_in_single_and_add_up_in_double_precision():
+    one, two = np.array([1.0, 3.0], np.float32), np.array([1e-9, 1e9], np.float32)
+    total, seen = lm_scoring._plus((one, 2.0), (two, 3.0))
+    assert total.dtype == np.float64 and seen == 5.0
+    assert total.tolist() == [float(a) + float(b) for a, b in zip(one, two)]
+    assert lm_scoring._plus((None, 0.0), (one, 2.0))[0] is one and lm_scoring._plus((one, 2.0), (None, 0.0))[0] is one
